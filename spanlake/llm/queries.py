@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, token_store
+from . import bpe_codec, near_dedup, packing, quality, repeats, token_store
 from .common import table
 
 END_ID = 2
 CAPACITY = 1024
+REPEAT_BYTES = 400
+THRESHOLD = 0.3
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -18,18 +21,47 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), 3, 85, 100)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, CAPACITY)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), length=REPEAT_BYTES)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, trees, THRESHOLD).drop("text")
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = token_store.write(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return token_store.read(files)
 
 
-QUERIES = {"op4_packing": op4_packing, "op7_bpe": op7_bpe, "op10_tokens": op10_tokens}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
+    "op4_packing": op4_packing,
+    "op5_repeats": op5_repeats,
+    "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op10_tokens": op10_tokens,
+    "pipeline": pipeline,
+}
 ORACLE_SQL: dict[str, str] = {}
