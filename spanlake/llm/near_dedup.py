@@ -5,10 +5,11 @@ other than 0x20 and 0x09-0x0D). The leading bits of a shingle's hash pick a buck
 register keeps the least of the rest in compressed form, a count of leading zeros and the next
 mantissa bits. Empty registers borrow from the next full one.
 
-Equal sets form one class at once. Classes whose registers agree on a band meet: each is checked
-against the band's first class, on whole sets. Where a band's classes still fall into several
-components, every pair across components whose collision-corrected Jaccard estimate comes near
-the threshold is checked too, in blocks. Pairs that no band unites (at the threshold's similarity,
+Equal sets form one class at once. Classes whose registers agree on a band meet. Each class is
+checked, on whole sets, against the least of its bands' heads; then, in bands whose classes still
+fall into several components, against the band's head; and where that is still so, every pair across
+components whose collision-corrected Jaccard estimate comes near the threshold is checked, in
+blocks. Pairs that no band unites (at the threshold's similarity,
 fewer than one in ten million) would be missed.
 
 Rows: null, empty or blank text has an empty set and links with nothing; fewer words than
@@ -214,19 +215,30 @@ def groups(df: DataFrame, size: int = 5, least: int = 80, of: int = 100, key: st
     classes, _ = saved(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.count("*").alias("copies")), "classes")
     bands, _ = saved(_bands(classes), "bands")
     heads = bands.groupBy("band").agg(F.min("id").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = bands.join(heads, "band").filter("u < id").select("u", F.col("id").alias("v")).distinct()
+    met = bands.join(heads, "band").filter("u < id").select("u", F.col("id").alias("v"))
     wanted = classes.select("id")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     # Two rows of one id with different texts are two classes under one id; each text is checked.
-    links, _ = saved(_confirmed(pairs, texts, size, least, of).distinct(), "confirmed")
-    first, _ = saved(components(links), "parts")
-    where = bands.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = where.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
-    members = where.join(mixed, "band").join(classes.select("id", "n_shingles", "regs"), "id")
-    across = _across(members, least / of - MARGIN).distinct().join(pairs, ["u", "v"], "left_anti")
-    more, _ = saved(_confirmed(across, texts, size, least, of), "more")
-    all_links = links.unionByName(more)
-    last = components(all_links) if more.limit(1).count() else first
+    links = None
+    for step in range(3):
+        if step == 0:  # the least head that a class meets
+            pairs = met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+        else:  # in bands whose classes still fall into several components: the other heads, then all across
+            where = bands.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            mixed = where.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("id", "component")).alias("head")).filter("a < b")
+            mixed, _ = saved(mixed, "mixed")
+            if not mixed.limit(1).count():
+                break
+            inside = where.join(mixed.select("band", "head"), "band")
+            if step == 1:
+                pairs = inside.filter("component != head.component").select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct()
+            else:
+                pairs = _across(inside.drop("head").join(classes.select("id", "n_shingles", "regs"), "id"), least / of - MARGIN).distinct()
+        new, _ = saved(_confirmed(pairs, texts, size, least, of).distinct(), "links")
+        links = new if links is None else links.unionByName(new)
+        if step == 0 or new.limit(1).count():
+            parts, _ = saved(components(links), "parts")
+    last = parts
     of_class = classes.select("s1", "s2", "n_shingles", F.col("id").alias("rep")).join(last.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
     out = made.drop("regs").join(of_class, ["s1", "s2", "n_shingles"], "left")
