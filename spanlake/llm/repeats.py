@@ -198,6 +198,10 @@ def remove(df: DataFrame, text: str = "text", length: int = 400, out: str = "kep
     texts = keyed.select(text, *_KEYS)
     stretches = _stretches(texts.join(todo, _KEYS), text, length)
     ends = _sorted_shards(stretches.repartition("h").sortWithinPartitions("h"), length)
-    whole = anchors.join(shared.filter("copies > 1").select("h", "s1", "s2"), ["h", "s1", "s2"]).select(*_KEYS, "lo", "n")
+    # A text that stands there twice repeats from end to end: its stretches need no look-up.
+    texts_of = anchors.groupBy(*_KEYS).agg(F.count_if(F.col("lo") == 0).alias("texts"), F.max(F.col("lo") + F.col("n")).alias("windows")).filter("texts > 1")
+    twice, _ = saved(texts_of, "twice")
+    once = anchors.join(twice, _KEYS, "left_anti").join(shared.filter("copies > 1").select("h", "s1", "s2"), ["h", "s1", "s2"]).select(*_KEYS, "lo", "n")
+    whole = twice.select(*_KEYS, F.lit(0).alias("lo"), F.col("windows").alias("n")).unionByName(once)
     spans, _ = saved(whole.unionByName(ends).groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
     return _cut(keyed.join(spans, _KEYS, "left"), text, length, out, as_text)
