@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, near_dedup, packing, quality, repeats, token_store
+from . import bpe_codec, chroma, hmm, html_text, near_dedup, packing, quality, repeats, token_store, vectors
 from .common import table
 
 END_ID = 2
@@ -21,6 +21,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), 3, 85, 100)
 
@@ -34,6 +42,11 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables have no audio: a recording is made of each vector of ``embeddings``."""
+    return chroma.report(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.melody)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +57,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, trees, THRESHOLD).drop("text")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, _ = token_store.write(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return token_store.read(files)
@@ -56,11 +73,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_hmm": op2_hmm,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
     "op5_repeats": op5_repeats,
+    "op6_chroma": op6_chroma,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_vectors": op9_vectors,
     "op10_tokens": op10_tokens,
     "pipeline": pipeline,
 }
