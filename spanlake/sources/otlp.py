@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import KV, configure
+from spanlake.functions.wire import KV, configure, quoted
 
 DOCUMENT = (
     f"resourceSpans array<struct<resource:struct<attributes:{KV}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,"
@@ -91,19 +91,21 @@ def read_spans(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def documents_of(spans: DataFrame) -> DataFrame:
-    """The inverse of flatten, for fixtures: a JSON text for each trace, spans in order under their resource and scope."""
-    kv = lambda c: F.transform(c, lambda x: F.struct(x["key"].alias("key"), F.from_json(x["value"], "variant").alias("value")))
-    span = F.struct(
-        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_raw").alias("parentSpanId"), "name",
-        F.col("start_raw").alias("startTimeUnixNano"), F.col("end_raw").alias("endTimeUnixNano"),
-        F.struct(F.col("status_raw").alias("code"), F.col("status_message_raw").alias("message")).alias("status"),
-        kv(F.col("attributes")).alias("attributes"),
-        F.transform("events", lambda e: F.struct(e["name"].alias("name"), kv(e["attributes"]).alias("attributes"))).alias("events"),
-        "links",
-    )
-    keys = ["trace_id", F.to_json("resource_attributes").alias("res"), "scope_name", "scope_version"]
-    one = spans.groupBy(*keys).agg(F.first("resource_attributes").alias("ra"), F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", span.alias("span")))).alias("spans"))
-    scope = F.struct(F.col("scope_name").alias("name"), F.col("scope_version").alias("version"))
-    resource = F.struct(F.struct(kv(F.col("ra")).alias("attributes")).alias("resource"), F.array(F.struct(scope.alias("scope"), F.transform("spans", lambda x: x["span"]).alias("spans"))).alias("scopeSpans"))
-    docs = one.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", resource.alias("rs")))).alias("rs"))
-    return docs.select("trace_id", F.to_json(F.struct(F.transform("rs", lambda x: x["rs"]).alias("resourceSpans"))).alias("value"))
+    """The inverse of flatten, for fixtures: a JSON text for each trace, spans in order under their resource and scope.
+
+    Attribute values are JSON texts already, so they are spliced in as they are.
+    """
+    lit, null = F.lit, F.lit("null")
+    listed = lambda texts: F.concat(lit("["), F.coalesce(F.array_join(texts, ","), lit("")), lit("]"))
+    kv = lambda c: listed(F.transform(c, lambda x: F.concat(lit('{"key":'), quoted(x["key"]), lit(',"value":'), F.coalesce(x["value"], null), lit("}"))))
+    text = lambda c: F.coalesce(quoted(F.col(c)), null)
+    events = listed(F.transform("events", lambda e: F.concat(lit('{"name":'), F.coalesce(quoted(e["name"]), null), lit(',"attributes":'), kv(e["attributes"]), lit("}"))))
+    pairs = (("traceId", text("trace_id")), ("spanId", text("span_id")), ("parentSpanId", text("parent_raw")), ("name", text("name")), ("startTimeUnixNano", text("start_raw")), ("endTimeUnixNano", text("end_raw")))
+    head = F.concat(*(x for k, c in pairs for x in (lit(f'"{k}":'), c, lit(","))))
+    status = F.concat(lit('"status":{"code":'), text("status_raw"), lit(',"message":'), text("status_message_raw"), lit("},"))
+    span = F.concat(lit("{"), head, status, lit('"attributes":'), kv(F.col("attributes")), lit(',"events":'), events, lit(',"links":'), F.coalesce(F.to_json("links"), lit("[]")), lit("}"))
+    scope = F.concat(lit('{"name":'), text("scope_name"), lit(',"version":'), text("scope_version"), lit("}"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("text")))), lambda x: x["text"])
+    one = spans.groupBy("trace_id", kv(F.col("resource_attributes")).alias("resource"), scope.alias("scope")).agg(F.min("ord").alias("ord"), in_order(span).alias("spans"))
+    block = F.concat(lit('{"resource":{"attributes":'), F.col("resource"), lit('},"scopeSpans":[{"scope":'), F.col("scope"), lit(',"spans":'), listed(F.col("spans")), lit("}]}"))
+    return one.groupBy("trace_id").agg(in_order(block).alias("blocks")).select("trace_id", F.concat(lit('{"resourceSpans":'), listed(F.col("blocks")), lit("}")).alias("value"))
