@@ -96,6 +96,7 @@ def walk(model: Model, ids: np.ndarray, offs: np.ndarray, sums: tuple | None = N
         if sums is None:
             continue
         start, step, emit = sums
+        drawn, shares = [], []
         beta = np.ones((0, len(model.start)))
         for t in range(len(live) - 1, -1, -1):
             n = int(live[t])
@@ -108,10 +109,13 @@ def walk(model: Model, ids: np.ndarray, offs: np.ndarray, sums: tuple | None = N
                 beta = np.ones((n, len(model.start)))
             gamma = kept[t] * beta
             gamma /= gamma.sum(axis=1, keepdims=True)
-            for k in range(gamma.shape[1]):
-                emit[k] += np.bincount(ids[begin[:n] + t], gamma[:, k], emit.shape[1])
+            drawn.append(ids[begin[:n] + t])
+            shares.append(gamma)
             if t == 0:
                 start += gamma.sum(axis=0)
+        drawn, shares = np.concatenate(drawn), np.concatenate(shares)
+        for k in range(shares.shape[1]):
+            emit[k] += np.bincount(drawn, shares[:, k], emit.shape[1])
     return out
 
 
