@@ -43,6 +43,11 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def computed_once(c: Column) -> Column:
+    """c, which the optimizer neither copies into later columns nor into filters that it moves down: long expressions would multiply there. The condition always holds."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def quoted(c: Column) -> Column:
     """A text as JSON."""
     packed = F.to_json(F.array(c))
@@ -88,14 +93,16 @@ def _nested(values: pd.Series) -> pd.Series:
 
 
 def _is_nested(v: Column) -> Column:
+    """A list or key-value list; a value whose text can't hold either isn't parsed."""
     keys = F.json_object_keys(v)
     plain = F.array(*(F.lit(k) for k in ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue")))
-    return F.coalesce(F.arrays_overlap(keys, F.array(F.lit("arrayValue"), F.lit("kvlistValue"))) & ~F.arrays_overlap(keys, plain), F.lit(False))
+    may = v.contains("arrayValue") | v.contains("kvlistValue") | v.contains("\\")
+    return F.coalesce(may & F.arrays_overlap(keys, F.array(F.lit("arrayValue"), F.lit("kvlistValue"))) & ~F.arrays_overlap(keys, plain), F.lit(False))
 
 
-def _decode(v: Column, nested: Column) -> Column:
-    """(text, json) of one value."""
-    w, keys = F.from_json(v, WIRE), F.json_object_keys(v)
+def _decode(p: Column) -> Column:
+    """(text, json) of one value, parsed: v its raw text, w and keys its fields, deep its unwrapped list."""
+    v, w, keys, nested = p["v"], p["w"], p["keys"], p["deep"]
     has = lambda k: F.array_contains(keys, k)
     number = w["doubleValue"].try_cast("double")
     bare = v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") | v.isin("true", "false")
@@ -133,16 +140,21 @@ def unwrapped(values: Column) -> Column:
     return _nested(F.when(F.exists(values, _is_nested), F.transform(values, lambda v: F.when(_is_nested(v), v))))
 
 
-def decoded(own: Column, deep: Column) -> Column:
-    """struct(text: map, json: map) of keyed entries; deep has the unwrapped values in the same order."""
-    both = F.transform(own, lambda x, i: F.struct(x["key"].alias("key"), _decode(x["value"], F.get(deep, i)).alias("v")))
-    part = lambda name: F.map_from_entries(F.transform(both, lambda x: F.struct(x["key"], x["v"][name])))
-    return F.struct(part("text").alias("text"), part("json").alias("json"))
+def decoded_values(values: Column, deep: Column) -> Column:
+    """(text, json) of raw values; deep has the unwrapped ones in the same order. Each value is parsed once: the second lambda reads the first one's fields."""
+    parsed = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.from_json(v, WIRE).alias("w"), F.json_object_keys(v).alias("keys"), F.get(deep, i).alias("deep")))
+    return F.transform(parsed, _decode)
 
 
-def decoded_texts(values: Column, deep: Column, after: Column) -> Column:
-    """Texts of raw values whose unwrapped ones stand in deep from a place on."""
-    return F.transform(values, lambda v, i: _decode(v, F.get(deep, i + after))["text"])
+def mapped(own: Column, values: Column, part: str) -> Column:
+    """Map of keyed entries to the text or json of their decoded values, which stand in the same order."""
+    return F.map_from_entries(F.zip_with(own, values, lambda x, v: F.struct(x["key"], v[part])))
+
+
+def decoded(own: Column, deep: Column) -> Column:
+    """struct(text: map, json: map) of keyed entries."""
+    values = decoded_values(F.transform(own, lambda x: x["value"]), deep)
+    return F.struct(mapped(own, values, "text").alias("text"), mapped(own, values, "json").alias("json"))
 
 
 def to_int(text: Column, as_json: Column) -> Column:

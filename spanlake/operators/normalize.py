@@ -14,7 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import configure, decoded, decoded_texts, filled, keyed, literal_map, nano, status, to_float, to_int, unwrapped
+from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, status, to_float, to_int, unwrapped
 
 # Attribute keys and names of the conventions.
 SESSION_KEYS = ("gen_ai.conversation.id", "session.id", "gcp.vertex.agent.session_id", "ai.telemetry.metadata.sessionId", "mlflow.trace.session", "traceloop.association.properties.session_id")
@@ -87,33 +87,36 @@ def joined(messages: Column) -> Column:
     return F.when(F.size(messages) > 0, F.array_join(F.transform(messages, line), "\n"))
 
 
-def _indexed(t: Column, prefix: str) -> Column:
-    """(key, index, rest) of keys prefix.N.rest, N as an integer."""
+def indexed(t: Column, prefix: str) -> Column:
+    """(key, index, rest, value) of keys prefix.N.rest, N as an integer."""
     n = len(prefix) + 2
-    split = lambda k: F.struct(k.alias("key"), F.substring_index(k.substr(n, 1 << 20), ".", 1).alias("n"), F.regexp_replace(k.substr(n, 1 << 20), r"^[^.]*\.?", "").alias("rest"))
-    got = F.transform(F.filter(F.map_keys(t), lambda k: k.startswith(prefix + ".")), split)
-    return F.transform(F.filter(got, lambda x: x["n"].rlike(r"^\s*[+-]?\d+(_\d+)*\s*$")), lambda x: F.struct(x["key"].alias("key"), F.regexp_replace(x["n"], r"[_\s]", "").cast("bigint").alias("i"), x["rest"].alias("rest")))
+    split = lambda e: F.struct(e["key"].alias("key"), F.substring_index(e["key"].substr(n, 1 << 20), ".", 1).alias("n"), F.regexp_replace(e["key"].substr(n, 1 << 20), r"^[^.]*\.?", "").alias("rest"), e["value"].alias("value"))
+    got = F.transform(F.filter(F.map_entries(t), lambda e: e["key"].startswith(prefix + ".")), split)
+    return F.transform(F.filter(got, lambda x: x["n"].rlike(r"^\s*[+-]?\d+(_\d+)*\s*$")), lambda x: F.struct(x["key"].alias("key"), F.regexp_replace(x["n"], r"[_\s]", "").cast("bigint").alias("i"), x["rest"].alias("rest"), x["value"].alias("value")))
 
 
-def _value(t: Column, found: Column, i: Column, rest: str) -> Column:
+def _value(found: Column, i: Column, rest: str) -> Column:
     """The last value of an index and suffix."""
-    return t[F.try_element_at(F.filter(found, lambda x: (x["i"] == i) & (x["rest"] == rest)), F.lit(-1))["key"]]
+    return F.try_element_at(F.filter(found, lambda x: (x["i"] == i) & (x["rest"] == rest)), F.lit(-1))["value"]
 
 
-def indexed_messages(t: Column, prefix: str, direction: str) -> tuple[Column, Column]:
-    """Messages by index, and the keys they took; a key of another suffix makes none."""
-    found = F.filter(_indexed(t, prefix), lambda x: x["rest"].isin("message.role", "message.content"))
+def said_at(t: Column, prefix: str) -> Column:
+    """The entries that make indexed messages; a key of another suffix makes none."""
+    return F.filter(indexed(t, prefix), lambda x: x["rest"].isin("message.role", "message.content"))
+
+
+def indexed_messages(found: Column, direction: str) -> Column:
+    """Messages by index."""
     at = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["i"])))
-    made = F.transform(at, lambda i: F.struct(F.lit(direction).alias("direction"), _value(t, found, i, "message.role").alias("role"), _value(t, found, i, "message.content").alias("content"), _none().alias("tool_call_id")))
-    return made.cast(f"array<{MESSAGE}>"), F.transform(found, lambda x: x["key"])
+    made = F.transform(at, lambda i: F.struct(F.lit(direction).alias("direction"), _value(found, i, "message.role").alias("role"), _value(found, i, "message.content").alias("content"), _none().alias("tool_call_id")))
+    return made.cast(f"array<{MESSAGE}>")
 
 
-def indexed_documents(t: Column) -> tuple[Column, Column]:
+def indexed_documents(found: Column) -> Column:
     """Documents by index, which is their position; any suffix under an index makes one."""
-    found = _indexed(t, "retrieval.documents")
     at = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["i"])))
-    made = F.transform(at, lambda i: F.struct(i.cast("int").alias("position"), _value(t, found, i, "document.id").alias("document_id"), _value(t, found, i, "document.content").alias("content"), to_float(_value(t, found, i, "document.score")).alias("score")))
-    return made.cast(f"array<{DOC}>"), F.transform(F.filter(found, lambda x: x["rest"].isin("document.id", "document.content", "document.score")), lambda x: x["key"])
+    made = F.transform(at, lambda i: F.struct(i.cast("int").alias("position"), _value(found, i, "document.id").alias("document_id"), _value(found, i, "document.content").alias("content"), to_float(_value(found, i, "document.score")).alias("score")))
+    return made.cast(f"array<{DOC}>")
 
 
 def _first_int(t: Column, j: Column, *keys: str) -> tuple[Column, list]:
@@ -144,19 +147,28 @@ def _or(a: Column, b: Column) -> Column:
     return F.when(filled(a).isNull(), b).otherwise(a)
 
 
+def openinference_found(t: Column) -> dict[str, Column]:
+    """The entries under indexed prefixes, as columns: what is read more than once is computed once."""
+    return {"oi_in": said_at(t, "llm.input_messages"), "oi_out": said_at(t, "llm.output_messages"), "oi_at": indexed(t, "retrieval.documents")}
+
+
+def openinference_lists() -> dict[str, Column]:
+    return {"oi_asked": indexed_messages(F.col("oi_in"), "input"), "oi_said": indexed_messages(F.col("oi_out"), "output"), "oi_docs": indexed_documents(F.col("oi_at"))}
+
+
 def openinference(t: Column, j: Column) -> dict[str, Column]:
     has = lambda k: F.map_contains_key(t, k)
     kind = F.when(has("openinference.span.kind"), openinference_kind(F.coalesce(t["openinference.span.kind"], F.lit("None"))))
     model = F.when(has("llm.model_name"), t["llm.model_name"]).when(has("llm.model"), t["llm.model"])
     tokens = {c: to_int(t[k], j[k]) for c, k in (("input_tokens", "llm.token_count.prompt"), ("output_tokens", "llm.token_count.completion"), ("total_tokens", "llm.token_count.total"))}
-    asked, asked_keys = indexed_messages(t, "llm.input_messages", "input")
-    said, said_keys = indexed_messages(t, "llm.output_messages", "output")
-    docs, doc_keys = indexed_documents(t)
+    asked, said, docs = F.col("oi_asked"), F.col("oi_said"), F.col("oi_docs")
+    keys = lambda found: F.transform(found, lambda x: x["key"])
+    doc_keys = keys(F.filter("oi_at", lambda x: x["rest"].isin("document.id", "document.content", "document.score")))
     given = _or(t["tool.parameters"], F.when(has("retrieval.query"), t["retrieval.query"]).otherwise(t["tool.parameters"]))
     io = F.when(F.coalesce(kind == "RETRIEVER", F.lit(False)) | (F.size(docs) > 0), "retrieval").when(F.coalesce(kind == "TOOL", F.lit(False)) | filled(t["tool.name"]).isNotNull(), "tool_call").when((F.size(asked) > 0) | (F.size(said) > 0), "text")
     text = F.coalesce(io == "text", F.lit(False))
     single = ("openinference.span.kind", "tool.name", "agent.name", "llm.token_count.prompt", "llm.token_count.completion", "llm.token_count.total", "tool.parameters", "tool.output_value", "retrieval.query")
-    taken = F.concat(_taken(*((k, has(k)) for k in single), ("llm.model_name", has("llm.model_name")), ("llm.model", has("llm.model") & ~has("llm.model_name"))), asked_keys, said_keys, doc_keys)
+    taken = F.concat(_taken(*((k, has(k)) for k in single), ("llm.model_name", has("llm.model_name")), ("llm.model", has("llm.model") & ~has("llm.model_name"))), keys(F.col("oi_in")), keys(F.col("oi_out")), doc_keys)
     return _result(
         kind=kind, model_name=model, tool_name=t["tool.name"], agent_name=t["agent.name"], **tokens, io_format=io, messages=F.concat(asked, said), documents=docs, taken=taken,
         input_text=F.when(text & filled(given).isNull() & (F.size(asked) > 0), joined(asked)).otherwise(given),
@@ -173,8 +185,8 @@ def content_messages(content: Column, direction: str) -> Column:
     role = F.coalesce(filled(content["role"]), F.lit("user"))
     role = F.when(role == "model", "assistant").otherwise(role)
 
-    def one(raw: Column) -> Column:
-        part, keys = F.from_json(raw, "text string, function_call string, function_response string"), F.json_object_keys(raw)
+    def one(parsed: Column) -> Column:
+        part, keys = parsed["part"], parsed["keys"]
         call = F.coalesce(part["function_call"], F.lit("{}"))
         answer = F.coalesce(part["function_response"], F.lit("{}"))
         inner = F.from_json(answer, "response string, id string")
@@ -186,7 +198,8 @@ def content_messages(content: Column, direction: str) -> Column:
             .when(F.array_contains(keys, "function_response"), made(F.lit("tool"), payload, inner["id"]))
         )
 
-    parts = F.filter(F.coalesce(content["parts"], F.array().cast("array<string>")), lambda x: F.json_object_keys(x).isNotNull())
+    parse = lambda raw: F.struct(F.from_json(raw, "text string, function_call string, function_response string").alias("part"), F.json_object_keys(raw).alias("keys"))
+    parts = F.filter(F.transform(F.coalesce(content["parts"], F.array().cast("array<string>")), parse), lambda x: x["keys"].isNotNull())
     return F.filter(F.transform(parts, one), lambda m: m.isNotNull()).cast(f"array<{MESSAGE}>")
 
 
@@ -197,23 +210,35 @@ def _json_compact(c: Column) -> Column:
     return F.when(c.isNull(), "null").when(bare, tight).otherwise(F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2))
 
 
-def adk_messages(t: Column) -> tuple[Column, Column, list]:
-    """Messages of the JSON request and response, and the keys they took."""
-    ask, answer = "gcp.vertex.agent.llm_request", "gcp.vertex.agent.llm_response"
+ASK, ANSWER = "gcp.vertex.agent.llm_request", "gcp.vertex.agent.llm_response"
+
+
+def genai_found(t: Column, said_events: Column) -> dict[str, Column]:
+    """Messages of the events, and the JSON request and response, parsed; said_events: (name, content) of the span's events whose name starts with gen_ai."""
+    answers = ("gen_ai.choice", "gen_ai.assistant.message", "gen_ai.tool.message")
+    made = F.transform(said_events, lambda e: F.struct(F.when(e["name"].isin(*answers), "output").otherwise("input").alias("direction"), event_role(e["name"]).alias("role"), e["content"].alias("content"), F.when(e["name"] == "gen_ai.tool.message", t["gen_ai.tool.call.id"]).alias("tool_call_id"))).cast(f"array<{MESSAGE}>")
+    answer = F.from_json(t[ANSWER], "content string")["content"]
+    return {
+        "ga_made": made, "ga_request": F.from_json(t[ASK], REQUEST), "ga_ask_ok": F.coalesce(F.json_object_keys(t[ASK]).isNotNull(), F.lit(False)),
+        "ga_answer": F.from_json(answer, "role string, parts array<string>"), "ga_answer_ok": F.coalesce(F.json_object_keys(answer).isNotNull(), F.lit(False)),
+    }
+
+
+def genai_lists() -> dict[str, Column]:
+    """Messages asked and said: the events' or, without any, those of the JSON request and response."""
     none = F.array().cast(f"array<{MESSAGE}>")
-    ask_ok = F.json_object_keys(t[ask]).isNotNull()
-    request = F.from_json(t[ask], REQUEST)
+    request = F.col("ga_request")
     system = filled(request["config"]["system_instruction"])
     first = F.when(system.isNotNull(), F.array(F.struct(F.lit("input").alias("direction"), F.lit("system").alias("role"), system.alias("content"), _none().alias("tool_call_id"))).cast(f"array<{MESSAGE}>")).otherwise(none)
     rest = F.flatten(F.transform(F.coalesce(request["contents"], F.array().cast(f"array<{CONTENT}>")), lambda c: content_messages(c, "input")))
-    raw = F.from_json(t[answer], "content string")["content"]
-    answer_ok = F.json_object_keys(raw).isNotNull()
-    said = content_messages(F.from_json(raw, "role string, parts array<string>"), "output")
-    return F.when(ask_ok, F.concat(first, rest)).otherwise(none), F.when(answer_ok, said).otherwise(none), [(ask, ask_ok), (answer, answer_ok)]
+    live = F.size("ga_made") > 0
+    return {
+        "ga_asked": F.when(live, F.filter("ga_made", lambda m: m["direction"] == "input")).otherwise(F.when(F.col("ga_ask_ok"), F.concat(first, rest)).otherwise(none)),
+        "ga_said": F.when(live, F.filter("ga_made", lambda m: m["direction"] == "output")).otherwise(F.when(F.col("ga_answer_ok"), content_messages(F.col("ga_answer"), "output")).otherwise(none)),
+    }
 
 
-def genai(t: Column, j: Column, said_events: Column) -> dict[str, Column]:
-    """said_events: (name, content) of the span's events whose name starts with gen_ai."""
+def genai(t: Column, j: Column) -> dict[str, Column]:
     has = lambda k: F.map_contains_key(t, k)
     op, asked_model, told_model = t["gen_ai.operation.name"], t["gen_ai.request.model"], t["gen_ai.response.model"]
     model = F.when(filled(asked_model).isNull() & has("gen_ai.response.model"), told_model).otherwise(asked_model)
@@ -221,12 +246,8 @@ def genai(t: Column, j: Column, said_events: Column) -> dict[str, Column]:
     tin, k1 = _first_int(t, j, "gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens")
     tout, k2 = _first_int(t, j, "gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens")
     total, k3 = _first_int(t, j, "gen_ai.usage.total_tokens")
-    answers = ("gen_ai.choice", "gen_ai.assistant.message", "gen_ai.tool.message")
-    made = F.transform(said_events, lambda e: F.struct(F.when(e["name"].isin(*answers), "output").otherwise("input").alias("direction"), event_role(e["name"]).alias("role"), e["content"].alias("content"), F.when(e["name"] == "gen_ai.tool.message", t["gen_ai.tool.call.id"]).alias("tool_call_id"))).cast(f"array<{MESSAGE}>")
-    adk_in, adk_out, adk_keys = adk_messages(t)
-    live = F.size(made) > 0
-    asked = F.when(live, F.filter(made, lambda m: m["direction"] == "input")).otherwise(adk_in)
-    said = F.when(live, F.filter(made, lambda m: m["direction"] == "output")).otherwise(adk_out)
+    asked, said = F.col("ga_asked"), F.col("ga_said")
+    live = F.size("ga_made") > 0
     args, result = "gcp.vertex.agent.tool_call_args", "gcp.vertex.agent.tool_response"
     own = t["gen_ai.tool.call.arguments"]
     use_args = has(args) & filled(own).isNull()
@@ -235,7 +256,7 @@ def genai(t: Column, j: Column, said_events: Column) -> dict[str, Column]:
     taken = _taken(
         ("gen_ai.operation.name", op.isNotNull()), ("gen_ai.request.model", has("gen_ai.request.model")), ("gen_ai.response.model", has("gen_ai.response.model") & filled(asked_model).isNull()),
         *((k, has(k)) for k in ("gen_ai.tool.name", "gen_ai.agent.name", "gen_ai.tool.call.arguments", "gen_ai.tool.call.id")), *k1, *k2, *k3,
-        *((k, ~live & F.coalesce(ok, F.lit(False))) for k, ok in adk_keys), (args, use_args), (result, has(result)),
+        (ASK, ~live & F.col("ga_ask_ok")), (ANSWER, ~live & F.col("ga_answer_ok")), (args, use_args), (result, has(result)),
     )
     return _result(
         kind=kind, model_name=model, tool_name=t["gen_ai.tool.name"], agent_name=t["gen_ai.agent.name"], input_tokens=tin, output_tokens=tout, total_tokens=total,
@@ -296,26 +317,32 @@ def attributes(raw: DataFrame) -> DataFrame:
     events = F.filter(F.coalesce("events", F.array().cast(raw.schema["events"].dataType)), lambda e: F.coalesce(e["name"], F.lit("")).startswith("gen_ai."))
     df = raw.withColumns({"_own": keyed(F.col("attributes")), "_names": F.transform(events, lambda e: e["name"]), "_said": F.transform(events, lambda e: last(e["attributes"], "content")), "_service": F.array(last(F.col("resource_attributes"), "service.name"))})
     df = df.withColumn("_deep", unwrapped(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service")))
+    df = df.withColumn("_values", decoded_values(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service"), F.col("_deep")))
     n, m = F.size("_own"), F.size("_said")
-    df = df.withColumns({"_a": decoded(F.col("_own"), F.col("_deep")), "_texts": decoded_texts(F.col("_said"), F.col("_deep"), n), "service_name": decoded_texts(F.col("_service"), F.col("_deep"), n + m)[0]})
-    said = F.zip_with("_names", "_texts", lambda name, text: F.struct(name.alias("name"), text.alias("content")))
-    return df.select(*raw.columns, F.col("_a.text").alias("t"), F.col("_a.json").alias("j"), "service_name", said.alias("said"))
+    own = F.slice("_values", 1, n)
+    said = F.zip_with("_names", F.slice("_values", n + 1, m), lambda name, v: F.struct(name.alias("name"), v["text"].alias("content")))
+    return df.select(*raw.columns, computed_once(mapped(F.col("_own"), own, "text")).alias("t"), computed_once(mapped(F.col("_own"), own, "json")).alias("j"), F.element_at("_values", -1)["text"].alias("service_name"), said.alias("said"))
 
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Wide spans: the spans table's columns, ord, messages, documents and links."""
     df = attributes(raw).withColumn("convention", convention(F.col("t"), F.col("events")))
-    extracted, texts, final = _plan(SparkContext.getOrCreate().applicationId)
-    return df.withColumns(extracted).withColumns(texts).select(*final)
+    steps, final = _plan(SparkContext.getOrCreate().applicationId)
+    for columns in steps:
+        df = df.withColumns(columns)
+    return df.select(*final)
 
 
 @lru_cache(maxsize=2)
-def _plan(_application: str) -> tuple[dict, dict, list]:
+def _plan(_application: str) -> tuple[list[dict], list]:
     """The expressions of normalize, built once for a Spark application: they name columns, not a table."""
     t, j = F.col("t"), F.col("j")
-    by = {"openinference": openinference(t, j), "otel_genai": genai(t, j, F.col("said")), "vercel_ai": vercel(t, j), "mlflow": mlflow(t), "traceloop": traceloop(t)}
+    only = lambda name, columns: {c: F.when(F.col("convention") == name, e) for c, e in columns.items()}
+    found = only("openinference", openinference_found(t)) | only("otel_genai", genai_found(t, F.col("said")))
+    lists = only("openinference", openinference_lists()) | only("otel_genai", genai_lists())
+    by = {"openinference": openinference(t, j), "otel_genai": genai(t, j), "vercel_ai": vercel(t, j), "mlflow": mlflow(t), "traceloop": traceloop(t)}
     other = _result()
-    extracted = {f"x_{c}": reduce(lambda w, k: w.when(F.col("convention") == k, by[k][c]), by, F).otherwise(other[c]) for c in other}
+    extracted = {f"x_{c}": computed_once(reduce(lambda w, k: w.when(F.col("convention") == k, by[k][c]), by, F).otherwise(other[c])) for c in other}
     need_in, need_out = filled(F.col("x_input_text")).isNull() & F.map_contains_key(t, "input.value"), filled(F.col("x_output_text")).isNull() & F.map_contains_key(t, "output.value")
     texts = {"input_text": F.when(need_in, t["input.value"]).otherwise(F.col("x_input_text")), "output_text": F.when(need_out, t["output.value"]).otherwise(F.col("x_output_text"))}
     some = F.coalesce(filled(F.col("input_text")), filled(F.col("output_text"))).isNotNull()
@@ -329,4 +356,4 @@ def _plan(_application: str) -> tuple[dict, dict, list]:
         "service_name", "scope_name", "scope_version", session_id(t).alias("session_id"), *(F.col(f"x_{c}").alias(c) for c in kept), io.alias("io_format"), "input_text", "output_text",
         leftovers(j, taken).alias("raw_attributes_json"), F.col("x_messages").alias("messages"), F.col("x_documents").alias("documents"), links_of(F.col("links")).alias("links"),
     ]
-    return extracted, texts, final
+    return [found, lists, extracted, texts], final
