@@ -1,7 +1,7 @@
 """Connected components of a links table, by alternating large and small stars.
 
 No list of links or components reaches the driver: each round is two group-bys over the links,
-written to the shared folder; it ends when a round changes nothing.
+written to the shared folder; it ends when all that is left are stars around the least nodes.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .common import drop, saved
 
 
-def _mark(links: DataFrame):
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether each node either has one link to a lesser node, and none from a greater, or none to a lesser."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down + up > 1").limit(1).count()
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -21,20 +23,14 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     spark, path = links.sparkSession, None
     now = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u > v").distinct()
     now, path = saved(now, "links")
-    before = _mark(now)
-    while before[0]:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).filter("u > v").distinct()
         new, new_path = saved(small, "links")
-        after = _mark(new)
         drop(spark, path)
         now, path = new, new_path
-        if after == before:
-            break
-        before = after
     heads = now.groupBy("u").agg(F.min("v").alias("component"))
     return heads.withColumnRenamed("u", "node").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -219,7 +219,6 @@ def groups(df: DataFrame, size: int = 5, least: int = 80, of: int = 100, key: st
     wanted = classes.select("id")
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     # Two rows of one id with different texts are two classes under one id; each text is checked.
-    links = None
     for step in range(3):
         if step == 0:  # the least head that a class meets
             pairs = met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
@@ -235,9 +234,10 @@ def groups(df: DataFrame, size: int = 5, least: int = 80, of: int = 100, key: st
             else:
                 pairs = _across(inside.drop("head").join(classes.select("id", "n_shingles", "regs"), "id"), least / of - MARGIN).distinct()
         new, _ = saved(_confirmed(pairs, texts, size, least, of).distinct(), "links")
-        links = new if links is None else links.unionByName(new)
         if step == 0 or new.limit(1).count():
-            parts, _ = saved(components(links), "parts")
+            if step:  # the stars found so far, and the new links between them
+                new = new.unionByName(parts.filter("node != component").select(F.col("component").alias("u"), F.col("node").alias("v")))
+            parts, _ = saved(components(new), "parts")
     last = parts
     of_class = classes.select("s1", "s2", "n_shingles", F.col("id").alias("rep")).join(last.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
