@@ -76,8 +76,32 @@ def fit(x: np.ndarray, least: float, target: float = TARGET) -> tuple[tuple, int
     return books, min(visit, len(books[0]) * len(books[1]))
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node reached) that join the same nodes as the links (u, v), fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    head = np.arange(len(nodes))
+    while True:
+        low = np.minimum(head[a], head[b])
+        new = head.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, head[end], low)
+        new = new[new]
+        if (new == head).all():
+            break
+        head = new
+    far = np.flatnonzero(head != np.arange(len(nodes)))
+    return nodes[far], nodes[head[far]]
+
+
 def links(nodes: DataFrame, least: float) -> DataFrame:
-    """(u, v), u < v, of nodes (id, dim, vector) with cosine >= least."""
+    """What the nodes (id, dim, vector) with cosine >= least of each other have: rows (u, v, others).
+
+    With v, a link of a spanning forest of one block's links; without, a part of the number of
+    vectors linked with u, copies included. Linked pairs are counted where they meet, never listed:
+    a query counts whom it finds, and is counted by those who don't find it from their side.
+    """
     sample = nodes.orderBy(F.xxhash64("id")).limit(SAMPLE).collect()
     dims: dict[int, list] = {}
     for r in sample:
@@ -86,21 +110,21 @@ def links(nodes: DataFrame, least: float) -> DataFrame:
 
     def visits(batches):
         for batch in batches:
-            ids, size, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, size, copies, rows = (c.to_pylist() for c in batch.columns)
             out = []
             for d in set(size):
                 mine = [k for k in range(len(ids)) if size[k] == d]
                 x = _unit([rows[k] for k in mine])
                 if d not in plans:  # a length that the sample lacks: one cell
-                    out += [(d, 0, side, ids[k], rows[k]) for k in mine for side in (0, 1)]
+                    out += [(d, 0, side, ids[k], copies[k], [0], rows[k]) for k in mine for side in (0, 1)]
                     continue
                 books, n = plans[d]
                 for i in range(0, len(mine), 256):
                     a, b = distances(x[i : i + 256], books)
                     for k, p, q in zip(mine[i : i + 256], a, b, strict=True):
                         cells = traversal(p, q, n)
-                        out.append((d, cells[0], 0, ids[k], rows[k]))
-                        out += [(d, c, 1, ids[k], rows[k]) for c in cells]
+                        out.append((d, cells[0], 0, ids[k], copies[k], cells, rows[k]))
+                        out += [(d, c, 1, ids[k], copies[k], cells[:1], rows[k]) for c in cells]
                     while len(out) > 4096:
                         yield _batch(out[:4096])
                         out = out[4096:]
@@ -108,45 +132,63 @@ def links(nodes: DataFrame, least: float) -> DataFrame:
                 yield _batch(out)
 
     def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["dim", "cell", "side", "id", "vector"])
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["dim", "cell", "side", "id", "copies", "cells", "vector"])
 
     def meet(batches):
         last, held = None, ([], [])
 
         def flush():
-            (ids, x), (qs, y) = ((np.array([i for i, _ in h], np.int64), [v for _, v in h]) for h in held)
-            us, vs = [], []
+            (ids, many, visited, x), (qs, more, homes, y) = (tuple(zip(*h, strict=True)) if h else ((),) * 4 for h in held)
+            ids, qs, many, more = (np.array(z, np.int64) for z in (ids, qs, many, more))
+            heads = [np.zeros(0, np.int64)] * 2
+            sums = [np.zeros(len(qs), np.int64), np.zeros(len(ids), np.int64)]
             if len(ids) and len(qs):
-                x = np.array(x, float)
+                x, home = np.array(x, float), np.array([h[0] for h in homes])
                 nx = np.sqrt((x * x).sum(1))
+                finds = np.zeros((len(ids), 1 + max(max(home), max(max(c) for c in visited))), bool)  # cells that each listed node visits
+                for k, c in enumerate(visited):
+                    finds[k, c] = True
                 for i in range(0, len(qs), 512):
                     part = np.array(y[i : i + 512], float)
                     cos = (part @ x.T) / np.sqrt((part * part).sum(1))[:, None] / nx[None]
                     p, q = np.nonzero((cos >= least) & (qs[i : i + 512][:, None] != ids[None]))
-                    us.append(qs[i : i + 512][p])
-                    vs.append(ids[q])
-            us, vs = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-            got = np.unique(np.stack([np.minimum(us, vs), np.maximum(us, vs)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["u", "v"])
+                    p += i
+                    np.add.at(sums[0], p, many[q])
+                    blind = ~finds[q, home[p]]
+                    np.add.at(sums[1], q[blind], more[p[blind]])
+                    heads = list(forest(np.concatenate([heads[0], qs[p]]), np.concatenate([heads[1], ids[q]])))
+            some = [np.flatnonzero(s) for s in sums]
+            node = np.concatenate([heads[0], qs[some[0]], ids[some[1]]])
+            bare = np.arange(len(node)) >= len(heads[0])
+            ends = np.concatenate([heads[1], np.zeros(int(bare.sum()), np.int64)])
+            others = np.concatenate([np.zeros(len(heads[0]), np.int64), sums[0][some[0]], sums[1][some[1]]])
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(ends, mask=bare), pa.array(others)], ["u", "v", "others"])
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
-            for d, cell, part, side, node, vector in zip(*cols, strict=True):
-                if (d, cell, part) != last and last is not None:
+            for d, cell, part, seat, side, *row in zip(*cols, strict=True):
+                if (d, cell, part, seat) != last and last is not None:
                     yield flush()
                     held = ([], [])
-                last = (d, cell, part)
-                held[side].append((node, vector))
+                last = (d, cell, part, seat)
+                held[side].append(row)
         if last is not None:
             yield flush()
 
-    made, _ = saved(nodes.select("id", "dim", "vector").mapInArrow(visits, "dim int, cell int, side int, id long, vector array<double>"), "visits")
-    # A full cell is dealt into parts; each part meets all who visit the cell.
-    parts = made.filter("side = 0").groupBy("dim", "cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    schema = "dim int, cell int, side int, id long, copies long, cells array<int>, vector array<double>"
+    made, _ = saved(nodes.select("id", "dim", "copies", "vector").mapInArrow(visits, schema), "visits")
+    # A full cell is dealt into parts, and its visitors into seats; each part meets each seat in a block of its own.
+    full = lambda side: F.greatest(F.ceil(F.count_if(F.col("side") == side) / PART), F.lit(1)).cast("int")
+    parts = made.groupBy("dim", "cell").agg(full(0).alias("parts"), full(1).alias("seats"), F.min("side").alias("first")).filter("first = 0").drop("first")
     dealt = made.join(parts, ["dim", "cell"])
-    own = F.when(F.col("side") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.select("dim", "cell", F.explode(own).alias("part"), "side", "id", "vector")
-    return dealt.repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part").mapInArrow(meet, "u long, v long").distinct()
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("side") == 0, own("parts")).otherwise(every("parts"))))
+    dealt = dealt.withColumn("seat", F.explode(F.when(F.col("side") == 1, own("seats")).otherwise(every("seats"))))
+    block = ["dim", "cell", "part", "seat"]
+    dealt = dealt.select(*block, "side", "id", "copies", "cells", "vector")
+    return dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(meet, "u long, v long, others long")
 
 
 def groups(df: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -158,9 +200,8 @@ def groups(df: DataFrame, least: float = 0.95, key: str = "vec_id", vector: str
     nodes = rows.filter("good").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vector"))
     nodes, _ = saved(nodes, "nodes")
     found, _ = saved(links(nodes, least), "links")
-    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    many = both.join(nodes.select(F.col("id").alias("v"), "copies"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("others"))
-    heads = components(found).withColumnRenamed("node", "id")
+    many = found.filter("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("others").alias("others"))
+    heads = components(found.filter("v is not null")).withColumnRenamed("node", "id")
     full = nodes.join(many, "id", "left").join(heads, "id", "left").select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
     out = rows.join(full, "vector", "left")
     component = F.coalesce("c", "id")
