@@ -94,3 +94,17 @@ def test_components(spark):
     alone = {n for n in parent if all(a == b for a, b in links if n in (a, b))}
     assert got == {n: find(n) for n in parent if n not in alone}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("least", [80])
+def test_short_pairs_at_the_threshold(spark, least):
+    """Pairs of 4 and 5 shingles whose bands are headed by their own openings, which are unlike them."""
+    rows, want = [], {}
+    for base in range(120):
+        w = [f"w{base}x{k}" for k in range(9)]
+        heads = [w[i : i + n] for n in (5, 6, 7) for i in range(9 - n)]
+        for k, words in enumerate([*heads, w[:8], w]):
+            rows.append((100 * k + 10_000 * base, " ".join(words)))
+        want[rows[-1][0]] = rows[-2][0]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, least, 100).collect()}
+    assert got == {k: want.get(k, k) for k, _ in rows}
