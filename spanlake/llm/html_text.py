@@ -2,11 +2,15 @@
 
 A token is a tag under its path of tags, or a text under its path. Its occurrence vector over a
 host's pages is kept as sums of a hash of (page, count), so vectors are compared without
-gathering a host's pages anywhere: tokens of one host with equal sums form a class. Frequent
-classes (on more than half of a host's pages, and on three at least) nest into the host's
-template; what varies between its tokens are slots. A page's slots under an article or main
-element are its text; a page without one gives the slots outside boilerplate whose text is not
-itself a template token. Elements that are menus, headers, footers, sidebars, notices, adverts,
+gathering a host's pages anywhere: tokens of one host with equal sums form a class, if they are two
+at least. Tokens of a class are in the order of the sums of their first places, which is their order
+on the pages if they have one. A frequent class (on more than half of a host's pages, and on three at
+least) is valid on a page where its tokens come in that order, again and again, and where each round
+of them lies in one slot of every valid class that is on more pages or comes less often; so classes nest into the
+host's template. What lies between their tokens are slots. The texts of valid classes around
+slots that hold a text of the page's own are template and are dropped; a text that is frequent by itself is not.
+What is left is labelled by its elements: slots under an article or main element are the page's text, or all slots
+on a page without one. Elements that are menus, headers, footers, sidebars, notices, adverts,
 forms or comments by their tag, class, id or role are no part of a slot.
 
 Rows: null html is empty text; a null url is the empty host; repeated rows count as pages of
@@ -17,9 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +54,17 @@ def _boiler(name: str, tag: str, in_article: bool) -> bool:
 
 
 def parse(html: str) -> tuple[list, list]:
-    """Tokens (path, what) of a page, and its slots: (block, in an article, boilerplate, path, text)."""
+    """Tokens (path, what) of a page, and its slots: (block, in an article, boilerplate, number of the text's token or -1, text)."""
     tokens, slots, path = [], [], []
     block, article, skip, depth = 0, 0, "", 0
     for m in _TOKEN.finditer(html):
         t = m[0]
         if t[0] != "<" or t == "<":
             if t.strip():
-                where = "/".join(path)
-                tokens.append((where, t.strip()))
-                slots.append((block, article > 0, bool(skip), where, t))
+                slots.append((block, article > 0, bool(skip), len(tokens), t))
+                tokens.append(("/".join(path), t.strip()))
             elif slots:
-                slots.append((block, article > 0, bool(skip), "", t))
+                slots.append((block, article > 0, bool(skip), -1, t))
             continue
         if t[1] in "!?" or m[1]:
             continue
@@ -69,7 +72,7 @@ def parse(html: str) -> tuple[list, list]:
         if name in BLOCK:
             block += 1
         elif name == "br":
-            slots.append((block, article > 0, bool(skip), "", " "))
+            slots.append((block, article > 0, bool(skip), -1, " "))
         if t[1] == "/":
             tokens.append(("/".join(path), t[:2] + name))
             if name in path:
@@ -100,18 +103,49 @@ def parse(html: str) -> tuple[list, list]:
 
 
 def _key(path: str, what: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{path}\0{what}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{what}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def places(template: list) -> dict:
+    """Of a template's classes, in their order: token to (class, place in it, tokens of it)."""
+    return {t: (k, i, len(own)) for k, own in enumerate(template) for i, t in enumerate(own)}
+
+
+def fixed(tokens: list, slots: list, known: dict) -> set:
+    """Numbers of the page's texts that are template: of valid classes around slots with a text of the page's own."""
+    if not known:
+        return set()
+    found = [known.get(_key(*t)) for t in tokens]
+    texts = [s[3] for s in slots if s[3] >= 0]
+    own = [k for k in texts if found[k] is None]
+    rounds: dict[int, list] = {}
+    for k, x in enumerate(found):
+        if x:
+            rounds.setdefault(x[0], []).append(k)
+    valid: list[list] = []
+    out: set = set()
+    for c in sorted(rounds):
+        at = rounds[c]
+        size = found[at[0]][2]
+        if len(at) % size or any(found[k][1] != i % size for i, k in enumerate(at)):
+            continue
+        ends = [(at[i], at[i + size - 1]) for i in range(0, len(at), size)]
+        if any(bisect(v, a) != bisect(v, b) for v in valid for a, b in ends):
+            continue
+        valid.append(at)
+        if any(bisect(own, a) != bisect(own, b) for a, b in ends):
+            out.update(at)
+    return out.intersection(texts)
 
 
-def main_text(html: str, template: frozenset) -> str:
-    """Blocks of the page's content slots, in order."""
-    _, slots = parse(html)
+def main_text(html: str, template) -> str:
+    """Blocks of the page's content slots, in order; template as of ``places``."""
+    tokens, slots = parse(html)
+    gone = fixed(tokens, slots, template)
     inside = any(s[1] and not s[2] and s[4].strip() for s in slots)
     blocks: dict[int, list] = {}
-    for block, article, skip, path, text in slots:
-        if skip or inside and not article:
-            continue
-        if not inside and path and _key(path, text.strip()) in template:
+    for block, article, skip, at, text in slots:
+        if skip or inside and not article or at in gone:
             continue
         blocks.setdefault(block, []).append(text)
     lines = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
@@ -122,30 +156,30 @@ def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
+SUMS = ("pages", "total", "m1", "m2", "at")
+
+
 def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, m1, m2): a token's occurrence vector as sums; token 0 counts a host's pages."""
+    """(host, token, pages, total, m1, m2, at): a token's occurrence vector and first places as sums; token 0 counts a host's pages."""
 
     def run(batches):
         held: dict = {}
 
         def flush():
             rows = [(h, t, *map(int, v)) for (h, t), v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 5), strict=True)], ["host", "token", "pages", "total", "m1", "m2"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 6), strict=True)], ["host", "token", *SUMS])
 
         for batch in batches:
             for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count = {0: 1}
-                for path, what in parse(html or "")[0]:
-                    k = _key(path, what) or 1
-                    count[k] = count.get(k, 0) + 1
-                for k, n in count.items():
+                count = {0: [1, 0]}
+                for at, (path, what) in enumerate(parse(html or "")[0]):
+                    count.setdefault(_key(path, what), [0, at])[0] += 1
+                for k, (n, at) in count.items():
                     mark = ((page + n * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
                     mark = ((mark ^ (mark >> 31)) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-                    v = held.setdefault((host, k), [0, 0, 0, 0])
-                    v[0] += 1
-                    v[1] += n
-                    v[2] += mark >> 34
-                    v[3] += mark & 0x3FFFFFFF
+                    v = held.setdefault((host, k), [0, 0, 0, 0, 0])
+                    for i, x in enumerate((1, n, mark >> 34, mark & 0x3FFFFFFF, at)):
+                        v[i] += x
                 if len(held) > FLUSH:
                     yield flush()
                     held = {}
@@ -153,34 +187,33 @@ def vectors(pages: DataFrame) -> DataFrame:
             yield flush()
 
     df = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    got = df.mapInArrow(run, "host string, token long, pages long, total long, m1 long, m2 long")
-    return got.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "m1", "m2")))
+    got = df.mapInArrow(run, "host string, token long, " + ", ".join(f"{c} long" for c in SUMS))
+    return got.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): tokens of the host's frequent classes; at most as many as a page has tokens, twice over."""
+    """(host, template): the host's frequent classes, those on most pages and rarest there first, each with its tokens in order."""
     v = vectors(pages)
     size = v.filter("token = 0").select("host", F.col("pages").alias("all"))
     frequent = v.filter("token != 0 and pages >= 3").join(size, "host").filter("2 * pages > all")
-    classes = frequent.groupBy("host", "pages", "total", "m1", "m2").agg(F.collect_list("token").alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    classes = frequent.groupBy("host", "pages", "total", "m1", "m2").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).getField("token").alias("tokens")).filter("size(tokens) > 1")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("rank"), "total", "m1", "m2", "tokens")))
+    return classes.groupBy("host").agg(ranked.getField("tokens").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     kinds = dict(pages.dtypes)
-    df = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(templates(pages), "host", "left").drop("host")
+    df = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(templates(pages), "host", "left").select("page_id", "url", "html", "template", "host")
 
     def run(batches):
-        last, known = None, frozenset()
+        last, known = None, {}
         for batch in batches:
-            html, template = batch.column(2).to_pylist(), batch.column(3)
+            html, template, host = batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()
             texts = []
             for k, page in enumerate(html):
-                cell = template[k]
-                raw = cell.values.to_numpy().tobytes() if cell.is_valid else b""
-                if raw != last:
-                    last, known = raw, frozenset(np.frombuffer(raw, np.int64).tolist())
+                if host[k] != last:
+                    last, known = host[k], places(template[k].as_py() or [])
                 texts.append(main_text(page or "", known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

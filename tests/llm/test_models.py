@@ -30,6 +30,28 @@ def test_pages_without_article_use_the_template(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def html_texts(spark, bodies):
+    rows = [(k, f"http://h.example/{k}", f"<body>{b}</body>") for k, b in enumerate(bodies)]
+    return [r.text for r in sorted(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_inside_an_article_is_dropped(spark):
+    got = html_texts(spark, [f"<article><h1>Own {k}</h1><p>Text {k} {k}</p><div>Thanks for reading</div></article>" for k in range(5)])
+    assert got == [f"Own {k}\nText {k} {k}" for k in range(5)]
+
+
+def test_a_heading_alone_is_no_template(spark):
+    got = html_texts(spark, [f"<div>Top</div><h2>{'Shared' if k < 4 else 'Other'}</h2><p>Text {k} {k}</p><div>End</div>" for k in range(5)])
+    assert got == [f"{'Shared' if k < 4 else 'Other'}\nText {k} {k}" for k in range(5)]
+
+
+def test_tokens_out_of_order_are_no_template():
+    page = lambda a, b: f"<body><i>{a}</i><p>own</p><u>{b}</u></body>"
+    key = [html_text._key("body/i", "one"), html_text._key("body/u", "two")]
+    assert html_text.main_text(page("one", "two"), html_text.places([key])) == "own"
+    assert html_text.main_text(page("one", "two"), html_text.places([key[::-1]])) == "one\nown\ntwo"
+
+
 def test_forward_equals_all_paths():
     rng = np.random.default_rng(0)
     model = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(4), 2))
