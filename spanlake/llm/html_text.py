@@ -13,8 +13,8 @@ What is left is labelled by its elements: slots under an article or main element
 on a page without one. Elements that are menus, headers, footers, sidebars, notices, adverts,
 forms or comments by their tag, class, id or role are no part of a slot.
 
-Rows: null html is empty text; a null url is the empty host; repeated rows count as pages of
-their own; an empty table gives no rows; other columns don't pass through.
+Rows: null html is empty text; a null url is the empty host; pages of a
+host with the same html count once in its template, and each has its text; an empty table gives no rows; other columns don't pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 FLUSH = 200_000
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(script|style|noscript|template|svg|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -160,24 +162,27 @@ SUMS = ("pages", "total", "m1", "m2", "at")
 
 
 def vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, pages, total, m1, m2, at): a token's occurrence vector and first places as sums; token 0 counts a host's pages."""
+    """(host, token, pages, total, m1, m2, at): a token's occurrence vector and first places as sums; token 0 counts a host's pages. Copies of a page count once."""
 
     def run(batches):
         held: dict = {}
 
         def flush():
-            rows = [(h, t, *map(int, v)) for (h, t), v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 6), strict=True)], ["host", "token", *SUMS])
+            rows = [(h, t, c, *map(int, v)) for (h, t, c), v in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 7), strict=True)], ["host", "token", "copy", *SUMS])
 
         for batch in batches:
-            for host, page, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, page, html, copied in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                copy = page if copied else 0
+                if copied and (host, 0, copy) in held:
+                    continue
                 count = {0: [1, 0]}
                 for at, (path, what) in enumerate(parse(html or "")[0]):
                     count.setdefault(_key(path, what), [0, at])[0] += 1
                 for k, (n, at) in count.items():
                     mark = ((page + n * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
                     mark = ((mark ^ (mark >> 31)) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-                    v = held.setdefault((host, k), [0, 0, 0, 0, 0])
+                    v = held.setdefault((host, k, copy), [0, 0, 0, 0, 0])
                     for i, x in enumerate((1, n, mark >> 34, mark & 0x3FFFFFFF, at)):
                         v[i] += x
                 if len(held) > FLUSH:
@@ -186,9 +191,13 @@ def vectors(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    df = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    got = df.mapInArrow(run, "host string, token long, " + ", ".join(f"{c} long" for c in SUMS))
-    return got.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in SUMS))
+    df = pages.select(_host(F.col("url")).alias("host"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("page"), "html")
+    # Only copied pages are told apart in the sums' key; both sums take one exchange.
+    copied, _ = saved(df.groupBy("host", "page").agg(F.count("*").alias("n")).filter("n > 1").select("host", "page", F.lit(True).alias("copied")), "copied")
+    df = df.join(copied, ["host", "page"], "left").select("host", "page", "html", "copied")
+    got = df.mapInArrow(run, "host string, token long, copy long, " + ", ".join(f"{c} long" for c in SUMS))
+    once = got.repartition("host", "token").groupBy("host", "token", "copy").agg(*(F.when(F.col("copy") == 0, F.sum(c)).otherwise(F.max(c)).alias(c) for c in SUMS))
+    return once.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -45,6 +45,12 @@ def test_a_heading_alone_is_no_template(spark):
     assert got == [f"{'Shared' if k < 4 else 'Other'}\nText {k} {k}" for k in range(5)]
 
 
+def test_copies_of_a_page_count_once(spark):
+    kinds = [0, 0, 0, 0, 1, 2]
+    got = html_texts(spark, [f"<div>Top</div><h2>Head {k}</h2><p>Text {k} {k}</p><div>End</div>" for k in kinds])
+    assert got == [f"Head {k}\nText {k} {k}" for k in kinds]
+
+
 def test_tokens_out_of_order_are_no_template():
     page = lambda a, b: f"<body><i>{a}</i><p>own</p><u>{b}</u></body>"
     key = [html_text._key("body/i", "one"), html_text._key("body/u", "two")]
