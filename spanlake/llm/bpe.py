@@ -15,7 +15,7 @@ import json
 import numpy as np
 import regex
 
-from .common import Rolling, quiet_tokenizers
+from .common import Ranges, quiet_tokenizers
 
 # Fixed value: the pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -201,7 +201,7 @@ class Bpe:
         ends = np.append(starts[1:], len(data))
         keep = ~odd[rows]
         starts, ends, rows = starts[keep], ends[keep], rows[keep]
-        hashes, first, inverse = np.unique(Rolling(data).of(starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(Ranges(data).of(starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) > TABLE_ROWS:
             self.forget()
         at = np.searchsorted(self.hashes, hashes)

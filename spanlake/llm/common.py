@@ -1,4 +1,4 @@
-"""Shared helpers: the shared work folder, text buffers, rolling hashes."""
+"""Shared helpers: the shared work folder, text buffers, hashes of byte ranges, groups of rows."""
 
 from __future__ import annotations
 
@@ -11,23 +11,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOCK_BYTES = 1 << 21  # bytes of text that one numpy step works on
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one of our own if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder and read it back; cuts the lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back; cuts the lineage and survives lost executors.
+
+    The write's shuffle files go once it has ended: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -86,11 +97,10 @@ def text_blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-# Rolling polynomial hashes modulo 2^64 over a seeded table of byte values, with a final mix.
+# Hashes of byte ranges: eight bytes at a time, each mixed with its place; no sum of powers, so periodic texts don't cancel out.
 _U = np.uint64
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_TABLES = tuple(np.random.Generator(np.random.PCG64(7 + k)).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1) for k in range(2))
+_K = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xD1B54A32D192ED03))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -107,29 +117,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        base = _BASES[which]
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if n <= 4 * BLOCK_BYTES:
-            _POWERS[which] = have
-    return have
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros beyond the end; one more for the end itself."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).copy()
+
 
+class Ranges:
+    """Hashes of any byte ranges of one buffer; ``which`` picks one of two independent hashes."""
 
-class Rolling:
-    """Hashes of any byte ranges of one buffer."""
+    def __init__(self, data: np.ndarray):
+        self.eights = _eights(data)
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        up, self.down = _powers(len(data), which)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLES[which][data] * up[: len(data)], out=self.sums[1:])
+    def of(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        size = ends - starts
+        many = np.maximum((size + 7) >> 3, 1)
+        stops = np.cumsum(many)
+        place = np.arange(int(stops[-1])) - np.repeat(stops - many, many)
+        got = self.eights[np.repeat(starts, many) + 8 * place]
+        got[stops - 1] &= _MASKS[size - 8 * (many - 1)]
+        got ^= (place.astype(np.uint64) + _U(1 + (which << 40))) * _K[which]
+        return mix(np.add.reduceat(mix(got), stops - many) + size.astype(np.uint64) * _K[2])
 
-    def of(self, starts, ends) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+def windows(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from each place on, by joining hashes of shorter windows."""
+    n = len(data) - width + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    eights, have = _eights(data)[:-1], min(width, 8)
+    out = mix((eights[: len(data) - have + 1] & _MASKS[have]) ^ _K[0])
+    while have < width:
+        step = min(have, width - have)
+        out = mix(out[:-step] * _K[1] + out[step:])
+        have += step
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,3 +176,37 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z; every other byte stays."""
     return _FOLD[data]
+
+
+def spots(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begin, begin + 1, ... of runs of the given sizes, one run after another."""
+    stops = np.cumsum(sizes)
+    return np.repeat(begins - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+def grouped(batches, keys: int):
+    """One table for each run of rows with equal leading keys (integers without nulls)."""
+    held: list = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), n]
+        if held and (marks[:, 0] != last).any():
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(a, b - a))
+            if b < n:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+        last = marks[:, -1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def parts(spark: SparkSession) -> int:
+    """Partitions for a shuffle into Python: fixed, as a stage that computes much on few bytes mustn't be coalesced by bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,18 +5,24 @@ other than 0x20 and 0x09-0x0D). The leading bits of a shingle's hash pick a buck
 register keeps the least of the rest in compressed form, a count of leading zeros and the next
 mantissa bits. Empty registers borrow from the next full one.
 
-Equal sets form one class at once. Classes whose registers agree on a band meet. Each class is
-checked, on whole sets, against the least of its bands' heads; then, in bands whose classes still
-fall into several components, against the band's head; and where that is still so, every pair across
-components is compared, in blocks: on whole sets if both have at most SHORT shingles (few shingles
-fill few registers, and the estimate strays far), else by the collision-corrected Jaccard estimate,
-and those that come near the threshold are checked. Pairs that no band
-unites would be missed, and of pairs with over SHORT shingles those whose estimate falls below the
-floor: simulated at the threshold, none of 40,000 pairs with a union of 257, of 8,000 with 300 to 800.
+Equal sets form one class at once. Classes whose registers agree on a band meet, and are tried
+against each other there: sets of at most SHORT shingles whole, by half hashes (few shingles fill
+few registers, and the estimate strays far), others by the collision-corrected estimate, whose
+floor lies MARGIN below the threshold. Those that come near are candidates; a band of over MEET
+classes is all candidates. Candidates that hang together form a cluster. A cluster's texts are
+brought together once, and compared on whole sets of 64-bit hashes, but for pairs that are joined
+already; a large cluster is dealt into parts, each with the cluster's head, and then the few that
+the parts leave outside their cluster's main component meet every part. No list of pairs is made:
+what leaves a comparison are links that join the same rows as all the links found there.
+
+A pair that no band unites would be missed, as would a pair of over SHORT shingles whose estimate
+falls below the floor: simulated at the threshold, none of 40,000 pairs with a union of 257, of
+8,000 with 300 to 800.
 
 Rows: null, empty or blank text has an empty set and links with nothing; fewer words than
 ``size`` are one shingle of all; a null id links with nothing, is in no component and is kept;
-rows of equal id and text are one node; an empty table gives no rows.
+rows of equal id are one node; texts of any length are one set; an empty table gives no rows;
+other columns don't pass through, so their names are no matter. Of ties the least id stays.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, lower, mix, saved, text_blocks, utf8, words
+from .common import Ranges, drop, grouped, lower, mix, parts, saved, spots, text_blocks, utf8, words
 from .components import components
 
 BUCKETS, MANTISSA, BAND = 128, 11, 4
 SHORT = 256  # shingles of sets that are compared whole, without the estimate
 MARGIN = 0.15  # below the threshold, in the estimate of pairs with a longer set
-MEET = 2048  # classes of a band that are compared at once
+MEET = 2048  # classes of a band that are tried against each other
+PART, WEIGHT = 1024, 1 << 21  # texts, and shingles, of a cluster that are compared at once
 _U = np.uint64
 _K = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
@@ -43,7 +50,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     starts, ends, row = words(data, offs)
     if not len(row):
         return row, np.zeros(0, np.uint64)
-    h = Rolling(data).of(starts, ends)
+    h = Ranges(data).of(starts, ends)
     counts = np.bincount(row, minlength=len(offs) - 1)
     first = np.cumsum(counts) - counts
     place = np.arange(len(row)) - first[row]
@@ -136,153 +143,177 @@ def sketches(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
+    """(id, band, long): a row for each band of each class."""
+
     def run(batches):
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             keys = band_keys(regs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel().view(np.int64))], ["id", "band"])
+            many = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(zero_copy_only=False), many))], ["id", "band", "long"])
 
-    return reps.select("id", "regs").mapInArrow(run, "id long, band long")
+    return reps.select("id", "regs", F.col("short").isNull().alias("long")).mapInArrow(run, "id long, band long, long boolean")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, least: int, of: int) -> DataFrame:
-    """Of pairs (u, v), those with of * intersection >= least * union, on whole sets."""
+class Sets:
+    """Sets of hashes, and the sizes of their intersections."""
 
-    def run(batches):
-        held: tuple = (None, None)
-        for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, lo = utf8(batch.column(2))
-            right, ro = utf8(batch.column(3))
-            good = []
-            for k, u in enumerate(us):
-                if held[0] != u:
-                    held = (u, shingles(left[lo[k] : lo[k + 1]], np.array([0, lo[k + 1] - lo[k]]), size)[1])
-                a, b = held[1], shingles(right[ro[k] : ro[k + 1]], np.array([0, ro[k + 1] - ro[k]]), size)[1]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if both and of * both >= least * (len(a) + len(b) - both):
-                    good.append(k)
-            if good:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good))], ["u", "v"])
-
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv")
-    return both.mapInArrow(run, "u long, v long")
-
-
-def _alike(sets: list, counts: np.ndarray, one: np.ndarray, two: np.ndarray, least: int, of: int):
-    """For each of one, those of two that reach the threshold by their half hashes: no pair that does is left out."""
-    if not len(one) or not len(two):
-        return
-    kinds, codes = np.unique(np.frombuffer(b"".join(x or b"" for x in sets), np.uint32), return_inverse=True)
-    size = np.array([len(x or b"") // 4 for x in sets])
-    begin = np.cumsum(size) - size
-    two = two[np.argsort(counts[two], kind="stable")]
-    flat = np.concatenate([codes[begin[k] : begin[k] + size[k]] for k in two.tolist()])
-    stops = np.concatenate([[0], np.cumsum(size[two])])
-    mark = np.zeros(len(kinds), bool)
-    for k in one.tolist():
-        n = int(counts[k])
-        i, j = np.searchsorted(counts[two], -(-n * least // of)), np.searchsorted(counts[two], n * of // least, "right")
-        if i >= j:
-            continue
-        own = codes[begin[k] : begin[k] + size[k]]
-        mark[own] = True
-        both = np.add.reduceat(mark[flat[stops[i] : stops[j]]].astype(np.int64), stops[i:j] - stops[i])
-        mark[own] = False
-        good = of * both >= least * (n + counts[two[i:j]] - both)
-        if good.any():
-            yield k, two[i:j][good]
-
-
-def _across(members: DataFrame, least: int, of: int) -> DataFrame:
-    """Pairs of different components within a band and block pair: short sets that are alike, others whose estimate comes near the threshold."""
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+        kinds, self.codes = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(kinds), bool)
+
+    def both(self, one: int, others: np.ndarray) -> np.ndarray:
+        own = self.codes[self.begins[one] : self.begins[one] + self.sizes[one]]
+        self.mark[own] = True
+        lens = self.sizes[others]
+        hits = self.mark[self.codes[spots(self.begins[others], lens)]]
+        self.mark[own] = False
+        return np.add.reduceat(hits, np.cumsum(lens) - lens, dtype=np.int64)
+
+
+def unite(counts: np.ndarray, labels: np.ndarray, alike, least: int, of: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that join whatever all pairs that are ``alike`` (one row, others) join.
+
+    Rows of one label are joined already and aren't tried; nor are sets too unlike in size, nor, with sides, rows of one side.
+    """
+    order = np.argsort(counts, kind="stable")
+    size, label = counts[order], np.unique(labels[order], return_inverse=True)[1]
+    stops = np.searchsorted(size, size * of // least, "right")
+    us, vs = [], []
+    for k in range(len(order)):
+        far = label[k + 1 : stops[k]] != label[k]
+        if sides is not None:
+            far &= sides[order[k + 1 : stops[k]]] != sides[order[k]]
+        y = np.flatnonzero(far) + k + 1
+        if len(y):
+            y = y[alike(order[k], order[y])]
+        if len(y):
+            new, first = np.unique(label[y], return_index=True)
+            us.append(np.full(len(new), order[k]))
+            vs.append(order[y[first]])
+            label[np.isin(label, new)] = label[k]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def _links(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[u], ids[v])), pa.array(np.maximum(ids[u], ids[v]))], ["u", "v"])
+
+
+def _candidates(members: DataFrame, least: int, of: int) -> DataFrame:
+    """Links between the classes of each band (band, id, n_shingles, regs or null, short or null) that come near the threshold."""
 
     def run(batches):
-        held: dict[str, list] = {}
-        last = None
-
-        def flush():
-            a = [np.array(held[k]) for k in ("id", "component", "n_shingles", "side")]
-            regs = np.frombuffer(b"".join(held["regs"]), np.uint16).reshape(-1, BUCKETS)
-            us, vs = [], []
-            whole = np.array([x is not None for x in held["short"]])
-            one, two = np.flatnonzero(a[3] != 1), np.flatnonzero(a[3] != 0)
-            wanted = lambda x, y: (a[1][x] != a[1][y]) & ((a[3][x] != a[3][y]) | (a[0][x] < a[0][y]))
-            for k, y in _alike(held["short"], a[2], one[whole[one]], two[whole[two]], least, of):
-                y = y[wanted(k, y)]
-                us.append(np.full(len(y), a[0][k]))
-                vs.append(a[0][y])
-            for x_of, y_of in ((one[~whole[one]], two), (one[whole[one]], two[~whole[two]])):
-                for i in range(0, len(x_of) if len(y_of) else 0, 256):
-                    x = x_of[i : i + 256]
-                    nx, ny = a[2][x][:, None], a[2][y_of][None, :]
-                    near = (of * np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & wanted(x[:, None], y_of[None, :])
-                    some = near.any(axis=0)
-                    if not some.any():
-                        continue
-                    y = y_of[some]
-                    p, q = np.nonzero(near[:, some] & (estimate(regs[x], regs[y], a[2][x], a[2][y]) >= least / of - MARGIN))
-                    us.append(a[0][x][p])
-                    vs.append(a[0][y][q])
-            us, vs = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(us, vs), pa.int64()), pa.array(np.maximum(us, vs), pa.int64())], ["u", "v"])
+        for rows in grouped(batches, 1):
+            ids, counts = rows["id"].to_numpy(), rows["n_shingles"].to_numpy()
+            raw = rows["short"].to_pylist()
+            short = Sets(np.frombuffer(b"".join(x or b"" for x in raw), np.uint32), np.array([len(x or b"") // 4 for x in raw]))
+            whole = short.sizes > 0
+            regs = np.zeros((len(ids), 0), np.uint16) if whole.all() else np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+            def alike(k, y):
+                good = np.zeros(len(y), bool)
+                by_set = whole[y] & whole[k]
+                if by_set.any():
+                    z = y[by_set]
+                    both = short.both(k, z)
+                    good[by_set] = of * both >= least * (counts[k] + counts[z] - both)
+                if not by_set.all():
+                    z = y[~by_set]
+                    good[~by_set] = estimate(regs[k : k + 1], regs[z], counts[k : k + 1], counts[z])[0] >= least / of - MARGIN
+                return good
+
+            u, v = unite(counts, ids, alike, least, of)
+            if len(u):
+                yield _links(ids, u, v)
+
+    return members.repartition(parts(members.sparkSession), "band").sortWithinPartitions("band").mapInArrow(run, "u long, v long")
+
+
+def _verified(dealt: DataFrame, size: int, least: int, of: int) -> DataFrame:
+    """Links, on whole sets, within the rows (cluster, part, seat, id, label, side, text) of each block; side is null where all rows meet."""
 
-        for batch in batches:
-            cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-            for k, mark in enumerate(zip(cols["band"], cols["block"], strict=True)):
-                if mark != last and last is not None:
-                    yield flush()
-                    held = {}
-                last = mark
-                for n in ("id", "component", "n_shingles", "side", "regs", "short"):
-                    held.setdefault(n, []).append(cols[n][k])
-        if last is not None:
-            yield flush()
-
-    # Members of a band are dealt into parts of about MEET; each pair of parts is a block of its own.
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"))
-    dealt = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    dealt = dealt.select("band", (low * F.col("parts") + high).alias("block"), "id", "component", "n_shingles", "regs", "short", F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
-    return dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(run, "u long, v long")
+    def run(batches):
+        for rows in grouped(batches, 3):
+            data, offs = utf8(rows["text"])
+            row, sets = shingles(data, offs, size)
+            counts = np.bincount(row, minlength=len(offs) - 1)
+            whole, ids = Sets(sets, counts), rows["id"].to_numpy()
+
+            def alike(k, y):
+                if not counts[k]:
+                    return np.zeros(len(y), bool)
+                both = whole.both(k, y)
+                return of * both >= least * (counts[k] + counts[y] - both)
+
+            sides = None if rows["side"].null_count else rows["side"].to_numpy()
+            u, v = unite(counts, rows["label"].to_numpy(), alike, least, of, sides)
+            if len(u):
+                yield _links(ids, u, v)
+
+    block = ["cluster", "part", "seat"]
+    dealt = dealt.select(*block, "id", "label", "side", "text")
+    return dealt.repartition(parts(dealt.sparkSession), *block).sortWithinPartitions(*block).mapInArrow(run, "u long, v long")
+
+
+def _clusters(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, cluster, parts): classes with a candidate, dealt into parts by their number and their shingles."""
+    nodes = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    sized = nodes.join(classes.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id")
+    full = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+    return sized.join(sized.groupBy("cluster").agg(full.alias("parts")), "cluster").select("id", "cluster", "parts")
+
+
+def _linked(texts: DataFrame, nodes: DataFrame, size: int, least: int, of: int) -> DataFrame:
+    """Links that join the texts (id, text) of each cluster as all their links do."""
+    spark = texts.sparkSession
+    none, every = F.lit(None).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, seed=0: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    # A row that is listed again and again under one id and text is compared once.
+    once = lambda rows: rows.join(texts, "id").groupBy(*rows.columns, F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    at = F.when(F.col("id") == F.col("cluster"), every("parts")).otherwise(F.array(own("parts")))
+    first = once(nodes).withColumn("part", F.explode(at)).withColumns({"seat": F.lit(0), "label": F.col("id"), "side": none})
+    links, first_path = saved(_verified(first, size, least, of), "links")
+    large = nodes.filter("parts > 1")
+    if not large.limit(1).count():
+        return links
+    # Those outside their cluster's main component meet every part of it.
+    found, path = saved(components(links), "parts")
+    known = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    main = known.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    known = known.join(main, "cluster").withColumn("left", F.col("label") != F.col("main")).drop("main")
+    seats = known.filter("left").groupBy("cluster").agg(F.ceil(F.count("*") / PART).cast("int").alias("seats"))
+    known, known_path = saved(known.join(seats, "cluster"), "known")
+    if known.limit(1).count():
+        full = once(known)
+        here = full.withColumns({"part": own("parts"), "side": F.lit(0)}).withColumn("seat", F.explode(every("seats")))
+        there = full.filter("left").withColumns({"seat": own("seats", 1), "side": F.lit(1)}).withColumn("part", F.explode(every("parts")))
+        more, _ = saved(_verified(here.unionByName(there), size, least, of), "links")
+        links = links.unionByName(more)
+    drop(spark, path, known_path)
+    return links
 
 
 def groups(df: DataFrame, size: int = 5, least: int = 80, of: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, n_shingles, component_id (least id reachable by links) and kept (id = component_id)."""
+    spark = df.sparkSession
     made, _ = saved(sketches(df, size, key, text), "sketches")
     full = made.filter("n_shingles > 0 and id is not null")
-    classes, _ = saved(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("short").alias("short"), F.count("*").alias("copies")), "classes")
-    bands, _ = saved(_bands(classes), "bands")
-    heads = bands.groupBy("band").agg(F.min("id").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = bands.join(heads, "band").filter("u < id").select("u", F.col("id").alias("v"))
-    wanted = classes.select("id")
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    # Two rows of one id with different texts are two classes under one id; each text is checked.
-    for step in range(3):
-        if step == 0:  # the least head that a class meets
-            pairs = met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-        else:  # in bands whose classes still fall into several components: the other heads, then all across
-            where = bands.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = where.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min(F.struct("id", "component")).alias("head")).filter("a < b")
-            mixed, _ = saved(mixed, "mixed")
-            if not mixed.limit(1).count():
-                break
-            inside = where.join(mixed.select("band", "head"), "band")
-            if step == 1:
-                pairs = inside.filter("component != head.component").select(F.col("head.id").alias("u"), F.col("id").alias("v")).distinct()
-            else:
-                pairs = _across(inside.drop("head").join(classes.select("id", "n_shingles", "regs", "short"), "id"), least, of).distinct()
-        new, _ = saved(_confirmed(pairs, texts, size, least, of).distinct(), "links")
-        if step == 0 or new.limit(1).count():
-            if step:  # the stars found so far, and the new links between them
-                new = new.unionByName(parts.filter("node != component").select(F.col("component").alias("u"), F.col("node").alias("v")))
-            parts, _ = saved(components(new), "parts")
-    last = parts
-    of_class = classes.select("s1", "s2", "n_shingles", F.col("id").alias("rep")).join(last.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("of_class"))
+    classes, classes_path = saved(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("short").alias("short")), "classes")
+    bands = _bands(classes)
+    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.bool_or("long").alias("long")).filter("n > 1")
+    met, met_path = saved(bands.drop("long").join(heads, "band"), "met")
+    hot = met.filter((F.col("n") > MEET) & (F.col("id") != F.col("head"))).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    regs = F.when(F.col("long"), F.col("regs")).alias("regs")  # the estimate is for bands with a long set
+    members = met.filter(F.col("n") <= MEET).join(classes.select("id", "n_shingles", "regs", "short"), "id").select("band", "id", "n_shingles", regs, "short")
+    edges, edges_path = saved(hot.unionByName(_candidates(members, least, of)).distinct(), "edges")
+    nodes, nodes_path = saved(_clusters(edges, classes), "nodes")
+    drop(spark, met_path, edges_path)
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
+    last, _ = saved(components(_linked(texts, nodes, size, least, of)), "parts")
+    of_class, _ = saved(classes.select("s1", "s2", "n_shingles", F.col("id").alias("rep")).join(last.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("of_class")), "of_class")
+    drop(spark, nodes_path, classes_path)
     out = made.drop("regs", "short").join(of_class, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("id").isNull(), None).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("of_class"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

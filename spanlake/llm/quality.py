@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, fold, lower, text_blocks, words
+from .common import Ranges, fold, lower, text_blocks, words
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 80, 4, 64, 0.2, 2.0
@@ -47,7 +47,7 @@ def statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out[:, 12] = np.log1p(count)
     out[:, 13] = np.bincount(own, length, n) / some
     np.maximum.at(out[:, 14], own, length)
-    h = Rolling(lower(data)).of(starts, ends)
+    h = Ranges(lower(data)).of(starts, ends)
 
     def repeats(own: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((h, own))

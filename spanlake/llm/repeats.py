@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffixes
-from .common import Rolling, saved, text_blocks, utf8
+from .common import Ranges, saved, text_blocks, utf8, windows
 
 GRAM = 100  # bytes of an anchor; shorter than the windows
 SHARD_BYTES = 4 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
@@ -43,7 +43,7 @@ def owners(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
         return none
     n, width = len(data) - gram + 1, length - gram + 1
     at = np.arange(n)
-    hashes = Rolling(data).of(at, at + gram)
+    hashes = windows(data, gram)
     key = (hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     full = np.full(-(-n // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
     full[:n] = key
@@ -64,7 +64,8 @@ def _anchors(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
             row, h, lo, n = owners(data, offs, length, gram)
             if not len(row):
                 continue
-            a, b = Rolling(data).of(lo, lo + n - 1 + length), Rolling(data, 1).of(lo, lo + n - 1 + length)
+            ranges = Ranges(data)
+            a, b = (ranges.of(lo, lo + n - 1 + length, k) for k in (0, 1))
             t1, t2 = (batch.column(batch.schema.get_field_index(k)).to_numpy()[row] for k in _KEYS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (t1, t2, h.view(np.int64), a.view(np.int64), b.view(np.int64), (lo - offs[row]).astype(np.int32), n.astype(np.int32))], ["__t1", "__t2", "h", "s1", "s2", "lo", "n"]

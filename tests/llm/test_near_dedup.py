@@ -48,9 +48,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("size", "least"), [(3, 85), (5, 80)])
-def test_groups(spark, rows, size, least, monkeypatch):
-    monkeypatch.setattr(near_dedup, "MEET", 8)
+@pytest.mark.parametrize(("size", "least", "meet", "part"), [(3, 85, 8, 4), (5, 80, 2048, 1024), (3, 85, 4, 3), (5, 80, 2, 1)])
+def test_groups(spark, rows, size, least, meet, part, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEET", meet)
+    monkeypatch.setattr(near_dedup, "PART", part)
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, kept int")
     want = brute(rows, size, least, 100)
     got = near_dedup.groups(df, size, least, 100).collect()
@@ -108,3 +109,32 @@ def test_short_pairs_at_the_threshold(spark, least):
         want[rows[-1][0]] = rows[-2][0]
     got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, least, 100).collect()}
     assert got == {k: want.get(k, k) for k, _ in rows}
+
+
+def thue_morse(n):
+    """A word and its complement, whose hashes modulo 2^64 are equal under any sum of powers."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_periodic_words_differ(spark):
+    a, b = thue_morse(2048)
+    rows = [(1, f"one two {a}"), (2, f"one two {b}"), (3, f"one two {a}")]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_text_longer_than_a_block_and_clashing_names(spark):
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(90000)}" for _ in range(400_000)]
+    near = list(long)
+    for _ in range(2000):
+        near[rng.randrange(len(near))] = "other"
+    texts = [" ".join(long), " ".join(near), " ".join(long[:200_000])]
+    assert len(texts[0]) > 1 << 21
+    df = spark.createDataFrame([(k, t, "x", 0.5, "y") for k, t in enumerate(texts)], "doc_id long, text string, id string, band double, u string")
+    got = near_dedup.groups(df, 5, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}
+    assert got[0].asDict().keys() == {"doc_id", "n_shingles", "component_id", "kept"}
