@@ -6,11 +6,13 @@ and every repeat is found inside a group of equal grams. Of a group's stretches
 one gram owns), equal ones repeat outright; where stretches differ, which hold the ends of passages,
 one of each kind goes on. Those are dealt out by their gram and each shard's suffixes are put in order by
 external induced sorting with common prefixes (``suffixes``): a window repeats if it shares
-``length`` bytes with a neighbour among the windows.
+``length`` bytes with a neighbour among the windows. A gram with over SPLIT kinds of stretches is split:
+its windows are classed by where the gram lies in them, and dealt out by the bytes that all windows of a class hold.
 
-Rows: null text is empty; texts shorter than the length lose nothing; a repeated row of at least
-that length is removed whole, as are its copies; an empty table gives no rows; other columns pass
-through, but for those named as the outputs, which are replaced.
+Rows: null text is empty; texts shorter than the length lose nothing, and texts of any length are
+read whole; a repeated row of at least that length is removed whole, as are its copies, whichever came first; an empty
+table gives no rows; other columns pass through, but for those named as the outputs, which are replaced;
+``__t1``, ``__t2`` and ``__spans`` are the operator's own names.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import suffixes
-from .common import Ranges, saved, text_blocks, utf8, windows
+from .common import SPACE, Ranges, drop, mix, parts, saved, spots, text_blocks, utf8, windows, words
 
 GRAM = 100  # bytes of an anchor; shorter than the windows
 SHARD_BYTES = 4 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
+SPLIT = 4096  # kinds of stretches of one gram that go to one shard
 _KEYS = ["__t1", "__t2"]
 
 
@@ -35,8 +38,8 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
 
 
 def owners(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, gram hash, first window and number of windows of each anchor of a block."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Row, gram hash, place of the gram, first window and number of windows of each anchor of a block."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     sizes = np.diff(offs) - length + 1
     has = np.flatnonzero(sizes > 0)
     if not len(has):
@@ -55,106 +58,164 @@ def owners(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
     anchor = (np.minimum(behind[window], ahead[window + width - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     many = np.diff(np.append(first, len(anchor)))
-    return np.searchsorted(offs, window[first], "right") - 1, hashes[anchor[first]], window[first], many
+    return np.searchsorted(offs, window[first], "right") - 1, hashes[anchor[first]], anchor[first], window[first], many
 
 
 def _anchors(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """(t1, t2, h, s, lo, n, g): of each text the stretches, by the hashes of their gram and of their bytes, with the gram's place in them."""
+
     def run(batches):
         for batch, data, offs in text_blocks(batches, text):
-            row, h, lo, n = owners(data, offs, length, gram)
+            row, h, g, lo, n = owners(data, offs, length, gram)
             if not len(row):
                 continue
-            ranges = Ranges(data)
-            a, b = (ranges.of(lo, lo + n - 1 + length, k) for k in (0, 1))
+            s = Ranges(data).of(lo, lo + n - 1 + length)
             t1, t2 = (batch.column(batch.schema.get_field_index(k)).to_numpy()[row] for k in _KEYS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (t1, t2, h.view(np.int64), a.view(np.int64), b.view(np.int64), (lo - offs[row]).astype(np.int32), n.astype(np.int32))], ["__t1", "__t2", "h", "s1", "s2", "lo", "n"]
-            )
-
-    return df.select(text, *_KEYS).mapInArrow(run, "__t1 long, __t2 long, h long, s1 long, s2 long, lo int, n int")
-
-
-def repeated(parts: list[np.ndarray], many: np.ndarray, length: int, memory: int = suffixes.MEMORY) -> np.ndarray:
-    """True for each window (many[k] in stretch k, at its start) that equals another window's bytes."""
-    m = len(parts)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    stops = np.cumsum(sizes + 1)
-    begins = stops - sizes - 1
-    text = np.empty(int(stops[-1]), np.int64)
-    text[stops - 1] = np.arange(m)[::-1]  # ends that differ; the last is the least
-    keep = np.ones(len(text), bool)
-    keep[stops - 1] = False
-    text[keep] = np.concatenate(parts).astype(np.int64) + m
-    window = np.repeat(begins - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    index = np.full(len(text), -1, np.int64)
-    index[window] = np.arange(len(window))
-    with suffixes.Space(memory) as space:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1, t2, h.view(np.int64), s.view(np.int64), (lo - offs[row]).astype(np.int32), n.astype(np.int32), (g - lo).astype(np.int32))], [*_KEYS, "h", "s", "lo", "n", "g"])
+
+    return df.select(text, *_KEYS).mapInArrow(run, "__t1 long, __t2 long, h long, s long, lo int, n int, g int")
+
+
+class Stretches:
+    """Stretches of one shard: their bytes and where they come from, on disk beyond the space's bound."""
+
+    def __init__(self, length: int, space: suffixes.Space):
+        self.length, self.space = length, space
+        self.text, self.sizes = suffixes.Rows(space, np.uint16), suffixes.Rows(space, np.int64)
+        self.own = [suffixes.Rows(space, np.int64) for _ in range(3)]  # t1, t2, lo
+
+    def add(self, t1, t2, lo, data: np.ndarray, offs: np.ndarray) -> None:
+        sizes = np.diff(offs)
+        text = np.ones(len(data) + len(sizes), np.uint16)  # 1 ends a stretch, bytes are from 2 on
+        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data.astype(np.uint16) + 2
+        self.text.add(text)
+        self.sizes.add(sizes)
+        for rows, x in zip(self.own, (t1, t2, lo), strict=True):
+            rows.add(x)
+
+    def repeated(self):
+        """Runs (t1, t2, lo, n) of windows that equal another window's bytes, some stretches at a time."""
+        self.text.add(np.zeros(1, np.uint16))
+        text, sizes, own = self.text.whole(), self.sizes.whole(), [x.whole() for x in self.own]
+        space, length = self.space, self.length
+        hit = space.array(len(text), bool)  # places of windows, then of those that repeat
+        begin, stops = 0, [0]
+        for a, b in space.steps(len(sizes)):
+            ends = begin + np.cumsum(sizes[a:b] + 1)
+            depth = np.zeros(int(ends[-1]) - begin + 1, np.int8)
+            depth[np.append(0, ends[:-1] - begin)] += 1
+            depth[ends - length - begin] -= 1
+            hit[begin : int(ends[-1])] = np.cumsum(depth[:-1], dtype=np.int8) > 0
+            begin = int(ends[-1])
+            stops.append(begin)
+        hit[begin:] = False
         place, prefix = suffixes.sort(text, length, space)
-        own = index[place]
-        at = np.flatnonzero(own >= 0)
-        low = np.zeros(len(at), np.int64)  # common prefix with the window before: the least on the way
-        if len(at) > 1:
-            low[1:] = np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1)
-        hit = low >= length
-        hit[:-1] |= hit[1:].copy()
-        out = np.zeros(len(window), bool)
-        out[own[at[hit]]] = True
-    return out
+        # A window repeats if the least prefix on the way to the window before, or after, reaches the length.
+        twice, last, low = space.array(len(text), bool), None, 0
+        for a, b in space.steps(len(text)):
+            twice[a:b] = False
+        for a, b in space.steps(len(place)):
+            here, near = np.array(place[a:b], np.int64), np.array(prefix[a:b], np.int64)
+            at = np.flatnonzero(hit[here])
+            if not len(at):
+                low = min(low, int(near.min()))
+                continue
+            between = np.minimum.reduceat(near[: at[-1] + 1], np.append(0, at[:-1] + 1))
+            between[0] = min(low, between[0]) if last is not None else 0
+            good = between >= length
+            twice[here[at[good]]] = True
+            if good[0]:
+                twice[last] = True
+            twice[here[at[np.flatnonzero(good[1:])]]] = True
+            last, low = int(here[at[-1]]), int(near[at[-1] + 1 :].min()) if at[-1] + 1 < len(near) else length
+        for k, (a, b) in enumerate(space.steps(len(sizes))):
+            good = np.array(twice[stops[k] : stops[k + 1]])
+            begins = np.cumsum(sizes[a:b] + 1) - sizes[a:b] - 1
+            edge = np.diff(np.concatenate([[0], good.astype(np.int8), [0]]))
+            first, count = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - np.flatnonzero(edge > 0)
+            row = np.searchsorted(begins, first, "right") - 1
+            t1, t2, lo = (np.array(x[a:b])[row] for x in own)
+            yield t1, t2, lo + first - begins[row], count
 
 
 def _sorted_shards(df: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows (t1, t2, lo, n) of stretches that come in the order of their gram."""
+    """Runs of repeated windows (t1, t2, lo, n) of stretches (t1, t2, h, lo, bytes) that come in the order of their gram.
+
+    A shard is closed between grams, once it has SHARD_BYTES; a larger group is a larger shard, sorted on disk.
+    """
 
     def run(batches):
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush():
-            parts = [np.frombuffer(x[5], np.uint8) for x in held]
-            many = np.array([x[4] for x in held], np.int64)
-            hit = repeated(parts, many, length)
-            own = np.repeat(np.arange(len(held)), many)
-            edge = np.concatenate([[True], (hit[1:] != hit[:-1]) | (own[1:] != own[:-1])])
-            first = np.flatnonzero(edge)
-            count = np.diff(np.append(first, len(hit)))
-            good = hit[first]
-            first, count = first[good], count[good]
-            k = own[first]
-            lo = np.array([x[3] for x in held], np.int64)[k] + first - (np.cumsum(many) - many)[k]
-            return pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in held], np.int64)[k]), pa.array(np.array([x[2] for x in held], np.int64)[k]), pa.array(lo.astype(np.int32)), pa.array(count.astype(np.int32))], ["__t1", "__t2", "lo", "n"])
+        held, size = None, 0
+
+        def close():
+            with held.space:
+                for t1, t2, lo, n in held.repeated():
+                    yield pa.RecordBatch.from_arrays([pa.array(t1), pa.array(t2), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["__t1", "__t2", "lo", "n"])
 
+        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_BYTES and row[0] != last:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[5]), row[0]
+            t1, t2, h, lo = (batch.column(k).to_numpy() for k in range(4))
+            data, offs = utf8(batch.column(4))
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)] if len(h) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and size > SHARD_BYTES and h[a] != last:
+                    yield from close()
+                    held = None
+                if not held:
+                    held, size = Stretches(length, suffixes.Space()), 0
+                held.add(t1[a:b], t2[a:b], lo[a:b], data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                size, last = size + int(offs[b] - offs[a]), h[a]
         if held:
-            yield flush()
+            yield from close()
 
     return df.mapInArrow(run, "__t1 long, __t2 long, lo int, n int")
 
 
-def _stretches(df: DataFrame, text: str, length: int) -> DataFrame:
-    """The bytes of the stretches listed beside each text."""
+def _classed(data: np.ndarray, offs: np.ndarray, h: np.ndarray, g: np.ndarray, n: np.ndarray, length: int, gram: int):
+    """Parts of stretches by where the gram lies in their windows: (stretch, new key, first window, windows)."""
+    step = (length - gram) // 6 + 1
+    ranges, out = Ranges(data), []
+    for j in range(-(-(length - gram + 1) // step)):
+        first, last = np.maximum(g - step * (j + 1) + 1, 0), np.minimum(g - step * j, n - 1)
+        mine = np.flatnonzero(first <= last)
+        begin = offs[mine] + g[mine] - step * j
+        key = mix(ranges.of(begin, begin + length - step + 1) ^ mix(h[mine].view(np.uint64) + np.uint64(j + 1)))
+        out.append((mine, key.view(np.int64), first[mine], (last - first + 1)[mine]))
+    return (np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _stretches(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """The bytes of the stretches listed beside each text; those of a split gram in parts."""
 
     def run(batches):
         for batch in batches:
             data, offs = utf8(batch.column(0))
-            raw, (t1, t2) = data.tobytes(), (batch.column(k).to_pylist() for k in (1, 2))
-            out = []
-            for k, todo in enumerate(batch.column(3).to_pylist()):
-                out += [(x["h"], t1[k], t2[k], x["lo"], x["n"], raw[offs[k] + x["lo"] : offs[k] + x["lo"] + x["n"] - 1 + length]) for x in todo]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), kinds, strict=True)], ["h", "__t1", "__t2", "lo", "n", "bytes"])
+            todo = batch.column(3)
+            row = np.repeat(np.arange(len(batch)), np.diff(todo.offsets.to_numpy()))
+            flat = todo.flatten()
+            h, lo, n, g, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("h", "lo", "n", "g", "hot"))
+            t1, t2 = (batch.column(k).to_numpy()[row] for k in (1, 2))
+            begin, lo, n, g = offs[row] + lo, lo.astype(np.int64), n.astype(np.int64), g.astype(np.int64)
+            whole, split = np.flatnonzero(~hot), np.flatnonzero(hot)
+            pieces = [(whole, h[whole], np.zeros(len(whole), np.int64), n[whole])]
+            for k in range(0, len(split), 4096):
+                part = split[k : k + 4096]
+                sizes = n[part] - 1 + length
+                held = data[spots(begin[part], sizes)]
+                mine, key, first, many = _classed(held, np.cumsum(sizes) - sizes, h[part], g[part], n[part], length, gram)
+                pieces.append((part[mine], key, first, many))
+            for own, key, first, many in pieces:
+                for k in range(0, len(own), 4096):
+                    o, f, m = own[k : k + 4096], first[k : k + 4096], many[k : k + 4096]
+                    sizes = m - 1 + length
+                    cells = pa.Array.from_buffers(pa.binary(), len(o), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[spots(begin[o] + f, sizes)]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(t1[o]), pa.array(t2[o]), pa.array(key[k : k + 4096]), pa.array((lo[o] + f).astype(np.int32)), cells], [*_KEYS, "h", "lo", "bytes"])
 
-    return df.select(text, *_KEYS, "todo").mapInArrow(run, "h long, __t1 long, __t2 long, lo int, n int, bytes binary")
+    return df.select(text, *_KEYS, "todo").mapInArrow(run, "__t1 long, __t2 long, h long, lo int, bytes binary")
 
 
-def _cut(df: DataFrame, text: str, length: int, out: str, as_text: bool) -> DataFrame:
-    """Drop the covered bytes of each text."""
+def _cut(df: DataFrame, text: str, length: int, out: str, as_text: bool, least_words: int) -> DataFrame:
+    """Drop the covered bytes of each text, but for runs of fewer words."""
     rest = [f for f in df.schema.fields if f.name not in (*_KEYS, "__spans", out, "n_bytes", "n_removed", "n_spans")]
     names = [f.name for f in rest]
 
@@ -165,13 +226,24 @@ def _cut(df: DataFrame, text: str, length: int, out: str, as_text: bool) -> Data
             counts = np.array([0 if x is None else x for x in spans.value_lengths().to_pylist()], np.int64)
             flat = spans.flatten()
             begin = flat.field(0).to_numpy().astype(np.int64) + np.repeat(offs[:-1], counts)
-            ends = begin + flat.field(1).to_numpy() - 1 + length
+            many = flat.field(1).to_numpy().astype(np.int64)
+            ends = np.where(many < 0, np.repeat(offs[1:], counts), begin + many - 1 + length)
             depth = np.bincount(begin, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
             gone = np.cumsum(depth)[: len(data)] > 0
             head = gone.copy()
             head[1:] &= ~gone[:-1]
             starts = offs[:-1][np.diff(offs) > 0]
             head[starts] = gone[starts]
+            if least_words and len(data):
+                first = np.flatnonzero(head)
+                size = np.add.reduceat(gone.astype(np.int64), first) if len(first) else first  # a run ends where the next row's or run's bytes begin
+                before = np.zeros(len(data) + 1, np.int64)
+                before[words(data, offs)[0] + 1] = 1
+                inside = ~SPACE[data[first]] & (before[first + 1] == 0)
+                before = np.cumsum(before)
+                few = before[first + size] - before[first] + inside < least_words
+                gone[spots(first[few], size[few])] = False
+                head[first[few]] = False
             total, heads = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(head)])
             removed = total[offs[1:]] - total[offs[:-1]]
             kept, bounds = data[~gone], offs - total[offs]
@@ -187,22 +259,26 @@ def _cut(df: DataFrame, text: str, length: int, out: str, as_text: bool) -> Data
     return df.mapInArrow(run, T.StructType([*rest, T.StructField(out, kind), *(T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans"))]))
 
 
-def remove(df: DataFrame, text: str = "text", length: int = 400, out: str = "kept", as_text: bool = False, gram: int = GRAM) -> DataFrame:
-    """Append what is left of each text (bytes, or text without broken characters), n_bytes, n_removed and n_spans (maximal removed runs)."""
-    gram = min(gram, length)
+def remove(df: DataFrame, text: str = "text", length: int = 400, out: str = "kept", as_text: bool = False, gram: int = GRAM, least_words: int = 0) -> DataFrame:
+    """Append what is left of each text (bytes, or text without broken characters), n_bytes, n_removed and n_spans (maximal removed runs).
+
+    With ``least_words``, runs of fewer words stay.
+    """
+    spark, gram = df.sparkSession, min(gram, length)
     keyed = _keyed(df, text)
-    anchors, _ = saved(_anchors(keyed, text, length, gram), "anchors")
-    classes = anchors.groupBy("h", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEYS, "lo", "n")).alias("one"))
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds"))
-    shared, _ = saved(classes.join(kinds, "h").filter("copies > 1 or kinds > 1"), "shared")
-    todo = shared.filter("kinds > 1").select("h", "one.*").groupBy(*_KEYS).agg(F.collect_list(F.struct("h", "lo", "n")).alias("todo"))
-    texts = keyed.select(text, *_KEYS)
-    stretches = _stretches(texts.join(todo, _KEYS), text, length)
-    ends = _sorted_shards(stretches.repartition("h").sortWithinPartitions("h"), length)
-    # A text that stands there twice repeats from end to end: its stretches need no look-up.
-    texts_of = anchors.groupBy(*_KEYS).agg(F.count_if(F.col("lo") == 0).alias("texts"), F.max(F.col("lo") + F.col("n")).alias("windows")).filter("texts > 1")
-    twice, _ = saved(texts_of, "twice")
-    once = anchors.join(twice, _KEYS, "left_anti").join(shared.filter("copies > 1").select("h", "s1", "s2"), ["h", "s1", "s2"]).select(*_KEYS, "lo", "n")
-    whole = twice.select(*_KEYS, F.lit(0).alias("lo"), F.col("windows").alias("n")).unionByName(once)
-    spans, _ = saved(whole.unionByName(ends).groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
-    return _cut(keyed.join(spans, _KEYS, "left"), text, length, out, as_text)
+    anchors, anchors_path = saved(_anchors(keyed, text, length, gram), "anchors")
+    classes = anchors.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEYS, "lo", "n", "g")).alias("one"))
+    classes, classes_path = saved(classes, "classes")
+    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = classes.join(kinds, "h").select("h", (F.col("kinds") > SPLIT).alias("hot"), "one.*")
+    todo, todo_path = saved(mixed.groupBy(*_KEYS).agg(F.collect_list(F.struct("h", "lo", "n", "g", "hot")).alias("todo")), "todo")
+    # One row of each text that has any to do: copies fall together before they are dealt out.
+    texts = keyed.select(text, *_KEYS).groupBy(*_KEYS).agg(F.first(text).alias(text))
+    stretches = _stretches(texts.join(todo, _KEYS), text, length, gram)
+    ends, ends_path = saved(_sorted_shards(stretches.repartition(parts(spark), "h").sortWithinPartitions("h"), length), "ends")
+    # A text that stands there twice repeats from end to end (n = -1): its stretches need no look-up.
+    twice, twice_path = saved(anchors.filter("lo = 0").groupBy(*_KEYS).count().filter("count > 1").select(*_KEYS, F.lit(0).alias("lo"), F.lit(-1).alias("n")), "twice")
+    once = anchors.join(twice, _KEYS, "left_anti").join(classes.filter("copies > 1").select("h", "s"), ["h", "s"], "left_semi").select(*_KEYS, "lo", "n")
+    spans, _ = saved(twice.unionByName(once).unionByName(ends).groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
+    drop(spark, anchors_path, classes_path, todo_path, ends_path, twice_path)
+    return _cut(keyed.join(spans, _KEYS, "left"), text, length, out, as_text, least_words)

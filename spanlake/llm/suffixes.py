@@ -1,12 +1,16 @@
 """External induced sorting of suffixes with common-prefix values.
 
-Suffixes are L (larger than the next suffix) or S; an S after an L is a seed. Seeds' substrings
-are named in order and the reduced text is sorted recursively; from the sorted seeds the L
-suffixes are induced by ascending first symbol, from those the S suffixes by descending one.
-The queues between symbols (``Queue``) carry (symbol, rank of the next suffix, place) and spill
-to disk beyond a bound; the visited order and its common-prefix values live in files too once
-they are large. A suffix's common prefix with its neighbour is one more than the least common
-prefix between their next suffixes, so these values ride along the induction.
+Suffixes are L (larger than the next suffix) or S; an S after an L is a seed. Seeds' substrings are
+named in order, and the text of names is sorted by recursion; names beyond DIGIT are written as
+two symbols each, so that alphabets stay small. From the sorted seeds the L suffixes are induced by
+ascending first symbol, from those the S suffixes by descending one. The queues between symbols
+(``Queue``) hold tuples of a suffix's place and its common prefix with the tuple before it. That
+is one more than the least common prefix between their next suffixes, so these values ride along
+the induction; those of the seeds come out of the recursion, as equal names are equally long.
+
+Whatever grows with the text (text, types, seeds, names, queues, the visited order) goes through
+``Space.array``: beyond a bound it is a file in the task's scratch folder, read and written in
+pieces. Only texts whose tables fit that bound are sorted in memory (``in_memory``), at the end of the recursion.
 """
 
 from __future__ import annotations
@@ -17,18 +21,18 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 64 << 20  # bytes that a queue or array holds in memory before it goes to disk
-BASE = 1 << 22  # symbols of a reduced text that are sorted by doubling in memory
-
-
-_END = np.int64(1) << 62
+MEMORY = 32 << 20  # bytes that an array holds in memory before it goes to disk
+DIGIT = 512  # names up to this many are symbols by themselves
+_END = 0xFFFF  # beyond every symbol
 
 
 class Space:
-    """A temporary folder for spilled queues and arrays, removed at the end."""
+    """A scratch folder of one task for arrays larger than memory, removed at the end; nothing else reads it."""
 
     def __init__(self, memory: int = MEMORY):
         self.memory, self.path, self.n = memory, None, 0
+        self.step = max(64, memory // 64)  # rows that one step works on
+        self.base = max(16, memory // 64)  # symbols that are sorted in memory: half a dozen tables of eight bytes each
 
     def __enter__(self):
         return self
@@ -47,225 +51,356 @@ class Space:
             return np.empty(n, kind)
         return np.memmap(self.file(), kind, "w+", shape=(n,))
 
+    def steps(self, n: int):
+        """Ranges that cover 0 .. n."""
+        return ((a, min(n, a + self.step)) for a in range(0, n, self.step))
+
+
+class Rows:
+    """An array that grows at its end: in memory first, in a file beyond the bound."""
+
+    def __init__(self, space: Space, kind):
+        self.space, self.kind, self.held, self.n, self.path = space, np.dtype(kind), [], 0, None
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(np.asarray(x, self.kind))
+        self.n += len(x)
+        if sum(len(h) for h in self.held) * self.kind.itemsize > self.space.memory:
+            self.flush()
+
+    def flush(self) -> None:
+        self.path = self.path or self.space.file()
+        with open(self.path, "ab") as f:
+            for h in self.held:
+                h.tofile(f)
+        self.held = []
+
+    def whole(self) -> np.ndarray:
+        if not self.path:
+            return np.concatenate(self.held) if self.held else np.zeros(0, self.kind)
+        self.flush()
+        return np.memmap(self.path, self.kind, "r+", shape=(self.n,))
+
+
+def _ranges(table: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of table[first .. last] for each pair."""
+    size = last - first + 1
+    if int(size.sum()) <= 8 * len(table):
+        at = np.empty(2 * len(first), np.int64)
+        at[::2], at[1::2] = first, last + 1
+        return np.minimum.reduceat(np.append(table, table[-1]), at)[::2]
+    out, width = np.empty(len(first), table.dtype), 1
+    while True:
+        mine = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[mine] = np.minimum(table[first[mine]], table[last[mine] + 1 - width])
+        if int(size.max()) < 2 * width:
+            return out
+        table = np.minimum(table[:-width], table[width:])
+        width *= 2
+
 
 class Queue:
-    """A priority queue of suffix tuples by symbol; within one, they come in rank order."""
+    """Tuples (place, common prefix with the tuple before) by symbol. Each symbol's come and go in the suffixes' order.
 
-    def __init__(self, space: Space):
-        self.space, self.held, self.size = space, {}, 0
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+    ``counts`` bounds the tuples of each symbol, so each has its own run in one array, on disk if large.
+    """
 
-    def push(self, symbol: np.ndarray, rank: np.ndarray, place: np.ndarray) -> None:
-        if not len(symbol):
-            return
-        order = np.argsort(symbol, kind="stable")
-        symbol, rank, place = symbol[order], rank[order], place[order]
-        heads = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(symbol)], strict=True):
-            self.held.setdefault(int(symbol[a]), []).append(np.stack([rank[a:b], place[a:b]]))
-        self.size += 16 * len(symbol)
-        if self.size > self.space.memory:
-            self.spill()
-
-    def spill(self) -> None:
-        """Write what is held as one run, in symbol order."""
-        keys = sorted(self.held)
-        parts = [np.concatenate(self.held[k], axis=1) for k in keys]
-        sizes = np.array([p.shape[1] for p in parts], np.int64)
-        run = np.memmap(self.space.file(), np.int64, "w+", shape=(2, int(sizes.sum())))
-        np.concatenate(parts, axis=1, out=run)
-        run.flush()
-        index = dict(zip(keys, zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True), strict=True))
-        self.runs.append((index, run))
-        self.held, self.size = {}, 0
-
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
-        """All tuples of a symbol, merged from memory and from disk, by rank."""
-        parts = self.held.pop(symbol, [])
-        for index, run in self.runs:
-            if symbol in index:
-                a, n = index.pop(symbol)
-                parts.append(np.array(run[:, a : a + n]))
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        got = np.concatenate(parts, axis=1)
-        got = got[:, np.argsort(got[0], kind="stable")]
-        return got[0], got[1]
-
-    def symbols(self) -> set[int]:
-        return {*self.held, *(k for index, _ in self.runs for k in index)}
-
-
-def types(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than the next; the last one, the least symbol, is too."""
-    n = len(text)
-    step = np.ones(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    at = np.where(step != 0, np.arange(n), n)
-    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+    def __init__(self, counts: np.ndarray, cap: int, space: Space, kind):
+        self.ends = np.cumsum(counts)
+        self.into = self.ends - counts
+        self.out, self.cap = self.into.copy(), cap
+        self.place, self.prefix = space.array(int(counts.sum()), kind), space.array(int(counts.sum()), np.int32)
+        self.low = np.full(len(counts), -1, np.int64)  # least prefix visited since a symbol's last tuple; -1: it has none
+
+    def push(self, symbol: np.ndarray, at: np.ndarray, place: np.ndarray, visited: np.ndarray) -> None:
+        """Tuples for the places before some of the suffixes that were just visited: those at ``at``; ``visited`` are the prefixes of them all."""
+        if len(symbol):
+            order = np.argsort(symbol, kind="stable")
+            symbol, at = symbol[order].astype(np.int64), at[order]
+            new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+            heads = np.flatnonzero(new)
+            own = symbol[heads]
+            low = np.empty(len(at), np.int64)
+            low[heads] = np.minimum(self.low[own], np.minimum.accumulate(visited)[at[heads]])
+            rest = np.flatnonzero(~new)
+            if len(rest):
+                low[rest] = _ranges(visited, at[rest - 1] + 1, at[rest])
+            sizes = np.diff(np.append(heads, len(symbol)))
+            slot = np.repeat(self.into[own] - heads, sizes) + np.arange(len(symbol))
+            self.place[slot], self.prefix[slot] = place[order], np.minimum(low + 1, self.cap)
+            self.into[own] += sizes
+        np.minimum(self.low, int(visited.min()), out=self.low)
+        if len(symbol):
+            ahead = np.append(np.minimum.accumulate(visited[::-1])[::-1], self.cap)
+            self.low[own] = ahead[at[heads + sizes - 1] + 1]
+
+    def pop(self, symbol: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol's next tuples, ``most`` at most."""
+        a = int(self.out[symbol])
+        b = min(int(self.into[symbol]), a + most)
+        self.out[symbol] = b
+        return np.array(self.place[a:b]), np.array(self.prefix[a:b])
 
 
-def doubling(text: np.ndarray) -> np.ndarray:
-    """Suffix order in memory by prefix doubling."""
-    _, rank = np.unique(text, return_inverse=True)
-    n, k = len(text), 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k if k < n else 0] = rank[k:] + 1
-        key = rank.astype(np.int64) * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if new[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
+class _Visited:
+    """The order visited so far: places, and the common prefix of each with the one before."""
 
+    def __init__(self, n: int, space: Space, kind):
+        self.place, self.prefix, self.n = space.array(n, kind), space.array(n, np.int32), 0
 
-def names(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Each seed's name: the order of its substring, which ends at the next seed.
+    def add(self, place: np.ndarray, prefix: np.ndarray) -> None:
+        self.place[self.n : self.n + len(place)] = place
+        self.prefix[self.n : self.n + len(place)] = prefix
+        self.n += len(place)
 
-    One that ends where another goes on is the larger: its last symbol is of an S suffix, the other's of an L.
-    """
-    ends = np.append(seeds[1:], seeds[-1]) + 1
-    group = np.zeros(len(seeds), np.int64)
-    live, at = np.arange(len(seeds)), 0
-    while len(live):
-        where = seeds[live] + at
-        symbol = np.where(where < ends[live], text[np.minimum(where, len(text) - 1)].astype(np.int64), _END)
-        order = np.lexsort((symbol, group[live]))
-        live = live[order]
-        g, s = group[live], symbol[order]
-        head = np.concatenate([[True], g[1:] != g[:-1]])
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
-        k = np.arange(len(live))
-        first = np.maximum.accumulate(np.where(head, k, 0))
-        own = np.maximum.accumulate(np.where(new, k, 0))
-        group[live] = g + own - first
-        sizes = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(sizes > 1, sizes) & (s < _END)]
-        at += 1
-    return np.unique(group, return_inverse=True)[1]
+
+def types(text: np.ndarray, space: Space) -> np.ndarray:
+    """True where a suffix is smaller than the next; the last one, the least symbol, is too."""
+    n = len(text)
+    out = space.array(n, bool)
+    out[n - 1] = small = True
+    for a, b in reversed(list(space.steps(n - 1))):
+        part = np.array(text[a : b + 1], np.int64)
+        step = np.sign(part[1:] - part[:-1])
+        at = np.where(step != 0, np.arange(b - a), b - a)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        out[a:b] = np.append(step > 0, small)[at]
+        small = bool(out[a])
+    return out
+
+
+def _seeds(small: np.ndarray, space: Space, kind) -> np.ndarray:
+    """Places of the seeds."""
+    rows = Rows(space, kind)
+    for a, b in space.steps(len(small) - 1):
+        rows.add(np.flatnonzero(small[a + 1 : b + 1] & ~small[a:b]) + a + 1)
+    return rows.whole()
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap) -> np.ndarray:
     """Common prefix of the suffixes at a and b, up to cap, by comparing symbols."""
-    out, live, k, n = np.zeros(len(a), np.int64), np.arange(len(a)), 0, len(text)
-    while len(live) and k < cap:
-        x, y = a[live] + k, b[live] + k
-        good = (x < n) & (y < n)
+    n, out, live = len(text), np.zeros(len(a), np.int64), np.arange(len(a))
+    cap = np.broadcast_to(np.asarray(cap, np.int64), len(a))
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        good = (out[live] < cap[live]) & (x < n) & (y < n)
         good[good] = text[x[good]] == text[y[good]]
         live = live[good]
         out[live] += 1
-        k += 1
     return out
 
 
-class _Visited:
-    """The order visited so far: places, and the common prefix of each with the one before."""
+def _pair(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    x, y = text[a : a + cap], text[b : b + cap]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    return int(differ[0]) if len(differ) else n
 
-    def __init__(self, n: int, space: Space):
-        self.place, self.prefix, self.n = space.array(n, np.int64), space.array(n, np.int32), 0
 
-    def add(self, place: np.ndarray, prefix: np.ndarray) -> None:
-        self.place[self.n : self.n + len(place)] = place
-        self.prefix[self.n : self.n + len(place)] = prefix
-        self.n += len(place)
+def in_memory(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order by prefix doubling, and common prefixes."""
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    n, k = len(text), 1
+    order = np.argsort(rank, kind="stable")
+    while int(rank[order[-1]]) < n - 1:
+        nxt = np.zeros(n, np.int64)
+        nxt[: max(n - k, 0)] = rank[k:] + 1
+        key = rank * (n + 1) + nxt
+        order = np.argsort(key)
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        k *= 2
+    prefix = np.zeros(n, np.int64)
+    prefix[1:] = common(text, order[:-1], order[1:], cap)
+    return order, prefix
 
-    def induced(self, ranks: np.ndarray, cap: int) -> np.ndarray:
-        """One more than the least prefix between each rank and the one before; 0 for the first."""
-        out = np.zeros(len(ranks), np.int64)
-        if len(ranks) > 1:
-            a, b = int(ranks[0]), int(ranks[-1])
-            out[1:] = np.minimum(cap, np.minimum.reduceat(self.prefix[a + 1 : b + 1], ranks[:-1] - a) + 1)
-        return out
+
+def _named(text: np.ndarray, seeds: np.ndarray, which: np.ndarray, at: int, first: int, out: np.ndarray, space: Space) -> int:
+    """Write names from ``first`` on to the seeds ``which``, alike in their first ``at`` symbols; return the next name.
+
+    A name is the order of the seed's substring, which ends at the next seed. One that ends where another
+    goes on is the larger: its last symbol is of an S suffix, the other's of an L.
+    """
+    last = len(seeds) - 1
+
+    def symbols(own: np.ndarray, at: int) -> np.ndarray:
+        own = np.asarray(own, np.int64)
+        where = seeds[own].astype(np.int64) + at
+        ends = seeds[np.minimum(own + 1, last)].astype(np.int64)
+        return np.where(where <= ends, text[np.minimum(where, len(text) - 1)], _END).astype(np.uint64)
+
+    n = len(which)
+    if n > space.step:
+        # Too many for one step: deal them out by their next symbol, the small groups together.
+        counts = np.zeros(_END + 1, np.int64)
+        for a, b in space.steps(n):
+            counts += np.bincount(symbols(which[a:b], at).astype(np.int64), minlength=_END + 1)
+        present = np.flatnonzero(counts)
+        bucket, sizes, alone = np.zeros(_END + 1, np.int64), [], []
+        for s in present.tolist():
+            if sizes and not alone[-1] and sizes[-1] + counts[s] <= space.step:
+                sizes[-1] += int(counts[s])
+            else:
+                sizes.append(int(counts[s]))
+                alone.append(sizes[-1] > space.step)
+            bucket[s] = len(sizes) - 1
+        stops = np.cumsum(sizes)
+        dealt, into = space.array(n, out.dtype), stops - sizes
+        for a, b in space.steps(n):
+            own = np.array(which[a:b])
+            mine = bucket[symbols(own, at).astype(np.int64)]
+            order = np.argsort(mine, kind="stable")
+            many = np.bincount(mine, minlength=len(sizes))
+            dealt[np.repeat(into - (np.cumsum(many) - many), many) + np.arange(len(own))] = own[order]
+            into = into + many
+        for k, (a, b) in enumerate(zip((stops - sizes).tolist(), stops.tolist(), strict=True)):
+            if alone[k] and bucket[_END] == k and counts[_END]:
+                for c, d in space.steps(b - a):  # ended: one name for all
+                    out[dealt[a + c : a + d]] = first
+                first += 1
+            else:
+                first = _named(text, seeds, dealt[a:b], at + alone[k], first, out, space)
+        return first
+    which = np.array(which)
+    group, live = np.zeros(n, np.int64), np.arange(n)
+    while len(live):
+        key = symbols(which[live], at)
+        for k in range(1, 4):
+            key = key << np.uint64(16) | symbols(which[live], at + k)
+        order = np.argsort(key) if len(live) == n else np.lexsort((key, group[live]))
+        live, key = live[order], key[order]
+        g = group[live]
+        head = np.concatenate([[True], g[1:] != g[:-1]])
+        new = head | np.concatenate([[True], key[1:] != key[:-1]])
+        k = np.arange(len(live))
+        group[live] = g + np.maximum.accumulate(np.where(new, k, 0)) - np.maximum.accumulate(np.where(head, k, 0))
+        sizes = np.diff(np.append(np.flatnonzero(new), len(live)))
+        live = live[np.repeat(sizes > 1, sizes) & (key & np.uint64(_END) < _END)]
+        at += 4
+    names = np.cumsum(np.bincount(group, minlength=n) > 0) - 1
+    out[which] = names[group] + first
+    return first + int(names[-1]) + 1
+
+
+def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, cap: int, space: Space, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds' places in the order of their suffixes, and the common prefix of each with the one before."""
+    n = len(seeds)
+    named = space.array(n, kind)
+    every = space.array(n, kind)
+    for a, b in space.steps(n):
+        every[a:b] = np.arange(a, b)
+    many = _named(text, seeds, every, 0, 0, named, space)
+    del every
+    order, shared = space.array(n, kind), None
+    if many == n:
+        for a, b in space.steps(n):
+            order[named[a:b]] = np.arange(a, b)
+    else:
+        # Each name as one or two symbols from 1 on, and 0 at the end.
+        digits, base = (1, many) if many <= DIGIT else (2, int(np.ceil(np.sqrt(many))))
+        if base + 2 > _END:
+            raise ValueError("a shard of over four thousand million names")
+        reduced, shared = space.array(digits * n + 1, np.uint16), space.array(n, np.int32)
+        for a, b in space.steps(n):
+            part = np.asarray(named[a:b], np.int64)
+            reduced[digits * a : digits * b] = (part if digits == 1 else np.stack([part // base, part % base], axis=1).ravel()) + 1
+        reduced[digits * n] = 0
+        place, prefix = sort(reduced, digits * (cap // 2 + 1), space)
+        done, low = 0, 0
+        for a, b in space.steps(len(place)):
+            own, own_prefix = np.array(place[a:b], np.int64), np.array(prefix[a:b], np.int64)
+            at = np.flatnonzero((own % digits == 0) & (own < digits * n))
+            if not len(at):
+                low = min(low, int(own_prefix.min()))
+                continue
+            between = np.minimum.reduceat(own_prefix[: at[-1] + 1], np.append(0, at[:-1] + 1))
+            between[0] = min(low, between[0])
+            order[done : done + len(at)], shared[done : done + len(at)] = own[at] // digits, between // digits
+            done += len(at)
+            low = int(own_prefix[at[-1] + 1 :].min()) if at[-1] + 1 < len(own) else cap + digits
+    out, out_prefix = space.array(n, kind), space.array(n, np.int32)
+    before = None
+    for a, b in space.steps(n):
+        own = np.array(order[a:b], np.int64)
+        out[a:b] = seeds[own]
+        left = np.append(own[0] if before is None else before, own[:-1])
+        same = np.zeros(len(own), np.int64) if shared is None else np.array(shared[a:b], np.int64)
+        same = np.minimum(same, n - 1 - np.maximum(own, left))  # of equal names, as far as there are any
+        off = np.minimum(seeds[own + same].astype(np.int64) - seeds[own], cap)
+        out_prefix[a:b] = off + common(text, seeds[left].astype(np.int64) + off, seeds[own].astype(np.int64) + off, cap - off)
+        before = int(own[-1])
+    out_prefix[0] = 0
+    return out, out_prefix
 
 
 def sort(text: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of a text that ends with its least symbol, found nowhere else; each suffix's common prefix (up to cap) with the one before."""
+    """Suffix order of a text of symbols below 65,535 that ends with its least symbol, found nowhere else; each suffix's common prefix (up to cap) with the one before."""
     n = len(text)
-    small = types(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    named = names(text, seeds)
-    if int(named[-1]) != 0 or (named == 0).sum() > 1:
-        raise AssertionError("the last symbol must be the least")
-    if len(seeds) == int(named.max()) + 1:
-        order = np.argsort(named)
-    elif len(seeds) <= BASE:
-        order = doubling(named)
-    else:
-        order, _ = sort(named, 1, space)
-    seeds = seeds[order]
-    seed_prefix = np.zeros(len(seeds), np.int64)
-    seed_prefix[1:] = common(text, seeds[:-1], seeds[1:], cap)
-    symbols = np.unique(text).tolist()
-
-    def touch(a: int, b: int) -> int:
-        return int(common(text, np.array([a]), np.array([b]), cap)[0])
-
-    # Ascending: L suffixes, among the seeds.
-    first, queue, large = _Visited(n, space), Queue(space), {}
-    seed_at = np.searchsorted(text[seeds], np.append(symbols, symbols[-1] + 1))
-    for k, c in enumerate(symbols):
-        rank, place = queue.pop(c)
-        begin, before = first.n, None
-        while len(rank):
-            at = first.n
-            prefix = first.induced(rank if before is None else np.append(before, rank), cap)
-            first.add(place, prefix if before is None else prefix[1:])
-            before, here = rank[-1], np.arange(at, first.n)
-            inner = place > 0
-            left, here = place[inner] - 1, here[inner]
-            inner = ~small[left]
-            left, here = left[inner], here[inner]
-            same = text[left] == c
-            queue.push(text[left[~same]].astype(np.int64), here[~same], left[~same])
-            rank, place = here[same], left[same]
+    if n <= space.base:
+        return in_memory(np.array(text), cap)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    small = types(text, space)
+    seeds, seed_prefix = _sorted_seeds(text, _seeds(small, space, kind), cap, space, kind)
+    counts = np.zeros((2, 0), np.int64)
+    for a, b in space.steps(n):
+        part, own = np.array(text[a:b], np.int64), np.array(small[a:b], np.int64)
+        size = max(counts.shape[1], int(part.max()) + 1)
+        counts = np.pad(counts, ((0, 0), (0, size - counts.shape[1]))) + np.bincount(2 * part + own, minlength=2 * size).reshape(size, 2).T
+    symbols = np.flatnonzero(counts.sum(axis=0)).tolist()
+    seed_counts = np.zeros(counts.shape[1], np.int64)
+    for a, b in space.steps(len(seeds)):
+        seed_counts += np.bincount(text[np.array(seeds[a:b])], minlength=len(seed_counts))
+    seed_ends = np.cumsum(seed_counts)
+
+    def onward(visited: _Visited, queue: Queue, place: np.ndarray, prefix: np.ndarray, wanted: bool) -> None:
+        """Note suffixes as visited and queue those before them that are of the wanted type."""
+        if not len(place):
+            return
+        prefix = np.asarray(prefix, np.int64)
+        visited.add(place, prefix)
+        at = np.flatnonzero(place > 0)
+        left = place[at].astype(np.int64) - 1
+        good = small[left] == wanted
+        at, left = at[good], left[good]
+        queue.push(text[left], at, left, prefix)
+
+    # Ascending: L suffixes, and behind those of a symbol its seeds.
+    first, queue = _Visited(int(counts[0].sum()) + len(seeds), space, kind), Queue(counts[0], cap, space, kind)
+    large = {}
+    for c in symbols:
+        begin = first.n
+        while len((got := queue.pop(c, space.step))[0]):
+            onward(first, queue, *got, False)
         large[c] = (begin, first.n)
-        a, b = seed_at[k], seed_at[k + 1]
-        if b > a:
-            own = seeds[a:b]
-            prefix = seed_prefix[a:b].copy()
-            prefix[0] = touch(int(first.place[first.n - 1]), int(own[0])) if first.n > begin else 0
-            at = first.n
-            first.add(own, prefix)
-            good = own > 0
-            queue.push(text[own[good] - 1].astype(np.int64), np.arange(at, first.n)[good], own[good] - 1)
-    # Descending: S suffixes, among the L suffixes.
-    second, queue = _Visited(n, space), Queue(space)
+        a, b = int(seed_ends[c] - seed_counts[c]), int(seed_ends[c])
+        for i in range(a, b, space.step):
+            own, prefix = np.array(seeds[i : min(b, i + space.step)]), np.array(seed_prefix[i : min(b, i + space.step)])
+            if i == a:
+                prefix[0] = _pair(text, int(first.place[first.n - 1]), int(own[0]), cap) if first.n > begin else 0
+            onward(first, queue, own, prefix, False)
+    # Descending: S suffixes, and behind those of a symbol its L suffixes.
+    second, queue = _Visited(n, space, kind), Queue(counts[1], cap, space, kind)
     for c in reversed(symbols):
-        rank, place = queue.pop(c)
-        begin, before = second.n, None
+        begin = second.n
         if c == symbols[0]:
-            rank, place = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            second.add(seeds[:1], np.zeros(1, np.int64))
-        while len(rank):
-            at = second.n
-            prefix = second.induced(rank if before is None else np.append(before, rank), cap)
-            second.add(place, prefix if before is None else prefix[1:])
-            before, here = rank[-1], np.arange(at, second.n)
-            inner = place > 0
-            left, here = place[inner] - 1, here[inner]
-            inner = small[left]
-            left, here = left[inner], here[inner]
-            same = text[left] == c
-            queue.push(text[left[~same]].astype(np.int64), here[~same], left[~same])
-            rank, place = here[same], left[same]
+            second.add(np.array([n - 1]), np.zeros(1, np.int64))
+            break
+        while len((got := queue.pop(c, space.step))[0]):
+            onward(second, queue, *got, True)
         a, b = large[c]
-        if b > a:
-            own = np.array(first.place[a:b][::-1])
-            prefix = np.zeros(len(own), np.int64)
-            prefix[1:] = first.prefix[a + 1 : b][::-1]
-            prefix[0] = touch(int(second.place[second.n - 1]), int(own[0])) if second.n > begin else 0
-            at = second.n
-            second.add(own, prefix)
-            good = own > 0
-            left, here = own[good] - 1, np.arange(at, second.n)[good]
-            good = small[left]
-            queue.push(text[left[good]].astype(np.int64), here[good], left[good])
-    place, prefix = second.place[: second.n][::-1], np.zeros(second.n, np.int64)
-    prefix[1:] = second.prefix[1 : second.n][::-1]
+        for j in range(b, a, -space.step):
+            i = max(a, j - space.step)
+            own, prefix = np.array(first.place[i:j][::-1]), np.zeros(j - i, np.int64)
+            prefix[1:] = first.prefix[i + 1 : j][::-1]
+            if j < b:
+                prefix[0] = first.prefix[j]
+            elif second.n > begin:
+                prefix[0] = _pair(text, int(second.place[second.n - 1]), int(own[0]), cap)
+            onward(second, queue, own, prefix, True)
+    place, prefix = space.array(n, kind), space.array(n, np.int32)
+    for a, b in space.steps(n):
+        place[n - b : n - a] = second.place[a:b][::-1]
+        prefix[n - b + 1 : n - max(a, 1) + 1] = second.prefix[max(a, 1) : b][::-1]
+    prefix[0] = 0
     return place, prefix

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from spanlake.llm import repeats, suffixes
 
@@ -21,15 +22,39 @@ def brute_order(text, cap):
 def test_suffix_order(monkeypatch):
     rng = np.random.default_rng(1)
     for trial in range(200):
-        a = int(rng.integers(1, 5))
-        text = rng.integers(1, a + 1, int(rng.integers(1, 60)))
-        text = np.append(np.tile(text[:4], 12) if trial % 3 == 0 else text, 0)
-        monkeypatch.setattr(suffixes, "BASE", 2 if trial % 2 else 1 << 22)  # 2: every level recurs
-        with suffixes.Space(200 if trial % 4 == 1 else 1 << 20) as space:  # 200 bytes: queues and arrays go to disk
+        text = rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 200)))
+        text = np.tile(text[:5], 30) if trial % 3 == 0 else text
+        text = np.append(np.concatenate([text, text]) if trial % 5 == 0 else text, 0).astype(np.uint16)
+        monkeypatch.setattr(suffixes, "DIGIT", 2 if trial % 2 else 512)
+        with suffixes.Space([300, 2000, 5000][trial % 3]) as space:  # bytes: arrays go to disk, and the recursion down to few symbols
             place, prefix = suffixes.sort(text, 20, space)
             assert (np.array(place).tolist(), np.array(prefix).tolist()) == brute_order(text, 20)
 
 
+def test_a_shard_ten_times_the_bound():
+    """All of a shard's tables are on disk, and so is its text; the runs equal those found by a table of all windows."""
+    rng = np.random.default_rng(5)
+    length, passage = 60, rng.integers(0, 4, 3000).astype(np.uint8) + 97
+    rows = [np.concatenate([rng.integers(0, 4, 100).astype(np.uint8) + 97, passage[a : a + int(rng.integers(60, 300))]]) for a in rng.integers(0, 2700, 300)]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    bound = 2 * int(offs[-1]) // 10
+    space = suffixes.Space(bound)
+    held = repeats.Stretches(length, space)
+    for k in range(0, 300, 50):
+        own = np.arange(k, k + 50)
+        held.add(own, own, 0 * own, np.concatenate(rows[k : k + 50]), offs[k : k + 51] - offs[k])
+    got = set()
+    with space:
+        for t1, _, lo, n in held.repeated():
+            got |= {(t, p) for t, a, m in zip(t1.tolist(), lo.tolist(), n.tolist()) for p in range(a, a + m)}
+        assert space.n > 10
+    seen = {}
+    for k, r in enumerate(rows):
+        for p in range(len(r) - length + 1):
+            seen.setdefault(r[p : p + length].tobytes(), []).append((k, p))
+    assert got == {x for places in seen.values() if len(places) > 1 for x in places} and got
+
+
 def brute(texts, length):
     seen = {}
     for t in texts:
@@ -62,7 +87,9 @@ def corpus():
     return texts
 
 
-def test_removal(spark):
+@pytest.mark.parametrize("split", [4096, 1])
+def test_removal(spark, monkeypatch, split):
+    monkeypatch.setattr(repeats, "SPLIT", split)
     texts = corpus()
     rows = [(k if k != 5 else None, t, "own") for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
@@ -81,3 +108,22 @@ def test_text_output_is_valid(spark):
     for r in repeats.remove(df, length=21, gram=7, as_text=True).collect():
         r.kept.encode()
         assert r.n_removed > 0
+
+
+def test_runs_of_few_words_stay(spark):
+    long, short = " ".join(f"w{k}" for k in range(60)), "x" * 200
+    rows = [(1, f"uno {long} due"), (2, f"tres {long} nine"), (3, f"five {short} six"), (4, f"seven {short} eight")]
+    got = {r.doc_id: (r.kept, r.n_spans) for r in repeats.remove(spark.createDataFrame(rows, "doc_id long, text string"), length=100, gram=40, as_text=True, least_words=50).collect()}
+    assert got == {1: ("unodue", 1), 2: ("tresnine", 1), 3: (rows[2][1], 0), 4: (rows[3][1], 0)}
+
+
+def test_periodic_texts_and_a_text_longer_than_a_block(spark):
+    rng = random.Random(3)
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    long = "".join(rng.choice("abcdefgh ") for _ in range((1 << 21) + 5000))
+    texts = ["p" + a, a.translate(str.maketrans("ab", "ba")) + "q", long, "start " + long[1000:1500], long[-700:] + " end"]
+    want = {k: w[:3] for k, w in enumerate(brute([t.encode() for t in [*texts[:2], long[900:1600] + "|" + long[-800:], *texts[3:]]], 400))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got.pop(2)[1:] == want.pop(2)[1:] and got == want
