@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from spanlake.llm import near_dedup, packing, quality, repeats
 from spanlake.llm.common import saved, table
-from spanlake.llm.queries import CAPACITY, END_ID, REPEAT_BYTES, THRESHOLD, tokenizer_path
+from spanlake.llm.queries import CAPACITY, END_ID, THRESHOLD, tokenizer_path
+
+#: Passages that go: runs of fifty words or more, made of strings of 200 bytes that occur elsewhere (fifty words of three letters).
+PASSAGE_BYTES, PASSAGE_GRAM, PASSAGE_WORDS = 200, 64, 50
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur elsewhere; n_chars is counted anew."""
-    cut = repeats.remove(docs, length=REPEAT_BYTES, out="__left", as_text=True)
+    """Texts without the passages of fifty words or more that occur elsewhere; n_chars is counted anew."""
+    cut = repeats.remove(docs, length=PASSAGE_BYTES, out="__left", as_text=True, gram=PASSAGE_GRAM, least_words=PASSAGE_WORDS)
     return cut.withColumn("text", F.col("__left")).withColumn("n_chars", F.length("__left").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -35,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_filter), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages), ("best-fit packing", packed)]
 
-#: Tree ensembles, suffix order and tokenization are beyond SQL; tests/llm holds run() against brute force.
+#: Tree ensembles, suffix order and tokenization are beyond SQL.
 ORACLE_SQL = None
 
 
