@@ -3,7 +3,8 @@
 A document's set: distinct shingles of ``size`` words (A-Z lower-cased, words are runs of bytes
 other than 0x20 and 0x09-0x0D). The leading bits of a shingle's hash pick a bucket; a bucket's
 register keeps the least of the rest in compressed form, a count of leading zeros and the next
-mantissa bits. Empty registers borrow from the next full one.
+mantissa bits. An empty register borrows from the first full one in an order of its own, so that few
+shingles still give bands that differ.
 
 Equal sets form one class at once. Classes whose registers agree on a band meet, and are tried
 against each other there: sets of at most SHORT shingles whole, by half hashes (few shingles fill
@@ -41,6 +42,8 @@ MARGIN = 0.15  # below the threshold, in the estimate of pairs with a longer set
 MEET = 2048  # classes of a band that are tried against each other
 PART, WEIGHT = 1024, 1 << 21  # texts, and shingles, of a cluster that are compared at once
 _U = np.uint64
+# Which register an empty one borrows from, by turns: every one has an order of its own, so neighbours borrow from different ones.
+_PROBES = np.stack([np.random.Generator(np.random.PCG64(k)).permutation(BUCKETS) for k in range(BUCKETS)], axis=1)
 _K = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 
 
@@ -78,15 +81,18 @@ def registers(row: np.ndarray, sets: np.ndarray, n: int) -> np.ndarray:
     mantissa = (rest << (zeros + 1).astype(np.uint64)) >> _U(64 - MANTISSA)
     out = np.zeros((n, BUCKETS), np.uint16)
     out[row[first], bucket[first]] = (zeros.astype(np.uint64) << _U(MANTISSA) | mantissa).astype(np.uint16) + 1
-    empty = out == 0
-    some = empty.any(axis=1) & ~empty.all(axis=1)
-    if some.any():
-        part = out[some]
-        twice = np.concatenate([part, part], axis=1)
-        at = np.where(twice != 0, np.arange(2 * BUCKETS), 4 * BUCKETS)
-        at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
-        far = (at - np.arange(BUCKETS)).astype(np.uint16)
-        out[some] = np.where(far == 0, part, (np.take_along_axis(twice, at, axis=1) * np.uint16(31) + far * np.uint16(40503)) | np.uint16(1))
+    some = np.flatnonzero((out == 0).any(axis=1) & out.any(axis=1))
+    at, own = np.nonzero(out[some] == 0)
+    full, at = out[some], some[at]
+    back = np.zeros(n, np.int64)
+    back[some] = np.arange(len(some))
+    for probe in _PROBES:
+        if not len(at):
+            break
+        got = full[back[at], probe[own]]
+        good = got != 0
+        out[at[good], own[good]] = got[good]
+        at, own = at[~good], own[~good]
     return out
 
 
