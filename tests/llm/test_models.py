@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from spanlake.llm import chroma, hmm, html_text, quality, vectors
 
@@ -148,9 +149,44 @@ def test_chroma_report(spark):
     rows = [(0, x[0]), (1, x[1]), (2, x[0]), (50, x[1]), (51, None), (52, []), (None, x[3])]
     got = {r.vec_id: r for r in chroma.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", chroma.melody).collect()}
     assert [m.query_id for m in got[2].matches] == [0] and [m.query_id for m in got[1].matches] == [50] and not got[0].matches
+    assert (got[0].query_class, got[50].query_class, got[2].query_class, got[51].query_class) == (0, 50, None, None)
     assert got[51].n_codes == 0 and got[0].codes_sha256 == chroma.digest(chroma.fingerprint(chroma.melody(x[0])))
 
 
+def brute_matches(prints, queries, most=0.1):
+    """Every query aligned with every recording, one by one."""
+    out = {}
+    for i, codes in prints.items():
+        for q in queries:
+            offset, votes, error = chroma.align(prints[q], codes)
+            n = min(len(prints[q]) - max(offset, 0), len(codes) - max(-offset, 0))
+            if votes and n >= chroma.WINDOW and error <= most and q != i:
+                out[i, q] = (offset, votes, error)
+    return out
+
+
+@pytest.mark.parametrize(("block", "hits"), [(1 << 20, 1 << 21), (500, 300)])
+def test_chroma_matches_equal_brute_force(spark, monkeypatch, block, hits):
+    """The registered query's report over a whole small table, with planted parts, noisy copies, silence and copies of queries."""
+    monkeypatch.setattr(chroma, "BLOCK", block)
+    monkeypatch.setattr(chroma, "HITS", hits)
+    rng = np.random.default_rng(8)
+    tunes = [chroma.melody(rng.normal(size=24)) for _ in range(30)]
+    rows = {k: t for k, t in enumerate(tunes)}
+    rows |= {100 + k: t[chroma.HOP * (k % 5) :] + rng.normal(size=len(t) - chroma.HOP * (k % 5)).astype(np.float32) * 0.02 for k, t in enumerate(tunes[:12])}
+    rows |= {150: tunes[0], 151: tunes[0], 200: np.zeros(6000, np.float32), 201: np.zeros(9000, np.float32), 250: tunes[3], 251: tunes[20][: chroma.FRAME + chroma.HOP * 20]}
+    df = spark.createDataFrame([(k, [float(x) for x in v], "x") for k, v in rows.items()], "vec_id long, embedding array<double>, matches string")
+    got = {r.vec_id: r for r in chroma.report(df, "vec_id", "embedding").collect()}
+    prints = {k: chroma.fingerprint(v) for k, v in rows.items()}
+    asked = sorted(k for k in rows if k % 50 == 0)
+    first = {}
+    for q in asked:
+        first.setdefault(prints[q].tobytes(), q)
+    want = brute_matches(prints, sorted(first.values()))
+    assert {(k, m.query_id): (m.offset, m.votes, m.bit_error) for k, r in got.items() for m in r.matches} == want
+    assert len(want) > 3 and all(r.query_class == (first[prints[k].tobytes()] if k in asked else None) for k, r in got.items())
+
+
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PART", 16)
     rng = np.random.default_rng(6)
