@@ -1,25 +1,28 @@
 """Byte-level BPE over whole texts, with the ids that the tokenizers library gives.
 
 A text is cut before single spaces into pieces that the pre-tokeniser's pattern treats
-independently. A piece seen before is looked up by its hash; a new one is split by the
-pattern and merged, all new ones of a block at once, by the vocabulary's own merge ranks.
-Long runs that the pattern does not split go by tree concatenation (``encode_unsplit``).
-Texts that hold an added token's text, or white space that could span pieces, go to the
-library itself.
+independently. A piece seen before is looked up by its hash and its bytes; a new one is split by the
+pattern into runs, all new ones of a block at once. Runs of over LEAF bytes go by tree
+concatenation: parts of LEAF bytes are merged side by side by the vocabulary's own ranks, then
+neighbours are joined level by level, all joins of a level at once, by re-encoding growing windows
+around each join until both sides agree (``joined``). With ``by_library`` new pieces are encoded by the library instead.
+Texts that hold an added token's text, white space that could span pieces, or a piece whose hash
+another piece has, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import regex
 
-from .common import Ranges, quiet_tokenizers
+from .common import Ranges, quiet_tokenizers, spots
 
 # Fixed value: the pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF = 256  # bytes of an unsplit run that are merged without a tree
+LEAF = 8  # bytes of an unsplit run that are merged without a tree
 TABLE_ROWS = 1 << 21  # pieces that a process remembers
 _NONE = np.int64(1) << 40
 
@@ -36,15 +39,16 @@ def byte_symbols() -> list[str]:
 class Bpe:
     """One vocabulary in one process."""
 
-    _open: dict[str, Bpe] = {}
+    _open: dict[tuple, Bpe] = {}
 
     @classmethod
-    def at(cls, path: str) -> Bpe:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def at(cls, path: str, by_library: bool = False) -> Bpe:
+        if (path, by_library) not in cls._open:
+            cls._open[path, by_library] = cls(path, by_library)
+        return cls._open[path, by_library]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_library: bool = False):
+        self.by_library = by_library
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -79,14 +83,15 @@ class Bpe:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.offs = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
+        self.offs, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a piece's ids in flat
         self.flat = np.zeros(0, np.uint32)
+        self.raw_offs, self.raw_lens = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of its bytes in raw
+        self.raw = np.zeros(0, np.uint8)
 
-    def merge_flat(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all runs, joined, and their number by run; the pattern splits no run. All are merged side by side."""
-        tok = self.first[np.frombuffer(b"".join(runs), np.uint8)]
-        own = np.repeat(np.arange(len(runs)), np.array([len(r) for r in runs], np.int64))
+    def merge_flat(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of bytes, joined, and their number by run; the pattern splits no run. All are merged side by side."""
+        tok = self.first[data]
+        own = np.repeat(np.arange(len(sizes)), sizes)
         done_tok, done_own = [tok[:0]], [own[:0]]
         while len(tok):
             key = tok[:-1] * self.key_shift + tok[1:]
@@ -95,8 +100,8 @@ class Bpe:
             good = (self.keys[at] == key) & (own[1:] == own[:-1])
             rank[:-1][good] = self.rank[at[good]]
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sizes = np.diff(np.append(starts, len(tok)))
-            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            many = np.diff(np.append(starts, len(tok)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), many)
             stay = best != _NONE
             done_tok.append(tok[~stay])
             done_own.append(own[~stay])
@@ -110,38 +115,63 @@ class Bpe:
             stay[pos + 1] = False
             tok, own = tok[stay], own[stay]
         tok, own = np.concatenate(done_tok), np.concatenate(done_own)
-        return tok[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(runs))
-
-    def merge(self, runs: list[bytes]) -> list[np.ndarray]:
-        flat, lens = self.merge_flat(runs)
-        return np.split(flat, np.cumsum(lens)[:-1]) if runs else []
+        return tok[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(sizes))
 
     def encode_unsplit(self, run: bytes) -> np.ndarray:
-        """Tree concatenation: leaves are encoded side by side, then neighbours joined level by level."""
-        if len(run) <= LEAF:
-            return self.merge([run])[0]
-        level = self.merge([run[i : i + LEAF] for i in range(0, len(run), LEAF)])
-        while len(level) > 1:
-            pairs = [self.join(a, b) for a, b in zip(level[::2], level[1::2], strict=False)]
-            level = pairs + ([level[-1]] if len(level) % 2 else [])
-        return level[0]
+        return self.encode_runs([run])[0]
+
+    def encode_runs(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs that the pattern doesn't split, joined, and their number by run, by tree concatenation."""
+        sizes = np.array([len(r) for r in runs], np.int64)
+        parts = -(-sizes // LEAF)
+        own = np.repeat(np.arange(len(runs)), parts)
+        lens = np.full(len(own), LEAF)
+        last = np.cumsum(parts) - 1
+        lens[last[parts > 0]] = (sizes - (parts - 1) * LEAF)[parts > 0]
+        flat, lens = self.merge_flat(np.frombuffer(b"".join(runs), np.uint8), lens)
+        while True:
+            # Of each run's parts, the first and second, the third and fourth ... are joined.
+            heads = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+            place = np.arange(len(own)) - np.maximum.accumulate(np.where(heads, np.arange(len(own)), 0))
+            right = np.flatnonzero(place % 2 == 1)
+            if not len(right):
+                return flat, np.bincount(own, lens, len(runs)).astype(np.int64)
+            flat, lens = self.joined(flat, lens, right)
+            own = np.delete(own, right)
 
-    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Re-encode growing windows around the join until the outermost ids on both sides agree.
+    def joined(self, flat: np.ndarray, lens: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences of ids with each of ``right`` joined to the one before it.
 
         BPE's result is the one sequence in which every two neighbours encode to themselves, so
         once a window's first and last ids are those that stood there before, the whole is exact.
         """
-        k = 4
-        while True:
-            a, b = min(k, len(left)), min(k, len(right))
-            window = self.piece(np.concatenate([left[len(left) - a :], right[:b]]))
-            new = self.merge([window])[0]
-            first = a == len(left) or new[0] == left[len(left) - a]
-            last = b == len(right) or new[-1] == right[b - 1]
-            if first and last:
-                return np.concatenate([left[: len(left) - a], new, right[b:]])
-            k *= 2
+        ends = np.cumsum(lens)
+        middle, before, after = ends[right - 1], lens[right - 1], lens[right]
+        a, b, todo, k = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64), np.arange(len(right)), 4
+        found, at, many = [flat], np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
+        held = len(flat)
+        while len(todo):
+            a[todo], b[todo] = np.minimum(k, before[todo]), np.minimum(k, after[todo])
+            size = a[todo] + b[todo]
+            ids = flat[spots(middle[todo] - a[todo], size)]
+            width = np.add.reduceat(self.piece_len[ids], np.cumsum(size) - size)
+            new, count = self.merge_flat(self.decode_bytes(ids), width)
+            stops = np.cumsum(count)
+            first = (a[todo] == before[todo]) | (new[stops - count] == flat[middle[todo] - a[todo]])
+            last = (b[todo] == after[todo]) | (new[stops - 1] == flat[middle[todo] + b[todo] - 1])
+            good = first & last
+            at[todo], many[todo] = held + stops - count, count
+            found.append(new)
+            held += len(new)
+            todo, k = todo[~good], 2 * k
+        # Each sequence as up to three parts: what stays on the left, the window, what stays on the right.
+        begin, size = np.zeros((len(lens), 3), np.int64), np.zeros((len(lens), 3), np.int64)
+        begin[:, 0], size[:, 0] = ends - lens, lens
+        size[right - 1, 0] = before - a
+        begin[right - 1, 1], size[right - 1, 1] = at, many
+        begin[right - 1, 2], size[right - 1, 2] = middle + b, after - b
+        begin, size = np.delete(begin, right, 0), np.delete(size, right, 0)
+        return np.concatenate(found)[spots(begin.ravel(), size.ravel())], size.sum(axis=1)
 
     def piece(self, ids: np.ndarray) -> bytes:
         return self.decode_bytes(ids).tobytes()
@@ -153,39 +183,32 @@ class Bpe:
         total = int(ends[-1]) if len(ends) else 0
         return self.piece_bytes[np.repeat(self.piece_off[ids] - (ends - lens), lens) + np.arange(total)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
-        """Add new pieces to the table."""
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, joined, and their number by piece."""
+        if self.by_library:
+            got = [x.ids for x in self.library.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.int64), np.array([len(x) for x in got], np.int64)
         index: dict[str, int] = {}
-        long: dict[int, np.ndarray] = {}
         own, parts = [], []
-        for k, p in enumerate(pieces):
+        for p in pieces:
             found = self.split.findall(p.decode("utf-8", "surrogateescape"))
             parts.extend(index.setdefault(x, len(index)) for x in found)
             own.append(len(found))
-        runs = [x.encode("utf-8", "surrogateescape") for x in index]
-        for k, r in enumerate(runs):
-            if len(r) > LEAF:
-                long[k] = self.encode_unsplit(r)
-                runs[k] = b""
-        flat, lens = self.merge_flat(runs)
-        if long:
-            ids = np.split(flat, np.cumsum(lens)[:-1])
-            for k, v in long.items():
-                ids[k] = v
-            flat, lens = np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
-        starts = np.cumsum(lens) - lens
-        parts = np.array(parts, np.int64)
-        part_lens = lens[parts]
-        ends = np.cumsum(part_lens)
-        got = flat.astype(np.uint32)[np.repeat(starts[parts] - (ends - part_lens), part_lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], np.cumsum(np.array(own, np.int64))])
-        ends = np.concatenate([[0], ends])
-        offs = ends[bounds[:-1]] + len(self.flat)
-        new_lens = ends[bounds[1:]] - ends[bounds[:-1]]
+        flat, lens = self.encode_runs([x.encode("utf-8", "surrogateescape") for x in index])
+        starts, parts = np.cumsum(lens) - lens, np.array(parts, np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lens[parts])])[np.concatenate([[0], np.cumsum(np.array(own, np.int64))])]
+        return flat[spots(starts[parts], lens[parts])], np.diff(bounds)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Add new pieces to the table."""
+        flat, lens = self._ids(pieces)
+        raw_lens = np.array([len(p) for p in pieces], np.int64)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.offs, self.lens = np.insert(self.offs, at, offs), np.insert(self.lens, at, new_lens)
-        self.flat = np.concatenate([self.flat, got])
+        self.offs, self.lens = np.insert(self.offs, at, np.cumsum(lens) - lens + len(self.flat)), np.insert(self.lens, at, lens)
+        self.raw_offs, self.raw_lens = np.insert(self.raw_offs, at, np.cumsum(raw_lens) - raw_lens + len(self.raw)), np.insert(self.raw_lens, at, raw_lens)
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(pieces), np.uint8)])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, joined, and each row's offsets into them."""
@@ -214,6 +237,14 @@ class Bpe:
             self._learn(hashes[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, hashes)
         spot = at[inverse]
+        # A hash alone is no proof: the bytes have to be the piece's, too.
+        size = ends - starts
+        wrong = size != self.raw_lens[spot]
+        same = np.flatnonzero(~wrong)
+        differ = data[spots(starts[same], size[same])] != self.raw[spots(self.raw_offs[spot[same]], size[same])]
+        if differ.any():
+            wrong[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")]] = True
+        odd[rows[wrong]] = True
         lens = self.lens[spot]
         stops = np.cumsum(lens)
         total = int(stops[-1]) if len(stops) else 0

@@ -32,7 +32,7 @@ def pieces(df: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc
     """A row for each piece of each document, with its partition and its place among that partition's pieces of its length."""
 
     def run(batches):
-        bpe, pid = Bpe.at(path), TaskContext.get().partitionId()
+        bpe, pid = Bpe.at(path, by_library=True), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch, data, offs in text_blocks(batches, text):
             ids, at = bpe.encode(data, offs)

@@ -131,7 +131,7 @@ def shards(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str
     """Rows of SHARDS: the files, by range partition and place in it."""
 
     def run(batches):
-        bpe, pid, done, k = Bpe.at(path), TaskContext.get().partitionId(), 0, 0
+        bpe, pid, done, k = Bpe.at(path, by_library=True), TaskContext.get().partitionId(), 0, 0
         keys, lens, parts, held = [], [], [], 0
 
         def close():

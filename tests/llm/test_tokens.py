@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from spanlake.llm import bpe_codec, packing, token_store
+from spanlake.llm import bpe, bpe_codec, packing, token_store
 from spanlake.llm.bpe import Bpe
 from spanlake.llm.common import utf8
 from spanlake.llm.queries import tokenizer_path
@@ -31,19 +31,55 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, token_ids string")
 
 
-def test_block_encoder_equals_the_library(library):
-    bpe, rng = Bpe.at(PATH), random.Random(1)
+@pytest.mark.parametrize("by_library", [False, True])
+def test_block_encoder_equals_the_library(library, by_library):
+    own, rng = Bpe.at(PATH, by_library), random.Random(1)
     texts = ODD + ["".join(rng.choice("abeth '\n\t!.é1") for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    ids, offs = bpe.encode(*utf8(pa.array(texts)))
+    ids, offs = own.encode(*utf8(pa.array(texts)))
     for k, text in enumerate(texts):
         assert ids[offs[k] : offs[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
 
 
 def test_tree_concatenation_equals_the_library(library):
-    rng, bpe = random.Random(2), Bpe.at(PATH)
+    rng, own = random.Random(2), Bpe.at(PATH)
     for alphabet in ("thean", "a", "ab", "etaoinshrdlu"):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(600, 4000)))
-        assert bpe.encode_unsplit(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.encode_unsplit(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 8])
+def test_joins_of_many_runs(library, monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    rng, own = random.Random(7), bpe.Bpe(PATH)
+    runs = ["".join(rng.choice(rng.choice(["thean", "ab", "etaoinshrdlu"])) for _ in range(rng.randint(1, 90))) for _ in range(400)] + ["a" * 300]
+    flat, lens = own.encode_runs([r.encode() for r in runs])
+    for r, ids in zip(runs, np.split(flat, np.cumsum(lens)[:-1]), strict=True):
+        assert ids.tolist() == library.encode(r, add_special_tokens=False).ids
+
+
+def test_pieces_of_one_hash(library, monkeypatch):
+    """A hash that tells no two pieces of a length apart: their bytes do, and periodic words get ids of their own."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), "one two", "two one six", word + " one"]
+
+    class Poor:
+        def __init__(self, data):
+            pass
+
+        def of(self, starts, ends):
+            return (ends - starts).astype(np.uint64)
+
+    for by_library in (False, True):
+        for poor in (False, True):
+            if poor:
+                monkeypatch.setattr(bpe, "Ranges", Poor)
+            own = bpe.Bpe(PATH, by_library)
+            ids, offs = own.encode(*utf8(pa.array(texts)))
+            for k, text in enumerate(texts):
+                assert ids[offs[k] : offs[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+        monkeypatch.undo()
 
 
 def test_codec_round_trip(docs, library):
