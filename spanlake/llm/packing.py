@@ -6,8 +6,9 @@ bins; local search then moves pieces between underfull kinds of bins, or exchang
 or two for one, whenever that raises the sum of squared fills, until bins empty. Each piece then
 finds its bin from its rank among the pieces of its length.
 
-Null text is empty (the end id alone); repeated rows are packed one by one; an empty table
-gives no rows; extra columns don't pass through.
+Null text is empty (the end id alone); texts of any length are packed whole, in pieces; a null id keeps its pieces;
+repeated rows are packed one by one, and which of equally long pieces goes where is no matter; an empty table
+gives no rows; extra columns don't pass through, so their names are no matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .bpe import Bpe
 from .common import saved, text_blocks
 
-STEPS = 20_000  # exchanges that local search makes at most
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
 
@@ -84,52 +84,72 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return bins
 
 
-def _exchange(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
-    """Of two kinds of bins, those after the exchange that fills b most, if it raises the sum of squares."""
-    fa, fb = sum(a), sum(b)
-    most, least = capacity - fb, max(0, fa - fb)
-    ones, back = sorted(set(a)), [0, *sorted(set(b))]
-    many = Counter(a)
-    outs = [(x, (x,)) for x in ones] + [(x + y, (x, y)) for i, x in enumerate(ones) for y in ones[i:] if x != y or many[x] > 1]
-    sums, give = np.array([o[0] for o in outs]), np.array(back)
-    gain = sums[:, None] - give[None, :]
-    gain = np.where((gain > least) & (gain <= most), gain, 0)
-    k = int(gain.argmax())
-    if gain.flat[k] <= 0:
-        return None
-    out, y = outs[k // len(back)][1], back[k % len(back)]
-    new_a, new_b = Counter(a) - Counter(out), Counter(b) + Counter(out)
-    if y:
-        new_a[y] += 1
-        new_b[y] -= 1
-    return tuple(sorted(new_a.elements(), reverse=True)), tuple(sorted(new_b.elements(), reverse=True))
-
-
-def local_search(bins: Counter, capacity: int, steps: int = STEPS) -> Counter:
-    """Exchange pieces between underfull kinds of bins until no exchange helps."""
-    bins, dead = Counter(bins), set()
-    for _ in range(steps):
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))
-        found = None
-        for i, a in enumerate(under):
-            for b in reversed(under[i:]):
-                if (a, b) in dead or a == b and bins[a] < 2:
-                    continue
-                if found := _exchange(a, b, capacity):
-                    break
-                dead.add((a, b))
-            if found:
-                break
-        if not found:
-            break
-        times = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for old in (a, b):
-            bins[old] -= times
-        for new in found:
-            if new:
-                bins[new] += times
-        bins = Counter({k: n for k, n in bins.items() if n > 0})
-    return bins
+class _Bins:
+    """Kinds of underfull bins, their pieces laid out flat, for a search of all exchanges with one kind at once."""
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.capacity, self.many = capacity, Counter()
+        self.kinds: list[tuple] = []
+        self.seen: set[tuple] = set()
+        self.fill, self.piece, self.own = (np.zeros(0, np.int64) for _ in range(3))
+        self.add(bins)
+
+    def add(self, bins: dict[tuple, int]) -> None:
+        """More bins; a kind that was laid out before isn't again."""
+        new = []
+        for kind, n in bins.items():
+            self.many[kind] += n
+            if kind not in self.seen and 0 < sum(kind) < self.capacity:
+                self.seen.add(kind)
+                new.append(kind)
+        give = [[0, *sorted(set(k))] for k in new]
+        self.fill = np.concatenate([self.fill, np.array([sum(k) for k in new], np.int64)])
+        self.piece = np.concatenate([self.piece, np.array([x for g in give for x in g], np.int64)])
+        self.own = np.concatenate([self.own, np.repeat(np.arange(len(self.kinds), len(self.kinds) + len(new)), [len(g) for g in give]).astype(np.int64)])
+        self.kinds += new
+
+    def best(self, a: tuple) -> tuple | None:
+        """The exchange that moves one or two pieces of a to another bin, for one piece back or none, with the greatest rise of the sum of squares: (b, out, back)."""
+        ones, has = sorted(set(a)), Counter(a)
+        outs = [(x,) for x in ones] + [(x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or has[x] > 1]
+        present = np.array([self.many[k] - (k == a) > 0 for k in self.kinds], bool)
+        columns = np.flatnonzero(present[self.own])
+        fill = self.fill[self.own[columns]]
+        moved = np.array([sum(o) for o in outs])[:, None] - self.piece[columns][None, :]
+        rise = moved * (fill - sum(a) + moved)
+        rise[(moved <= 0) | (fill + moved > self.capacity)] = 0
+        k = int(rise.argmax()) if rise.size else 0
+        if not rise.size or rise.flat[k] <= 0:
+            return None
+        out, at = divmod(k, len(columns))
+        return self.kinds[self.own[columns[at]]], outs[out], int(self.piece[columns[at]])
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Exchange pieces between underfull bins, the emptiest first, until no exchange raises the sum of squared fills.
+
+    Every exchange raises that sum, which is bounded, so the search ends by itself; whichever bin is emptied goes.
+    """
+    held = _Bins(bins, capacity)
+    changed = True
+    while changed:
+        changed = False
+        for a in sorted((k for k in held.kinds if held.many[k]), key=lambda k: (sum(k), k)):
+            while held.many[a] and (found := held.best(a)):
+                b, out, back = found
+                times = held.many[a] // 2 if a == b else min(held.many[a], held.many[b])
+                new_a, new_b = Counter(a) - Counter(out), Counter(b) + Counter(out)
+                if back:
+                    new_a[back] += 1
+                    new_b[back] -= 1
+                held.many[a] -= times
+                held.many[b] -= times
+                after: Counter = Counter()
+                for new in (new_a, new_b):
+                    after[tuple(sorted(new.elements(), reverse=True))] += times
+                held.add({k: n for k, n in after.items() if k})
+                changed = True
+    return Counter({k: n for k, n in held.many.items() if n > 0})
 
 
 def places(bins: Counter) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
