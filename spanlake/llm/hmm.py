@@ -1,14 +1,15 @@
 """A hidden Markov language model over words.
 
-Counts of all training words give the base. The model's symbols are the commonest words, one
-symbol for all others, and the end; a word of the others is drawn by its smoothed count. Latent
-states start from a bounded sample and are trained by Baum-Welch: each task adds up expected
-counts, Spark sums them over all training texts. A text's likelihood is the scaled forward
-recursion over its symbols, exactly.
-
-Rows: null text is empty, and has the end alone; a null id is in the empty text's fold; repeated
-rows are scored one by one; without training rows N and V are 0 and every unseen token has the
-base probability 1; an empty table gives no rows; other columns don't pass through.
+Counts of all training words give the base. The model's symbols are the KNOWN commonest words of at most
+WORD bytes (which bounds what is broadcast), one symbol for all others, and the end; a word of the
+others is drawn by its smoothed count, which a join looks up. Latent states start from a bounded
+sample and are trained by Baum-Welch: each task adds up expected counts, Spark sums them over all
+training texts. A text's likelihood is the scaled forward recursion over its symbols, exactly.
+
+Rows: null text is empty, and has the end alone; a null id is in the empty text's fold; texts of any length are
+walked whole; repeated rows are scored one by one, and of equally common words those that sort first are known; without
+training rows N and V are 0 and every unseen token has the base probability 1; an empty table gives
+no rows; other columns don't pass through, so their names are no matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, saved, text_blocks
 
-STATES, SYMBOLS, KNOWN, SAMPLE, ROUNDS, START_ROUNDS = 6, 8192, 1 << 18, 300, 2, 10
+STATES, KNOWN, WORD, SAMPLE, ROUNDS, START_ROUNDS = 6, 1 << 18, 64, 300, 2, 10
 BATCH = 256  # texts that are walked side by side
 FLUSH = 400_000
 
@@ -58,11 +59,11 @@ class Model:
         self.start, self.step, self.draw = start, step, draw
 
     @classmethod
-    def of(cls, start, step, draw, weight: np.ndarray) -> Model:
-        """From expected counts; draws lean a little to the words' overall shares."""
+    def of(cls, start, step, draw, prior: np.ndarray) -> Model:
+        """From expected counts; to each state's draws the prior is added."""
         start = (start + 0.1) / (start + 0.1).sum()
         step = (step + 0.1) / (step + 0.1).sum(axis=1, keepdims=True)
-        draw = draw + 50.0 * weight
+        draw = draw + prior
         return cls(start, step, draw / draw.sum(axis=1, keepdims=True))
 
 
@@ -133,49 +134,58 @@ def _symbols(data: np.ndarray, offs: np.ndarray, index: dict, end: int):
     return out, at, mask, flat
 
 
-def _limited(known: np.ndarray, end: int, symbols: int) -> np.ndarray:
-    """Model symbols of known numbers."""
-    return np.where(known == end, symbols + 1, np.where((known < 0) | (known >= symbols), symbols, known))
+def _limited(known: np.ndarray, end: int) -> np.ndarray:
+    """Model symbols of known numbers: end is the number of words, the other words' symbol; the end's is the next."""
+    return np.where(known == end, end + 1, np.where(known < 0, end, known))
 
 
-def train(docs: DataFrame, head: list[bytes], weight: np.ndarray, symbols: int) -> Model:
-    end = len(head)
-    index = {w: k for k, w in enumerate(head[:symbols])}
+def train(docs: DataFrame, head, weight: np.ndarray, kinds: np.ndarray) -> Model:
+    """A model of the words of ``head``, a broadcast list; by symbol, weight is its share of all tokens and kinds how many words it stands for.
+
+    The prior: half a token of each word, dealt over the states as the base does over all, and a little of the words' overall shares.
+    """
+    end = len(head.value)
+    prior = 0.5 / STATES * kinds + 50.0 * weight
     sample = docs.filter("length(text) > 0").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).select("text")  # for start values only
     got = sample.toArrow()
     blocks = list(text_blocks(got.to_batches(), "text", 1 << 30))
     rng = np.random.default_rng(0)
-    shape = (STATES, symbols + 2)
-    model = Model.of(np.ones(STATES), np.ones((STATES, STATES)) + 20 * np.eye(STATES), rng.gamma(0.3, 1, shape) * weight * 2000, weight)
+    shape = (STATES, end + 2)
+    index = {w: k for k, w in enumerate(head.value)}
+    model = Model.of(np.ones(STATES), np.ones((STATES, STATES)) + 20 * np.eye(STATES), rng.gamma(0.3, 1, shape) * weight * 2000, prior)
     for _ in range(START_ROUNDS if blocks else 0):
         sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(shape)
         for _, data, offs in blocks:
             known, at, _, _ = _symbols(data, offs, index, end)
-            walk(model, _limited(known, end, symbols), at, sums)
-        model = Model.of(*sums, weight)
+            walk(model, _limited(known, end), at, sums)
+        model = Model.of(*sums, prior)
+    names = ["symbol", *(f"e{k}" for k in range(STATES))]
     for _ in range(ROUNDS):
-        now = model
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches, now=now):
+        def run(batches, shared=shared):
+            index = {w: k for k, w in enumerate(head.value)}
             sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(shape)
             for _, data, offs in text_blocks(batches, "text"):
                 known, at, _, _ = _symbols(data, offs, index, end)
-                walk(now, _limited(known, end, symbols), at, sums)
-            flat = np.concatenate([sums[0], sums[1].ravel(), sums[2].ravel()])
-            some = np.flatnonzero(flat > 1e-9)
+                walk(shared.value, _limited(known, end), at, sums)
+            # Rows: the start, the steps from each state, then the draws of each symbol.
+            table = np.concatenate([sums[0][None], sums[1], sums[2].T])
+            some = np.flatnonzero((table > 1e-9).any(axis=1))
             for i in range(0, len(some), 20_000):
                 part = some[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(flat[part])], ["cell", "n"])
-
-        rows = docs.select("text").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row a parameter at most
-        flat = np.zeros(STATES + STATES * STATES + STATES * (symbols + 2))
-        flat[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-        a, b = STATES, STATES + STATES * STATES
-        model = Model.of(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(shape), weight)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x) for x in table[part].T)], names)
+
+        added = docs.select("text").mapInArrow(run, "symbol int, " + ", ".join(f"{n} double" for n in names[1:]))
+        rows = added.groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()  # KNOWN rows and a few
+        table = np.zeros((1 + STATES + end + 2, STATES))
+        table[rows.column(0).to_numpy()] = np.stack([rows.column(k + 1).to_numpy() for k in range(STATES)], axis=1) if rows.num_rows else 0
+        model = Model.of(table[0], table[1 : STATES + 1], table[STATES + 1 :].T, prior)
+        shared.destroy()
     return model
 
 
-def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN, symbols: int = SYMBOLS) -> DataFrame:
+def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) == held_out_fold)
     learn = docs.filter(~F.col("held_out"))
@@ -183,21 +193,18 @@ def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN, symbols:
     n_docs = learn.count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = words + n_docs, distinct + (1 if n_docs else 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(known).collect()  # ``known`` rows at most
+    top = counts.filter(F.length("word") <= WORD).orderBy(F.desc("c"), "word").limit(known).collect()  # ``known`` short rows at most
     head, head_counts = [bytes(r.word) for r in top], np.array([r.c for r in top], float)
-    symbols = min(symbols, len(head))
-    end, rest = len(head), words - head_counts[:symbols].sum()
-    shares = np.append(head_counts[:symbols], [rest, n_docs]) + 0.5
-    weight = shares / shares.sum()
-    model = train(learn, head, weight, symbols)
-    below, bottom = total + 0.5 * (kinds + 1), rest + 0.5 * (distinct - symbols + 1)
+    end, rest, session = len(head), words - head_counts.sum(), docs.sparkSession
+    types = np.append(np.ones(end), [distinct - end + 1, 1])
+    shares = np.append(head_counts, [rest, n_docs]) + 0.5 * types
+    model = train(learn, session.sparkContext.broadcast(head), shares / shares.sum(), types)
+    below, bottom = total + 0.5 * (kinds + 1), rest + 0.5 * (distinct - end + 1)
     base = np.log10((np.append(head_counts, [n_docs, 0.0]) + 0.5) / below)  # the last: unseen
-    tail = np.log10((np.append(head_counts, [n_docs, 0.0]) + 0.5) / bottom)
-    tail[:symbols] = 0
-    tail[end] = 0
+    tail = np.zeros(end + 2)
+    tail[-1] = np.log10(0.5 / bottom)
     every = len(head) == distinct  # no word beyond the head: no look-up
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, others array<struct<word:binary,n:long>>"
-    session = docs.sparkSession
     shared = session.sparkContext.broadcast((head, base, tail, model))
 
     def run(batches):
@@ -211,7 +218,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN, symbols:
             place = np.where(number < 0, len(base) - 1, number)
             lost = number < 0
             add = lambda table: np.bincount(own, np.where(lost & (not every), 0, table[place]), n)  # noqa: E731, B023
-            out = walk(model, _limited(number, end, len(model.draw[0]) - 2), at)
+            out = walk(model, _limited(number, end), at)
             others: list = [None] * n
             if not every:
                 at_word = np.flatnonzero(lost[mask])
