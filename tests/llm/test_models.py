@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from spanlake.llm import chroma, hmm, html_text, quality, vectors
@@ -187,8 +189,9 @@ def test_chroma_matches_equal_brute_force(spark, monkeypatch, block, hits):
     assert len(want) > 3 and all(r.query_class == (first[prints[k].tobytes()] if k in asked else None) for k, r in got.items())
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "PART", 16)
+@pytest.mark.parametrize("part", [16, 65_536])
+def test_vectors_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(vectors, "PART", part)
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 16))
     x = np.concatenate([base, base[:40] + rng.normal(size=(40, 16)) * 0.12, base[:20] + rng.normal(size=(20, 16)) * 0.05, base[:10], base[:10]])
@@ -201,3 +204,36 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(got[k].n_links == 0 and got[k].kept for k in (900, 901, 902, 903, 904, None))
     assert got[120].component_id == 0 and not got[120].kept
     assert vectors.groups(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_visits_are_the_nearest_cells():
+    rng = np.random.default_rng(1)
+    a, b = rng.random((20, 9)), rng.random((20, 7))
+    query, row, column = vectors.visits(a, b, 0.4)
+    for k in range(20):
+        mine = query == k
+        cells = {int(r) * 7 + int(c) for r, c in zip(row[mine], column[mine], strict=True)}
+        assert cells and cells == set(vectors.traversal(a[k], b[k], len(cells)))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_recall_of_planted_pairs(spark, tmp_path, kind):
+    """40,000 vectors without structure, 1,500 of them with a neighbour at a cosine of 0.95 to 0.97."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(38_500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=(1500, 64))
+    noise -= (noise * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    cos = rng.uniform(0.9502, 0.97, 1500)[:, None]
+    near = cos * x[:1500] + np.sqrt(1 - cos**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = np.concatenate([x, near]).astype(np.float32 if kind == "float" else np.float64)
+    pq.write_table(pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet").selectExpr("vec_id", f"cast(embedding as array<{kind}>) embedding")
+    got = vectors.groups(df).toPandas().set_index("vec_id").sort_index()
+    u = rows.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.zeros(len(u), np.int64)
+    for i in range(0, len(u), 2000):
+        want[i : i + 2000] = (u[i : i + 2000] @ u.T >= 0.95).sum(1) - 1
+    assert want.sum() >= 3000 and (got.n_links.to_numpy() <= want).all()
+    assert got.n_links.sum() >= 0.995 * want.sum(), got.n_links.sum() / want.sum()
