@@ -11,10 +11,11 @@ host's template. What lies between their tokens are slots. The texts of valid cl
 slots that hold a text of the page's own are template and are dropped; a text that is frequent by itself is not.
 What is left is labelled by its elements: slots under an article or main element are the page's text, or all slots
 on a page without one. Elements that are menus, headers, footers, sidebars, notices, adverts,
-forms or comments by their tag, class, id or role are no part of a slot.
+forms or comments are no part of a slot: by their tag, or as a hint by their class, id or role, if all its parts say so.
 
-Rows: null html is empty text; a null url is the empty host; pages of a
-host with the same html count once in its template, and each has its text; an empty table gives no rows; other columns don't pass through.
+Rows: null html is empty text; a null url is the empty host; pages of any length are read whole; pages of a
+host with the same html count once in its template, and each has its text; of classes with equal vectors those whose tokens
+come first lead; an empty table gives no rows; other columns don't pass through, so their names are no matter.
 """
 
 from __future__ import annotations
@@ -31,14 +32,22 @@ from pyspark.sql import functions as F
 from .common import saved
 
 FLUSH = 200_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(script|style|noscript|template|svg|textarea|select|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
+HOSTS = 1000  # templates that a task holds ready
+TEMPLATE_TOKENS = 1 << 20  # tokens of all templates up to which they are broadcast
+# A tag, by the states of HTML's tokenizer: a quote opens a value only right after the equals sign.
+_TAG = r"</?[a-zA-Z][^\s/>]*+(?>\s++|/(?!>)|[^\s/>=]++(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?|=)*+/?>"
+# Elements of plain text end at their end tag alone.
+_RAW = r"<(script|style|textarea|title|iframe|noframes|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|$)"
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|" + _RAW + "|" + _TAG + "|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Tags that break a block, that hold boilerplate, and that have no end.
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside blockquote pre hr form figure figcaption address details summary fieldset body html".split())
-BOILER = frozenset("nav aside form footer button dialog menu head".split())
+BOILER = frozenset("nav aside form footer button dialog menu head select datalist noscript template svg object".split())
+CONTROLS = frozenset("select datalist button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe share sharing social related comment comments reply replies disqus respond footer search login contentinfo complementary".split())
+PLAIN = frozenset("list box bar block section wrapper wrap container content item items link links post posts panel widget area inner outer top bottom left right site page main primary secondary global user reader form signup button buttons group row column col toggle".split())
 HEADERS = frozenset("header site-header page-header masthead topbar top-bar".split())
 
 
@@ -50,7 +59,8 @@ def _boiler(name: str, tag: str, in_article: bool) -> bool:
             if word in HEADERS and not in_article:
                 return True
             if name not in ("article", "main", "body", "html") or word.startswith("comment"):
-                if any(part in WORDS for part in re.split(r"[-_]", word)):
+                said = [x in WORDS for x in re.split(r"[-_]+", word) if x not in PLAIN]
+                if said and all(said):
                     return True
     return False
 
@@ -58,15 +68,24 @@ def _boiler(name: str, tag: str, in_article: bool) -> bool:
 def parse(html: str) -> tuple[list, list]:
     """Tokens (path, what) of a page, and its slots: (block, in an article, boilerplate, number of the text's token or -1, text)."""
     tokens, slots, path = [], [], []
-    block, article, skip, depth = 0, 0, "", 0
+    block, article, skip = 0, 0, 0  # skip: the path's length down to the outermost boilerplate, or 0
+
+    def close(depth: int) -> None:
+        nonlocal article, skip
+        while len(path) > depth:
+            if path.pop() in ("article", "main") and (not skip or len(path) + 1 < skip):
+                article -= 1
+            if len(path) < skip:
+                skip = 0
+
     for m in _TOKEN.finditer(html):
         t = m[0]
         if t[0] != "<" or t == "<":
             if t.strip():
-                slots.append((block, article > 0, bool(skip), len(tokens), t))
+                slots.append((block, article > 0, skip > 0, len(tokens), t))
                 tokens.append(("/".join(path), t.strip()))
             elif slots:
-                slots.append((block, article > 0, bool(skip), -1, t))
+                slots.append((block, article > 0, skip > 0, -1, t))
             continue
         if t[1] in "!?" or m[1]:
             continue
@@ -74,31 +93,27 @@ def parse(html: str) -> tuple[list, list]:
         if name in BLOCK:
             block += 1
         elif name == "br":
-            slots.append((block, article > 0, bool(skip), -1, " "))
+            slots.append((block, article > 0, skip > 0, -1, " "))
         if t[1] == "/":
             tokens.append(("/".join(path), t[:2] + name))
             if name in path:
-                while path and path[-1] != name:
-                    path.pop()
-                path.pop()
-            if skip == name:
-                depth -= 1
-                if not depth:
-                    skip = ""
-            if not skip and article and name in ("article", "main"):
-                article -= 1
+                close(len(path) - 1 - path[::-1].index(name))
             continue
+        if name in BLOCK and path and (open_at := next((k for k, x in enumerate(path) if x in CONTROLS), None)) is not None:
+            close(open_at)  # a control that was never closed holds no blocks
         tokens.append(("/".join(path), name))
         if name in VOID or t.endswith("/>"):
             continue
-        if name == "p" and path and path[-1] in ("p", "b", "i", "em", "strong", "a", "span"):
-            while path and path[-1] in ("p", "b", "i", "em", "strong", "a", "span"):
-                path.pop()
+        if name == "p":
+            depth = len(path)
+            while depth and path[depth - 1] in ("p", "b", "i", "em", "strong", "a", "span"):
+                depth -= 1
+            close(depth)
         path.append(name)
         if skip:
-            depth += name == skip
-        elif _boiler(name, t, article > 0):
-            skip, depth = name, 1
+            continue
+        if _boiler(name, t, article > 0):
+            skip = len(path)
         elif name in ("article", "main"):
             article += 1
     return tokens, slots
@@ -213,17 +228,23 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     kinds = dict(pages.dtypes)
-    df = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(templates(pages), "host", "left").select("page_id", "url", "html", "template", "host")
+    found, _ = saved(templates(pages), "templates")
+    size = found.agg(F.sum(F.expr("aggregate(template, 0L, (n, c) -> n + size(c))"))).first()[0] or 0
+    if size <= TEMPLATE_TOKENS:
+        found = F.broadcast(found)  # else a join by host, whose crowded hosts adaptive execution splits
+    df = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(found, "host", "left").select("page_id", "url", "html", "template", "host")
 
     def run(batches):
-        last, known = None, {}
+        seen: dict[str, dict] = {}
         for batch in batches:
             html, template, host = batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist()
             texts = []
             for k, page in enumerate(html):
-                if host[k] != last:
-                    last, known = host[k], places(template[k].as_py() or [])
-                texts.append(main_text(page or "", known))
+                if host[k] not in seen:
+                    if len(seen) >= HOSTS:
+                        seen.clear()
+                    seen[host[k]] = places(template[k].as_py() or [])
+                texts.append(main_text(page or "", seen[host[k]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return df.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

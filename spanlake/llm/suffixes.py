@@ -85,7 +85,7 @@ class Rows:
 def _ranges(table: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The least of table[first .. last] for each pair."""
     size = last - first + 1
-    if int(size.sum()) <= 8 * len(table):
+    if int(size.sum()) <= 20_000 + 8 * len(table):
         at = np.empty(2 * len(first), np.int64)
         at[::2], at[1::2] = first, last + 1
         return np.minimum.reduceat(np.append(table, table[-1]), at)[::2]
@@ -110,7 +110,7 @@ class Queue:
         self.into = self.ends - counts
         self.out, self.cap = self.into.copy(), cap
         self.place, self.prefix = space.array(int(counts.sum()), kind), space.array(int(counts.sum()), np.int32)
-        self.low = np.full(len(counts), -1, np.int64)  # least prefix visited since a symbol's last tuple; -1: it has none
+        self.low = np.full(len(counts), -1, np.int32)  # least prefix visited since a symbol's last tuple; -1: it has none
 
     def push(self, symbol: np.ndarray, at: np.ndarray, place: np.ndarray, visited: np.ndarray) -> None:
         """Tuples for the places before some of the suffixes that were just visited: those at ``at``; ``visited`` are the prefixes of them all."""
@@ -120,7 +120,7 @@ class Queue:
             new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
             heads = np.flatnonzero(new)
             own = symbol[heads]
-            low = np.empty(len(at), np.int64)
+            low = np.empty(len(at), np.int32)
             low[heads] = np.minimum(self.low[own], np.minimum.accumulate(visited)[at[heads]])
             rest = np.flatnonzero(~new)
             if len(rest):
@@ -131,7 +131,7 @@ class Queue:
             self.into[own] += sizes
         np.minimum(self.low, int(visited.min()), out=self.low)
         if len(symbol):
-            ahead = np.append(np.minimum.accumulate(visited[::-1])[::-1], self.cap)
+            ahead = np.append(np.minimum.accumulate(visited[::-1])[::-1], np.int32(self.cap))
             self.low[own] = ahead[at[heads + sizes - 1] + 1]
 
     def pop(self, symbol: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +225,14 @@ def _named(text: np.ndarray, seeds: np.ndarray, which: np.ndarray, at: int, firs
     last = len(seeds) - 1
 
     def symbols(own: np.ndarray, at: int) -> np.ndarray:
+        return next(columns(own, at, 1))
+
+    def columns(own: np.ndarray, at: int, n: int):
         own = np.asarray(own, np.int64)
         where = seeds[own].astype(np.int64) + at
-        ends = seeds[np.minimum(own + 1, last)].astype(np.int64)
-        return np.where(where <= ends, text[np.minimum(where, len(text) - 1)], _END).astype(np.uint64)
+        left = seeds[np.minimum(own + 1, last)] - where
+        for k in range(n):
+            yield np.where(left >= k, text[np.minimum(where + k, len(text) - 1)], np.uint16(_END)).astype(np.uint64)
 
     n = len(which)
     if n > space.step:
@@ -265,9 +269,9 @@ def _named(text: np.ndarray, seeds: np.ndarray, which: np.ndarray, at: int, firs
     which = np.array(which)
     group, live = np.zeros(n, np.int64), np.arange(n)
     while len(live):
-        key = symbols(which[live], at)
-        for k in range(1, 4):
-            key = key << np.uint64(16) | symbols(which[live], at + k)
+        key = np.zeros(len(live), np.uint64)
+        for symbol in columns(which[live], at, 4):
+            key = key << np.uint64(16) | symbol
         order = np.argsort(key) if len(live) == n else np.lexsort((key, group[live]))
         live, key = live[order], key[order]
         g = group[live]
@@ -357,7 +361,7 @@ def sort(text: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarr
         """Note suffixes as visited and queue those before them that are of the wanted type."""
         if not len(place):
             return
-        prefix = np.asarray(prefix, np.int64)
+        prefix = np.asarray(prefix, np.int32)
         visited.add(place, prefix)
         at = np.flatnonzero(place > 0)
         left = place[at].astype(np.int64) - 1

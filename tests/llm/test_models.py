@@ -26,6 +26,40 @@ def test_main_text():
     assert html_text.main_text("<body><p>keep</p><div id=sidebar><p>no</p></div><p>too < 3</p>", frozenset()) == "keep\ntoo < 3"
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<article><div class='related-work'>a</div><p class='social-history'>b</p><p class='ad-hoc'>c</p><div class='social-share'>no</div><p class='ad banner'>no</p></article>", "a\nb\nc"),
+        ("<article><p title=it's>Hello</p><p data-x = 'a>b' y=\"c>d\">there</p><a href=/x/>link</a></article>", "Hello\nthere\nlink"),
+        ("<article><p>one</p><select><option>A<option>B<p>two</p></article>", "one\ntwo"),
+        ("<article><div><select><option>A</div>three<aside>no<p>no</p></article><p>out</p>", "three"),
+        ("<article><p>x<script>if (a < b) '</p>'</script >y</p><svg><text>no</text></svg><noscript><p>no</p></noscript><p>z</article><article class=comment><p>rude</p></article>", "xy\nz"),
+        ("<main><article><p>in</p></article><p>still in</p></main><p>out</p>", "in\nstill in"),
+        ("<p>1 < 2 & 3 > 2 &lt;b&gt; &#233;&nbsp;x</p><p title=\"unclosed>text</p>", "1 < 2 & 3 > 2 <b> é x\ntext"),
+    ],
+)
+def test_odd_markup(body, text):
+    assert html_text.main_text(f"<html><body>{body}</body></html>", {}) == text
+
+
+def test_the_template_decides(spark, monkeypatch):
+    """With the templates emptied, texts that stand on all pages of a host come back."""
+    rows = [(k, f"http://h.example/{k}", f"<body><div>Same top</div><article><p>Own {k} {k}</p><p>Read more</p><i>of us</i></article>") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_it = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    real = html_text.templates
+    monkeypatch.setattr(html_text, "templates", lambda pages: real(pages).limit(0))
+    without = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert with_it == {k: f"Own {k} {k}" for k in range(6)} and without == {k: f"Own {k} {k}\nRead more\nof us" for k in range(6)}
+
+
+def test_a_page_longer_than_a_block(spark):
+    text = " ".join(f"w{k}" for k in range(400_000))
+    df = spark.createDataFrame([(1, None, f"<article><p>{text}</p></article>", "x", 3)], "page_id long, url string, html string, template string, host int")
+    (r,) = html_text.extract(df).collect()
+    assert r.text == text and r.n_chars == len(text) > 1 << 21
+
+
 def test_pages_without_article_use_the_template(spark):
     rows = [(k, f"http://h.example/{k}", f"<body><div>Same top</div><p>Own text {k} {k}</p><div>Same end</div>", 1) for k in range(6)] + [(9, None, None, 1), (9, None, "", 1)]
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect())
