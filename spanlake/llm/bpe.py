@@ -23,7 +23,7 @@ from .common import Ranges, quiet_tokenizers, spots
 # Fixed value: the pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 8  # bytes of an unsplit run that are merged without a tree
-TABLE_ROWS = 1 << 21  # pieces that a process remembers
+TABLE_ROWS = 1 << 20  # pieces that a process remembers
 _NONE = np.int64(1) << 40
 
 
@@ -83,9 +83,9 @@ class Bpe:
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.offs, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a piece's ids in flat
+        self.offs, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)  # of a piece's ids in flat
         self.flat = np.zeros(0, np.uint32)
-        self.raw_offs, self.raw_lens = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of its bytes in raw
+        self.raw_offs, self.raw_lens = np.zeros(0, np.int32), np.zeros(0, np.int32)  # of its bytes in raw
         self.raw = np.zeros(0, np.uint8)
 
     def merge_flat(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ class Bpe:
         keep = ~odd[rows]
         starts, ends, rows = starts[keep], ends[keep], rows[keep]
         hashes, first, inverse = np.unique(Ranges(data).of(starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > TABLE_ROWS:
+        if len(self.hashes) > TABLE_ROWS or max(len(self.flat), len(self.raw)) > 1 << 28:
             self.forget()
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)

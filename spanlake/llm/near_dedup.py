@@ -40,7 +40,7 @@ BUCKETS, MANTISSA, BAND = 128, 11, 4
 SHORT = 256  # shingles of sets that are compared whole, without the estimate
 MARGIN = 0.15  # below the threshold, in the estimate of pairs with a longer set
 MEET = 2048  # classes of a band that are tried against each other
-PART, WEIGHT = 1024, 1 << 21  # texts, and shingles, of a cluster that are compared at once
+PART, WEIGHT = 1024, 1 << 20  # texts, and shingles, of a cluster that are compared at once
 _U = np.uint64
 # Which register an empty one borrows from, by turns: every one has an order of its own, so neighbours borrow from different ones.
 _PROBES = np.stack([np.random.Generator(np.random.PCG64(k)).permutation(BUCKETS) for k in range(BUCKETS)], axis=1)

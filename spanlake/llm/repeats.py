@@ -27,7 +27,7 @@ from . import suffixes
 from .common import SPACE, Ranges, drop, mix, parts, saved, spots, text_blocks, utf8, windows, words
 
 GRAM = 160  # bytes of an anchor; shorter than the windows
-SHARD_BYTES = 4 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
+SHARD_BYTES = 2 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
 SPLIT = 4096  # kinds of stretches of one gram that go to one shard
 _KEYS = ["__t1", "__t2"]
 

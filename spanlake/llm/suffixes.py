@@ -82,6 +82,11 @@ class Rows:
         return np.memmap(self.path, self.kind, "r+", shape=(self.n,))
 
 
+def _width(cap: int):
+    """Numbers that hold common prefixes up to cap."""
+    return np.int16 if cap < 1 << 15 else np.int32
+
+
 def _ranges(table: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The least of table[first .. last] for each pair."""
     size = last - first + 1
@@ -109,7 +114,7 @@ class Queue:
         self.ends = np.cumsum(counts)
         self.into = self.ends - counts
         self.out, self.cap = self.into.copy(), cap
-        self.place, self.prefix = space.array(int(counts.sum()), kind), space.array(int(counts.sum()), np.int32)
+        self.place, self.prefix = space.array(int(counts.sum()), kind), space.array(int(counts.sum()), _width(cap))
         self.low = np.full(len(counts), -1, np.int32)  # least prefix visited since a symbol's last tuple; -1: it has none
 
     def push(self, symbol: np.ndarray, at: np.ndarray, place: np.ndarray, visited: np.ndarray) -> None:
@@ -145,8 +150,8 @@ class Queue:
 class _Visited:
     """The order visited so far: places, and the common prefix of each with the one before."""
 
-    def __init__(self, n: int, space: Space, kind):
-        self.place, self.prefix, self.n = space.array(n, kind), space.array(n, np.int32), 0
+    def __init__(self, n: int, cap: int, space: Space, kind):
+        self.place, self.prefix, self.n = space.array(n, kind), space.array(n, _width(cap)), 0
 
     def add(self, place: np.ndarray, prefix: np.ndarray) -> None:
         self.place[self.n : self.n + len(place)] = place
@@ -370,7 +375,7 @@ def sort(text: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarr
         queue.push(text[left], at, left, prefix)
 
     # Ascending: L suffixes, and behind those of a symbol its seeds.
-    first, queue = _Visited(int(counts[0].sum()) + len(seeds), space, kind), Queue(counts[0], cap, space, kind)
+    first, queue = _Visited(int(counts[0].sum()) + len(seeds), cap, space, kind), Queue(counts[0], cap, space, kind)
     large = {}
     for c in symbols:
         begin = first.n
@@ -383,8 +388,9 @@ def sort(text: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarr
             if i == a:
                 prefix[0] = _pair(text, int(first.place[first.n - 1]), int(own[0]), cap) if first.n > begin else 0
             onward(first, queue, own, prefix, False)
+    del seeds, seed_prefix, queue
     # Descending: S suffixes, and behind those of a symbol its L suffixes.
-    second, queue = _Visited(n, space, kind), Queue(counts[1], cap, space, kind)
+    second, queue = _Visited(n, cap, space, kind), Queue(counts[1], cap, space, kind)
     for c in reversed(symbols):
         begin = second.n
         if c == symbols[0]:
@@ -402,7 +408,8 @@ def sort(text: np.ndarray, cap: int, space: Space) -> tuple[np.ndarray, np.ndarr
             elif second.n > begin:
                 prefix[0] = _pair(text, int(second.place[second.n - 1]), int(own[0]), cap)
             onward(second, queue, own, prefix, True)
-    place, prefix = space.array(n, kind), space.array(n, np.int32)
+    del first, queue
+    place, prefix = space.array(n, kind), space.array(n, _width(cap))
     for a, b in space.steps(n):
         place[n - b : n - a] = second.place[a:b][::-1]
         prefix[n - b + 1 : n - max(a, 1) + 1] = second.prefix[max(a, 1) : b][::-1]
