@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,7 @@ from .common import SPACE, Ranges, drop, mix, parts, saved, spots, text_blocks,
 
 GRAM = 160  # bytes of an anchor; shorter than the windows
 SHARD_BYTES = 2 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
+SALTS = 256  # shares that a common stretch is counted in
 SPLIT = 4096  # kinds of stretches of one gram that go to one shard
 _KEYS = ["__t1", "__t2"]
 
@@ -62,18 +64,20 @@ def owners(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _anchors(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """(t1, t2, h, s, lo, n, g): of each text the stretches, by the hashes of their gram and of their bytes, with the gram's place in them."""
+    """(t1, t2, h, s, salt, lo, n, g): of each text the stretches, by the hashes of their gram and of their bytes, with the gram's place in them; salts go round by rows."""
 
     def run(batches):
+        done = TaskContext.get().partitionId() * 31
         for batch, data, offs in text_blocks(batches, text):
             row, h, g, lo, n = owners(data, offs, length, gram)
+            salt, done = (done + row) % SALTS, done + len(offs) - 1
             if not len(row):
                 continue
             s = Ranges(data).of(lo, lo + n - 1 + length)
             t1, t2 = (batch.column(batch.schema.get_field_index(k)).to_numpy()[row] for k in _KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1, t2, h.view(np.int64), s.view(np.int64), (lo - offs[row]).astype(np.int32), n.astype(np.int32), (g - lo).astype(np.int32))], [*_KEYS, "h", "s", "lo", "n", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1, t2, h.view(np.int64), s.view(np.int64), salt.astype(np.int32), (lo - offs[row]).astype(np.int32), n.astype(np.int32), (g - lo).astype(np.int32))], [*_KEYS, "h", "s", "salt", "lo", "n", "g"])
 
-    return df.select(text, *_KEYS).mapInArrow(run, "__t1 long, __t2 long, h long, s long, lo int, n int, g int")
+    return df.select(text, *_KEYS).mapInArrow(run, "__t1 long, __t2 long, h long, s long, salt int, lo int, n int, g int")
 
 
 class Stretches:
@@ -226,8 +230,7 @@ def _cut(df: DataFrame, text: str, length: int, out: str, as_text: bool, least_w
             counts = np.array([0 if x is None else x for x in spans.value_lengths().to_pylist()], np.int64)
             flat = spans.flatten()
             begin = flat.field(0).to_numpy().astype(np.int64) + np.repeat(offs[:-1], counts)
-            many = flat.field(1).to_numpy().astype(np.int64)
-            ends = np.where(many < 0, np.repeat(offs[1:], counts), begin + many - 1 + length)
+            ends = begin + flat.field(1).to_numpy() - 1 + length
             depth = np.bincount(begin, minlength=len(data) + 1) - np.bincount(ends, minlength=len(data) + 1)
             gone = np.cumsum(depth)[: len(data)] > 0
             head = gone.copy()
@@ -267,18 +270,22 @@ def remove(df: DataFrame, text: str = "text", length: int = 400, out: str = "kep
     spark, gram = df.sparkSession, min(gram, length)
     keyed = _keyed(df, text)
     anchors, anchors_path = saved(_anchors(keyed, text, length, gram), "anchors")
-    classes = anchors.groupBy("h", "s").agg(F.count("*").alias("copies"), F.min(F.struct(*_KEYS, "lo", "n", "g")).alias("one"))
+    # A stretch that stands there twice repeats; it is counted in shares first, then by one row of each share, so no share grows with a common stretch alone.
+    share, kind = Window.partitionBy("h", "s", "salt"), Window.partitionBy("h", "s")
+    counted = anchors.withColumns({"many": F.count("*").over(share) > 1, "first": F.row_number().over(share.orderBy("__t1")) == 1}).drop("salt")
+    counted, counted_path = saved(counted, "counted")
+    drop(spark, anchors_path)
+    classes = counted.filter("first").drop("first").withColumns({"again": (F.count("*").over(kind) > 1) | F.col("many"), "one": F.row_number().over(kind.orderBy("__t1")) == 1})
     classes, classes_path = saved(classes, "classes")
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    mixed = classes.join(kinds, "h").select("h", (F.col("kinds") > SPLIT).alias("hot"), "one.*")
+    again = counted.filter("many").select(*_KEYS, "lo", "n").unionByName(classes.filter("again and not many").select(*_KEYS, "lo", "n"))
+    ones = classes.filter("one")
+    kinds = ones.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = ones.join(kinds, "h").select(*_KEYS, "h", "lo", "n", "g", (F.col("kinds") > SPLIT).alias("hot"))
     todo, todo_path = saved(mixed.groupBy(*_KEYS).agg(F.collect_list(F.struct("h", "lo", "n", "g", "hot")).alias("todo")), "todo")
     # One row of each text that has any to do: copies fall together before they are dealt out.
     texts = keyed.select(text, *_KEYS).groupBy(*_KEYS).agg(F.first(text).alias(text))
     stretches = _stretches(texts.join(todo, _KEYS), text, length, gram)
     ends, ends_path = saved(_sorted_shards(stretches.repartition(parts(spark), "h").sortWithinPartitions("h"), length), "ends")
-    # A text that stands there twice repeats from end to end (n = -1): its stretches need no look-up.
-    twice, twice_path = saved(anchors.filter("lo = 0").groupBy(*_KEYS).count().filter("count > 1").select(*_KEYS, F.lit(0).alias("lo"), F.lit(-1).alias("n")), "twice")
-    once = anchors.join(twice, _KEYS, "left_anti").join(classes.filter("copies > 1").select("h", "s"), ["h", "s"], "left_semi").select(*_KEYS, "lo", "n")
-    spans, _ = saved(twice.unionByName(once).unionByName(ends).groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
-    drop(spark, anchors_path, classes_path, todo_path, ends_path, twice_path)
+    spans, _ = saved(again.unionByName(ends).groupBy(*_KEYS).agg(F.collect_set(F.struct("lo", "n")).alias("__spans")), "spans")
+    drop(spark, counted_path, classes_path, todo_path, ends_path)
     return _cut(keyed.join(spans, _KEYS, "left"), text, length, out, as_text, least_words)
