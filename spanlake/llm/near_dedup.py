@@ -37,6 +37,8 @@ from .common import Ranges, drop, grouped, lower, mix, parts, saved, spots, text
 from .components import components
 
 BUCKETS, MANTISSA, BAND = 128, 11, 4
+CROWD = 256  # classes of one band in one batch
+BROADCAST = 1 << 20  # ids that are broadcast at most
 SHORT = 256  # shingles of sets that are compared whole, without the estimate
 MARGIN = 0.15  # below the threshold, in the estimate of pairs with a longer set
 MEET = 2048  # classes of a band that are tried against each other
@@ -149,16 +151,73 @@ def sketches(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(id, band, long): a row for each band of each class."""
+    """(band, id, long, v): a row for each band of each class. Of a band that CROWD classes of one batch share, the batch sends one, and links (id, v) to the others."""
 
     def run(batches):
         for batch in batches:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            keys = band_keys(regs)
-            many = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), many)), pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(zero_copy_only=False), many))], ["id", "band", "long"])
+            ids, long = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+            own = np.repeat(np.arange(len(ids)), keys.shape[1])
+            kinds, at, many = np.unique(keys.ravel(), return_inverse=True, return_counts=True)
+            sent = many[at] < CROWD
+            for k in np.flatnonzero(many >= CROWD).tolist():
+                rows = own[at == k]
+                head = rows[np.argmin(ids[rows])]
+                sent[np.flatnonzero((at == k) & (own == head))] = True
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array(np.full(len(rows), ids[head])), pa.nulls(len(rows), pa.bool_()), pa.array(ids[rows])], ["band", "id", "long", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[at[sent]].view(np.int64)), pa.array(ids[own[sent]]), pa.array(long[own[sent]]), pa.nulls(int(sent.sum()), pa.int64())], ["band", "id", "long", "v"])
 
-    return reps.select("id", "regs", F.col("short").isNull().alias("long")).mapInArrow(run, "id long, band long, long boolean")
+    return reps.select("id", "regs", F.col("short").isNull().alias("long")).mapInArrow(run, "band long, id long, long boolean, v long")
+
+
+def _met(bands: DataFrame) -> DataFrame:
+    """Of bands with several classes, rows (band, id, long, v) for up to MEET classes, long if one of them is; of larger ones links (id, v) of the least class and the others."""
+
+    def run(batches):
+        held: list[tuple] = []  # of the band that comes in: its rows while they are few, then its least class
+        last, size = None, 0
+
+        def few(long: bool):
+            ids = np.concatenate([x[0] for x in held])
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, last)), pa.array(ids), pa.array(np.full(n, long)), pa.nulls(n, pa.int64())], ["band", "id", "long", "v"])
+
+        def many(ids: np.ndarray):
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, held[0][0][0])), pa.nulls(n, pa.bool_()), pa.array(ids)], ["band", "id", "long", "v"])
+
+        for batch in batches:
+            band, ids, long = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
+            alone = np.flatnonzero(np.diff(cuts) == 1)
+            skip = set(alone[(alone > 0) & (alone < len(cuts) - 2)].tolist())  # whole bands of one class
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a == b:
+                    continue
+                if band[a] != last:
+                    if 1 < size <= MEET:
+                        yield few(any(x[1].any() for x in held))
+                    last, held, size = band[a], [], 0
+                    if k in skip:
+                        continue
+                size += b - a
+                if size <= MEET:
+                    held.append((ids[a:b], long[a:b]))
+                else:
+                    for before, _ in held[1:]:
+                        yield many(before)
+                    held[1:] = []
+                    if not held:
+                        held = [(ids[a : a + 1], long[a : a + 1])]
+                    yield many(ids[a:b])
+                    if len(held[0][0]) > 1:
+                        yield many(held[0][0])
+                        held[0] = (held[0][0][:1], held[0][1][:1])
+        if 1 < size <= MEET:
+            yield few(any(x[1].any() for x in held))
+
+    dealt = bands.repartition(parts(bands.sparkSession), "band").sortWithinPartitions("band", "id")
+    return dealt.select("band", "id", "long").mapInArrow(run, "band long, id long, long boolean, v long")
 
 
 class Sets:
@@ -307,12 +366,16 @@ def groups(df: DataFrame, size: int = 5, least: int = 80, of: int = 100, key: st
     made, _ = saved(sketches(df, size, key, text), "sketches")
     full = made.filter("n_shingles > 0 and id is not null")
     classes, classes_path = saved(full.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("id"), F.first("regs").alias("regs"), F.first("short").alias("short")), "classes")
-    bands = _bands(classes)
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.bool_or("long").alias("long")).filter("n > 1")
-    met, met_path = saved(bands.drop("long").join(heads, "band"), "met")
-    hot = met.filter((F.col("n") > MEET) & (F.col("id") != F.col("head"))).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    bands, bands_path = saved(_bands(classes), "bands")
+    met, met_path = saved(_met(bands.filter("v is null")).unionByName(bands.filter("v is not null")), "met")
+    drop(spark, bands_path)
+    hot = met.filter("v is not null and id != v").select(F.col("id").alias("u"), "v")
+    near = met.filter("v is null").drop("v")
+    wanted = near.select("id").distinct()
+    few = wanted.count() <= BROADCAST  # ids of eight bytes each
+    sketch = classes.select("id", "n_shingles", "regs", "short").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     regs = F.when(F.col("long"), F.col("regs")).alias("regs")  # the estimate is for bands with a long set
-    members = met.filter(F.col("n") <= MEET).join(classes.select("id", "n_shingles", "regs", "short"), "id").select("band", "id", "n_shingles", regs, "short")
+    members = near.join(sketch, "id").select("band", "id", "n_shingles", regs, "short")
     edges, edges_path = saved(hot.unionByName(_candidates(members, least, of)).distinct(), "edges")
     nodes, nodes_path = saved(_clusters(edges, classes), "nodes")
     drop(spark, met_path, edges_path)

@@ -52,6 +52,8 @@ def rows():
 def test_groups(spark, rows, size, least, meet, part, monkeypatch):
     monkeypatch.setattr(near_dedup, "MEET", meet)
     monkeypatch.setattr(near_dedup, "PART", part)
+    monkeypatch.setattr(near_dedup, "CROWD", 3 if meet < 8 else 256)
+    monkeypatch.setattr(near_dedup, "BROADCAST", 0 if meet < 8 else 1 << 20)
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, kept int")
     want = brute(rows, size, least, 100)
     got = near_dedup.groups(df, size, least, 100).collect()
