@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few files over all cores: normalisation computes much on few bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text(c) -> Column:
     """An AnyValue holding a text."""
     return F.to_json(F.struct((c if isinstance(c, Column) else F.lit(c)).cast("string").alias("stringValue")))
@@ -57,7 +63,7 @@ def event_attributes() -> Column:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw spans of ``events``; a trace's least event is the parent of its others."""
-    df = table(spark, sf_dir, "events")
+    df = spread(table(spark, sf_dir, "events"))
     n = F.col("event_id").cast("string")
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     df = df.withColumns({"trace_id": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")), "start": start, "end": start + F.floor(F.col("value") * 1000000).cast("bigint")})

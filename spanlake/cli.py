@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 from collections.abc import Sequence
 
@@ -31,14 +30,15 @@ def main(argv: Sequence[str] | None = None) -> int:
     if not args.command:
         parser.print_help()
         return 2
-    if not os.path.exists(args.input):
-        print(f"error: input path does not exist: {args.input}", file=sys.stderr)
-        return 1
     from pyspark.sql import SparkSession
 
     from spanlake.plans import engine
+    from spanlake.sources import otlp
 
     spark = SparkSession.builder.appName("spanlake").getOrCreate()
+    if otlp.kind_of(spark, args.input) is None:
+        print(f"error: input path does not exist: {args.input}", file=sys.stderr)
+        return 1
     if args.command == "totables":
         for name, path in engine.write_tables(spark, args.input, args.output_dir, args.format, spec=args.spec, batch_size=args.batch_size, compression=args.compression).items():
             print(f"{name}: {path}")

@@ -1,7 +1,8 @@
 """Nested records: one a trace, with its spans, and their messages, documents and links.
 
-Children are gathered before the joins, so a repeated (trace_id, span_id) gives each copy all
-children of the key, and the joins never multiply rows.
+A trace's spans are gathered by the aggregate that rolls them up, with their children as arrays in
+input order, so one pass over the spans gives the records. Where a trace holds a span id twice, each
+copy gets all children of the id, in input order.
 """
 
 from __future__ import annotations
@@ -9,34 +10,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["trace_id", "span_id"]
+from spanlake.operators.tables import trace_rollup, with_turns
+from spanlake.schema import SPANS, SPEC, SPEC_VERSION, TRACES, conform
+
 CHILDREN = {"messages": ["position", "direction", "role", "content", "tool_call_id"], "documents": ["position", "document_id", "content", "score"], "links": ["linked_trace_id", "linked_span_id"]}
 
 
-def _children(df: DataFrame, name: str) -> DataFrame:
-    one = F.struct(*CHILDREN[name])
-    return df.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias(name))
+def _child(name: str):
+    """A span's children as structs of their columns; a message's position is its place."""
+
+    def one(x, i):
+        return F.struct(*(i.cast("int").alias(f) if name == "messages" and f == "position" else x[f].alias(f) for f in CHILDREN[name]))
+
+    return F.transform(name, one).alias(name)
 
 
-def records(wide: DataFrame, traces: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Trace columns and ``spans``, an array in input order; spans of unknown traces are left out."""
-    df = wide.drop("messages", "documents", "links")
-    for name in CHILDREN:
-        df = df.join(_children(tables[name], name), KEY, "left")
-    lists = [F.coalesce(F.col(name), F.array().cast(dict(df.dtypes)[name])).alias(name) for name in CHILDREN]
-    own = [c for c in tables["spans"].columns if c not in ("trace_id", "raw_attributes_json")]
-    df = df.withColumns({"spec": F.lit("at"), "spec_version": F.lit("v2")})
-    span = F.struct(*own, "raw_attributes_json", *lists)
-    gathered = df.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(span.alias("s")).alias("v")))).alias("spans"))
-    return traces.join(gathered, "trace_id", "left").withColumn("spans", F.transform("spans", lambda x: x["v"]["s"])).select(*traces.columns, "spans")
+def records(wide: DataFrame) -> DataFrame:
+    """``ord`` (a trace's first place in the input), trace columns and ``spans``, an array in input order."""
+    own = [f.name for f in SPANS.fields if f.name not in ("trace_id", "raw_attributes_json")]
+    fixed = {"spec": F.lit(SPEC).alias("spec"), "spec_version": F.lit(SPEC_VERSION).alias("spec_version")}
+    span = F.struct(*(fixed.get(c, F.col(c)) for c in own), "raw_attributes_json", *(_child(name) for name in CHILDREN))
+    gathered = F.array_sort(F.collect_list(F.struct("ord", F.struct(span.alias("s")).alias("v")))).alias("spans")
+    rolled = with_turns(trace_rollup(wide, F.min("ord").alias("ord"), gathered))
+    df = rolled.withColumn("spans", F.transform("spans", lambda x: x["v"]["s"]))
+    ids = F.transform("spans", lambda s: s["span_id"])
+    of_id = lambda s, name: F.flatten(F.transform(F.filter("spans", lambda y: y["span_id"] == s["span_id"]), lambda y: y[name]))
+    shared = F.transform("spans", lambda s: s.withField("messages", of_id(s, "messages")).withField("documents", of_id(s, "documents")).withField("links", of_id(s, "links")))
+    df = df.withColumn("spans", F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col("spans")).otherwise(shared))
+    return conform(df, TRACES, "ord", "spans")
 
 
 def record_json(records_df: DataFrame) -> DataFrame:
     """Each record as one JSON text, nulls kept; raw attributes are spliced in as JSON, named raw_attributes."""
     mark = "@raw@"
+    columns = [c for c in records_df.columns if c not in ("ord", "spans")]
     fields = [f.name for f in records_df.schema["spans"].dataType.elementType.fields]
     raw = lambda s: F.coalesce(s["raw_attributes_json"], F.lit("null"))
     text = lambda s: F.replace(F.to_json(F.struct(*(s[f].alias(f) for f in fields if f != "raw_attributes_json"), F.lit(mark).alias("raw_attributes")), {"ignoreNullFields": "false"}), F.lit(f'"raw_attributes":"{mark}"'), F.concat(F.lit('"raw_attributes":'), raw(s)))
-    head = F.to_json(F.struct(*(c for c in records_df.columns if c != "spans")), {"ignoreNullFields": "false"})
+    head = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     body = F.array_join(F.transform("spans", text), ",")
-    return records_df.select("trace_id", F.concat(F.substring(head, 1, 1 << 30).substr(F.lit(1), F.length(head) - 1), F.lit(',"spans":['), F.coalesce(body, F.lit("")), F.lit("]}")).alias("value"))
+    return records_df.select("ord", "trace_id", F.concat(F.substring(head, 1, 1 << 30).substr(F.lit(1), F.length(head) - 1), F.lit(',"spans":['), F.coalesce(body, F.lit("")), F.lit("]}")).alias("value"))

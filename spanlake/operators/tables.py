@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.schema import DIM, DOCUMENTS, LINKS, MESSAGES, SESSIONS, SPANS, TRACES, conform
+from spanlake.schema import DIM, DOCUMENTS, LINKS, MESSAGES, SESSIONS, SPANS, SPEC, SPEC_VERSION, TRACES, conform
 
 LATE = 1 << 62  # where a trace without a start stands in its session
 
@@ -44,8 +44,8 @@ def root_of(order: Column) -> Column:
     return first_by(F.struct("span_id", "name", "service_name"), F.struct(start.isNull(), start, order), F.col("parent_span_id").isNull())
 
 
-def trace_rollup(wide: DataFrame) -> DataFrame:
-    """One row a trace, before turns: one hash aggregate, partial before the shuffle."""
+def trace_rollup(wide: DataFrame, *more: Column) -> DataFrame:
+    """One row a trace, before turns: one hash aggregate, partial before the shuffle. ``more`` are further aggregates of its spans."""
     order = F.col("ord")
     session = F.col("session_id")
     return (
@@ -61,6 +61,7 @@ def trace_rollup(wide: DataFrame) -> DataFrame:
             F.sum("input_tokens").alias("total_input_tokens"),
             F.sum("output_tokens").alias("total_output_tokens"),
             F.sum("total_tokens").alias("total_tokens"),
+            *more,
         )
         .withColumns({"root_span_id": F.col("root.span_id"), "root_span_name": F.col("root.name"), "service_name": F.col("root.service_name"), "duration_ns": F.col("end_time_unix_nano") - F.col("start_time_unix_nano")})
     )
@@ -92,6 +93,15 @@ def all_tables(wide: DataFrame) -> dict[str, DataFrame]:
     return {"spans": spans(wide), "messages": messages(wide), "documents": documents(wide), "links": links(wide), "traces": trace_table, "sessions": sessions(trace_table)}
 
 
+def ordered_tables(wide: DataFrame) -> dict[str, DataFrame]:
+    """The tables in the order of the input: spans and their parts as read, traces and sessions as first seen."""
+    listed = wide.orderBy("ord")
+    first = with_turns(trace_rollup(wide, F.min("ord").alias("ord")))
+    seen = first.filter("session_id is not null").groupBy("session_id").agg(F.min("ord").alias("ord"))
+    by_session = sessions(conform(first, TRACES)).join(seen, "session_id").orderBy("ord")
+    return {"spans": spans(listed), "messages": messages(listed), "documents": documents(listed), "links": links(listed), "traces": conform(first.orderBy("ord"), TRACES), "sessions": conform(by_session, SESSIONS)}
+
+
 DIMS = {"tools": "tool_name", "agents": "agent_name", "models": "model_name", "services": "service_name"}
 
 
@@ -105,6 +115,24 @@ def dims(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: dim(tables["spans"], column) for name, column in DIMS.items()}
 
 
+def all_dims(span_table: DataFrame) -> DataFrame:
+    """All dimensions in one pass over the spans: (dim, then the columns of ``dim``)."""
+    pairs = ", ".join(f"'{name}', {column}" for name, column in DIMS.items())
+    stacked = span_table.select("trace_id", "span_id", F.expr(f"stack({len(DIMS)}, {pairs}) as (dim, name)")).filter("name is not null")
+    rolled = stacked.groupBy("dim", "name").agg(F.count("span_id").alias("span_count"), F.count_distinct("trace_id").alias("trace_count"))
+    return rolled.withColumns({"spec": F.lit(SPEC), "spec_version": F.lit(SPEC_VERSION)}).select("dim", *(f.name for f in DIM.fields))
+
+
+def counts_of(wide: DataFrame) -> DataFrame:
+    """Rows of each table, in one pass over the spans."""
+    parts = ("messages", "documents", "links")
+    session = F.col("session_id")
+    by_trace = wide.groupBy("trace_id").agg(F.count("*").alias("spans"), *(F.sum(F.size(c)).alias(c) for c in parts), first_by(session, F.col("ord"), F.coalesce(session, F.lit("")) != "").alias("session_id"))
+    once = by_trace.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("spans", *parts)), F.count("*").alias("traces"), F.count_distinct("session_id").alias("sessions"))
+    names = ("spans", *parts, "traces", "sessions")
+    return once.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', {n}" for n in names) + ") as (table_name, n)"))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 

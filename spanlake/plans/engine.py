@@ -15,10 +15,11 @@ from spanlake.schema import STREAMED, check_spec
 from spanlake.sources import otlp, sinks
 
 
-def load(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> dict[str, DataFrame]:
-    """The six tables of OTLP/JSON files, lazily."""
+def load(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2", ordered: bool = False) -> dict[str, DataFrame]:
+    """The six tables of OTLP/JSON files, lazily; with ``ordered`` their rows come in the order of the input, which costs a sort."""
     check_spec(spec)
-    return tables.all_tables(normalize(otlp.read_spans(spark, path)))
+    made = tables.ordered_tables if ordered else tables.all_tables
+    return made(normalize(otlp.read_spans(spark, path)))
 
 
 def load_payloads(spark: SparkSession, payloads: Iterable[str]) -> dict[str, DataFrame]:
@@ -26,11 +27,11 @@ def load_payloads(spark: SparkSession, payloads: Iterable[str]) -> dict[str, Dat
 
 
 def to_arrow(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> dict:
-    return {name: df.toArrow() for name, df in load(spark, path, spec=spec).items()}
+    return {name: df.toArrow() for name, df in load(spark, path, spec=spec, ordered=True).items()}
 
 
 def to_dfs(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> dict:
-    return sinks.to_pandas(load(spark, path, spec=spec))
+    return sinks.to_pandas(load(spark, path, spec=spec, ordered=True))
 
 
 def to_parquet(spark: SparkSession, path: otlp.Paths, folder: str, *, spec: str = "at/v2", batch_size: int = 10_000, compression: str = "zstd", row_group_size: int | None = None) -> dict[str, str]:
@@ -47,15 +48,17 @@ def to_parquet(spark: SparkSession, path: otlp.Paths, folder: str, *, spec: str
 
 def record_frame(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> DataFrame:
     """Nested records, distributed."""
+    return _records(spark, path, spec).drop("ord")
+
+
+def _records(spark: SparkSession, path: otlp.Paths, spec: str) -> DataFrame:
     check_spec(spec)
-    wide = normalize(otlp.read_spans(spark, path))
-    made = tables.all_tables(wide)
-    return nested.records(wide, made["traces"], made)
+    return nested.records(normalize(otlp.read_spans(spark, path)))
 
 
 def to_dicts(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> list[dict]:
     """Nested records as Python dicts on the driver."""
-    return [json.loads(r.value) for r in nested.record_json(record_frame(spark, path, spec=spec)).orderBy("trace_id").toLocalIterator()]
+    return [json.loads(r.value) for r in nested.record_json(_records(spark, path, spec)).orderBy("ord").toLocalIterator()]
 
 
 def write_tables(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *, spec: str = "at/v2", batch_size: int = 10_000, compression: str = "zstd") -> dict[str, str]:
@@ -64,7 +67,7 @@ def write_tables(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *
     if fmt == "parquet":
         return to_parquet(spark, path, folder, spec=spec, batch_size=batch_size, compression=compression)
     out = {}
-    for name, df in load(spark, path, spec=spec).items():
+    for name, df in load(spark, path, spec=spec, ordered=True).items():
         out[name] = os.path.join(folder, f"{name}.{fmt}")
         sinks.write_local(df, out[name], fmt)
     return out
@@ -73,4 +76,4 @@ def write_tables(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *
 def write_records(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *, spec: str = "at/v2") -> tuple[str, int]:
     os.makedirs(folder, exist_ok=True)
     out = os.path.join(folder, f"traces.{fmt}")
-    return out, sinks.write_lines(nested.record_json(record_frame(spark, path, spec=spec)).orderBy("trace_id"), out, fmt == "jsonl")
+    return out, sinks.write_lines(nested.record_json(_records(spark, path, spec)).orderBy("ord"), out, fmt == "jsonl")

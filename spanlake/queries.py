@@ -310,11 +310,7 @@ def dim_services(spark, sf_dir):
 
 @query(f"{WITH} " + " UNION ALL ".join(f"SELECT '{n}' AS dim, * FROM ({_dim_sql(c)}) x" for n, c in tables.DIMS.items()))
 def dims_all(spark, sf_dir):
-    out = None
-    for name, df in tables.dims({"spans": tables.spans(wide(spark, sf_dir))}).items():
-        df = df.select(F.lit(name).alias("dim"), "*")
-        out = df if out is None else out.unionByName(df)
-    return out
+    return tables.all_dims(wide(spark, sf_dir))
 
 
 @query(f"{WITH} SELECT kind AS value, count(*) AS n FROM sp GROUP BY kind")
@@ -335,16 +331,14 @@ def distinct_names(spark, sf_dir):
 @query(f"""{WITH} SELECT 'spans' AS table_name, count(*) AS n FROM sp UNION ALL SELECT 'messages', 3 * count(*) FILTER (WHERE name = 'click') + count(*) FILTER (WHERE name = 'view') FROM sp
  UNION ALL SELECT 'documents', 0 UNION ALL SELECT 'links', 2 * count(*) FILTER (WHERE name = 'purchase') FROM sp UNION ALL SELECT 'traces', count(*) FROM tr UNION ALL SELECT 'sessions', count(DISTINCT session_id) FROM tr""")
 def table_counts(spark, sf_dir):
-    return tables.counts(tables.all_tables(wide(spark, sf_dir)))
+    return tables.counts_of(wide(spark, sf_dir))
 
 
 @query(f"""{WITH}, c AS (SELECT trace_id, count(*) AS spans, sum(CASE name WHEN 'click' THEN 3 WHEN 'view' THEN 1 ELSE 0 END) AS messages, sum(CASE WHEN name = 'purchase' THEN 2 ELSE 0 END) AS links,
  string_agg(span_id, ',' ORDER BY event_id) AS span_ids, string_agg(CASE WHEN name = 'click' THEN 'yo ' || event_id WHEN name = 'view' THEN 'res ' || event_id END, ',' ORDER BY event_id) AS last_said FROM sp GROUP BY trace_id)
  SELECT trace_id, session_turn, spans, CAST(messages AS BIGINT) AS messages, CAST(0 AS BIGINT) AS documents, CAST(links AS BIGINT) AS links, span_ids, coalesce(last_said, '') AS last_said FROM c JOIN tt USING (trace_id)""")
 def nested_trace_records(spark, sf_dir):
-    w = wide(spark, sf_dir)
-    made = tables.all_tables(w)
-    df = nested.records(w, made["traces"], made)
+    df = nested.records(wide(spark, sf_dir))
     total = lambda name: F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + F.size(s[name]))
     said = F.array_join(F.filter(F.transform("spans", lambda s: F.try_element_at(F.transform(s["messages"], lambda m: m["content"]), F.lit(-1))), lambda x: x.isNotNull()), ",")
     return df.select("trace_id", "session_turn", F.size("spans").cast("bigint").alias("spans"), total("messages").alias("messages"), total("documents").alias("documents"), total("links").alias("links"), F.array_join(F.transform("spans", lambda s: s["span_id"]), ",").alias("span_ids"), said.alias("last_said"))

@@ -44,8 +44,8 @@ SCHEMAS = {"spans": SPANS, "messages": MESSAGES, "documents": DOCUMENTS, "links"
 DIM = T.StructType([T.StructField("spec", T.StringType(), False), T.StructField("spec_version", T.StringType(), False), T.StructField("name", T.StringType(), False), T.StructField("span_count", T.LongType(), False), T.StructField("trace_count", T.LongType(), False)])
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of a schema, cast, in order, with its nullability and metadata."""
+def conform(df: DataFrame, schema: T.StructType, *more: str) -> DataFrame:
+    """The columns of a schema, cast, in order, with its nullability and metadata, and further columns as they are."""
 
     def one(f: T.StructField) -> Column:
         if f.name in ("spec", "spec_version") and f.name not in df.columns:
@@ -53,7 +53,7 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         c = F.col(f.name).cast(f.dataType)
         return (c if f.nullable else F.coalesce(c, F.lit("" if f.dataType == T.StringType() else 0).cast(f.dataType))).alias(f.name, metadata=f.metadata)
 
-    return df.select(*(one(f) for f in schema.fields))
+    return df.select(*(one(f) for f in schema.fields), *more)
 
 
 def check_spec(spec: str) -> None:

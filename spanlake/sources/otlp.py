@@ -23,7 +23,7 @@ def path_list(path: Paths) -> list[str]:
     return [os.fspath(path)] if isinstance(path, (str, os.PathLike)) else [os.fspath(p) for p in path]
 
 
-def _exists(spark: SparkSession, path: str) -> str | None:
+def kind_of(spark: SparkSession, path: str) -> str | None:
     """"file" or "folder", by the file system that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -37,7 +37,7 @@ def read_documents(spark: SparkSession, path: Paths) -> DataFrame:
     """
     parts = []
     for k, p in enumerate(path_list(path)):
-        kind = _exists(spark, p)
+        kind = kind_of(spark, p)
         if kind is None:
             raise FileNotFoundError(p)
         reader = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST")
