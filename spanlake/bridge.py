@@ -53,7 +53,7 @@ def event_attributes() -> Column:
                 ("llm.input_messages.0.message.role", text("user")), ("llm.input_messages.0.message.content", said("hi ")), ("llm.output_messages.10.message.content", said("yo ")), ("llm.output_messages.2.message.role", text("assistant")), ("extra", whole(n)),
             ),
         )
-        .when(F.col("event_type") == "view", attrs(("gen_ai.operation.name", text("execute_tool")), ("gen_ai.tool.name", text(F.concat(F.lit("t"), (user % 4).cast("string")))), ("gen_ai.tool.call.arguments", text('{"a": 1}')), ("gen_ai.tool.call.id", said("c")), ("gen_ai.usage.input_tokens", text("many")), ("gen_ai.usage.prompt_tokens", whole(n % 9))))
+        .when(F.col("event_type") == "view", attrs(("gen_ai.operation.name", text("execute_tool")), ("gen_ai.tool.name", text(F.concat(F.lit("t"), (user % 4).cast("string")))), ("gen_ai.tool.call.arguments", text('{"a": 1}')), ("gen_ai.tool.call.id", said("c")), ("gen_ai.agent.name", text(F.concat(F.lit("a"), (user % 3).cast("string")))), ("gen_ai.usage.input_tokens", text("many")), ("gen_ai.usage.prompt_tokens", whole(n % 9))))
         .when(F.col("event_type") == "purchase", attrs(("ai.model.id", text("gpt-x")), ("ai.usage.promptTokens", whole(n % 50)), ("ai.usage.completionTokens", text("3.7")), ("ai.prompt", said("buy ")), ("ai.response.text", text("ok"))))
         .when(F.col("event_type") == "signup", attrs(("mlflow.spanType", text("Chain")), ("mlflow.spanInputs", said("in ")), ("mlflow.spanOutputs", text("")), ("output.value", text("done"))))
         .otherwise(attrs(("traceloop.span.kind", text("agent")), ("traceloop.entity.input", said("q ")), ("http.code", whole(F.lit(500))), ("ratio", F.lit('{"doubleValue":2.50}')), ("deep", F.lit('{"arrayValue":{"values":[{"stringValue":"a"},{"intValue":"1"}]}}'))))
@@ -62,7 +62,7 @@ def event_attributes() -> Column:
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw spans of ``events``; a trace's least event is the parent of its others."""
+    """Raw spans of ``events``; a trace's least event is the parent of its others, but for every eleventh, whose parent is nowhere."""
     df = spread(table(spark, sf_dir, "events"))
     n = F.col("event_id").cast("string")
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
@@ -74,7 +74,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = F.array(F.struct(F.col("trace_id").alias("traceId"), F.lit("").alias("spanId")), F.struct(F.lit(None).cast("string").alias("traceId"), F.col("least").cast("string").alias("spanId"))).cast(LINKS)
     return df.select(
         F.struct(F.lit(0).alias("path_ord"), F.array(F.lit("events")).alias("path"), F.lit(0).alias("r"), F.lit(0).alias("s"), F.col("event_id").alias("p")).alias("ord"),
-        "trace_id", n.alias("span_id"), F.when(F.col("event_id") == F.col("least"), "").otherwise(F.col("least").cast("string")).alias("parent_raw"), F.col("event_type").alias("name"),
+        "trace_id", n.alias("span_id"), F.when(F.col("event_id") == F.col("least"), "").when(F.col("event_id") % 11 == 0, "gone").otherwise(F.col("least").cast("string")).alias("parent_raw"), F.col("event_type").alias("name"),
         F.col("start").cast("string").alias("start_raw"), F.col("end").cast("string").alias("end_raw"),
         F.when(F.col("event_type") == "error", "STATUS_CODE_ERROR").when(F.col("event_type") == "view", "2").when(F.col("event_type") != "signup", "OK").alias("status_raw"), F.when(F.col("event_type") == "error", "bad").otherwise("").alias("status_message_raw"),
         event_attributes().alias("attributes"), attrs(("service.name", text(F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string"))))).cast(KV).alias("resource_attributes"),

@@ -324,9 +324,11 @@ def attributes(raw: DataFrame) -> DataFrame:
     return df.select(*raw.columns, computed_once(mapped(F.col("_own"), own, "text")).alias("t"), computed_once(mapped(F.col("_own"), own, "json")).alias("j"), F.element_at("_values", -1)["text"].alias("service_name"), said.alias("said"))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Wide spans: the spans table's columns, ord, messages, documents and links."""
+def normalize(raw: DataFrame, *only: str) -> DataFrame:
+    """Wide spans: the spans table's columns, ord, messages, documents and links; of the conventions ``only``, if any, which go on before anything is extracted."""
     df = attributes(raw).withColumn("convention", convention(F.col("t"), F.col("events")))
+    if only:
+        df = df.filter(F.col("convention").isin(*only))
     steps, final = _plan(SparkContext.getOrCreate().applicationId)
     for columns in steps:
         df = df.withColumns(columns)

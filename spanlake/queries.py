@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from spanlake import bridge
 from spanlake.functions import wire
 from spanlake.operators import encode, nested, tables
 from spanlake.operators.normalize import attributes, convention, event_role, first_int_of, genai_kind, joined, leftovers, normalize, openinference_kind, session_id
+from spanlake.plans import engine
 from spanlake.schema import MESSAGES, SPANS
 from spanlake.sources import otlp, sinks
 
@@ -42,12 +45,12 @@ EV = """ev AS (
  SELECT event_id, user_id, event_type, 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS trace_id, CAST(event_id AS VARCHAR) AS span_id,
   CAST(epoch_us(ts) * 1000 AS BIGINT) AS st, CAST(epoch_us(ts) * 1000 + CAST(floor(value * 1000000) AS BIGINT) AS BIGINT) AS en,
   CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'user-' || user_id END AS session_id, min(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS least FROM events),
-sp AS (SELECT trace_id, span_id, event_id, least, CASE WHEN event_id = least THEN NULL ELSE CAST(least AS VARCHAR) END AS parent_span_id, event_type AS name,
+sp AS (SELECT trace_id, span_id, event_id, least, CASE WHEN event_id = least THEN NULL WHEN event_id % 11 = 0 THEN 'gone' ELSE CAST(least AS VARCHAR) END AS parent_span_id, event_type AS name,
   CASE event_type WHEN 'click' THEN 'LLM' WHEN 'view' THEN 'TOOL' WHEN 'purchase' THEN 'LLM' WHEN 'signup' THEN 'CHAIN' ELSE 'AGENT' END AS kind,
   CASE event_type WHEN 'click' THEN 'openinference' WHEN 'view' THEN 'otel_genai' WHEN 'purchase' THEN 'vercel_ai' WHEN 'signup' THEN 'mlflow' ELSE 'traceloop' END AS convention,
   CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN '2' WHEN 'signup' THEN 'UNSET' ELSE 'OK' END AS status_code,
   CASE WHEN event_type = 'error' THEN 'bad' END AS status_message, st AS start_time_unix_nano, en AS end_time_unix_nano, en - st AS duration_ns, 'svc' || (user_id % 5) AS service_name,
-  session_id, CASE event_type WHEN 'click' THEN 'm' || (user_id % 3) WHEN 'purchase' THEN 'gpt-x' END AS model_name, CASE WHEN event_type = 'view' THEN 't' || (user_id % 4) END AS tool_name, CAST(NULL AS VARCHAR) AS agent_name,
+  session_id, CASE event_type WHEN 'click' THEN 'm' || (user_id % 3) WHEN 'purchase' THEN 'gpt-x' END AS model_name, CASE WHEN event_type = 'view' THEN 't' || (user_id % 4) END AS tool_name, CASE WHEN event_type = 'view' THEN 'a' || (user_id % 3) END AS agent_name,
   CAST(CASE event_type WHEN 'click' THEN event_id % 100 WHEN 'view' THEN event_id % 9 WHEN 'purchase' THEN event_id % 50 END AS BIGINT) AS input_tokens,
   CAST(CASE WHEN event_type = 'click' THEN 7 END AS BIGINT) AS output_tokens, CAST(NULL AS BIGINT) AS total_tokens,
   CASE WHEN event_type = 'view' THEN 'tool_call' ELSE 'text' END AS io_format,
@@ -67,8 +70,8 @@ TRACE_COLUMNS = "session_id, session_turn, root_span_id, root_span_name, service
 SPEC = "'at' AS spec, 'v2' AS spec_version"
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(bridge.raw_events(spark, sf_dir))
+def wide(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return normalize(bridge.raw_events(spark, sf_dir), *only)
 
 
 def _of(name: str, columns: str) -> str:
@@ -158,7 +161,7 @@ _VIEW = "SELECT trace_id, span_id, CAST(0 AS INTEGER) AS position, 'output' AS d
 
 @query(f"{WITH} {_CLICK}")
 def openinference_messages(spark, sf_dir):
-    return tables.messages(wide(spark, sf_dir).filter("convention = 'openinference'")).drop("spec", "spec_version")
+    return tables.messages(wide(spark, sf_dir, "openinference").filter("convention = 'openinference'")).drop("spec", "spec_version")
 
 
 @query("SELECT source AS trace_id, CAST(doc_id AS VARCHAR) AS span_id, CAST(doc_id % 3 AS INTEGER) AS position, CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS content, n_chars / 4 AS score FROM documents")
@@ -170,7 +173,7 @@ _CORE = "span_id, kind, io_format, model_name, tool_name, input_tokens, output_t
 
 
 def _core(spark, sf_dir, name):
-    return wide(spark, sf_dir).filter(F.col("convention") == name).selectExpr(*(c.strip() for c in _CORE.split(",")))
+    return wide(spark, sf_dir, name).filter(F.col("convention") == name).selectExpr(*(c.strip() for c in _CORE.split(",")))
 
 
 @query(_of("openinference", _CORE))
@@ -344,10 +347,23 @@ def nested_trace_records(spark, sf_dir):
     return df.select("trace_id", "session_turn", F.size("spans").cast("bigint").alias("spans"), total("messages").alias("messages"), total("documents").alias("documents"), total("links").alias("links"), F.array_join(F.transform("spans", lambda s: s["span_id"]), ",").alias("span_ids"), said.alias("last_said"))
 
 
-@query(f"{WITH} SELECT trace_id, span_id, parent_span_id FROM sp s WHERE event_id % 3 <> 0 AND parent_span_id IS NOT NULL AND least % 3 = 0")
+@query(f"{WITH} SELECT trace_id, span_id, parent_span_id FROM sp s WHERE parent_span_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sp p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent_span_id)")
 def orphan_spans(spark, sf_dir):
-    df = tables.spans(wide(spark, sf_dir)).filter("cast(span_id as bigint) % 3 != 0")
-    return tables.orphans(df).select("trace_id", "span_id", "parent_span_id")
+    return tables.orphans(tables.spans(wide(spark, sf_dir))).select("trace_id", "span_id", "parent_span_id")
+
+
+_SAID = f"said AS (SELECT trace_id, span_id, string_agg(position || ':' || direction || ':' || coalesce(role, '-'), ',' ORDER BY position) AS said FROM ({_CLICK} UNION ALL {_VIEW}) m GROUP BY ALL)"
+
+
+@query(f"""{WITH}, {_SAID} SELECT sp.trace_id, CAST(row_number() OVER (PARTITION BY sp.trace_id ORDER BY event_id) - 1 AS INTEGER) AS place, sp.span_id, coalesce(said, '') AS said,
+ CASE WHEN name = 'purchase' THEN sp.trace_id || '/-,-/' || least ELSE '' END AS linked FROM sp LEFT JOIN said USING (trace_id, span_id)""")
+def nested_children_order(spark, sf_dir):
+    """Spans and their children in the records, in the order in which they came in."""
+    df = nested.records(wide(spark, sf_dir)).select("trace_id", F.posexplode("spans").alias("place", "s"))
+    dash = lambda c: F.coalesce(c, F.lit("-"))
+    said = F.transform("s.messages", lambda m: F.concat_ws(":", m["position"].cast("string"), m["direction"], dash(m["role"])))
+    linked = F.transform("s.links", lambda x: F.concat_ws("/", dash(x["linked_trace_id"]), dash(x["linked_span_id"])))
+    return df.select("trace_id", "place", F.col("s.span_id").alias("span_id"), F.array_join(said, ",").alias("said"), F.array_join(linked, ",").alias("linked"))
 
 
 @query(f"{WITH}, m AS ({_CLICK} UNION ALL {_VIEW}) SELECT m.trace_id, m.span_id, m.position, m.content, s.kind, s.service_name FROM m LEFT JOIN sp s USING (trace_id, span_id)")
@@ -369,6 +385,31 @@ def categorical_codes(spark, sf_dir):
     return encode.codes(wide(spark, sf_dir).select("span_id", "model_name", "ord"), "model_name", "ord").select("span_id", "code")
 
 
+_CODED = ("session_id", "model_name", "kind", "parent_span_id")
+_CODES = ", ".join(f"c_{c} AS (SELECT {c} AS v_{c}, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS {c}_code FROM sp WHERE {c} IS NOT NULL GROUP BY {c})" for c in _CODED[:3])
+
+
+@query(f"{WITH}, {_CODES} SELECT span_id, " + ", ".join(f"coalesce({c}_code, -1) AS {c}_code" for c in _CODED[:3]) + ", CAST(coalesce(input_tokens, -1) AS DOUBLE) AS input_tokens FROM sp " + " ".join(f"LEFT JOIN c_{c} ON {c} = v_{c}" for c in _CODED[:3]))
+def tensor_codes(spark, sf_dir):
+    """The arrays of the spans table on the driver, as rows: identities, codes by first appearance in the input, numbers."""
+    made = encode.to_arrays({"spans": tables.ordered_tables(wide(spark, sf_dir))["spans"]}, ("spans",))["spans"]
+    if "parent_span_id" not in made.ids or made.vocab.keys() & made.ids.keys():
+        raise AssertionError("identities have no codes")
+    columns = {"span_id": pa.array(made.ids["span_id"]), **{f"{c}_code": pa.array(made.categorical[c]) for c in _CODED[:3]}}
+    numbers = made.numeric["input_tokens"].astype(float)
+    return spark.createDataFrame(pa.table({**columns, "input_tokens": pa.array(np.where(np.isnan(numbers), -1.0, numbers))}))
+
+
+@query(f"{WITH} SELECT trace_id, span_count, CAST(0 AS BIGINT) AS unordered FROM tr")
+def ordered_traces(spark, sf_dir):
+    """Traces through pandas in the order of the input: none comes before one that was seen earlier."""
+    made = tables.ordered_tables(wide(spark, sf_dir))
+    got = sinks.to_pandas({"traces": made["traces"], "spans": made["spans"].select("trace_id")})
+    first = got["spans"].drop_duplicates("trace_id")["trace_id"].reset_index(drop=True)
+    wrong = (got["traces"]["trace_id"].reset_index(drop=True) != first).astype("int64")
+    return spark.createDataFrame(pa.table({"trace_id": pa.array(got["traces"]["trace_id"], pa.string()), "span_count": pa.array(got["traces"]["span_count"], pa.int64()), "unordered": pa.array(wrong, pa.int64())}))
+
+
 @query(f"{WITH} SELECT span_id, input_tokens IS NULL AS missing, CAST(coalesce(input_tokens, -1) AS DOUBLE) AS feature, CAST(duration_ns AS DOUBLE) AS duration FROM sp")
 def numeric_features(spark, sf_dir):
     x = encode.numeric(F.col("input_tokens"))
@@ -395,30 +436,48 @@ def csv_roundtrip(spark, sf_dir):
     return sinks.read_csv(spark, path, df.schema)
 
 
+GROUP = 2000  # traces of one file
+
+
 def _write_otlp(spark, sf_dir) -> str:
+    """A folder of OTLP files, some traces each, below it and below a second level; one that isn't *.json is no part of it."""
     path = shared_dir(spark)
     docs = otlp.documents_of(bridge.raw_events(spark, sf_dir))
-    # A document a file is what the reader takes; a few rows a file would need a file each, so texts are wrapped by partition.
-    whole = docs.groupBy(F.pmod(F.xxhash64("trace_id"), F.lit(16)).alias("k")).agg(F.collect_list("value").alias("v"))
+    groups = max(2, -(-bridge.table(spark, sf_dir, "events").count() // GROUP))
+    # A document a file is what the reader takes; a few rows a file would need a file each, so texts are wrapped by group.
+    whole = docs.groupBy(F.pmod(F.xxhash64("trace_id"), F.lit(groups)).alias("k")).agg(F.collect_list("value").alias("v"))
     whole.select("k", F.concat(F.lit('{"resourceSpans":['), F.array_join(F.transform("v", lambda x: x.substr(F.lit(19), F.length(x) - 20)), ","), F.lit("]}")).alias("value")).repartition(16, "k").write.partitionBy("k").text(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(p(f"{path}/k=*/part-*")):
+        old = status.getPath().toString()
+        fs.rename(p(old), p(old.removesuffix(".txt") + ".json"))
     return path
 
 
-def _files(spark, path: str) -> DataFrame:
-    reader = spark.read.schema(otlp.DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True)
-    return reader.json(path).select(F.lit(0).alias("path_ord"), F.split(F.col("_metadata.file_path"), "/").alias("path"), "resourceSpans")
-
-
 @query(f"{WITH} SELECT {SPEC}, 'scope' AS scope_name, '1' AS scope_version, {SPAN_COLUMNS} FROM sp")
 def otlp_roundtrip(spark, sf_dir):
-    return tables.spans(normalize(otlp.flatten(_files(spark, _write_otlp(spark, sf_dir)))))
+    return tables.spans(normalize(otlp.read_spans(spark, _write_otlp(spark, sf_dir))))
 
 
 @query(f"{WITH} SELECT CAST(path_ord AS INTEGER) AS path_ord, count(*) AS n, count(DISTINCT trace_id) AS traces FROM sp, (SELECT unnest([0, 1]) AS path_ord) GROUP BY 1")
 def union_of_paths(spark, sf_dir):
-    docs = _files(spark, _write_otlp(spark, sf_dir))
-    both = docs.unionByName(docs.withColumn("path_ord", F.lit(1)))
-    return otlp.flatten(both).groupBy(F.col("ord.path_ord").alias("path_ord")).agg(F.count("*").alias("n"), F.count_distinct("trace_id").alias("traces"))
+    """A folder listed twice is read twice, by its place in the list."""
+    path = _write_otlp(spark, sf_dir)
+    return otlp.read_spans(spark, [path, path]).groupBy(F.col("ord.path_ord").alias("path_ord")).agg(F.count("*").alias("n"), F.count_distinct("trace_id").alias("traces"))
+
+
+@query(f"{WITH} SELECT {SPEC}, trace_id, {TRACE_COLUMNS} FROM tt")
+def payload_traces(spark, sf_dir):
+    """Documents in memory, as load_payloads takes them."""
+    docs = otlp.documents_of(bridge.raw_events(spark, sf_dir)).select("value")
+    return engine.load_payloads(spark, [r.value for r in docs.toLocalIterator()])["traces"]
+
+
+@query(f"{WITH} SELECT {SPEC}, trace_id, {TRACE_COLUMNS} FROM tt")
+def arrow_tables(spark, sf_dir):
+    """All tables as Arrow, from files; the traces go back to Spark."""
+    return spark.createDataFrame(engine.to_arrow(spark, _write_otlp(spark, sf_dir))["traces"])
 
 
 @query(f"{WITH} SELECT trace_id, span_count, error_count, status, session_id FROM tr")
