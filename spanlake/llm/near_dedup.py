@@ -333,10 +333,11 @@ def _clusters(edges: DataFrame, classes: DataFrame) -> DataFrame:
 def _linked(texts: DataFrame, nodes: DataFrame, size: int, least: int, of: int) -> DataFrame:
     """Links that join the texts (id, text) of each cluster as all their links do."""
     spark = texts.sparkSession
+    few = nodes.count() <= BROADCAST  # rows of two ids and a few numbers each; else texts are dealt by id
     none, every = F.lit(None).cast("int"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n, seed=0: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     # A row that is listed again and again under one id and text is compared once.
-    once = lambda rows: rows.join(texts, "id").groupBy(*rows.columns, F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    once = lambda rows: texts.join(F.broadcast(rows) if few else rows, "id").groupBy(*rows.columns, F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     at = F.when(F.col("id") == F.col("cluster"), every("parts")).otherwise(F.array(own("parts")))
     first = once(nodes).withColumn("part", F.explode(at)).withColumns({"seat": F.lit(0), "label": F.col("id"), "side": none})
     links, first_path = saved(_verified(first, size, least, of), "links")
