@@ -37,6 +37,7 @@ from .common import Ranges, drop, grouped, lower, mix, parts, saved, spots, text
 from .components import components
 
 BUCKETS, MANTISSA, BAND = 128, 11, 4
+BLOCK = 1 << 20  # bytes of text whose shingles are hashed at once
 CROWD = 256  # classes of one band in one batch
 BROADCAST = 1 << 20  # ids that are broadcast at most
 SHORT = 256  # shingles of sets that are compared whole, without the estimate
@@ -131,7 +132,7 @@ def sketches(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """(id, n_shingles, s1, s2, regs, short): s1 and s2 tell whether sets are equal; short holds half of each hash of a set of at most SHORT shingles."""
 
     def run(batches):
-        for batch, data, offs in text_blocks(batches, text):
+        for batch, data, offs in text_blocks(batches, text, BLOCK):
             n = len(offs) - 1
             row, sets = shingles(data, offs, size)
             count = np.bincount(row, minlength=n)

@@ -28,6 +28,7 @@ from . import suffixes
 from .common import SPACE, Ranges, drop, mix, parts, saved, spots, text_blocks, utf8, windows, words
 
 GRAM = 160  # bytes of an anchor; shorter than the windows
+BLOCK = 1 << 20  # bytes of text whose anchors are sought at once
 SHARD_BYTES = 2 << 20  # stretches of whole groups that are sorted at once; a larger group is sorted alone
 SALTS = 256  # shares that a common stretch is counted in
 SPLIT = 4096  # kinds of stretches of one gram that go to one shard
@@ -68,7 +69,7 @@ def _anchors(df: DataFrame, text: str, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         done = TaskContext.get().partitionId() * 31
-        for batch, data, offs in text_blocks(batches, text):
+        for batch, data, offs in text_blocks(batches, text, BLOCK):
             row, h, g, lo, n = owners(data, offs, length, gram)
             salt, done = (done + row) % SALTS, done + len(offs) - 1
             if not len(row):
