@@ -1,8 +1,8 @@
 """A hidden Markov language model over words.
 
-Counts of all training words give the base. The model's symbols are the KNOWN commonest words of at most
-WORD bytes (which bounds what is broadcast), one symbol for all others, and the end; a word of the
-others is drawn by its smoothed count, which a join looks up. Latent states start from a bounded
+Counts of all training words give the base. The model's symbols are the SYMBOLS commonest words, one
+symbol for all others, and the end; a word of the others is drawn by its smoothed count. The KNOWN commonest
+words of at most WORD bytes are at hand everywhere, which bounds what is broadcast; a join looks up the counts of the rest. Latent states start from a bounded
 sample and are trained by Baum-Welch: each task adds up expected counts, Spark sums them over all
 training texts. A text's likelihood is the scaled forward recursion over its symbols, exactly.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, saved, text_blocks
 
-STATES, KNOWN, WORD, SAMPLE, ROUNDS, START_ROUNDS = 6, 1 << 18, 64, 300, 2, 10
+STATES, SYMBOLS, KNOWN, WORD, SAMPLE, ROUNDS, START_ROUNDS = 6, 1 << 16, 1 << 18, 64, 300, 2, 10
 BATCH = 256  # texts that are walked side by side
 FLUSH = 400_000
 
@@ -134,9 +134,9 @@ def _symbols(data: np.ndarray, offs: np.ndarray, index: dict, end: int):
     return out, at, mask, flat
 
 
-def _limited(known: np.ndarray, end: int) -> np.ndarray:
-    """Model symbols of known numbers: end is the number of words, the other words' symbol; the end's is the next."""
-    return np.where(known == end, end + 1, np.where(known < 0, end, known))
+def _limited(known: np.ndarray, end: int, symbols: int) -> np.ndarray:
+    """Model symbols of known numbers: ``symbols`` for the other words, then the end's."""
+    return np.where(known == end, symbols + 1, np.where((known < 0) | (known >= symbols), symbols, known))
 
 
 def train(docs: DataFrame, head, weight: np.ndarray, kinds: np.ndarray) -> Model:
@@ -157,7 +157,7 @@ def train(docs: DataFrame, head, weight: np.ndarray, kinds: np.ndarray) -> Model
         sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(shape)
         for _, data, offs in blocks:
             known, at, _, _ = _symbols(data, offs, index, end)
-            walk(model, _limited(known, end), at, sums)
+            walk(model, _limited(known, end, end), at, sums)
         model = Model.of(*sums, prior)
     names = ["symbol", *(f"e{k}" for k in range(STATES))]
     for _ in range(ROUNDS):
@@ -168,7 +168,7 @@ def train(docs: DataFrame, head, weight: np.ndarray, kinds: np.ndarray) -> Model
             sums = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros(shape)
             for _, data, offs in text_blocks(batches, "text"):
                 known, at, _, _ = _symbols(data, offs, index, end)
-                walk(shared.value, _limited(known, end), at, sums)
+                walk(shared.value, _limited(known, end, end), at, sums)
             # Rows: the start, the steps from each state, then the draws of each symbol.
             table = np.concatenate([sums[0][None], sums[1], sums[2].T])
             some = np.flatnonzero((table > 1e-9).any(axis=1))
@@ -185,7 +185,7 @@ def train(docs: DataFrame, head, weight: np.ndarray, kinds: np.ndarray) -> Model
     return model
 
 
-def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN) -> DataFrame:
+def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN, symbols: int = SYMBOLS) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id")) == held_out_fold)
     learn = docs.filter(~F.col("held_out"))
@@ -193,16 +193,17 @@ def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN) -> DataFr
     n_docs = learn.count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, kinds = words + n_docs, distinct + (1 if n_docs else 0)
-    top = counts.filter(F.length("word") <= WORD).orderBy(F.desc("c"), "word").limit(known).collect()  # ``known`` short rows at most
-    head, head_counts = [bytes(r.word) for r in top], np.array([r.c for r in top], float)
-    end, rest, session = len(head), words - head_counts.sum(), docs.sparkSession
-    types = np.append(np.ones(end), [distinct - end + 1, 1])
-    shares = np.append(head_counts, [rest, n_docs]) + 0.5 * types
-    model = train(learn, session.sparkContext.broadcast(head), shares / shares.sum(), types)
-    below, bottom = total + 0.5 * (kinds + 1), rest + 0.5 * (distinct - end + 1)
+    top = counts.filter(F.length("word") <= WORD).orderBy(F.desc("c"), "word").limit(known).toArrow()  # ``known`` short rows at most
+    head, head_counts = top.column("word").to_pylist(), top.column("c").to_numpy().astype(float)
+    symbols, end, session = min(symbols, len(head)), len(head), docs.sparkSession
+    rest = words - head_counts[:symbols].sum()
+    types = np.append(np.ones(symbols), [distinct - symbols + 1, 1])
+    shares = np.append(head_counts[:symbols], [rest, n_docs]) + 0.5 * types
+    model = train(learn, session.sparkContext.broadcast(head[:symbols]), shares / shares.sum(), types)
+    below, bottom = total + 0.5 * (kinds + 1), rest + 0.5 * (distinct - symbols + 1)
     base = np.log10((np.append(head_counts, [n_docs, 0.0]) + 0.5) / below)  # the last: unseen
-    tail = np.zeros(end + 2)
-    tail[-1] = np.log10(0.5 / bottom)
+    tail = np.log10((np.append(head_counts, [n_docs, 0.0]) + 0.5) / bottom)
+    tail[:symbols] = tail[end] = 0
     every = len(head) == distinct  # no word beyond the head: no look-up
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, others array<struct<word:binary,n:long>>"
     shared = session.sparkContext.broadcast((head, base, tail, model))
@@ -218,7 +219,7 @@ def score(docs: DataFrame, held_out_fold: int = 1, known: int = KNOWN) -> DataFr
             place = np.where(number < 0, len(base) - 1, number)
             lost = number < 0
             add = lambda table: np.bincount(own, np.where(lost & (not every), 0, table[place]), n)  # noqa: E731, B023
-            out = walk(model, _limited(number, end), at)
+            out = walk(model, _limited(number, end, symbols), at)
             others: list = [None] * n
             if not every:
                 at_word = np.flatnonzero(lost[mask])
