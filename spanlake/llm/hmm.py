@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fold, saved, text_blocks
 
 STATES, SYMBOLS, KNOWN, WORD, SAMPLE, ROUNDS, START_ROUNDS = 6, 1 << 16, 1 << 18, 64, 300, 2, 10
-BATCH = 256  # texts that are walked side by side
+BATCH = 2048  # texts that are walked side by side
 FLUSH = 400_000
 
 
