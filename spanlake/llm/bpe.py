@@ -23,7 +23,7 @@ from .common import Ranges, quiet_tokenizers, spots
 # Fixed value: the pre-tokeniser's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 8  # bytes of an unsplit run that are merged without a tree
-TABLE_ROWS = 1 << 20  # pieces that a process remembers
+TABLE_ROWS = 1 << 21  # pieces that a process remembers
 _NONE = np.int64(1) << 40
 
 
@@ -241,7 +241,8 @@ class Bpe:
         size = ends - starts
         wrong = size != self.raw_lens[spot]
         same = np.flatnonzero(~wrong)
-        differ = data[spots(starts[same], size[same])] != self.raw[spots(self.raw_offs[spot[same]], size[same])]
+        held = data if int(size[same].sum()) == len(data) else data[spots(starts[same], size[same])]  # pieces follow each other
+        differ = held != self.raw[spots(self.raw_offs[spot[same]], size[same])]
         if differ.any():
             wrong[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")]] = True
         odd[rows[wrong]] = True
