@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chroma, hmm, html_text, near_dedup, packing, quality, repeats, token_store, vectors
+from . import bpe_codec, chroma, dialogue, hmm, html_text, near_dedup, oracles, packing, quality, repeats, token_store, vectors
 from .common import table
 
 END_ID = 2
@@ -66,6 +66,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(files)
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_vectors": op9_vectors,
     "op10_tokens": op10_tokens,
+    "op11_dialogue": op11_dialogue,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_dialogue": oracles.DIALOGUE}
