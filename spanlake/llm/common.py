@@ -159,12 +159,12 @@ def windows(data: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of each maximal run of bytes other than 0x20 and 0x09-0x0D."""
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each maximal run of bytes other than those marked in ``space``: 0x20 and 0x09-0x0D."""
     n = len(data)
     if n == 0:
         return (np.zeros(0, np.int64),) * 3
-    solid = ~SPACE[data]
+    solid = ~space[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     edge = offs[1:-1]

@@ -47,3 +47,21 @@ DIALOGUE = f"""WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCH
  SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   CAST(coalesce(p.c, 0) AS BIGINT) AS cost, coalesce(p.a, '') AS audit, sha256(coalesce(p.t, '')) AS repaired_sha256
  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+_SHARE = "1 + 1000000000::HUGEINT * ({c} + 5) // ({n} + 5 * {v})"
+
+DIVERGENCE = f"""WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS found FROM documents),
+ told AS (SELECT r, lang, source, unnest(found) AS term FROM texts),
+ kept AS (SELECT lang, term, count(*) AS total FROM told GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+ sizes AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+ groups AS (SELECT DISTINCT lang, source FROM texts),
+ counts AS (SELECT lang, source, term, count(*) AS c FROM told JOIN kept USING (lang, term) GROUP BY lang, source, term),
+ every AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.c, 0) AS c, sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ priced AS (SELECT every.*, {_SHARE.format(c="c", n="n", v="v")} AS p, {_SHARE.format(c="total", n="n_lang", v="v")} AS q FROM every JOIN sizes USING (lang)),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source LEFT JOIN priced y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+ terms AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM priced WHERE c > 0 AND p > q)
+ SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+ UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 50"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chroma, dialogue, hmm, html_text, near_dedup, oracles, packing, quality, repeats, token_store, vectors
+from . import bpe_codec, chroma, dialogue, divergence, hmm, html_text, near_dedup, oracles, packing, quality, repeats, token_store, vectors
 from .common import table
 
 END_ID = 2
@@ -70,6 +70,10 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +92,7 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_tokens": op10_tokens,
     "op11_dialogue": op11_dialogue,
+    "op12_divergence": op12_divergence,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op11_dialogue": oracles.DIALOGUE}
+ORACLE_SQL: dict[str, str] = {"op11_dialogue": oracles.DIALOGUE, "op12_divergence": oracles.DIVERGENCE}
