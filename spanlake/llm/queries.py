@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chroma, dialogue, divergence, hmm, html_text, near_dedup, oracles, packing, quality, repeats, token_store, vectors
+from . import bpe_codec, chroma, dialogue, divergence, hmm, html_text, near_dedup, oracles, packing, quality, repeats, secret_scan, token_store, vectors
 from .common import table
 
 END_ID = 2
@@ -74,6 +74,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.common_words(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op10_tokens": op10_tokens,
     "op11_dialogue": op11_dialogue,
     "op12_divergence": op12_divergence,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {"op11_dialogue": oracles.DIALOGUE, "op12_divergence": oracles.DIVERGENCE}
