@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions.wire import KV, configure, quoted
+from spanlake.sources import large
+from spanlake.sources.shared import saved
 
-DOCUMENT = (
-    f"resourceSpans array<struct<resource:struct<attributes:{KV}>,scopeSpans:array<struct<scope:struct<name:string,version:string>,"
-    f"spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,startTimeUnixNano:string,endTimeUnixNano:string,"
-    f"status:struct<code:string,message:string>,attributes:{KV},events:array<struct<name:string,attributes:{KV}>>,"
-    f"links:array<struct<traceId:string,spanId:string>>>>>>>>"
+SPAN = (
+    f"traceId string,spanId string,parentSpanId string,name string,startTimeUnixNano string,endTimeUnixNano string,status struct<code:string,message:string>,"
+    f"attributes {KV},events array<struct<name:string,attributes:{KV}>>,links array<struct<traceId:string,spanId:string>>"
 )
+RESOURCE, SCOPE = f"attributes {KV}", "name string,version string"
+DOCUMENT = f"resourceSpans array<struct<resource:struct<{RESOURCE}>,scopeSpans:array<struct<scope:struct<{SCOPE}>,spans:array<struct<{SPAN}>>>>>>"
+LARGE = 128 << 20  # bytes of a file beyond which many tasks read it
 Paths = str | os.PathLike | Iterable[str | os.PathLike]
 
 
@@ -30,28 +34,42 @@ def kind_of(spark: SparkSession, path: str) -> str | None:
     return None if not fs.exists(p) else "folder" if fs.getFileStatus(p).isDirectory() else "file"
 
 
-def read_documents(spark: SparkSession, path: Paths) -> DataFrame:
-    """One row a document, with its path's place in the list and its own path; a path listed twice is read twice.
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all that is at or below a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
-    A file is read whatever its name; of a folder, every *.json below it. A missing path raises.
-    """
-    parts = []
+
+def _documents(spark: SparkSession, k: int, path: str, kind: str, most: int | None = None) -> DataFrame:
+    reader = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST")
+    if kind == "folder":
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    df = reader.json(path)
+    if most is not None:
+        df = df.filter(F.col("_metadata.file_size") <= most)
+    return df.select(F.lit(k).alias("path_ord"), F.split(F.col("_metadata.file_path"), "/").alias("path"), "resourceSpans")
+
+
+def _kinds(spark: SparkSession, path: Paths) -> list[tuple[int, str, str]]:
+    """(place in the list, path, kind) of each path; a missing one raises."""
+    out = []
     for k, p in enumerate(path_list(path)):
         kind = kind_of(spark, p)
         if kind is None:
             raise FileNotFoundError(p)
-        reader = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST")
-        if kind == "folder":
-            reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-        parts.append(reader.json(p).select(F.lit(k).alias("path_ord"), F.split(F.col("_metadata.file_path"), "/").alias("path"), "resourceSpans"))
-    if not parts:
-        return payload_documents(spark, [])
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        out.append((k, p, kind))
     return out
 
 
+def read_documents(spark: SparkSession, path: Paths) -> DataFrame:
+    """One row a document, with its path's place in the list and its own path; a path listed twice is read twice.
+
+    A file is read whatever its name; of a folder, every *.json below it. A missing path raises.
+    """
+    parts = [_documents(spark, *found) for found in _kinds(spark, path)]
+    return reduce(DataFrame.unionByName, parts) if parts else payload_documents(spark, [])
+
+
 def payload_documents(spark: SparkSession, payloads: Iterable[str]) -> DataFrame:
     """Documents from JSON texts in memory."""
     rows = [(k, text) for k, text in enumerate(payloads)]
@@ -60,15 +78,10 @@ def payload_documents(spark: SparkSession, payloads: Iterable[str]) -> DataFrame
     return df.select("path_ord", F.array().cast("array<string>").alias("path"), parsed["resourceSpans"].alias("resourceSpans"))
 
 
-def flatten(documents: DataFrame) -> DataFrame:
-    """One row a span, with its resource and scope and its place in the input (``ord``); missing levels give none."""
-    configure(documents.sparkSession)
-    at = ["path_ord", "path"]
-    df = documents.select(*at, F.posexplode("resourceSpans").alias("r", "rs"))
-    df = df.select(*at, "r", F.col("rs.resource.attributes").alias("resource_attributes"), F.posexplode("rs.scopeSpans").alias("s", "ss"))
-    df = df.select(*at, "r", "s", "resource_attributes", F.col("ss.scope").alias("scope"), F.posexplode("ss.spans").alias("p", "span"))
+def _columns(df: DataFrame) -> DataFrame:
+    """A raw span of each row with path_ord, path, r, s, p, span, resource_attributes and scope."""
     return df.select(
-        F.struct("path_ord", "path", "r", "s", "p").alias("ord"),
+        F.struct("path_ord", "path", *(F.col(c).cast("bigint").alias(c) for c in "rsp")).alias("ord"),
         F.coalesce("span.traceId", F.lit("")).alias("trace_id"),
         F.coalesce("span.spanId", F.lit("")).alias("span_id"),
         F.col("span.parentSpanId").alias("parent_raw"),
@@ -86,8 +99,38 @@ def flatten(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_spans(spark: SparkSession, path: Paths) -> DataFrame:
-    return flatten(read_documents(spark, path))
+def flatten(documents: DataFrame) -> DataFrame:
+    """One row a span, with its resource and scope and its place in the input (``ord``); missing levels give none."""
+    configure(documents.sparkSession)
+    at = ["path_ord", "path"]
+    df = documents.select(*at, F.posexplode("resourceSpans").alias("r", "rs"))
+    df = df.select(*at, "r", F.col("rs.resource.attributes").alias("resource_attributes"), F.posexplode("rs.scopeSpans").alias("s", "ss"))
+    return _columns(df.select(*at, "r", "s", "resource_attributes", F.col("ss.scope").alias("scope"), F.posexplode("ss.spans").alias("p", "span")))
+
+
+def _large_spans(spark: SparkSession, k: int, path: str, kind: str, least: int) -> DataFrame:
+    """As flatten, of the files over ``least`` bytes. Resources and scopes meet their spans in a join: they may stand behind them."""
+    configure(spark)
+    texts = saved(large.whole(large.found(spark, path, kind == "folder", least)), "large", "kind")
+    of = lambda name, schema: (texts.filter(F.col("kind") == name), F.from_json("text", schema, {"mode": "FAILFAST"}))
+    (spans, span), (resources, resource), (scopes, scope) = of("span", SPAN), of("resource", RESOURCE), of("scope", SCOPE)
+    df = spans.select("path", "r", "s", "p", span.alias("span"))
+    df = df.join(resources.select("path", "r", resource["attributes"].alias("resource_attributes")), ["path", "r"], "left")
+    df = df.join(scopes.select("path", "r", "s", scope.alias("scope")), ["path", "r", "s"], "left")
+    return _columns(df.withColumns({"path_ord": F.lit(k), "path": F.split("path", "/")}))
+
+
+def read_spans(spark: SparkSession, path: Paths, least: int = LARGE) -> DataFrame:
+    """Raw spans of all documents. A file is one task's, unless it has over ``least`` bytes: then many tasks read it, at once."""
+    parts = []
+    for k, p, kind in _kinds(spark, path):
+        if size_of(spark, p) > least and not large.files(spark, p, kind == "folder", least).isEmpty():
+            parts.append(_large_spans(spark, k, p, kind, least))
+            if kind == "folder":
+                parts.append(flatten(_documents(spark, k, p, kind, least)))
+        else:
+            parts.append(flatten(_documents(spark, k, p, kind)))
+    return reduce(DataFrame.unionByName, parts) if parts else flatten(payload_documents(spark, []))
 
 
 def documents_of(spans: DataFrame) -> DataFrame:
