@@ -105,6 +105,26 @@ def raw_conversations(spark: SparkSession, sf_dir: str, adk: bool = False) -> Da
     )
 
 
+def raw_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of ``events`` that follow no vendor's convention: every other one has a generic input, the rest attributes that nothing knows."""
+    n = F.col("event_id")
+    raw = raw_events(spark, sf_dir).withColumn("event_id", F.col("ord.p"))
+    generic = attrs(("input.value", text(F.concat(F.lit("in "), n.cast("string")))), ("user.flag", F.lit('{"boolValue":true}')), ("left", whole(n)))
+    unknown = attrs(("custom", text(F.concat(F.lit("x "), n.cast("string")))), ("list", F.concat(F.lit('{"arrayValue":{"values":[{"intValue":"'), n.cast("string"), F.lit('"},{"kvlistValue":{"values":[{"key":"k","value":{"doubleValue":0.5}}]}}]}}'))))
+    return raw.withColumns({"attributes": F.when(n % 2 == 0, generic.cast(KV)).otherwise(unknown.cast(KV)), "events": F.array().cast(EVENTS), "links": F.array().cast(LINKS)}).drop("event_id")
+
+
+def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GenAI spans of ``conversations`` whose JSON request holds an instruction, a text, a call and its answer; assistants answer with a call."""
+    turn = F.col("span_id")
+    call = lambda name: F.concat(F.lit('{"function_call":{"id":"c'), turn, F.lit(f'","name":"{name}","args":{{"n":'), turn, F.lit("}}}"))
+    answer = F.concat(F.lit('{"function_response":{"id":"c'), turn, F.lit('","name":"look","response":{"ok":true,"n":'), turn, F.lit("}}}"))
+    ask = F.concat(F.lit('{"contents":[{"role":"user","parts":[{"text":"t '), turn, F.lit('"},'), call("look"), F.lit(']},{"parts":['), answer, F.lit(']}],"config":{"system_instruction":"be brief"}}'))
+    told = F.concat(F.lit('{"content":{"role":"model","parts":['), call("act"), F.lit("]}}"))
+    own = attrs(("gen_ai.operation.name", text("chat")), ("gcp.vertex.agent.llm_request", text(ask)), ("gcp.vertex.agent.llm_response", text(told)))
+    return raw_conversations(spark, sf_dir, adk=True).withColumn("attributes", own.cast(KV))
+
+
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw OpenInference spans, a retriever of one document each, at its raw index."""
     df = table(spark, sf_dir, "documents")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.operators.ranking import ranked
 from spanlake.schema import DIM, DOCUMENTS, LINKS, MESSAGES, SESSIONS, SPANS, SPEC, SPEC_VERSION, TRACES, conform
 
 LATE = 1 << 62  # where a trace without a start stands in its session
@@ -32,74 +35,132 @@ def first_by(value: Column, order: Column, where: Column) -> Column:
     return F.min_by(value, F.when(where, order))
 
 
-def worst_status(code: Column) -> Column:
-    """The worst of the known status codes; others count as UNSET."""
-    rank = F.when(code == "ERROR", 2).when(code == "OK", 1).otherwise(0)
-    return F.element_at(F.array(F.lit("UNSET"), F.lit("OK"), F.lit("ERROR")), F.max(rank) + 1)
-
-
 def root_of(order: Column) -> Column:
-    """(span_id, name, service_name) of the earliest parentless span; a null start is last, ties go to the first read."""
+    """The order, start and (span_id, name, service_name) of the earliest parentless span; a null start is last, ties go to the first read."""
     start = F.col("start_time_unix_nano")
-    return first_by(F.struct("span_id", "name", "service_name"), F.struct(start.isNull(), start, order), F.col("parent_span_id").isNull())
+    return F.min(F.when(F.col("parent_span_id").isNull(), F.struct(start.isNull().alias("late"), start.alias("start"), order.alias("ord"), F.struct("span_id", "name", "service_name").alias("span"))))
+
+
+def trace_partials(wide: DataFrame, *more: Column) -> DataFrame:
+    """What a set of spans adds to each of its traces: minima, maxima and sums, which further sets can be merged into. ``more`` are further aggregates."""
+    order, session = F.col("ord"), F.col("session_id")
+    rank = F.when(F.col("status_code") == "ERROR", 2).when(F.col("status_code") == "OK", 1).otherwise(0)
+    return wide.groupBy("trace_id").agg(
+        F.min(F.when(F.coalesce(session, F.lit("")) != "", F.struct(order.alias("ord"), session.alias("id")))).alias("session"),
+        root_of(order).alias("root"),
+        F.min("start_time_unix_nano").alias("start_time_unix_nano"),
+        F.max("end_time_unix_nano").alias("end_time_unix_nano"),
+        F.count("*").alias("span_count"),
+        F.count_if(F.col("status_code") == "ERROR").alias("error_count"),
+        F.max(rank).alias("rank"),
+        *(F.sum(f"{k}_tokens").alias(f"{k}_sum") for k in ("input", "output", "total")),
+        *more,
+    )
+
+
+def merged_partials(partials: DataFrame) -> DataFrame:
+    """Partials of several sets of spans as one."""
+    least, most, sums = ("session", "root", "start_time_unix_nano"), ("end_time_unix_nano", "rank"), ("span_count", "error_count", "input_sum", "output_sum", "total_sum")
+    return partials.groupBy("trace_id").agg(*(F.min(c).alias(c) for c in least), *(F.max(c).alias(c) for c in most), *(F.sum(c).alias(c) for c in sums))
+
+
+def rolled_up(partials: DataFrame) -> DataFrame:
+    """The columns of the traces table, but for turns, from partials."""
+    names = F.array(F.lit("UNSET"), F.lit("OK"), F.lit("ERROR"))
+    return partials.withColumns(
+        {
+            "session_id": F.col("session.id"),
+            "root_span_id": F.col("root.span.span_id"),
+            "root_span_name": F.col("root.span.name"),
+            "service_name": F.col("root.span.service_name"),
+            "duration_ns": F.col("end_time_unix_nano") - F.col("start_time_unix_nano"),
+            "status": F.element_at(names, F.col("rank") + 1),
+            **{f"total_{k}_tokens" if k != "total" else "total_tokens": F.col(f"{k}_sum") for k in ("input", "output", "total")},
+        }
+    ).drop("session", "root", "rank", "input_sum", "output_sum", "total_sum")
 
 
 def trace_rollup(wide: DataFrame, *more: Column) -> DataFrame:
-    """One row a trace, before turns: one hash aggregate, partial before the shuffle. ``more`` are further aggregates of its spans."""
-    order = F.col("ord")
-    session = F.col("session_id")
-    return (
-        wide.groupBy("trace_id")
-        .agg(
-            first_by(session, order, F.coalesce(session, F.lit("")) != "").alias("session_id"),
-            root_of(order).alias("root"),
-            F.min("start_time_unix_nano").alias("start_time_unix_nano"),
-            F.max("end_time_unix_nano").alias("end_time_unix_nano"),
-            F.count("*").alias("span_count"),
-            F.count_if(F.col("status_code") == "ERROR").alias("error_count"),
-            worst_status(F.col("status_code")).alias("status"),
-            F.sum("input_tokens").alias("total_input_tokens"),
-            F.sum("output_tokens").alias("total_output_tokens"),
-            F.sum("total_tokens").alias("total_tokens"),
-            *more,
-        )
-        .withColumns({"root_span_id": F.col("root.span_id"), "root_span_name": F.col("root.name"), "service_name": F.col("root.service_name"), "duration_ns": F.col("end_time_unix_nano") - F.col("start_time_unix_nano")})
-    )
+    """One row a trace, before turns: one aggregate, partial before the shuffle. ``more`` are further aggregates of its spans."""
+    return rolled_up(trace_partials(wide, *more))
 
 
 def with_turns(rolled: DataFrame) -> DataFrame:
-    """session_turn: a trace's place in its session by start, then id; null without a session."""
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.coalesce("start_time_unix_nano", F.lit(LATE)), "trace_id")) - 1
-    # Traces without a session get no turn and would share one window; they go round it.
-    own = rolled.filter("session_id is not null").withColumn("session_turn", place.cast("int"))
-    return own.unionByName(rolled.filter("session_id is null").withColumn("session_turn", F.lit(None).cast("int")))
+    """session_turn: a trace's place in its session by start, then id; null without a session. Sessions of any size are spread (see ranking)."""
+    keyed = rolled.withColumns({"__session": F.coalesce("session_id", F.lit("")), "__start": F.coalesce("start_time_unix_nano", F.lit(LATE))})
+    placed = ranked(keyed, ["__session"], ["__start", "trace_id"], "__turn")
+    return placed.withColumn("session_turn", F.when(F.col("session_id").isNotNull(), F.col("__turn").cast("int"))).drop("__session", "__start", "__turn")
 
 
 def traces(wide: DataFrame) -> DataFrame:
     return conform(with_turns(trace_rollup(wide)), TRACES)
 
 
-def sessions(trace_table: DataFrame) -> DataFrame:
-    """One row a session, over traces rather than spans."""
+def sessions(rolled: DataFrame) -> DataFrame:
+    """One row a session, over traces rather than spans; turns aren't needed."""
     sums = ("span_count", "error_count", "total_input_tokens", "total_output_tokens", "total_tokens")
-    rolled = trace_table.filter("session_id is not null").groupBy("session_id").agg(
+    by_session = rolled.filter("session_id is not null").groupBy("session_id").agg(
         F.count("*").alias("trace_count"), F.min("start_time_unix_nano").alias("start_time_unix_nano"), F.max("end_time_unix_nano").alias("end_time_unix_nano"), *(F.sum(c).alias(c) for c in sums)
     )
-    return conform(rolled.withColumn("duration_ns", F.col("end_time_unix_nano") - F.col("start_time_unix_nano")), SESSIONS)
+    return conform(by_session.withColumn("duration_ns", F.col("end_time_unix_nano") - F.col("start_time_unix_nano")), SESSIONS)
 
 
-def all_tables(wide: DataFrame) -> dict[str, DataFrame]:
-    trace_table = traces(wide)
-    return {"spans": spans(wide), "messages": messages(wide), "documents": documents(wide), "links": links(wide), "traces": trace_table, "sessions": sessions(trace_table)}
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for: the turns of traces need a pass of their own."""
 
+    def __init__(self, makers: dict[str, Callable[[Tables], DataFrame]]):
+        self._makers, self._made = makers, {}
 
-def ordered_tables(wide: DataFrame) -> dict[str, DataFrame]:
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self)
+        return self._made[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def made(self, name: str) -> bool:
+        return name in self._made
+
+
+def all_tables(wide: DataFrame) -> Tables:
+    return Tables(
+        {
+            "spans": lambda _: spans(wide),
+            "messages": lambda _: messages(wide),
+            "documents": lambda _: documents(wide),
+            "links": lambda _: links(wide),
+            "traces": lambda _: traces(wide),
+            "sessions": lambda t: sessions(t["traces"] if t.made("traces") else trace_rollup(wide)),
+        }
+    )
+
+
+def ordered_tables(wide: DataFrame) -> Tables:
     """The tables in the order of the input: spans and their parts as read, traces and sessions as first seen."""
     listed = wide.orderBy("ord")
-    first = with_turns(trace_rollup(wide, F.min("ord").alias("ord")))
-    seen = first.filter("session_id is not null").groupBy("session_id").agg(F.min("ord").alias("ord"))
-    by_session = sessions(conform(first, TRACES)).join(seen, "session_id").orderBy("ord")
-    return {"spans": spans(listed), "messages": messages(listed), "documents": documents(listed), "links": links(listed), "traces": conform(first.orderBy("ord"), TRACES), "sessions": conform(by_session, SESSIONS)}
+
+    def first(t: Tables) -> DataFrame:
+        return trace_rollup(wide, F.min("ord").alias("ord"))
+
+    def by_session(t: Tables) -> DataFrame:
+        rolled = first(t)
+        seen = rolled.filter("session_id is not null").groupBy("session_id").agg(F.min("ord").alias("ord"))
+        return conform(sessions(rolled).join(seen, "session_id").orderBy("ord"), SESSIONS)
+
+    return Tables(
+        {
+            "spans": lambda _: spans(listed),
+            "messages": lambda _: messages(listed),
+            "documents": lambda _: documents(listed),
+            "links": lambda _: links(listed),
+            "traces": lambda t: conform(with_turns(first(t)).orderBy("ord"), TRACES),
+            "sessions": by_session,
+        }
+    )
 
 
 DIMS = {"tools": "tool_name", "agents": "agent_name", "models": "model_name", "services": "service_name"}

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlake.operators import nested, tables
 from spanlake.operators.normalize import normalize
 from spanlake.schema import STREAMED, check_spec
 from spanlake.sources import otlp, sinks
+from spanlake.sources.shared import drop, new_dir, saved_at
 
 
-def load(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2", ordered: bool = False) -> dict[str, DataFrame]:
-    """The six tables of OTLP/JSON files, lazily; with ``ordered`` their rows come in the order of the input, which costs a sort."""
+def load(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2", ordered: bool = False) -> Mapping[str, DataFrame]:
+    """The six tables of OTLP/JSON files, each made when asked for; with ``ordered`` their rows come in the order of the input, which costs a sort."""
     check_spec(spec)
     made = tables.ordered_tables if ordered else tables.all_tables
     return made(normalize(otlp.read_spans(spark, path)))
 
 
-def load_payloads(spark: SparkSession, payloads: Iterable[str]) -> dict[str, DataFrame]:
+def load_payloads(spark: SparkSession, payloads: Iterable[str]) -> Mapping[str, DataFrame]:
     return tables.all_tables(normalize(otlp.flatten(otlp.payload_documents(spark, payloads))))
 
 
@@ -35,45 +33,46 @@ def to_dfs(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> dic
 
 
 def to_parquet(spark: SparkSession, path: otlp.Paths, folder: str, *, spec: str = "at/v2", batch_size: int = 10_000, compression: str = "zstd", row_group_size: int | None = None) -> dict[str, str]:
-    """All tables as Parquet. JSON is parsed once: the rollups read the wide spans that the first write kept."""
+    """All tables as Parquet. JSON is parsed once: the tables read wide spans from the shared folder, each its own columns."""
     check_spec(spec)
-    wide = normalize(otlp.read_spans(spark, path)).persist(StorageLevel.DISK_ONLY)
+    at = new_dir(spark, "wide")
     try:
-        made = tables.all_tables(wide)
+        made = tables.all_tables(saved_at(normalize(otlp.read_spans(spark, path)), at))
         out = sinks.write_parquet({n: made[n] for n in STREAMED}, folder, compression, row_group_size or batch_size)
-        return out | sinks.write_parquet({n: df for n, df in made.items() if n not in STREAMED}, folder, compression, row_group_size)
+        return out | sinks.write_parquet({n: made[n] for n in made if n not in STREAMED}, folder, compression, row_group_size)
     finally:
-        wide.unpersist()
+        drop(spark, at)
 
 
 def record_frame(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> DataFrame:
-    """Nested records, distributed."""
-    return _records(spark, path, spec).drop("ord")
+    """Nested records, distributed, a trace a row."""
+    check_spec(spec)
+    return nested.records(normalize(otlp.read_spans(spark, path))).drop("ord")
 
 
-def _records(spark: SparkSession, path: otlp.Paths, spec: str) -> DataFrame:
+def record_pieces(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2", whole: bool = False) -> DataFrame:
+    """Nested records as JSON in pieces, for traces of any size."""
     check_spec(spec)
-    return nested.records(normalize(otlp.read_spans(spark, path)))
+    return nested.fragments(normalize(otlp.read_spans(spark, path)), whole)
 
 
 def to_dicts(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> list[dict]:
     """Nested records as Python dicts on the driver."""
-    return [json.loads(r.value) for r in nested.record_json(_records(spark, path, spec)).orderBy("ord").toLocalIterator()]
+    return list(nested.dicts(record_pieces(spark, path, spec=spec)))
 
 
 def write_tables(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *, spec: str = "at/v2", batch_size: int = 10_000, compression: str = "zstd") -> dict[str, str]:
-    """Tables in a format; Parquet as a folder a table, the others as a file a table."""
-    os.makedirs(folder, exist_ok=True)
+    """Tables in a format; Parquet as a folder a table, the others as a file a table. The folder may be on any file system."""
     if fmt == "parquet":
         return to_parquet(spark, path, folder, spec=spec, batch_size=batch_size, compression=compression)
     out = {}
     for name, df in load(spark, path, spec=spec, ordered=True).items():
-        out[name] = os.path.join(folder, f"{name}.{fmt}")
+        out[name] = f"{str(folder).rstrip('/')}/{name}.{fmt}"
         sinks.write_local(df, out[name], fmt)
     return out
 
 
 def write_records(spark: SparkSession, path: otlp.Paths, folder: str, fmt: str, *, spec: str = "at/v2") -> tuple[str, int]:
-    os.makedirs(folder, exist_ok=True)
-    out = os.path.join(folder, f"traces.{fmt}")
-    return out, sinks.write_lines(nested.record_json(_records(spark, path, spec)).orderBy("ord"), out, fmt == "jsonl")
+    """All records in one file, streamed through the driver; ``sinks.write_record_lines`` writes a folder without it."""
+    out = f"{str(folder).rstrip('/')}/traces.{fmt}"
+    return out, sinks.write_texts(spark, nested.record_texts(record_pieces(spark, path, spec=spec)), out, fmt == "jsonl")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +11,12 @@ from spanlake import bridge
 from spanlake.functions import wire
 from spanlake.operators import encode, nested, tables
 from spanlake.operators.normalize import attributes, convention, event_role, first_int_of, genai_kind, joined, leftovers, normalize, openinference_kind, session_id
+from spanlake.operators.ranking import ranked
 from spanlake.plans import engine
 from spanlake.schema import MESSAGES, SPANS
 from spanlake.sources import otlp, sinks
+from spanlake.sources.shared import drop, new_dir
+from spanlake.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,11 +33,8 @@ def query(sql: str | None = None):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for a round trip: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return "file://" + tempfile.mkdtemp(prefix="spanlake-")
-    return f"{base.rstrip('/')}/round-{os.urandom(8).hex()}"
+    """A new folder for a round trip."""
+    return new_dir(spark, "round")
 
 
 # What a span of each event comes to, from the table itself.
@@ -255,17 +252,17 @@ def traces_rollup(spark, sf_dir):
 
 @query(f"{WITH} SELECT trace_id, root_span_id, root_span_name, service_name FROM tr")
 def trace_root_span(spark, sf_dir):
-    return wide(spark, sf_dir).groupBy("trace_id").agg(tables.root_of(F.col("ord")).alias("r")).select("trace_id", F.col("r.span_id").alias("root_span_id"), F.col("r.name").alias("root_span_name"), F.col("r.service_name").alias("service_name"))
+    return tables.trace_rollup(wide(spark, sf_dir)).select("trace_id", "root_span_id", "root_span_name", "service_name")
 
 
 @query(f"{WITH} SELECT trace_id, status, error_count FROM tr")
 def trace_status_worst_of(spark, sf_dir):
-    return wide(spark, sf_dir).groupBy("trace_id").agg(tables.worst_status(F.col("status_code")).alias("status"), F.count_if(F.col("status_code") == "ERROR").alias("error_count"))
+    return tables.trace_rollup(wide(spark, sf_dir)).select("trace_id", "status", "error_count")
 
 
 @query(f"{WITH} SELECT trace_id, session_id FROM tr")
 def session_first_non_null(spark, sf_dir):
-    return wide(spark, sf_dir).groupBy("trace_id").agg(tables.first_by(F.col("session_id"), F.col("ord"), F.coalesce("session_id", F.lit("")) != "").alias("session_id"))
+    return tables.trace_rollup(wide(spark, sf_dir)).select("trace_id", "session_id")
 
 
 @query(f"{WITH} SELECT trace_id, session_id, session_turn FROM tt")
@@ -279,7 +276,7 @@ _SESSIONS = f"SELECT session_id, count(*) AS trace_count, {_SUMS}, min(start_tim
 
 @query(f"{WITH} SELECT {SPEC}, * FROM ({_SESSIONS}) x")
 def sessions_rollup(spark, sf_dir):
-    return tables.sessions(tables.traces(wide(spark, sf_dir)))
+    return tables.sessions(tables.trace_rollup(wide(spark, sf_dir)))
 
 
 @query(f"{WITH} SELECT trace_id, total_input_tokens, total_output_tokens, total_tokens FROM tr")
@@ -439,22 +436,68 @@ def csv_roundtrip(spark, sf_dir):
 GROUP = 2000  # traces of one file
 
 
+def _write_documents(spark, entries: DataFrame, path: str) -> None:
+    """A document a name below path, from (name, at, value), value a trace's document as documents_of makes it.
+
+    Rows are streamed to their files, one after another; no document is a cell.
+    """
+    names = entries.select("name").distinct()
+    none = F.lit(None).cast("string")
+    ends = [names.select("name", F.lit(k).alias("part"), none.alias("at"), F.lit(v).alias("value")) for k, v in ((0, '{"resourceSpans":[{}'), (2, "]}"))]
+    inner = F.col("value").substr(F.lit(19), F.length("value") - 20)
+    rows = entries.select("name", F.lit(1).alias("part"), "at", F.concat(F.lit(","), inner).alias("value")).unionByName(ends[0]).unionByName(ends[1])
+    rows.repartition("name").sortWithinPartitions("name", "part", "at").select("name", "value").write.partitionBy("name").text(path)
+
+
+def _named(spark, path: str, places: dict[str, str] | None = None) -> None:
+    """Give the files below path names that end in .json: their folder's, or those of ``places`` below path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(p(f"{path}/name=*/part-*")):
+        old = status.getPath()
+        name = old.getParent().getName().removeprefix("name=")
+        new = p(f"{path}/{places[name]}") if places else p(old.toString().removesuffix(".txt") + ".json")
+        fs.mkdirs(new.getParent())
+        fs.rename(old, new)
+
+
 def _write_otlp(spark, sf_dir) -> str:
-    """A folder of OTLP files, some traces each, below it and below a second level; one that isn't *.json is no part of it."""
+    """A folder of OTLP files, some traces each, in folders of their own."""
     path = shared_dir(spark)
     docs = otlp.documents_of(bridge.raw_events(spark, sf_dir))
     groups = max(2, -(-bridge.table(spark, sf_dir, "events").count() // GROUP))
-    # A document a file is what the reader takes; a few rows a file would need a file each, so texts are wrapped by group.
-    whole = docs.groupBy(F.pmod(F.xxhash64("trace_id"), F.lit(groups)).alias("k")).agg(F.collect_list("value").alias("v"))
-    whole.select("k", F.concat(F.lit('{"resourceSpans":['), F.array_join(F.transform("v", lambda x: x.substr(F.lit(19), F.length(x) - 20)), ","), F.lit("]}")).alias("value")).repartition(16, "k").write.partitionBy("k").text(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in fs.globStatus(p(f"{path}/k=*/part-*")):
-        old = status.getPath().toString()
-        fs.rename(p(old), p(old.removesuffix(".txt") + ".json"))
+    _write_documents(spark, docs.select(F.pmod(F.xxhash64("trace_id"), F.lit(groups)).alias("name"), F.col("trace_id").alias("at"), "value"), path)
+    _named(spark, path)
     return path
 
 
+@query(f"{WITH} SELECT {SPEC}, 'scope' AS scope_name, '1' AS scope_version, {SPAN_COLUMNS} FROM sp")
+def big_document_spans(spark, sf_dir):
+    """All spans as one document, which many tasks read by ranges of its bytes."""
+    path = shared_dir(spark)
+    docs = otlp.documents_of(bridge.raw_events(spark, sf_dir))
+    _write_documents(spark, docs.select(F.lit("all").alias("name"), F.col("trace_id").alias("at"), "value"), path)
+    _named(spark, path, {"all": "big/all.json"})
+    return tables.spans(normalize(otlp.read_spans(spark, f"{path}/big/all.json", least=0)))
+
+
+# Files by event type, and the place of each in the order of their paths' parts.
+_FILES = {"click": ("a/b.json", 2), "view": ("a-b.json", 3), "purchase": ("a/a.json", 1), "signup": ("Z.json", 0), "error": ("a.json", 4)}
+_PLACES = " ".join(f"WHEN '{k}' THEN {place}" for k, (_, place) in _FILES.items())
+
+
+@query(f"SELECT event_type AS name, CAST(CASE event_type {_PLACES} END AS INTEGER) AS place, count(*) AS n FROM events GROUP BY event_type")
+def file_order(spark, sf_dir):
+    """Files come in the order of their paths' parts, not of the whole text: a/b before a-b."""
+    path = shared_dir(spark)
+    raw = bridge.raw_events(spark, sf_dir)
+    by_type = otlp.documents_of(raw.withColumn("trace_id", F.concat_ws("|", "name", "trace_id"))).select(F.substring_index("trace_id", "|", 1).alias("name"), F.col("trace_id").alias("at"), "value")
+    _write_documents(spark, by_type, path)
+    _named(spark, path, {k: v for k, (v, _) in _FILES.items()})
+    seen = otlp.read_spans(spark, path).groupBy("name").agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    return ranked(seen.withColumn("all", F.lit("")), ["all"], ["first"], "place").select("name", F.col("place").cast("int").alias("place"), "n")
+
+
 @query(f"{WITH} SELECT {SPEC}, 'scope' AS scope_name, '1' AS scope_version, {SPAN_COLUMNS} FROM sp")
 def otlp_roundtrip(spark, sf_dir):
     return tables.spans(normalize(otlp.read_spans(spark, _write_otlp(spark, sf_dir))))
@@ -482,14 +525,73 @@ def arrow_tables(spark, sf_dir):
 
 @query(f"{WITH} SELECT trace_id, span_count, error_count, status, session_id FROM tr")
 def streaming_spans(spark, sf_dir):
-    """Files arrive as a stream, are stored batch by batch, and the rollup is read from the store."""
-    from spanlake.streaming.ingest import ingest, rollups
-
+    """Files arrive as a stream and are stored batch by batch; the rollup merges what the batches kept."""
     base = shared_dir(spark)
-    files = _write_otlp(spark, sf_dir)
-    query = ingest(spark, files, f"{base}/store", f"{base}/log", glob="*")
-    query.awaitTermination()
-    return rollups(spark, f"{base}/store")["traces"].select("trace_id", "span_count", "error_count", "status", "session_id")
+    ingest.ingest(spark, _write_otlp(spark, sf_dir), f"{base}/store", f"{base}/log").awaitTermination()
+    return ingest.rollups(spark, f"{base}/store")["traces"].select("trace_id", "span_count", "error_count", "status", "session_id")
+
+
+@query(f"{WITH} SELECT {SPEC}, trace_id, {TRACE_COLUMNS} FROM tt")
+def incremental_rollup(spark, sf_dir):
+    """Traces over three batches, a compaction and a batch that is stored again: spans of earlier batches are gone by then, so nothing reads them."""
+    sink = f"{shared_dir(spark)}/store"
+    raw = bridge.raw_events(spark, sf_dir)
+    # The input's order is by batch: a trace's first spans stand in the first one.
+    cuts = bridge.table(spark, sf_dir, "events").agg(F.percentile("event_id", F.array(F.lit(0.3), F.lit(0.7))).alias("q")).first().q
+    at, second = F.col("ord.p"), (F.col("ord.p") > cuts[0]) & (F.col("ord.p") <= cuts[1])
+    for k, part in enumerate((at <= cuts[0], second, at > cuts[1])):
+        ingest.store(raw.filter(part), sink, k)
+        if k == 1:
+            ingest.compact(spark, sink)
+            ingest.store(raw.filter(second), sink, k)
+        drop(spark, f"{sink}/spans")
+    return ingest.rollups(spark, sink)["traces"]
+
+
+@query(f"{WITH} SELECT trace_id, CASE WHEN session_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY session_id IS NULL ORDER BY start_time_unix_nano, trace_id) - 1 AS INTEGER) END AS session_turn FROM tr")
+def hot_session_turns(spark, sf_dir):
+    """One session holds nearly all traces; its turns are told range by range."""
+    hot = wide(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id").isNotNull(), "hot"))
+    return tables.with_turns(tables.trace_rollup(hot)).select("trace_id", "session_turn")
+
+
+_CODE_SQL = ", ".join(f"k_{c} AS (SELECT {c} AS v_{c}, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS BIGINT) AS {c}_code FROM sp WHERE {c} IS NOT NULL GROUP BY {c})" for c in ("session_id", "model_name", "kind", "name"))
+
+
+@query(f"{WITH}, {_CODE_SQL} SELECT trace_id, span_id, parent_span_id, coalesce(session_id_code, -1) AS session_id, coalesce(model_name_code, -1) AS model_name, coalesce(kind_code, -1) AS kind, coalesce(name_code, -1) AS name, CAST(duration_ns AS DOUBLE) AS duration_ns, CAST(input_tokens AS DOUBLE) AS input_tokens FROM sp " + " ".join(f"LEFT JOIN k_{c} ON {c} = v_{c}" for c in ("session_id", "model_name", "kind", "name")))
+def encoded_spans(spark, sf_dir):
+    """The spans table as identities, codes and numbers, all in Spark: vocabularies by first appearance, NaN as null here."""
+    listed = tables.ordered_tables(wide(spark, sf_dir))["spans"].select("spec", "trace_id", "span_id", "parent_span_id", "name", "kind", "session_id", "model_name", "duration_ns", "input_tokens", "input_text")
+    rows, _ = encode.encoded(listed, "spans")
+    return rows.drop("__row").withColumn("input_tokens", F.nanvl("input_tokens", F.lit(None).cast("double")))
+
+
+@query(f"""{WITH} SELECT trace_id, session_turn, count(*) AS spans, string_agg(span_id, ',' ORDER BY event_id) AS span_ids, string_agg(coalesce(raw_attributes_json, '-'), '|' ORDER BY event_id) AS raw FROM sp JOIN tt USING (trace_id) GROUP BY trace_id, session_turn""")
+def record_lines(spark, sf_dir):
+    """Records as JSON lines, written in pieces and read again; raw attributes are JSON in them."""
+    path = shared_dir(spark)
+    sinks.write_record_lines(nested.fragments(wide(spark, sf_dir), whole=True), path)
+    df = spark.read.schema("trace_id string, session_turn int, spans array<struct<span_id:string,raw_attributes:string>>").option("mode", "FAILFAST").json(path)
+    texts = lambda f: F.transform("spans", f)
+    return df.select("trace_id", "session_turn", F.size("spans").cast("bigint").alias("spans"), F.array_join(texts(lambda s: s["span_id"]), ",").alias("span_ids"), F.array_join(texts(lambda s: F.coalesce(s["raw_attributes"], F.lit("-"))), "|").alias("raw"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS span_id, CASE WHEN event_id % 2 = 0 THEN 'generic' ELSE 'unknown' END AS convention, 'UNKNOWN' AS kind, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'unknown' END AS io_format,
+ CASE WHEN event_id % 2 = 0 THEN 'in ' || event_id END AS input_text, CASE WHEN event_id % 2 = 0 THEN '{"user.flag":true,"left":' || event_id || '}' ELSE '{"custom":"x ' || event_id || '","list":[' || event_id || ',{"k":0.5}]}' END AS raw_attributes_json FROM events""")
+def plain_spans(spark, sf_dir):
+    """Spans of no vendor's convention: all that isn't generic input or output stays with the raw attributes."""
+    return normalize(bridge.raw_plain(spark, sf_dir)).select("span_id", "convention", "kind", "io_format", "input_text", "raw_attributes_json")
+
+
+def _call_sql(position: int, direction: str, role: str, content: str, call: bool) -> str:
+    return f"SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(turn AS VARCHAR) AS span_id, CAST({position} AS INTEGER) AS position, '{direction}' AS direction, '{role}' AS role, {content} AS content, {chr(39) + 'c' + chr(39) + ' || turn' if call else 'NULL'} AS tool_call_id FROM conversations"
+
+
+@query(" UNION ALL ".join([_call_sql(0, "input", "system", "'be brief'", False), _call_sql(1, "input", "user", "'t ' || turn", False), _call_sql(2, "input", "user", """'{"id":"c' || turn || '","name":"look","args":{"n":' || turn || '}}'""", True),
+    _call_sql(3, "input", "tool", """'{"ok":true,"n":' || turn || '}'""", True), _call_sql(4, "output", "assistant", """'{"id":"c' || turn || '","name":"act","args":{"n":' || turn || '}}'""", True)]))
+def adk_calls(spark, sf_dir):
+    """Calls and their answers in JSON requests and responses."""
+    return tables.messages(normalize(bridge.raw_calls(spark, sf_dir))).drop("spec", "spec_version")
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'user' WHEN event_type = 'view' THEN 'assistant' END AS role FROM events")

@@ -11,37 +11,122 @@ STREAMED = ("spans", "messages", "documents", "links")
 ROLLUPS = ("traces", "sessions")
 TABLES = STREAMED + ROLLUPS
 
-_KINDS = {"s": T.StringType(), "t": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType()}
+LONG_TEXT = {"long_text": True}  # metadata of columns that hold free text
 
-
-def _table(columns: str) -> T.StructType:
-    """"name:kind" words; s text, t long text, l and i integers, d double; ! is not null."""
-    fields = [T.StructField("spec", T.StringType(), False), T.StructField("spec_version", T.StringType(), False)]
-    for word in columns.split():
-        name, kind = word.split(":")
-        fields.append(T.StructField(name, _KINDS[kind[0]], not kind.endswith("!"), {"long_text": True} if kind[0] == "t" else {}))
-    return T.StructType(fields)
-
-
-SPANS = _table(
-    "trace_id:s! span_id:s! parent_span_id:s name:s kind:s convention:s status_code:s status_message:s "
-    "start_time_unix_nano:l end_time_unix_nano:l duration_ns:l service_name:s scope_name:s scope_version:s "
-    "session_id:s model_name:s tool_name:s agent_name:s input_tokens:l output_tokens:l total_tokens:l "
-    "io_format:s input_text:t output_text:t raw_attributes_json:t"
+# Names, order, types and nullability of the columns.
+SPANS = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("trace_id", T.StringType(), False),
+        T.StructField("span_id", T.StringType(), False),
+        T.StructField("parent_span_id", T.StringType(), True),
+        T.StructField("name", T.StringType(), True),
+        T.StructField("kind", T.StringType(), True),
+        T.StructField("convention", T.StringType(), True),
+        T.StructField("status_code", T.StringType(), True),
+        T.StructField("status_message", T.StringType(), True),
+        T.StructField("start_time_unix_nano", T.LongType(), True),
+        T.StructField("end_time_unix_nano", T.LongType(), True),
+        T.StructField("duration_ns", T.LongType(), True),
+        T.StructField("service_name", T.StringType(), True),
+        T.StructField("scope_name", T.StringType(), True),
+        T.StructField("scope_version", T.StringType(), True),
+        T.StructField("session_id", T.StringType(), True),
+        T.StructField("model_name", T.StringType(), True),
+        T.StructField("tool_name", T.StringType(), True),
+        T.StructField("agent_name", T.StringType(), True),
+        T.StructField("input_tokens", T.LongType(), True),
+        T.StructField("output_tokens", T.LongType(), True),
+        T.StructField("total_tokens", T.LongType(), True),
+        T.StructField("io_format", T.StringType(), True),
+        T.StructField("input_text", T.StringType(), True, LONG_TEXT),
+        T.StructField("output_text", T.StringType(), True, LONG_TEXT),
+        T.StructField("raw_attributes_json", T.StringType(), True, LONG_TEXT),
+    ]
+)
+MESSAGES = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("trace_id", T.StringType(), False),
+        T.StructField("span_id", T.StringType(), False),
+        T.StructField("position", T.IntegerType(), False),
+        T.StructField("direction", T.StringType(), True),
+        T.StructField("role", T.StringType(), True),
+        T.StructField("content", T.StringType(), True, LONG_TEXT),
+        T.StructField("tool_call_id", T.StringType(), True),
+    ]
 )
-MESSAGES = _table("trace_id:s! span_id:s! position:i! direction:s role:s content:t tool_call_id:s")
-DOCUMENTS = _table("trace_id:s! span_id:s! position:i! document_id:s content:t score:d")
-LINKS = _table("trace_id:s! span_id:s! linked_trace_id:s linked_span_id:s")
-TRACES = _table(
-    "trace_id:s! session_id:s session_turn:i root_span_id:s root_span_name:s service_name:s start_time_unix_nano:l "
-    "end_time_unix_nano:l duration_ns:l span_count:l error_count:l status:s total_input_tokens:l total_output_tokens:l total_tokens:l"
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("trace_id", T.StringType(), False),
+        T.StructField("span_id", T.StringType(), False),
+        T.StructField("position", T.IntegerType(), False),
+        T.StructField("document_id", T.StringType(), True),
+        T.StructField("content", T.StringType(), True, LONG_TEXT),
+        T.StructField("score", T.DoubleType(), True),
+    ]
 )
-SESSIONS = _table(
-    "session_id:s! trace_count:l span_count:l error_count:l start_time_unix_nano:l end_time_unix_nano:l duration_ns:l "
-    "total_input_tokens:l total_output_tokens:l total_tokens:l"
+LINKS = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("trace_id", T.StringType(), False),
+        T.StructField("span_id", T.StringType(), False),
+        T.StructField("linked_trace_id", T.StringType(), True),
+        T.StructField("linked_span_id", T.StringType(), True),
+    ]
+)
+TRACES = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("trace_id", T.StringType(), False),
+        T.StructField("session_id", T.StringType(), True),
+        T.StructField("session_turn", T.IntegerType(), True),
+        T.StructField("root_span_id", T.StringType(), True),
+        T.StructField("root_span_name", T.StringType(), True),
+        T.StructField("service_name", T.StringType(), True),
+        T.StructField("start_time_unix_nano", T.LongType(), True),
+        T.StructField("end_time_unix_nano", T.LongType(), True),
+        T.StructField("duration_ns", T.LongType(), True),
+        T.StructField("span_count", T.LongType(), True),
+        T.StructField("error_count", T.LongType(), True),
+        T.StructField("status", T.StringType(), True),
+        T.StructField("total_input_tokens", T.LongType(), True),
+        T.StructField("total_output_tokens", T.LongType(), True),
+        T.StructField("total_tokens", T.LongType(), True),
+    ]
+)
+SESSIONS = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("session_id", T.StringType(), False),
+        T.StructField("trace_count", T.LongType(), True),
+        T.StructField("span_count", T.LongType(), True),
+        T.StructField("error_count", T.LongType(), True),
+        T.StructField("start_time_unix_nano", T.LongType(), True),
+        T.StructField("end_time_unix_nano", T.LongType(), True),
+        T.StructField("duration_ns", T.LongType(), True),
+        T.StructField("total_input_tokens", T.LongType(), True),
+        T.StructField("total_output_tokens", T.LongType(), True),
+        T.StructField("total_tokens", T.LongType(), True),
+    ]
 )
 SCHEMAS = {"spans": SPANS, "messages": MESSAGES, "documents": DOCUMENTS, "links": LINKS, "traces": TRACES, "sessions": SESSIONS}
-DIM = T.StructType([T.StructField("spec", T.StringType(), False), T.StructField("spec_version", T.StringType(), False), T.StructField("name", T.StringType(), False), T.StructField("span_count", T.LongType(), False), T.StructField("trace_count", T.LongType(), False)])
+DIM = T.StructType(
+    [
+        T.StructField("spec", T.StringType(), False),
+        T.StructField("spec_version", T.StringType(), False),
+        T.StructField("name", T.StringType(), False),
+        T.StructField("span_count", T.LongType(), False),
+        T.StructField("trace_count", T.LongType(), False),
+    ]
+)
 
 
 def conform(df: DataFrame, schema: T.StructType, *more: str) -> DataFrame:

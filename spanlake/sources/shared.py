@@ -25,6 +25,16 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df, written as Parquet (in sub-folders by some columns) and read again: computed once, and no lost executor computes it anew."""
-    path = new_dir(df.sparkSession, name)
+    return saved_at(df, new_dir(df.sparkSession, name), *by)
+
+
+def saved_at(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """As saved, at a path of the caller's, who drops it."""
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

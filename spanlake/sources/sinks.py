@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("parquet", "csv", "arrow", "json", "jsonl")
@@ -40,31 +44,76 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     json_rows(df).write.mode("overwrite").text(path)
 
 
+def write_record_lines(pieces: DataFrame, path: str) -> None:
+    """A folder of JSON lines, a record a line, from ``nested.fragments`` with ``whole``. Pieces are set apart by a space, which JSON allows between tokens."""
+    line = F.when(F.col("part") == 2, F.concat("value", F.lit("\n"))).otherwise(F.col("value"))
+    pieces.select(line.alias("value")).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
+class _Stream(io.RawIOBase):
+    """A new file on any file system that Spark reaches; its folders are made too."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(os.fspath(path))
+        self._fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(p.toUri() if p.isAbsolute() or p.toUri().getScheme() else jvm.java.io.File(".").toURI(), spark._jsc.hadoopConfiguration())
+        self._fs.setWriteChecksum(False)
+        self._out = self._fs.create(p, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._out.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._out.close()
+            self._fs.close()
+        super().close()
+
+
+def opened(spark: SparkSession, path: str) -> io.BufferedWriter:
+    return io.BufferedWriter(_Stream(spark, path), 1 << 20)
+
+
+def _batches(df: DataFrame, schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows as they come from partition after partition."""
+    rows = iter(df.toLocalIterator())
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in held], schema)
+
+
 def write_local(df: DataFrame, path: str, fmt: str) -> None:
-    """One local file: arrow, csv, json or jsonl; rows stream through the driver a partition at a time."""
-    if fmt == "arrow":
-        import pyarrow.feather
-
-        pyarrow.feather.write_feather(df.toArrow(), path)
-    elif fmt == "csv":
-        import pyarrow.csv
-
-        pyarrow.csv.write_csv(df.toArrow(), path)
-    elif fmt in ("json", "jsonl"):
-        write_lines(json_rows(df), path, fmt == "jsonl")
-    else:
+    """One file: arrow, csv, json or jsonl. Rows come to the driver a partition at a time and go on in batches."""
+    if fmt in ("json", "jsonl"):
+        write_texts(df.sparkSession, ((r.value,) for r in json_rows(df).toLocalIterator()), path, fmt == "jsonl")
+        return
+    if fmt not in ("arrow", "csv"):
         raise ValueError(f"unsupported format: {fmt}")
+    import pyarrow.csv
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    with opened(df.sparkSession, path) as f, pa.PythonFile(f, "w") as sink:
+        with pa.ipc.new_file(sink, schema) if fmt == "arrow" else pyarrow.csv.CSVWriter(sink, schema) as writer:
+            for batch in _batches(df, schema):
+                writer.write_batch(batch) if fmt == "arrow" else writer.write(batch)
 
 
-def write_lines(texts: DataFrame, path: str, lines: bool) -> int:
-    """JSON texts as lines or as one array; returns their number."""
+def write_texts(spark: SparkSession, records: Iterable[Iterable[str]], path: str, lines: bool) -> int:
+    """JSON records, each in one or more texts, as lines or as one array; returns their number."""
     n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("" if lines else "[")
-        for row in texts.toLocalIterator():
-            f.write(row.value + "\n" if lines else ("," if n else "") + row.value)
+    with opened(spark, path) as f:
+        f.write(b"" if lines else b"[")
+        for record in records:
+            f.write(b"," if n and not lines else b"")
+            for text in record:
+                f.write(text.encode())
+            f.write(b"\n" if lines else b"")
             n += 1
-        f.write("" if lines else "]")
+        f.write(b"" if lines else b"]")
     return n
 
 
