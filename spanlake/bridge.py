@@ -28,12 +28,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 def text(c) -> Column:
     """An AnyValue holding a text."""
-    return F.to_json(F.struct((c if isinstance(c, Column) else F.lit(c)).cast("string").alias("stringValue")))
+    return F.to_variant_object(F.struct((c if isinstance(c, Column) else F.lit(c)).cast("string").alias("stringValue")))
 
 
 def whole(c: Column) -> Column:
     """An AnyValue holding an integer, as exporters write it."""
-    return F.concat(F.lit('{"intValue":"'), c.cast("string"), F.lit('"}'))
+    return F.to_variant_object(F.struct(c.cast("string").alias("intValue")))
+
+
+def value(c) -> Column:
+    """An AnyValue from its JSON."""
+    return F.parse_json(c if isinstance(c, Column) else F.lit(c))
 
 
 def attrs(*pairs) -> Column:
@@ -56,7 +61,7 @@ def event_attributes() -> Column:
         .when(F.col("event_type") == "view", attrs(("gen_ai.operation.name", text("execute_tool")), ("gen_ai.tool.name", text(F.concat(F.lit("t"), (user % 4).cast("string")))), ("gen_ai.tool.call.arguments", text('{"a": 1}')), ("gen_ai.tool.call.id", said("c")), ("gen_ai.agent.name", text(F.concat(F.lit("a"), (user % 3).cast("string")))), ("gen_ai.usage.input_tokens", text("many")), ("gen_ai.usage.prompt_tokens", whole(n % 9))))
         .when(F.col("event_type") == "purchase", attrs(("ai.model.id", text("gpt-x")), ("ai.usage.promptTokens", whole(n % 50)), ("ai.usage.completionTokens", text("3.7")), ("ai.prompt", said("buy ")), ("ai.response.text", text("ok"))))
         .when(F.col("event_type") == "signup", attrs(("mlflow.spanType", text("Chain")), ("mlflow.spanInputs", said("in ")), ("mlflow.spanOutputs", text("")), ("output.value", text("done"))))
-        .otherwise(attrs(("traceloop.span.kind", text("agent")), ("traceloop.entity.input", said("q ")), ("http.code", whole(F.lit(500))), ("ratio", F.lit('{"doubleValue":2.50}')), ("deep", F.lit('{"arrayValue":{"values":[{"stringValue":"a"},{"intValue":"1"}]}}'))))
+        .otherwise(attrs(("traceloop.span.kind", text("agent")), ("traceloop.entity.input", said("q ")), ("http.code", whole(F.lit(500))), ("ratio", value('{"doubleValue":2.50}')), ("deep", value('{"arrayValue":{"values":[{"stringValue":"a"},{"intValue":"1"}]}}'))))
     ).cast(KV)
     return F.when(n % 7 == 0, own).otherwise(F.concat(own, attrs(session)))
 
@@ -109,8 +114,8 @@ def raw_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of ``events`` that follow no vendor's convention: every other one has a generic input, the rest attributes that nothing knows."""
     n = F.col("event_id")
     raw = raw_events(spark, sf_dir).withColumn("event_id", F.col("ord.p"))
-    generic = attrs(("input.value", text(F.concat(F.lit("in "), n.cast("string")))), ("user.flag", F.lit('{"boolValue":true}')), ("left", whole(n)))
-    unknown = attrs(("custom", text(F.concat(F.lit("x "), n.cast("string")))), ("list", F.concat(F.lit('{"arrayValue":{"values":[{"intValue":"'), n.cast("string"), F.lit('"},{"kvlistValue":{"values":[{"key":"k","value":{"doubleValue":0.5}}]}}]}}'))))
+    generic = attrs(("input.value", text(F.concat(F.lit("in "), n.cast("string")))), ("user.flag", value('{"boolValue":true}')), ("left", whole(n)))
+    unknown = attrs(("custom", text(F.concat(F.lit("x "), n.cast("string")))), ("list", value(F.concat(F.lit('{"arrayValue":{"values":[{"intValue":"'), n.cast("string"), F.lit('"},{"kvlistValue":{"values":[{"key":"k","value":{"doubleValue":0.5}}]}}]}}')))))
     return raw.withColumns({"attributes": F.when(n % 2 == 0, generic.cast(KV)).otherwise(unknown.cast(KV)), "events": F.array().cast(EVENTS), "links": F.array().cast(LINKS)}).drop("event_id")
 
 
@@ -133,7 +138,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     own = F.array(
         entry(F.lit("openinference.span.kind"), text("RETRIEVER")), entry(F.lit("retrieval.query"), text(F.col("lang"))), entry(key("id"), text(F.col("doc_id"))), entry(key("content"), text(F.coalesce("text", F.lit("")))),
-        entry(key("score"), F.concat(F.lit('{"doubleValue":'), (F.col("n_chars") / 4).cast("string"), F.lit("}"))),
+        entry(key("score"), F.to_variant_object(F.struct((F.col("n_chars") / 4).alias("doubleValue")))),
     )
     none = F.lit(None).cast("string")
     return df.select(

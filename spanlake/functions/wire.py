@@ -1,21 +1,16 @@
 """Column functions that decode OTLP/JSON values.
 
-Attribute values arrive as the exact JSON text of an AnyValue. ``decoded`` gives two maps by
-key, both with the last value and the first position of a repeated key: the text of each value
-and its compact JSON.
+Attribute values arrive as variants, parsed with their document: an AnyValue, or a bare value.
+``decoded`` gives two maps by key, both with the last value and the first position of a repeated
+key: the text of each value and its compact JSON. All of it is column expressions.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-WIRE = "stringValue string, intValue string, doubleValue string, boolValue boolean, bytesValue string, arrayValue string, kvlistValue string"
-KV = "array<struct<key:string,value:string>>"
+KV = "array<struct<key:string,value:variant>>"
 # Status names as they come and as they are kept.
 STATUS = {"STATUS_CODE_UNSET": "UNSET", "STATUS_CODE_OK": "OK", "STATUS_CODE_ERROR": "ERROR", "UNSET": "UNSET", "OK": "OK", "ERROR": "ERROR", "": "UNSET"}
 
@@ -67,67 +62,77 @@ def double_text(c: Column, python: bool = True) -> Column:
     return F.when(text.isin(*odd), literal_map(odd)[text]).when(~text.contains("E") | ((size >= 1e-4) & (size < 1e16)), F.when(text.contains("E"), plain).otherwise(text)).otherwise(F.concat(mantissa, F.lit("e"), tail))
 
 
-def _plain(value):
-    """An AnyValue, or a bare value, as a plain one."""
-    if not isinstance(value, dict):
-        return value
-    for name in ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue"):
-        if name in value:
-            got = value[name]
-            return int(got) if name == "intValue" and isinstance(got, str) else got
-    if "arrayValue" in value:
-        return [_plain(x) for x in (value["arrayValue"] or {}).get("values") or []]
-    if "kvlistValue" in value:
-        return {x["key"]: _plain(x.get("value")) for x in (value["kvlistValue"] or {}).get("values") or [] if x.get("key")}
-    return None
-
-
-def _compact(text: str | None) -> str | None:
-    return None if text is None else json.dumps(_plain(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nested(values: pd.Series) -> pd.Series:
-    """Lists and key-value lists recur without bound, so they are unwrapped here; rows without any are null."""
-    return values.map(lambda row: None if row is None else [_compact(x) for x in row])
-
-
-def _is_nested(v: Column) -> Column:
-    """A list or key-value list; a value whose text can't hold either isn't parsed."""
-    keys = F.json_object_keys(v)
-    plain = F.array(*(F.lit(k) for k in ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue")))
-    may = v.contains("arrayValue") | v.contains("kvlistValue") | v.contains("\\")
-    return F.coalesce(may & F.arrays_overlap(keys, F.array(F.lit("arrayValue"), F.lit("kvlistValue"))) & ~F.arrays_overlap(keys, plain), F.lit(False))
+# Marks that stand for brackets and braces in texts that are done: JSON holds control characters only as escapes.
+_DONE = "\u0001\u0002\u0003\u0004"
+_STRING = r'"(?:[^"\\]|\\.)*"'
+# Wrappers of plain values, and lists without values, each with what is left of it.
+_WRAPPED = (
+    (rf'\{{"doubleValue":(-?\d+)\}}', "$1.0"),
+    (rf'\{{"doubleValue":(-?\d+)(?:\.0|(\.\d+))E(-?\d+)\}}', "$1$2e$3"),
+    (rf'\{{"(?:stringValue|bytesValue|doubleValue|boolValue)":({_STRING}|[^"{{}}\[\],]+)\}}', "$1"),
+    (r'\{"intValue":"?\s*\+?(-?\d+)\s*"?\}', "$1"),
+    (r'\{"arrayValue":(?:null|\{\}|\{"values":null\})\}', "\u0001\u0002"),
+    (r'\{"kvlistValue":(?:null|\{\}|\{"values":null\})\}', "\u0003\u0004"),
+    (r"\{\}", "null"),
+)
+# What one step unwraps: lists and entries in which nothing is left to unwrap. Entries without a key go.
+_INNERMOST = (
+    (r'\{"arrayValue":\{"values":\[([^\[\]{}]*)\]\}\}', "\u0001$1\u0002"),
+    (r'\{"key":""(?:,"value":[^\[\]{}]*)?\}', "\u0006"),
+    ("\u0006,|,?\u0006", ""),
+    (rf'\{{"key":({_STRING}),"value":([^\[\]{{}}]*)\}}', "$1:$2"),
+    (rf'\{{"key":({_STRING})\}}', "$1:null"),
+    (r'\{"kvlistValue":\{"values":\[([^\[\]{}]*)\]\}\}', "\u0003$1\u0004"),
+)
+
+
+def _replaced(text: Column, rules) -> Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def nested_json(v: Column) -> Column:
+    """Compact JSON of a list or key-value list, unwrapped from the inside out, as often as it holds lists: of any depth."""
+    raw = F.to_json(v)
+    guarded = F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_STRING + '|[^"]+'), F.lit(0)), lambda x: F.when(x.startswith('"'), F.translate(x, "[]{}", _DONE)).otherwise(x)), "")
+    depth = F.size(F.regexp_extract_all(raw, F.lit('"(?:array|kvlist)Value":'), F.lit(0)))
+    done = F.aggregate(F.sequence(F.lit(1), depth), _replaced(guarded, _WRAPPED), lambda text, _: _replaced(text, _INNERMOST))
+    return F.translate(done, _DONE, "[]{}")
+
+
+def _of(v: Column, kind: str, name: str | None = None) -> Column:
+    """A variant, or a field of it, as a type; null if it isn't one."""
+    return F.try_variant_get(v, f"$.{name}" if name else "$", kind)
 
 
 def _decode(p: Column) -> Column:
-    """(text, json) of one value, parsed: v its raw text, w and keys its fields, deep its unwrapped list."""
-    v, w, keys, nested = p["v"], p["w"], p["keys"], p["deep"]
+    """(text, json) of one value: v the variant, keys its fields, null for a bare one."""
+    v, keys = p["v"], p["keys"]
     has = lambda k: F.array_contains(keys, k)
-    number = w["doubleValue"].try_cast("double")
-    bare = v.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$") | v.isin("true", "false")
-    whole = w["intValue"].cast("decimal(38,0)").cast("string")
-    text = (
-        F.when(v.isNull() | (v == "null"), None)
-        .when(keys.isNull(), v)
-        .when(has("stringValue"), w["stringValue"])
+    text, number = lambda k: _of(v, "string", k), _of(v, "double", "doubleValue")
+    whole = text("intValue").cast("decimal(38,0)").cast("string")
+    nested = F.when(has("arrayValue") | has("kvlistValue"), nested_json(v))
+    bare = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(_of(v, "string"))).otherwise(_of(v, "string"))
+    as_text = (
+        F.when(keys.isNull(), bare)
+        .when(has("stringValue"), text("stringValue"))
         .when(has("intValue"), whole)
         .when(has("doubleValue"), double_text(number))
-        .when(has("boolValue"), F.initcap(w["boolValue"].cast("string")))
-        .when(has("bytesValue"), w["bytesValue"])
+        .when(has("boolValue"), F.initcap(text("boolValue")))
+        .when(has("bytesValue"), text("bytesValue"))
         .otherwise(nested)
     )
     as_json = (
-        F.when(v.isNull() | (v == "null"), "null")
-        .when(keys.isNull(), F.when(bare, v).otherwise(quoted(v)))
-        .when(has("stringValue"), quoted(w["stringValue"]))
+        F.when(keys.isNull(), F.to_json(v))
+        .when(has("stringValue"), quoted(text("stringValue")))
         .when(has("intValue"), whole)
         .when(has("doubleValue"), double_text(number, False))
-        .when(has("boolValue"), w["boolValue"].cast("string"))
-        .when(has("bytesValue"), quoted(w["bytesValue"]))
+        .when(has("boolValue"), text("boolValue"))
+        .when(has("bytesValue"), quoted(text("bytesValue")))
         .otherwise(nested)
     )
-    return F.struct(text.alias("text"), F.coalesce(as_json, F.lit("null")).alias("json"))
+    return F.struct(as_text.alias("text"), F.coalesce(as_json, F.lit("null")).alias("json"))
 
 
 def keyed(attributes: Column) -> Column:
@@ -135,15 +140,10 @@ def keyed(attributes: Column) -> Column:
     return F.filter(F.coalesce(attributes, F.array().cast(KV)), lambda x: F.coalesce(x["key"], F.lit("")) != "")
 
 
-def unwrapped(values: Column) -> Column:
-    """Compact JSON of the lists and key-value lists among raw values, null for the others; a column of its own, as no lambda may hold it."""
-    return _nested(F.when(F.exists(values, _is_nested), F.transform(values, lambda v: F.when(_is_nested(v), v))))
-
-
-def decoded_values(values: Column, deep: Column) -> Column:
-    """(text, json) of raw values; deep has the unwrapped ones in the same order. Each value is parsed once: the second lambda reads the first one's fields."""
-    parsed = F.transform(values, lambda v, i: F.struct(v.alias("v"), F.from_json(v, WIRE).alias("w"), F.json_object_keys(v).alias("keys"), F.get(deep, i).alias("deep")))
-    return F.transform(parsed, _decode)
+def decoded_values(values: Column) -> Column:
+    """(text, json) of variants. The second lambda reads the first one's fields, so a value's keys are told once."""
+    told = F.transform(values, lambda v: F.struct(v.alias("v"), F.map_keys(_of(v, "map<string,variant>")).alias("keys")))
+    return F.transform(told, _decode)
 
 
 def mapped(own: Column, values: Column, part: str) -> Column:
@@ -151,9 +151,9 @@ def mapped(own: Column, values: Column, part: str) -> Column:
     return F.map_from_entries(F.zip_with(own, values, lambda x, v: F.struct(x["key"], v[part])))
 
 
-def decoded(own: Column, deep: Column) -> Column:
+def decoded(own: Column) -> Column:
     """struct(text: map, json: map) of keyed entries."""
-    values = decoded_values(F.transform(own, lambda x: x["value"]), deep)
+    values = decoded_values(F.transform(own, lambda x: x["value"]))
     return F.struct(mapped(own, values, "text").alias("text"), mapped(own, values, "json").alias("json"))
 
 

@@ -14,7 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, status, to_float, to_int, unwrapped
+from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, status, to_float, to_int
 
 # Attribute keys and names of the conventions.
 SESSION_KEYS = ("gen_ai.conversation.id", "session.id", "gcp.vertex.agent.session_id", "ai.telemetry.metadata.sessionId", "mlflow.trace.session", "traceloop.association.properties.session_id")
@@ -316,8 +316,7 @@ def attributes(raw: DataFrame) -> DataFrame:
     last = lambda list_, key: F.try_element_at(F.filter(list_, lambda x: x["key"] == key), F.lit(-1))["value"]
     events = F.filter(F.coalesce("events", F.array().cast(raw.schema["events"].dataType)), lambda e: F.coalesce(e["name"], F.lit("")).startswith("gen_ai."))
     df = raw.withColumns({"_own": keyed(F.col("attributes")), "_names": F.transform(events, lambda e: e["name"]), "_said": F.transform(events, lambda e: last(e["attributes"], "content")), "_service": F.array(last(F.col("resource_attributes"), "service.name"))})
-    df = df.withColumn("_deep", unwrapped(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service")))
-    df = df.withColumn("_values", decoded_values(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service"), F.col("_deep")))
+    df = df.withColumn("_values", decoded_values(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service")))
     n, m = F.size("_own"), F.size("_said")
     own = F.slice("_values", 1, n)
     said = F.zip_with("_names", F.slice("_values", n + 1, m), lambda name, v: F.struct(name.alias("name"), v["text"].alias("content")))

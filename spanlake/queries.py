@@ -93,10 +93,9 @@ def parent_null(spark, sf_dir):
 
 
 def _decoded(df: DataFrame, pairs) -> DataFrame:
-    """df with t and j of an attribute list."""
+    """df with the decoded maps of an attribute list, text and json."""
     df = df.withColumn("own", wire.keyed(bridge.attrs(*pairs).cast(wire.KV)))
-    df = df.withColumn("deep", wire.unwrapped(F.transform("own", lambda x: x["value"])))
-    return df.withColumn("a", wire.decoded(F.col("own"), F.col("deep"))).select("*", "a.*")
+    return df.withColumn("a", wire.decoded(F.col("own"))).select("*", "a.*")
 
 
 @query("SELECT event_id, '{\"a\":' || event_id || ',\"b\":\"' || event_type || '\"}' AS attributes_json FROM events")
@@ -111,9 +110,9 @@ def attrs_last_wins(spark, sf_dir):
 def anyvalue_scalar_decode(spark, sf_dir):
     wire.configure(spark)
     n = F.col("event_id")
-    half = F.concat(F.lit('{"doubleValue":'), n.cast("string"), F.lit(".5}"))
-    deep = F.concat(F.lit('{"arrayValue":{"values":[{"stringValue":"x"},{"intValue":"'), n.cast("string"), F.lit('"},{"kvlistValue":{"values":[{"key":"k","value":{}}]}}]}}'))
-    df = _decoded(bridge.table(spark, sf_dir, "events"), (("s", bridge.text(F.col("event_type"))), ("i", bridge.whole(n)), ("b", F.concat(F.lit('{"boolValue":'), (n % 2 == 0).cast("string"), F.lit("}"))), ("d", half), ("x", bridge.text("3.7")), ("n", deep)))
+    half = bridge.value(F.concat(F.lit('{"doubleValue":'), n.cast("string"), F.lit(".5}")))
+    deep = bridge.value(F.concat(F.lit('{"arrayValue":{"values":[{"stringValue":"x"},{"intValue":"'), n.cast("string"), F.lit('"},{"kvlistValue":{"values":[{"key":"k","value":{}}]}}]}}')))
+    df = _decoded(bridge.table(spark, sf_dir, "events"), (("s", bridge.text(F.col("event_type"))), ("i", bridge.whole(n)), ("b", F.to_variant_object(F.struct((n % 2 == 0).alias("boolValue")))), ("d", half), ("x", bridge.text("3.7")), ("n", deep)))
     t, j = F.col("text"), F.col("json")
     return df.select("event_id", t["s"].alias("s"), t["i"].alias("i"), (j["b"] == "true").alias("even"), t["b"].alias("b"), wire.to_int(t["i"], j["i"]).alias("as_int"), wire.to_int(t["x"], j["x"]).alias("bad_int"), wire.to_int(t["d"], j["d"]).alias("cut_int"), wire.to_float(t["d"]).alias("as_float"), t["n"].alias("nested"))
 

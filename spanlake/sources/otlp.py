@@ -136,11 +136,11 @@ def read_spans(spark: SparkSession, path: Paths, least: int = LARGE) -> DataFram
 def documents_of(spans: DataFrame) -> DataFrame:
     """The inverse of flatten, for fixtures: a JSON text for each trace, spans in order under their resource and scope.
 
-    Attribute values are JSON texts already, so they are spliced in as they are.
+    Attribute values are spliced in as JSON.
     """
     lit, null = F.lit, F.lit("null")
     listed = lambda texts: F.concat(lit("["), F.coalesce(F.array_join(texts, ","), lit("")), lit("]"))
-    kv = lambda c: listed(F.transform(c, lambda x: F.concat(lit('{"key":'), quoted(x["key"]), lit(',"value":'), F.coalesce(x["value"], null), lit("}"))))
+    kv = lambda c: listed(F.transform(c, lambda x: F.concat(lit('{"key":'), quoted(x["key"]), lit(',"value":'), F.coalesce(F.to_json(x["value"]), null), lit("}"))))
     text = lambda c: F.coalesce(quoted(F.col(c)), null)
     events = listed(F.transform("events", lambda e: F.concat(lit('{"name":'), F.coalesce(quoted(e["name"]), null), lit(',"attributes":'), kv(e["attributes"]), lit("}"))))
     pairs = (("traceId", text("trace_id")), ("spanId", text("span_id")), ("parentSpanId", text("parent_raw")), ("name", text("name")), ("startTimeUnixNano", text("start_raw")), ("endTimeUnixNano", text("end_raw")))

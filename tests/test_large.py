@@ -30,11 +30,11 @@ def document(rnd, resources, late=False, odd=True):
 
 
 def rows(df):
-    """Rows in the order of the input, without their places, which are of another kind; values parsed, as their white space may differ."""
+    """Rows in the order of the input, without their places, which are of another kind."""
 
     def parsed(x):
         if isinstance(x, dict):
-            return {k: json.loads(v) if k == "value" and v is not None else parsed(v) for k, v in x.items()}
+            return {k: json.loads(v.toJson()) if k == "value" and v is not None else parsed(v) for k, v in x.items()}
         return [parsed(y) for y in x] if isinstance(x, list) else x
 
     return [parsed(r.asDict(recursive=True)) for r in df.orderBy("ord").drop("ord").collect()]
