@@ -183,7 +183,8 @@ def read(files: DataFrame, key: str = "doc_id") -> DataFrame:
             for raw, start in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 keys, lens, codes = opened(raw.as_py())
                 at = np.concatenate([[0], np.cumsum(lens)])
-                crc = [zlib.crc32(codes.run(a, n).astype("<u4").tobytes()) for a, n in zip(at[:-1].tolist(), lens.tolist(), strict=True)]
+                ids = memoryview(codes.run(0, int(at[-1])).astype("<u4").tobytes())  # all of a file, level by level
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + start), pa.array(np.array(lens, np.int64)), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     return files.select("payload", "start").mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
