@@ -15,7 +15,7 @@ no rows; other columns don't pass through, so their names are no matter.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +77,7 @@ def _grid(ids: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarr
 
 def walk(model: Model, ids: np.ndarray, offs: np.ndarray, sums: tuple | None = None) -> np.ndarray:
     """Log10 likelihood of each row by the scaled forward recursion; with sums, adds its expected counts."""
-    out, draw = np.zeros(len(offs) - 1), np.ascontiguousarray(model.draw.T)
+    out, draw, ones = np.zeros(len(offs) - 1), np.ascontiguousarray(model.draw.T), np.ones(len(model.start))
     order = np.argsort(-np.diff(offs), kind="stable")
     for i in range(0, len(order), BATCH):
         rows = order[i : i + BATCH]
@@ -87,7 +87,7 @@ def walk(model: Model, ids: np.ndarray, offs: np.ndarray, sums: tuple | None = N
         total = np.zeros(len(rows))
         for t, n in enumerate(live.tolist()):
             alpha = (alpha[:n] @ model.step if t else alpha[:n]) * draw[ids[begin[:n] + t]]
-            scale = alpha.sum(axis=1)
+            scale = alpha @ ones
             alpha = alpha / scale[:, None]
             total[:n] += np.log10(scale)
             if sums is not None:
@@ -108,8 +108,7 @@ def walk(model: Model, ids: np.ndarray, offs: np.ndarray, sums: tuple | None = N
                 beta = np.concatenate([ahead @ model.step.T, np.ones((n - m, beta.shape[1]))])
             else:
                 beta = np.ones((n, len(model.start)))
-            gamma = kept[t] * beta
-            gamma /= gamma.sum(axis=1, keepdims=True)
+            gamma = kept[t] * beta  # both are scaled alike, so its rows add up to one
             drawn.append(ids[begin[:n] + t])
             shares.append(gamma)
             if t == 0:
@@ -130,7 +129,7 @@ def _symbols(data: np.ndarray, offs: np.ndarray, index: dict, end: int):
     out = np.full(int(at[-1]), end, np.int64)
     mask = np.ones(len(out), bool)
     mask[at[1:] - 1] = False
-    out[mask] = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+    out[mask] = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
     return out, at, mask, flat
 
 
