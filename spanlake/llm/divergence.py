@@ -30,7 +30,7 @@ from .common import SPACE, lower, parts, saved, text_blocks, words
 LEAST_DOCS = 30
 TOP = 50
 SCALE, PRIOR = 1_000_000_000, 5
-SLICE = 50_000  # vectors of one slice, by the language's terms
+SLICE = 4096  # terms of a language by which its vectors are dealt in slices, or as many as it has sources
 DENSE = 1 << 22  # cells of a slice that are held as a matrix at a time
 HELD = 1 << 19  # rows of counts that a task adds up before it hands them on
 
@@ -160,12 +160,14 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     sizes = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
     found = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
     sums = entries.groupBy("lang", "source").agg(F.sum("c").alias("n"))
-    groups, _ = saved(found.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["n", "v", "n_lang"]), "groups")
-
-    slices = lambda v: F.greatest(F.lit(1), F.ceil(v / SLICE)).cast("int")
-    distinct = terms.groupBy("lang", "vec").agg(F.count("*").alias("m")).join(groups.select("lang", "v").distinct(), "lang")
-    left = distinct.select("lang", F.pmod(F.xxhash64("vec"), slices(F.col("v"))).cast("int").alias("slice"), "vec", "m")
-    right = groups.select("lang", F.explode(F.sequence(F.lit(0), slices(F.col("v")) - 1)).alias("slice"), "source", "n", "v")
+    many = found.groupBy("lang").agg(F.count("*").alias("sources"))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("v") / F.greatest(F.lit(SLICE), F.col("sources")))).cast("int")
+    joined = found.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["n", "v", "n_lang"]).join(many, "lang")
+    groups, _ = saved(joined.withColumn("slices", slices), "groups")
+
+    distinct = terms.groupBy("lang", "vec").agg(F.count("*").alias("m")).join(groups.select("lang", "slices").distinct(), "lang")
+    left = distinct.select("lang", F.pmod(F.xxhash64("vec"), F.col("slices")).cast("int").alias("slice"), "vec", "m")
+    right = groups.select("lang", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "source", "n", "v")
     near = left.groupBy("lang", "slice").cogroup(right.groupBy("lang", "slice")).applyInArrow(_pairs, "lang string, a string, b string, value long")
     pairs, _ = saved(near.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "pairs")
     sides = pairs.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value")
