@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import drop, saved
 from .divergence import COUNTS, _count
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -206,8 +207,16 @@ def _scan(batches: Iterator[pa.RecordBatch], schema: pa.Schema, words: dict[str,
 def common_words(docs: DataFrame, most: int = WORDS, least_docs: int = LEAST_DOCS) -> dict[str, float]:
     """log10 ranks of the words that stand in most documents, and of COMMON. All texts are counted; the driver gets ``most`` words of up to 32 letters."""
     texts = docs.select(F.lit("").alias("lang"), F.lit("").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = texts.mapInArrow(_count, COUNTS).groupBy("term").agg(F.sum("d").alias("d"))
-    top = counts.filter((F.col("d") >= least_docs) & (F.length("term") <= LONGEST)).orderBy(F.desc("d"), "term").limit(most).collect()
+    counts, path = saved(texts.mapInArrow(_count, COUNTS).groupBy("term").agg(F.sum("d").alias("d")).filter((F.col("d") >= least_docs) & (F.length("term") <= LONGEST)), "words")
+    # How many words there are by size of their count, sixteen sizes a doubling, tells what the least count is: tasks then send no others.
+    size = F.floor(F.log2("d") * 16)
+    least, n = 0, 0
+    for k, words in counts.groupBy(size.alias("k")).agg(F.count("*")).orderBy(F.desc("k")).collect():
+        least, n = k, n + words
+        if n >= most:
+            break
+    top = counts.filter(size >= least).orderBy(F.desc("d"), "term").limit(most).collect()
+    drop(docs.sparkSession, path)
     ranks = {r["term"]: log10(k + 1) for k, r in enumerate(top)}
     for k, word in enumerate(COMMON):
         ranks[word] = min(ranks.get(word, 99.0), log10(k + 1))
