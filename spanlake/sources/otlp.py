@@ -103,9 +103,12 @@ def flatten(documents: DataFrame) -> DataFrame:
     """One row a span, with its resource and scope and its place in the input (``ord``); missing levels give none."""
     configure(documents.sparkSession)
     at = ["path_ord", "path"]
+    # What a row keeps of its level is told apart from the list before that is unnested: no row carries the list that it comes from.
     df = documents.select(*at, F.posexplode("resourceSpans").alias("r", "rs"))
-    df = df.select(*at, "r", F.col("rs.resource.attributes").alias("resource_attributes"), F.posexplode("rs.scopeSpans").alias("s", "ss"))
-    return _columns(df.select(*at, "r", "s", "resource_attributes", F.col("ss.scope").alias("scope"), F.posexplode("ss.spans").alias("p", "span")))
+    df = df.select(*at, "r", F.col("rs.resource.attributes").alias("resource_attributes"), F.col("rs.scopeSpans").alias("list"))
+    df = df.select(*at, "r", "resource_attributes", F.posexplode("list").alias("s", "ss"))
+    df = df.select(*at, "r", "s", "resource_attributes", F.struct(F.col("ss.scope.name").alias("name"), F.col("ss.scope.version").alias("version")).alias("scope"), F.col("ss.spans").alias("list"))
+    return _columns(df.select(*at, "r", "s", "resource_attributes", "scope", F.posexplode("list").alias("p", "span")))
 
 
 def _large_spans(spark: SparkSession, k: int, path: str, kind: str, least: int) -> DataFrame:
