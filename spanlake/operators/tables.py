@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators.ranking import ranked
 from spanlake.schema import DIM, DOCUMENTS, LINKS, MESSAGES, SESSIONS, SPANS, SPEC, SPEC_VERSION, TRACES, conform
+from spanlake.sources.shared import saved
 
 LATE = 1 << 62  # where a trace without a start stands in its session
 
@@ -92,8 +93,12 @@ def with_turns(rolled: DataFrame) -> DataFrame:
     return placed.withColumn("session_turn", F.when(F.col("session_id").isNotNull(), F.col("__turn").cast("int"))).drop("__session", "__start", "__turn")
 
 
+ROLLED = ("ord", "trace_id", "span_id", "parent_span_id", "name", "service_name", "session_id", "status_code", "start_time_unix_nano", "end_time_unix_nano", "input_tokens", "output_tokens", "total_tokens")
+
+
 def traces(wide: DataFrame) -> DataFrame:
-    return conform(with_turns(trace_rollup(wide)), TRACES)
+    """The traces table. The columns that it needs are written first: the turns' ranges are sampled, which would normalise all spans twice."""
+    return conform(with_turns(trace_rollup(saved(wide.select(*ROLLED), "rollup"))), TRACES)
 
 
 def sessions(rolled: DataFrame) -> DataFrame:
