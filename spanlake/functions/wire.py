@@ -106,30 +106,39 @@ def _of(v: Column, kind: str, name: str | None = None) -> Column:
     return F.try_variant_get(v, f"$.{name}" if name else "$", kind)
 
 
+# The fields of an AnyValue, as the first of them that it has tells its kind.
+KINDS = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue")
+
+
+def _kind(keys: Column) -> Column:
+    """The field that tells what a value is; null for a bare value (it has no fields), empty if none does. A value nearly always has one field, which is then read off."""
+    several = F.coalesce(*(F.when(F.array_contains(keys, k), k) for k in KINDS), F.lit(""))
+    return F.when(F.size(keys) == 1, F.get(keys, F.lit(0))).when(keys.isNotNull(), several)
+
+
 def _decode(p: Column) -> Column:
-    """(text, json) of one value: v the variant, keys its fields, null for a bare one."""
-    v, keys = p["v"], p["keys"]
-    has = lambda k: F.array_contains(keys, k)
+    """(text, json) of one value: v the variant, kind the field that holds it."""
+    v, kind = p["v"], p["kind"]
     text, number = lambda k: _of(v, "string", k), _of(v, "double", "doubleValue")
     whole = text("intValue").cast("decimal(38,0)").cast("string")
-    nested = F.when(has("arrayValue") | has("kvlistValue"), nested_json(v))
+    nested = F.when(kind.isin("arrayValue", "kvlistValue"), nested_json(v))
     bare = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(_of(v, "string"))).otherwise(_of(v, "string"))
     as_text = (
-        F.when(keys.isNull(), bare)
-        .when(has("stringValue"), text("stringValue"))
-        .when(has("intValue"), whole)
-        .when(has("doubleValue"), double_text(number))
-        .when(has("boolValue"), F.initcap(text("boolValue")))
-        .when(has("bytesValue"), text("bytesValue"))
+        F.when(kind == "stringValue", text("stringValue"))
+        .when(kind == "intValue", whole)
+        .when(kind == "doubleValue", double_text(number))
+        .when(kind == "boolValue", F.initcap(text("boolValue")))
+        .when(kind == "bytesValue", text("bytesValue"))
+        .when(kind.isNull(), bare)
         .otherwise(nested)
     )
     as_json = (
-        F.when(keys.isNull(), F.to_json(v))
-        .when(has("stringValue"), quoted(text("stringValue")))
-        .when(has("intValue"), whole)
-        .when(has("doubleValue"), double_text(number, False))
-        .when(has("boolValue"), text("boolValue"))
-        .when(has("bytesValue"), quoted(text("bytesValue")))
+        F.when(kind == "stringValue", quoted(text("stringValue")))
+        .when(kind == "intValue", whole)
+        .when(kind == "doubleValue", double_text(number, False))
+        .when(kind == "boolValue", text("boolValue"))
+        .when(kind == "bytesValue", quoted(text("bytesValue")))
+        .when(kind.isNull(), F.to_json(v))
         .otherwise(nested)
     )
     return F.struct(as_text.alias("text"), F.coalesce(as_json, F.lit("null")).alias("json"))
@@ -141,8 +150,9 @@ def keyed(attributes: Column) -> Column:
 
 
 def decoded_values(values: Column) -> Column:
-    """(text, json) of variants. The second lambda reads the first one's fields, so a value's keys are told once."""
+    """(text, json) of variants. Each lambda reads the fields of the one before, so a value's keys and kind are told once."""
     told = F.transform(values, lambda v: F.struct(v.alias("v"), F.map_keys(_of(v, "map<string,variant>")).alias("keys")))
+    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), _kind(p["keys"]).alias("kind")))
     return F.transform(told, _decode)
 
 
