@@ -10,7 +10,7 @@ the induction; those of the seeds come out of the recursion, as equal names are
 
 Whatever grows with the text (text, types, seeds, names, queues, the visited order) goes through
 ``Space.array``: beyond a bound it is a file in the task's scratch folder, read and written in
-pieces. Only texts whose tables fit that bound are sorted in memory (``in_memory``), at the end of the recursion.
+pieces. The recursion ends at texts of at most BASE symbols, which are sorted in memory (``in_memory``).
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 32 << 20  # bytes that an array holds in memory before it goes to disk
+MEMORY = 2 << 20  # bytes that an array holds in memory before it goes to disk
+BASE = 4096  # symbols that are sorted in memory, at the end of the recursion
 DIGIT = 512  # names up to this many are symbols by themselves
 _END = 0xFFFF  # beyond every symbol
 
 
 class Space:
-    """A scratch folder of one task for arrays larger than memory, removed at the end; nothing else reads it."""
+    """A scratch folder of one task for arrays larger than memory, among Spark's own spill files, removed at the end; nothing else reads it."""
 
     def __init__(self, memory: int = MEMORY):
         self.memory, self.path, self.n = memory, None, 0
         self.step = max(64, memory // 64)  # rows that one step works on
-        self.base = max(16, memory // 64)  # symbols that are sorted in memory: half a dozen tables of eight bytes each
+        self.base = max(16, min(BASE, memory // 64))
 
     def __enter__(self):
         return self
@@ -42,7 +43,8 @@ class Space:
             shutil.rmtree(self.path, ignore_errors=True)
 
     def file(self) -> str:
-        self.path = self.path or tempfile.mkdtemp(prefix="suffix-")
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]  # which Spark tells its workers
+        self.path = self.path or tempfile.mkdtemp(prefix="suffix-", dir=spill or None)
         self.n += 1
         return os.path.join(self.path, str(self.n))
 

@@ -55,6 +55,25 @@ def test_a_shard_ten_times_the_bound():
     assert got == {x for places in seen.values() if len(places) > 1 for x in places} and got
 
 
+def test_small_shards_are_induced_and_full_ones_go_to_disk(monkeypatch):
+    """With the bounds of the query: what is sorted in memory is the recursion's end only, and a full shard's queues are files."""
+    rng = np.random.default_rng(8)
+    seen, files, own = [], [], suffixes.in_memory
+    monkeypatch.setattr(suffixes, "in_memory", lambda text, cap: seen.append(len(text)) or own(text, cap))
+    for n in (20_000, repeats.SHARD_BYTES):
+        passage = rng.integers(2, 30, 3000).astype(np.uint16)
+        text = np.append(np.concatenate([np.append(passage[a : a + 500], 1) for a in rng.integers(0, 2500, n // 501 + 1)]), 0).astype(np.uint16)
+        with suffixes.Space() as space:
+            place, prefix = suffixes.sort(text, 400, space)
+            place, prefix, used = np.array(place, np.int64), np.array(prefix, np.int64), space.n
+        assert (np.bincount(place, minlength=len(text)) == 1).all()
+        assert (prefix[1:] == suffixes.common(text, place[:-1], place[1:], 400)).all()
+        a, b = place[:-1] + prefix[1:], place[1:] + prefix[1:]
+        assert (text[a] < text[b])[prefix[1:] < 400].all()
+        files.append(used)
+    assert max(seen) <= suffixes.BASE and files[0] == 0 and files[1] > 5
+
+
 def brute(texts, length):
     seen = {}
     for t in texts:
