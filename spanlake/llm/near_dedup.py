@@ -18,7 +18,7 @@ what leaves a comparison are links that join the same rows as all the links foun
 
 A pair that no band unites would be missed, as would a pair of over SHORT shingles whose estimate
 falls below the floor. At a threshold of 0.85 the 32 bands miss a pair with a chance of 6e-11, and the
-registers that agree fall MARGIN below with one of at most 6e-11 (Chernoff's bound for 128 registers);
+registers that agree fall MARGIN below with one of at most 7e-11 (Chernoff's bound for 128 full registers);
 at 0.8 these are 5e-8 and 2e-9.
 
 Rows: null, empty or blank text has an empty set and links with nothing; fewer words than
@@ -42,7 +42,7 @@ BLOCK = 1 << 20  # bytes of text whose shingles are hashed at once
 CROWD = 256  # classes of one band in one batch
 BROADCAST = 1 << 20  # ids that are broadcast at most
 SHORT = 256  # shingles of sets that are compared whole, without the estimate
-MARGIN = 0.25  # below the threshold, in the estimate of pairs with a longer set: it loses fewer pairs than the bands do
+MARGIN = 0.25  # below the threshold, in the estimate of pairs with a longer set: it loses pairs no more often than the bands do, or nearly so
 MEET = 2048  # classes of a band that are tried against each other
 PART, WEIGHT = 1024, 1 << 20  # texts, and shingles, of a cluster that are compared at once
 _U = np.uint64
