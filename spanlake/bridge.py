@@ -20,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions of a shuffle that computes much: those of the session's shuffles, and four for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few files over all cores: normalisation computes much on few bytes."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table of few parts over all cores: decoding computes much on few bytes."""
+    n = parts(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def text(c) -> Column:
@@ -68,11 +73,13 @@ def event_attributes() -> Column:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw spans of ``events``; a trace's least event is the parent of its others, but for every eleventh, whose parent is nowhere."""
-    df = spread(table(spark, sf_dir, "events"))
+    df = table(spark, sf_dir, "events")
     n = F.col("event_id").cast("string")
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     df = df.withColumns({"trace_id": F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")), "start": start, "end": start + F.floor(F.col("value") * 1000000).cast("bigint")})
-    # The parent by one aggregate and a join on the trace, not by a window over whole rows.
+    # The parent by one aggregate and a join on the trace, not by a window over whole rows; both read one shuffle, whose
+    # parts stay apart: Spark would put them together by their bytes, and normalisation computes much on few bytes.
+    df = df.repartition(parts(spark), "trace_id")
     least = df.groupBy("trace_id").agg(F.min("event_id").alias("least"))
     df = df.join(least, "trace_id")
     said = F.array(F.struct(F.lit("gen_ai.tool.message").alias("name"), attrs(("content", text(F.concat(F.lit("res "), n)))).alias("attributes"))).cast(EVENTS)

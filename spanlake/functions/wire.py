@@ -16,8 +16,9 @@ STATUS = {"STATUS_CODE_UNSET": "UNSET", "STATUS_CODE_OK": "OK", "STATUS_CODE_ERR
 
 
 def configure(spark: SparkSession) -> None:
-    """Repeated attribute keys: the last value wins."""
+    """Repeated attribute keys: the last value wins. Stages whose methods the JVM wouldn't compile (over 8,000 bytes) run as expressions, which are split."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)
 
 
 def literal_map(values: dict[str, str]) -> Column:
@@ -44,9 +45,8 @@ def computed_once(c: Column) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """A text as JSON."""
-    packed = F.to_json(F.array(c))
-    return packed.substr(F.lit(2), F.length(packed) - 2)
+    """A text as JSON. The list's brackets are trimmed off: a text ends in quotes, so no bracket of its own goes."""
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
 
 def double_text(c: Column, python: bool = True) -> Column:
@@ -117,14 +117,13 @@ def _kind(keys: Column) -> Column:
 
 
 def _decode(p: Column) -> Column:
-    """(text, json) of one value: v the variant, kind the field that holds it."""
-    v, kind = p["v"], p["kind"]
+    """(text, json) of one value: v the variant, kind the field that holds it, said its stringValue, nested the JSON of a list."""
+    v, kind, said, nested = p["v"], p["kind"], p["said"], p["nested"]
     text, number = lambda k: _of(v, "string", k), _of(v, "double", "doubleValue")
     whole = text("intValue").cast("decimal(38,0)").cast("string")
-    nested = F.when(kind.isin("arrayValue", "kvlistValue"), nested_json(v))
     bare = F.when(F.schema_of_variant(v) == "BOOLEAN", F.initcap(_of(v, "string"))).otherwise(_of(v, "string"))
     as_text = (
-        F.when(kind == "stringValue", text("stringValue"))
+        F.when(kind == "stringValue", said)
         .when(kind == "intValue", whole)
         .when(kind == "doubleValue", double_text(number))
         .when(kind == "boolValue", F.initcap(text("boolValue")))
@@ -133,7 +132,7 @@ def _decode(p: Column) -> Column:
         .otherwise(nested)
     )
     as_json = (
-        F.when(kind == "stringValue", quoted(text("stringValue")))
+        F.when(kind == "stringValue", quoted(said))
         .when(kind == "intValue", whole)
         .when(kind == "doubleValue", double_text(number, False))
         .when(kind == "boolValue", text("boolValue"))
@@ -150,20 +149,22 @@ def keyed(attributes: Column) -> Column:
 
 
 def decoded_values(values: Column) -> Column:
-    """(text, json) of variants. Each lambda reads the fields of the one before, so a value's keys and kind are told once."""
-    told = F.transform(values, lambda v: F.struct(v.alias("v"), F.map_keys(_of(v, "map<string,variant>")).alias("keys")))
-    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), _kind(p["keys"]).alias("kind")))
+    """(text, json) of variants. Each lambda reads the fields of the one before, so a value's keys, kind and list are told once; a text is known by itself, as its field comes first of the kinds."""
+    told = F.transform(values, lambda v: F.struct(v.alias("v"), _of(v, "string", "stringValue").alias("said")))
+    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), F.when(p["said"].isNull(), F.map_keys(_of(p["v"], "map<string,variant>"))).alias("keys")))
+    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), F.when(p["said"].isNotNull(), "stringValue").otherwise(_kind(p["keys"])).alias("kind")))
+    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), p["kind"].alias("kind"), F.when(p["kind"].isin("arrayValue", "kvlistValue"), nested_json(p["v"])).alias("nested")))
     return F.transform(told, _decode)
 
 
 def mapped(own: Column, values: Column, part: str) -> Column:
     """Map of keyed entries to the text or json of their decoded values, which stand in the same order."""
-    return F.map_from_entries(F.zip_with(own, values, lambda x, v: F.struct(x["key"], v[part])))
+    return F.map_from_arrays(own["key"], values[part])
 
 
 def decoded(own: Column) -> Column:
     """struct(text: map, json: map) of keyed entries."""
-    values = decoded_values(F.transform(own, lambda x: x["value"]))
+    values = decoded_values(own["value"])
     return F.struct(mapped(own, values, "text").alias("text"), mapped(own, values, "json").alias("json"))
 
 

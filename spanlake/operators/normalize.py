@@ -9,12 +9,13 @@ took; the others are left in raw_attributes_json.
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, status, to_float, to_int
+from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, quoted, status, to_float, to_int
 
 # Attribute keys and names of the conventions.
 SESSION_KEYS = ("gen_ai.conversation.id", "session.id", "gcp.vertex.agent.session_id", "ai.telemetry.metadata.sessionId", "mlflow.trace.session", "traceloop.association.properties.session_id")
@@ -55,8 +56,8 @@ def session_id(t: Column) -> Column:
 
 
 def _taken(*pairs) -> Column:
-    """Keys whose condition holds."""
-    return F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in pairs)), lambda x: x.isNotNull())
+    """Keys whose condition holds; null for the others."""
+    return F.array(*(F.when(c, F.lit(k)) for k, c in pairs))
 
 
 def session_taken(t: Column) -> Column:
@@ -69,7 +70,9 @@ def session_taken(t: Column) -> Column:
 
 
 def openinference_kind(text: Column) -> Column:
-    return F.coalesce(literal_map({k: k for k in KINDS})[F.upper(text)], F.lit("UNKNOWN"))
+    known = literal_map({k: k for k in KINDS})
+    # Most kinds are ASCII; Spark's upper asks ICU, which is slow.
+    return F.coalesce(known[text], known[F.translate(text, ascii_lowercase, ascii_uppercase)], known[F.upper(text)], F.lit("UNKNOWN"))
 
 
 def genai_kind(text: Column) -> Column:
@@ -207,7 +210,7 @@ def _json_compact(c: Column) -> Column:
     """JSON text without white space outside strings; a bare text comes back quoted."""
     tight = F.regexp_replace(c, r'("(?:[^"\\]|\\.)*")|\s+', "$1")
     bare = c.rlike(r"^\s*([\[{]|-?\d|true$|false$|null$)")
-    return F.when(c.isNull(), "null").when(bare, tight).otherwise(F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2))
+    return F.when(c.isNull(), "null").when(bare, tight).otherwise(quoted(c))
 
 
 ASK, ANSWER = "gcp.vertex.agent.llm_request", "gcp.vertex.agent.llm_response"
@@ -299,10 +302,10 @@ def traceloop(t: Column) -> dict[str, Column]:
 
 
 def leftovers(j: Column, taken: Column) -> Column:
-    """Attributes that no rule took, as one compact JSON object; null if none."""
-    rest = F.filter(F.map_entries(j), lambda e: ~F.array_contains(taken, e["key"]))
-    body = F.transform(rest, lambda e: F.concat(F.substring(F.to_json(F.array(e["key"])), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
-    return F.when(F.size(rest) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+    """Attributes that no rule took, as one compact JSON object; null if none. ``taken`` may hold nulls; it should be a column, as each entry evaluates it."""
+    rest = F.filter(F.map_entries(j), lambda e: ~F.coalesce(F.array_contains(taken, e["key"]), F.lit(False)))
+    body = F.transform(rest, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.when(F.size(F.array_except(F.map_keys(j), taken)) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
 
 
 def links_of(links: Column) -> Column:
@@ -316,7 +319,7 @@ def attributes(raw: DataFrame) -> DataFrame:
     last = lambda list_, key: F.try_element_at(F.filter(list_, lambda x: x["key"] == key), F.lit(-1))["value"]
     events = F.filter(F.coalesce("events", F.array().cast(raw.schema["events"].dataType)), lambda e: F.coalesce(e["name"], F.lit("")).startswith("gen_ai."))
     df = raw.withColumns({"_own": keyed(F.col("attributes")), "_names": F.transform(events, lambda e: e["name"]), "_said": F.transform(events, lambda e: last(e["attributes"], "content")), "_service": F.array(last(F.col("resource_attributes"), "service.name"))})
-    df = df.withColumn("_values", decoded_values(F.concat(F.transform("_own", lambda x: x["value"]), "_said", "_service")))
+    df = df.withColumn("_values", decoded_values(F.concat(F.col("_own")["value"], "_said", "_service")))
     n, m = F.size("_own"), F.size("_said")
     own = F.slice("_values", 1, n)
     said = F.zip_with("_names", F.slice("_values", n + 1, m), lambda name, v: F.struct(name.alias("name"), v["text"].alias("content")))
@@ -348,13 +351,13 @@ def _plan(_application: str) -> tuple[list[dict], list]:
     texts = {"input_text": F.when(need_in, t["input.value"]).otherwise(F.col("x_input_text")), "output_text": F.when(need_out, t["output.value"]).otherwise(F.col("x_output_text"))}
     some = F.coalesce(filled(F.col("input_text")), filled(F.col("output_text"))).isNotNull()
     io = F.coalesce(filled(F.col("x_io_format")), F.when(some, F.when(F.col("x_kind") == "RETRIEVER", "retrieval").when(F.col("x_kind") == "TOOL", "tool_call").otherwise("text")), F.lit("unknown"))
-    taken = F.concat("x_taken", session_taken(t), _taken(("input.value", need_in), ("output.value", need_out)))
+    texts["taken"] = computed_once(F.concat("x_taken", session_taken(t), _taken(("input.value", need_in), ("output.value", need_out))))
     start, end = nano(F.col("start_raw")), nano(F.col("end_raw"))
     kept = ("model_name", "tool_name", "agent_name", "input_tokens", "output_tokens", "total_tokens")
     final = [
         "ord", "trace_id", "span_id", filled(F.col("parent_raw")).alias("parent_span_id"), "name", F.coalesce(filled(F.col("x_kind")), F.lit("UNKNOWN")).alias("kind"), "convention",
         status(F.col("status_raw")).alias("status_code"), filled(F.col("status_message_raw")).alias("status_message"), start.alias("start_time_unix_nano"), end.alias("end_time_unix_nano"), (end - start).alias("duration_ns"),
         "service_name", "scope_name", "scope_version", session_id(t).alias("session_id"), *(F.col(f"x_{c}").alias(c) for c in kept), io.alias("io_format"), "input_text", "output_text",
-        leftovers(j, taken).alias("raw_attributes_json"), F.col("x_messages").alias("messages"), F.col("x_documents").alias("documents"), links_of(F.col("links")).alias("links"),
+        leftovers(j, F.col("taken")).alias("raw_attributes_json"), F.col("x_messages").alias("messages"), F.col("x_documents").alias("documents"), links_of(F.col("links")).alias("links"),
     ]
     return [found, lists, extracted, texts], final
