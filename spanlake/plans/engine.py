@@ -20,7 +20,8 @@ def load(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2", ordered:
     return made(normalize(otlp.read_spans(spark, path)))
 
 
-def load_payloads(spark: SparkSession, payloads: Iterable[str]) -> Mapping[str, DataFrame]:
+def load_payloads(spark: SparkSession, payloads: Iterable[str] | DataFrame) -> Mapping[str, DataFrame]:
+    """The tables of documents in memory: texts on the driver, or a DataFrame whose one column holds them, which stays with the tasks."""
     return tables.all_tables(normalize(otlp.flatten(otlp.payload_documents(spark, payloads))))
 
 
@@ -28,6 +29,20 @@ def to_arrow(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> d
     return {name: df.toArrow() for name, df in load(spark, path, spec=spec, ordered=True).items()}
 
 
+def write_arrow(spark: SparkSession, path: otlp.Paths, folder: str, *, spec: str = "at/v2") -> dict[str, str]:
+    """All tables as Arrow, for tables of any size: a folder a table, in the order of the input, which tasks write and ``sinks.read_arrow`` reads."""
+    check_spec(spec)
+    at = new_dir(spark, "wide")
+    try:
+        made = tables.ordered_tables(saved_at(normalize(otlp.read_spans(spark, path)), at))
+        out = {name: f"{str(folder).rstrip('/')}/{name}" for name in made}
+        for name, where in out.items():
+            sinks.write_arrow(made[name], where)
+        return out
+    finally:
+        drop(spark, at)
+
+
 def to_dfs(spark: SparkSession, path: otlp.Paths, *, spec: str = "at/v2") -> dict:
     return sinks.to_pandas(load(spark, path, spec=spec, ordered=True))
 

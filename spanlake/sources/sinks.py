@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,37 @@ def read_csv(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+PIECE = 16 << 20  # bytes of a piece of an Arrow table, more or less
+
+
+def _arrow_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        rows = max(1, PIECE * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch.slice(at, rows))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "n", "data"])
+            n += 1
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """A folder of Arrow streams, written by tasks: (part, n, data), each a piece of the table, in df's order by (part, n)."""
+    df.mapInArrow(_arrow_pieces, "part int, n int, data binary").write.mode("overwrite").parquet(path)
+
+
+def _arrow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0):
+            yield from pa.ipc.open_stream(data.as_buffer())
+
+
+def read_arrow(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of what write_arrow wrote."""
+    return spark.read.schema("part int, n int, data binary").parquet(path).select("data").mapInArrow(_arrow_rows, schema)
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """A JSON text a row, nulls kept."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
