@@ -70,12 +70,16 @@ def read_documents(spark: SparkSession, path: Paths) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else payload_documents(spark, [])
 
 
-def payload_documents(spark: SparkSession, payloads: Iterable[str]) -> DataFrame:
-    """Documents from JSON texts in memory."""
-    rows = [(k, text) for k, text in enumerate(payloads)]
-    df = spark.createDataFrame(rows, "path_ord int, text string")
+def payload_documents(spark: SparkSession, payloads: Iterable[str] | DataFrame) -> DataFrame:
+    """Documents from JSON texts in memory, in their order; those of a DataFrame are written first, so that their places stay."""
+    no_path = F.array().cast("array<string>")
+    if isinstance(payloads, DataFrame):
+        placed = F.array(F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+        df = saved(payloads.select(F.lit(0).alias("path_ord"), placed.alias("path"), F.col(payloads.columns[0]).alias("text")), "payloads")
+    else:
+        df = spark.createDataFrame(list(enumerate(payloads)), "path_ord int, text string").withColumn("path", no_path)
     parsed = F.from_json("text", DOCUMENT, {"mode": "FAILFAST"})
-    return df.select("path_ord", F.array().cast("array<string>").alias("path"), parsed["resourceSpans"].alias("resourceSpans"))
+    return df.select("path_ord", "path", parsed["resourceSpans"].alias("resourceSpans"))
 
 
 def _columns(df: DataFrame) -> DataFrame:
