@@ -93,6 +93,7 @@ def with_turns(rolled: DataFrame) -> DataFrame:
     return placed.withColumn("session_turn", F.when(F.col("session_id").isNotNull(), F.col("__turn").cast("int"))).drop("__session", "__start", "__turn")
 
 
+OWN = tuple(f.name for f in SPANS.fields if f.name not in ("spec", "spec_version"))  # columns of the spans table that wide spans have
 ROLLED = ("ord", "trace_id", "span_id", "parent_span_id", "name", "service_name", "session_id", "status_code", "start_time_unix_nano", "end_time_unix_nano", "input_tokens", "output_tokens", "total_tokens")
 
 
