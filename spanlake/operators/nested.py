@@ -33,9 +33,10 @@ def _child(name: str):
 def with_children(wide: DataFrame) -> DataFrame:
     """Spans with their children as the records list them: those of all spans of the trace with the same id."""
     own = wide.select(*(c for c in wide.columns if c not in CHILDREN), *(_child(name) for name in CHILDREN))
-    again = own.groupBy(*KEY).agg(F.count("*").alias("times")).filter("times > 1").select(*KEY)
+    # Written, as they are few: then Spark knows their size before it plans, and the other spans aren't shuffled to meet them.
+    again = saved(own.groupBy(*KEY).agg(F.count("*").alias("times")).filter("times > 1").select(*KEY), "again")
     of_id = lambda name: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(name).alias("v")))), lambda x: x["v"][name])).alias(f"all_{name}")
-    shared = own.join(again, KEY, "left_semi").groupBy(*KEY).agg(*(of_id(name) for name in CHILDREN))
+    shared = saved(own.join(again, KEY, "left_semi").groupBy(*KEY).agg(*(of_id(name) for name in CHILDREN)), "shared")
     return own.join(shared, KEY, "left").withColumns({name: F.coalesce(f"all_{name}", name) for name in CHILDREN}).drop(*(f"all_{name}" for name in CHILDREN))
 
 
