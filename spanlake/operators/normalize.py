@@ -319,11 +319,13 @@ def attributes(raw: DataFrame) -> DataFrame:
     last = lambda list_, key: F.try_element_at(F.filter(list_, lambda x: x["key"] == key), F.lit(-1))["value"]
     events = F.filter(F.coalesce("events", F.array().cast(raw.schema["events"].dataType)), lambda e: F.coalesce(e["name"], F.lit("")).startswith("gen_ai."))
     df = raw.withColumns({"_own": keyed(F.col("attributes")), "_names": F.transform(events, lambda e: e["name"]), "_said": F.transform(events, lambda e: last(e["attributes"], "content")), "_service": F.array(last(F.col("resource_attributes"), "service.name"))})
-    df = df.withColumn("_values", decoded_values(F.concat(F.col("_own")["value"], "_said", "_service")))
+    # The service is decoded apart: a query that reads it alone decodes no attributes.
+    df = df.withColumn("_values", decoded_values(F.concat(F.col("_own")["value"], "_said")))
+    service = computed_once(F.get(decoded_values(F.col("_service")), F.lit(0))["text"])
     n, m = F.size("_own"), F.size("_said")
     own = F.slice("_values", 1, n)
     said = F.zip_with("_names", F.slice("_values", n + 1, m), lambda name, v: F.struct(name.alias("name"), v["text"].alias("content")))
-    return df.select(*raw.columns, computed_once(mapped(F.col("_own"), own, "text")).alias("t"), computed_once(mapped(F.col("_own"), own, "json")).alias("j"), F.element_at("_values", -1)["text"].alias("service_name"), said.alias("said"))
+    return df.select(*raw.columns, computed_once(mapped(F.col("_own"), own, "text")).alias("t"), computed_once(mapped(F.col("_own"), own, "json")).alias("j"), service.alias("service_name"), said.alias("said"))
 
 
 def normalize(raw: DataFrame, *only: str) -> DataFrame:

@@ -63,3 +63,8 @@ def test_children_without_repeated_ids_need_no_shuffle(spark, tmp_path):
     normalize(bridge.raw_events(spark, DATA)).write.parquet(f"file://{tmp_path}/wide")
     made = nested.with_children(spark.read.parquet(f"file://{tmp_path}/wide"))
     assert "Exchange hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_services_decode_no_attributes(spark):
+    plan = QUERIES["dim_services"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "service.name" in plan and "openinference.span.kind" not in plan
