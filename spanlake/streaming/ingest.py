@@ -66,9 +66,14 @@ def compact(spark: SparkSession, sink: str) -> None:
     tables.merged_partials(partials(spark, sink)).write.mode("overwrite").parquet(f"{sink}/compacted/upto={last}")
 
 
+def rolled(spark: SparkSession, sink: str) -> DataFrame:
+    """The traces of what was stored, before turns, which need passes of their own."""
+    return tables.rolled_up(tables.merged_partials(partials(spark, sink)))
+
+
 def rollups(spark: SparkSession, sink: str) -> Mapping[str, DataFrame]:
     """All six tables of what was stored; traces and sessions from the partials."""
-    rolled = tables.rolled_up(tables.merged_partials(partials(spark, sink)))
+    by_trace = rolled(spark, sink)
     stored = {name: (lambda _, name=name: spark.read.parquet(f"{sink}/{name}").drop("batch")) for name in STREAMED}
-    traces = lambda _: conform(tables.with_turns(rolled), TRACES)
-    return tables.Tables(stored | {"traces": traces, "sessions": lambda t: tables.sessions(t["traces"] if t.made("traces") else rolled)})
+    traces = lambda _: conform(tables.with_turns(by_trace), TRACES)
+    return tables.Tables(stored | {"traces": traces, "sessions": lambda t: tables.sessions(t["traces"] if t.made("traces") else by_trace)})

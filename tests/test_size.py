@@ -9,6 +9,7 @@ from spanlake.operators import nested
 from spanlake.operators.normalize import normalize
 from spanlake.queries import QUERIES
 from spanlake.sources import sinks
+from spanlake.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 
@@ -76,3 +77,11 @@ def test_joined_messages_write_what_the_join_reads(spark, monkeypatch):
     monkeypatch.setattr(queries, "saved", lambda df, *a: written.append(df.columns) or kept(df, *a))
     assert QUERIES["span_message_join"](spark, DATA).count() == 818
     assert "raw_attributes_json" not in written[0] and "input_text" not in written[0]
+
+
+def test_streamed_traces_need_no_turns(spark, monkeypatch):
+    def never(_):
+        raise AssertionError("turns were told")
+
+    monkeypatch.setattr(ingest.tables, "with_turns", never)
+    assert QUERIES["streaming_spans"](spark, DATA).count() == 397
