@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import KV, configure, quoted
+from spanlake.functions.wire import KV, configure
 from spanlake.sources import large
 from spanlake.sources.shared import saved
 
@@ -143,18 +143,18 @@ def read_spans(spark: SparkSession, path: Paths, least: int = LARGE) -> DataFram
 def documents_of(spans: DataFrame) -> DataFrame:
     """The inverse of flatten, for fixtures: a JSON text for each trace, spans in order under their resource and scope.
 
-    Attribute values are spliced in as JSON.
+    Nulls are written; missing lists are empty.
     """
-    lit, null = F.lit, F.lit("null")
+    lit = F.lit
+    # Written by to_json as a whole, not entry by entry: its native writer takes variants as they are.
+    json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
     listed = lambda texts: F.concat(lit("["), F.coalesce(F.array_join(texts, ","), lit("")), lit("]"))
-    kv = lambda c: listed(F.transform(c, lambda x: F.concat(lit('{"key":'), quoted(x["key"]), lit(',"value":'), F.coalesce(F.to_json(x["value"]), null), lit("}"))))
-    text = lambda c: F.coalesce(quoted(F.col(c)), null)
-    events = listed(F.transform("events", lambda e: F.concat(lit('{"name":'), F.coalesce(quoted(e["name"]), null), lit(',"attributes":'), kv(e["attributes"]), lit("}"))))
-    pairs = (("traceId", text("trace_id")), ("spanId", text("span_id")), ("parentSpanId", text("parent_raw")), ("name", text("name")), ("startTimeUnixNano", text("start_raw")), ("endTimeUnixNano", text("end_raw")))
-    head = F.concat(*(x for k, c in pairs for x in (lit(f'"{k}":'), c, lit(","))))
-    status = F.concat(lit('"status":{"code":'), text("status_raw"), lit(',"message":'), text("status_message_raw"), lit("},"))
-    span = F.concat(lit("{"), head, status, lit('"attributes":'), kv(F.col("attributes")), lit(',"events":'), events, lit(',"links":'), F.coalesce(F.to_json("links"), lit("[]")), lit("}"))
-    scope = F.concat(lit('{"name":'), text("scope_name"), lit(',"version":'), text("scope_version"), lit("}"))
+    full = lambda c: F.coalesce(c, F.array().cast(spans.schema[c].dataType)).alias(c)
+    names = {"traceId": "trace_id", "spanId": "span_id", "parentSpanId": "parent_raw", "name": "name", "startTimeUnixNano": "start_raw", "endTimeUnixNano": "end_raw"}
+    status = F.struct(F.col("status_raw").alias("code"), F.col("status_message_raw").alias("message")).alias("status")
+    span = json(F.struct(*(F.col(c).alias(k) for k, c in names.items()), status, *(full(c) for c in ("attributes", "events", "links"))))
+    scope = json(F.struct(F.col("scope_name").alias("name"), F.col("scope_version").alias("version")))
+    kv = lambda c: F.coalesce(json(c), lit("[]"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("text")))), lambda x: x["text"])
     one = spans.groupBy("trace_id", kv(F.col("resource_attributes")).alias("resource"), scope.alias("scope")).agg(F.min("ord").alias("ord"), in_order(span).alias("spans"))
     block = F.concat(lit('{"resource":{"attributes":'), F.col("resource"), lit('},"scopeSpans":[{"scope":'), F.col("scope"), lit(',"spans":'), listed(F.col("spans")), lit("}]}"))

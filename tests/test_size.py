@@ -8,7 +8,7 @@ from spanlake import bridge, queries
 from spanlake.operators import nested
 from spanlake.operators.normalize import normalize
 from spanlake.queries import QUERIES
-from spanlake.sources import sinks
+from spanlake.sources import otlp, sinks
 from spanlake.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -85,3 +85,8 @@ def test_streamed_traces_need_no_turns(spark, monkeypatch):
 
     monkeypatch.setattr(ingest.tables, "with_turns", never)
     assert QUERIES["streaming_spans"](spark, DATA).count() == 397
+
+
+def test_documents_are_written_without_a_lambda_for_each_entry(spark):
+    plan = otlp.documents_of(bridge.raw_events(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert '{"key":' not in plan
