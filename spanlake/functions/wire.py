@@ -1,8 +1,9 @@
 """Column functions that decode OTLP/JSON values.
 
 Attribute values arrive as variants, parsed with their document: an AnyValue, or a bare value.
-``decoded`` gives two maps by key, both with the last value and the first position of a repeated
-key: the text of each value and its compact JSON. All of it is column expressions.
+``text_of`` and ``json_of`` give a value's text and its compact JSON: common forms are read off
+first, and the rest is told in full. Maps by key have the last value and the first position of a
+repeated key. All of it is column expressions.
 """
 
 from __future__ import annotations
@@ -64,20 +65,25 @@ def double_text(c: Column, python: bool = True) -> Column:
 
 # Marks that stand for brackets and braces in texts that are done: JSON holds control characters only as escapes.
 _DONE = "\u0001\u0002\u0003\u0004"
-_STRING = r'"(?:[^"\\]|\\.)*"'
-# Wrappers of plain values, and lists without values, each with what is left of it.
-_WRAPPED = (
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_NO_MARKS = r'^(?:[^"]++|"(?:[^"\\\[\]{}]++|\\.)*+")*+$'  # JSON whose texts hold no brackets or braces
+# Wrappers of doubles, of other plain values, and lists without values, each with what is left of it.
+_DOUBLES = (
     (rf'\{{"doubleValue":(-?\d+)\}}', "$1.0"),
     (rf'\{{"doubleValue":(-?\d+)(?:\.0|(\.\d+))E(-?\d+)\}}', "$1$2e$3"),
+)
+_WRAPPED = (
     (rf'\{{"(?:stringValue|bytesValue|doubleValue|boolValue)":({_STRING}|[^"{{}}\[\],]+)\}}', "$1"),
     (r'\{"intValue":"?\s*\+?(-?\d+)\s*"?\}', "$1"),
+)
+_EMPTY = (
     (r'\{"arrayValue":(?:null|\{\}|\{"values":null\})\}', "\u0001\u0002"),
     (r'\{"kvlistValue":(?:null|\{\}|\{"values":null\})\}', "\u0003\u0004"),
     (r"\{\}", "null"),
 )
 # What one step unwraps: lists and entries in which nothing is left to unwrap. Entries without a key go.
-_INNERMOST = (
-    (r'\{"arrayValue":\{"values":\[([^\[\]{}]*)\]\}\}', "\u0001$1\u0002"),
+_LISTS = ((r'\{"arrayValue":\{"values":\[([^\[\]{}]*)\]\}\}', "\u0001$1\u0002"),)
+_ENTRIES = (
     (r'\{"key":""(?:,"value":[^\[\]{}]*)?\}', "\u0006"),
     ("\u0006,|,?\u0006", ""),
     (rf'\{{"key":({_STRING}),"value":([^\[\]{{}}]*)\}}', "$1:$2"),
@@ -92,13 +98,25 @@ def _replaced(text: Column, rules) -> Column:
     return text
 
 
+def _let(c: Column, made) -> Column:
+    """made(c) with c computed once, as it is the value of a lambda."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
+def _unwrapped(raw: Column) -> Column:
+    """The JSON of a list without its wrappers. Rules run where what they look for stands."""
+    guard = lambda x: F.when(x.startswith('"'), F.translate(x, "[]{}", _DONE)).otherwise(x)
+    guarded = F.when(raw.rlike(_NO_MARKS), raw).otherwise(F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_STRING + '|[^"]+'), F.lit(0)), guard), ""))
+    plain = _replaced(_let(guarded, lambda x: F.when(x.contains('"doubleValue"'), _replaced(x, _DOUBLES)).otherwise(x)), _WRAPPED)
+    plain = _let(plain, lambda x: F.when(x.contains("{}") | x.contains("null"), _replaced(x, _EMPTY)).otherwise(x))
+    step = lambda x: F.when(x.contains('"key":') | x.contains('"kvlistValue"'), _replaced(x, _LISTS + _ENTRIES)).otherwise(_replaced(x, _LISTS))
+    lists = F.size(F.regexp_extract_all(raw, F.lit('"(?:array|kvlist)Value":'), F.lit(0)))
+    return F.aggregate(F.sequence(F.lit(1), lists), plain, lambda x, _: F.when(x.contains('Value":{'), step(x)).otherwise(x))
+
+
 def nested_json(v: Column) -> Column:
     """Compact JSON of a list or key-value list, unwrapped from the inside out, as often as it holds lists: of any depth."""
-    raw = F.to_json(v)
-    guarded = F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(_STRING + '|[^"]+'), F.lit(0)), lambda x: F.when(x.startswith('"'), F.translate(x, "[]{}", _DONE)).otherwise(x)), "")
-    depth = F.size(F.regexp_extract_all(raw, F.lit('"(?:array|kvlist)Value":'), F.lit(0)))
-    done = F.aggregate(F.sequence(F.lit(1), depth), _replaced(guarded, _WRAPPED), lambda text, _: _replaced(text, _INNERMOST))
-    return F.translate(done, _DONE, "[]{}")
+    return F.translate(_let(F.to_json(v), _unwrapped), _DONE, "[]{}")
 
 
 def _of(v: Column, kind: str, name: str | None = None) -> Column:
@@ -144,35 +162,81 @@ def _decode(p: Column) -> Column:
 
 
 def keyed(attributes: Column) -> Column:
-    """The entries of an attribute list that have a key."""
-    return F.filter(F.coalesce(attributes, F.array().cast(KV)), lambda x: F.coalesce(x["key"], F.lit("")) != "")
+    """The entries of an attribute list that have a key. Nearly always that is all of them, which is told without a lambda."""
+    entries = F.coalesce(attributes, F.array().cast(KV))
+    return F.when(~F.array_contains(entries["key"], F.lit("")), entries).otherwise(F.filter(entries, lambda x: F.coalesce(x["key"], F.lit("")) != ""))
 
 
-def decoded_values(values: Column) -> Column:
-    """(text, json) of variants. Each lambda reads the fields of the one before, so a value's keys, kind and list are told once; a text is known by itself, as its field comes first of the kinds."""
-    told = F.transform(values, lambda v: F.struct(v.alias("v"), _of(v, "string", "stringValue").alias("said")))
-    told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), F.when(p["said"].isNull(), F.map_keys(_of(p["v"], "map<string,variant>"))).alias("keys")))
+def _decoded_fully(values: Column) -> Column:
+    """(text, json) of variants of any form. Each lambda reads the fields of the one before, so a value's keys, kind and list are told once."""
+    told = F.transform(values, lambda v: F.struct(v.alias("v"), _of(v, "string", "stringValue").alias("said"), F.map_keys(_of(v, "map<string,variant>")).alias("keys")))
     told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), F.when(p["said"].isNotNull(), "stringValue").otherwise(_kind(p["keys"])).alias("kind")))
     told = F.transform(told, lambda p: F.struct(p["v"].alias("v"), p["said"].alias("said"), p["kind"].alias("kind"), F.when(p["kind"].isin("arrayValue", "kvlistValue"), nested_json(p["v"])).alias("nested")))
     return F.transform(told, _decode)
 
 
-def mapped(own: Column, values: Column, part: str) -> Column:
-    """Map of keyed entries to the text or json of their decoded values, which stand in the same order."""
-    return F.map_from_arrays(own["key"], values[part])
+# The fields of an AnyValue in one cast: null where a field isn't there, is null or of another type. Spark throws to leave a path that a variant doesn't have, which costs more than the whole cast.
+_FIELDS = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:string,bytesValue:string,arrayValue:struct<values:boolean>,kvlistValue:struct<values:boolean>>"
+_KEYS = "map<string,array<string>>"  # of an AnyValue: its keys, as no field of it is an array
+
+
+def _read_off(v: Column, x: Column, said: Column, part: str) -> Column:
+    """The text or json of a value, x its fields: of one field by that, of others in full. Each kind is asked for if none before it is there."""
+    as_text, truth = part == "text", x["boolValue"]
+    one = F.size(_of(v, _KEYS)) == 1
+    return F.coalesce(
+        said,
+        F.when(x["intValue"].isNotNull() & one, x["intValue"].try_cast("bigint").cast("string")),
+        F.when(x["doubleValue"].isNotNull() & one, double_text(x["doubleValue"], as_text)),
+        F.when(truth.isNotNull() & one, F.initcap(truth) if as_text else truth),
+        F.when((x["arrayValue"].isNotNull() | x["kvlistValue"].isNotNull()) & one, nested_json(v)),
+        F.get(_decoded_fully(F.array(v)), F.lit(0))[part],
+    )
+
+
+def _text(v: Column, x: Column) -> Column:
+    return _read_off(v, x, x["stringValue"], "text")
+
+
+def _json(v: Column, x: Column) -> Column:
+    return _read_off(v, x, F.when(x["stringValue"].isNotNull(), quoted(x["stringValue"])), "json")
+
+
+def _with_fields(v: Column, made) -> Column:
+    return _let(_of(v, _FIELDS), lambda x: made(v, x))
+
+
+def text_of(v: Column) -> Column:
+    """A value as text."""
+    return _with_fields(v, _text)
+
+
+def json_of(v: Column) -> Column:
+    """A value as compact JSON."""
+    return _with_fields(v, _json)
+
+
+def texts_of(values: Column) -> Column:
+    return F.zip_with(values, values.try_cast(f"array<{_FIELDS}>"), _text)
+
+
+def mapped(own: Column, values: Column) -> Column:
+    """Map of keyed entries to values in the same order."""
+    return F.map_from_arrays(own["key"], values)
 
 
 def decoded(own: Column) -> Column:
     """struct(text: map, json: map) of keyed entries."""
-    values = decoded_values(own["value"])
-    return F.struct(mapped(own, values, "text").alias("text"), mapped(own, values, "json").alias("json"))
+    return F.struct(mapped(own, texts_of(own["value"])).alias("text"), mapped(own, F.transform(own["value"], json_of)).alias("json"))
 
 
-def to_int(text: Column, as_json: Column) -> Column:
-    """An integer as Python's int() reads the value: whole-number text, truncated number, or truth value."""
+def to_int(text: Column, v: Column) -> Column:
+    """An integer as Python's int() reads a value, given its text too: whole-number text, truncated number, or truth value. Digits alone are the same as text and as number."""
     clean = F.when(text.rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), F.regexp_replace(text, r"[_\s]", "").try_cast("bigint"))
-    number = F.coalesce(as_json.try_cast("bigint"), F.when(as_json.rlike("[.eE]"), as_json.try_cast("double").try_cast("bigint")))
-    return F.when(as_json.startswith('"'), clean).when(as_json == "true", F.lit(1).cast("bigint")).when(as_json == "false", F.lit(0).cast("bigint")).otherwise(number)
+    number = F.coalesce(text.try_cast("bigint"), F.when(text.rlike("[.eE]"), text.try_cast("double").try_cast("bigint")))
+    keys = F.map_keys(_of(v, _KEYS))
+    said = F.coalesce(_kind(keys).isin("stringValue", "bytesValue"), F.schema_of_variant(v) == "STRING")
+    return F.when(text.rlike(r"^[+-]?\d{1,18}$"), text.try_cast("bigint")).when(text.isNotNull(), F.when(said, clean).when(text == "True", F.lit(1).cast("bigint")).when(text == "False", F.lit(0).cast("bigint")).otherwise(number))
 
 
 def to_float(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A wide span has the columns of the spans table, its place in the input, and its messages,
 documents and links as arrays. Every rule is a column expression over two maps of decoded
-attributes: ``t`` (text) and ``j`` (compact JSON). ``consumed`` collects the keys that a rule
+attributes: ``t`` (text) and ``v`` (the values as they came). ``consumed`` collects the keys that a rule
 took; the others are left in raw_attributes_json.
 """
 
@@ -15,7 +15,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.wire import computed_once, configure, decoded_values, filled, keyed, literal_map, mapped, nano, quoted, status, to_float, to_int
+from spanlake.functions.wire import computed_once, configure, filled, json_of, keyed, literal_map, mapped, nano, quoted, status, text_of, texts_of, to_float, to_int
 
 # Attribute keys and names of the conventions.
 SESSION_KEYS = ("gen_ai.conversation.id", "session.id", "gcp.vertex.agent.session_id", "ai.telemetry.metadata.sessionId", "mlflow.trace.session", "traceloop.association.properties.session_id")
@@ -122,19 +122,19 @@ def indexed_documents(found: Column) -> Column:
     return made.cast(f"array<{DOC}>")
 
 
-def _first_int(t: Column, j: Column, *keys: str) -> tuple[Column, list]:
+def _first_int(t: Column, v: Column, *keys: str) -> tuple[Column, list]:
     free, pairs, values = F.lit(True), [], []
     for k in keys:
-        value = to_int(t[k], j[k])
+        value = to_int(t[k], v[k])
         pairs.append((k, free & F.map_contains_key(t, k)))
         values.append(value)
         free = free & value.isNull()
     return F.coalesce(*values), pairs
 
 
-def first_int_of(t: Column, j: Column, *keys: str) -> Column:
+def first_int_of(t: Column, v: Column, *keys: str) -> Column:
     """The first of the keys' values that is an integer."""
-    return _first_int(t, j, *keys)[0]
+    return _first_int(t, v, *keys)[0]
 
 
 def _result(**own) -> dict[str, Column]:
@@ -159,11 +159,11 @@ def openinference_lists() -> dict[str, Column]:
     return {"oi_asked": indexed_messages(F.col("oi_in"), "input"), "oi_said": indexed_messages(F.col("oi_out"), "output"), "oi_docs": indexed_documents(F.col("oi_at"))}
 
 
-def openinference(t: Column, j: Column) -> dict[str, Column]:
+def openinference(t: Column, v: Column) -> dict[str, Column]:
     has = lambda k: F.map_contains_key(t, k)
     kind = F.when(has("openinference.span.kind"), openinference_kind(F.coalesce(t["openinference.span.kind"], F.lit("None"))))
     model = F.when(has("llm.model_name"), t["llm.model_name"]).when(has("llm.model"), t["llm.model"])
-    tokens = {c: to_int(t[k], j[k]) for c, k in (("input_tokens", "llm.token_count.prompt"), ("output_tokens", "llm.token_count.completion"), ("total_tokens", "llm.token_count.total"))}
+    tokens = {c: to_int(t[k], v[k]) for c, k in (("input_tokens", "llm.token_count.prompt"), ("output_tokens", "llm.token_count.completion"), ("total_tokens", "llm.token_count.total"))}
     asked, said, docs = F.col("oi_asked"), F.col("oi_said"), F.col("oi_docs")
     keys = lambda found: F.transform(found, lambda x: x["key"])
     doc_keys = keys(F.filter("oi_at", lambda x: x["rest"].isin("document.id", "document.content", "document.score")))
@@ -241,14 +241,14 @@ def genai_lists() -> dict[str, Column]:
     }
 
 
-def genai(t: Column, j: Column) -> dict[str, Column]:
+def genai(t: Column, v: Column) -> dict[str, Column]:
     has = lambda k: F.map_contains_key(t, k)
     op, asked_model, told_model = t["gen_ai.operation.name"], t["gen_ai.request.model"], t["gen_ai.response.model"]
     model = F.when(filled(asked_model).isNull() & has("gen_ai.response.model"), told_model).otherwise(asked_model)
     kind = F.when(op.isNotNull(), genai_kind(op)).when(filled(model).isNotNull() | _any_prefix(F.map_keys(t), "gen_ai.usage."), "LLM")
-    tin, k1 = _first_int(t, j, "gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens")
-    tout, k2 = _first_int(t, j, "gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens")
-    total, k3 = _first_int(t, j, "gen_ai.usage.total_tokens")
+    tin, k1 = _first_int(t, v, "gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens")
+    tout, k2 = _first_int(t, v, "gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens")
+    total, k3 = _first_int(t, v, "gen_ai.usage.total_tokens")
     asked, said = F.col("ga_asked"), F.col("ga_said")
     live = F.size("ga_made") > 0
     args, result = "gcp.vertex.agent.tool_call_args", "gcp.vertex.agent.tool_response"
@@ -269,7 +269,7 @@ def genai(t: Column, j: Column) -> dict[str, Column]:
     )
 
 
-def vercel(t: Column, j: Column) -> dict[str, Column]:
+def vercel(t: Column, v: Column) -> dict[str, Column]:
     has = lambda k: F.map_contains_key(t, k)
     given = F.when(has("ai.prompt"), _or(t["ai.toolCall.args"], t["ai.prompt"])).otherwise(t["ai.toolCall.args"])
     got = F.when(has("ai.response.text"), _or(t["ai.toolCall.result"], t["ai.response.text"])).otherwise(t["ai.toolCall.result"])
@@ -278,7 +278,7 @@ def vercel(t: Column, j: Column) -> dict[str, Column]:
     keys = ("ai.model.id", "ai.toolCall.name", "ai.toolCall.args", "ai.toolCall.result", "ai.usage.promptTokens", "ai.usage.completionTokens", "ai.prompt", "ai.response.text")
     return _result(
         kind=kind, model_name=t["ai.model.id"], tool_name=t["ai.toolCall.name"], input_text=given, output_text=got, taken=_taken(*((k, has(k)) for k in keys)),
-        input_tokens=to_int(t["ai.usage.promptTokens"], j["ai.usage.promptTokens"]), output_tokens=to_int(t["ai.usage.completionTokens"], j["ai.usage.completionTokens"]),
+        input_tokens=to_int(t["ai.usage.promptTokens"], v["ai.usage.promptTokens"]), output_tokens=to_int(t["ai.usage.completionTokens"], v["ai.usage.completionTokens"]),
         io_format=F.when(kind == "TOOL", "tool_call").when(kind == "LLM", "text"),
     )
 
@@ -301,11 +301,11 @@ def traceloop(t: Column) -> dict[str, Column]:
     return _result(kind=F.when(has, openinference_kind(F.coalesce(kind, F.lit("None")))), input_text=t["traceloop.entity.input"], output_text=t["traceloop.entity.output"], io_format=io, taken=F.concat(taken, _taken((key, has))))
 
 
-def leftovers(j: Column, taken: Column) -> Column:
-    """Attributes that no rule took, as one compact JSON object; null if none. ``taken`` may hold nulls; it should be a column, as each entry evaluates it."""
-    rest = F.filter(F.map_entries(j), lambda e: ~F.coalesce(F.array_contains(taken, e["key"]), F.lit(False)))
-    body = F.transform(rest, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
-    return F.when(F.size(F.array_except(F.map_keys(j), taken)) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
+def leftovers(v: Column, taken: Column) -> Column:
+    """Attributes that no rule took, as one compact JSON object; null if none. Only these become JSON. ``taken`` may hold nulls; it should be a column, as each entry evaluates it."""
+    rest = F.filter(F.map_entries(v), lambda e: ~F.coalesce(F.array_contains(taken, e["key"]), F.lit(False)))
+    body = F.transform(rest, lambda e: F.concat(quoted(e["key"]), F.lit(":"), json_of(e["value"])))
+    return F.when(F.size(F.array_except(F.map_keys(v), taken)) > 0, F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")))
 
 
 def links_of(links: Column) -> Column:
@@ -314,18 +314,16 @@ def links_of(links: Column) -> Column:
 
 
 def attributes(raw: DataFrame) -> DataFrame:
-    """Raw spans with their attributes decoded (t, j), convention, session and gen_ai events."""
+    """Raw spans with their attributes (t, v), service and gen_ai events."""
     configure(raw.sparkSession)
     last = lambda list_, key: F.try_element_at(F.filter(list_, lambda x: x["key"] == key), F.lit(-1))["value"]
     events = F.filter(F.coalesce("events", F.array().cast(raw.schema["events"].dataType)), lambda e: F.coalesce(e["name"], F.lit("")).startswith("gen_ai."))
-    df = raw.withColumns({"_own": keyed(F.col("attributes")), "_names": F.transform(events, lambda e: e["name"]), "_said": F.transform(events, lambda e: last(e["attributes"], "content")), "_service": F.array(last(F.col("resource_attributes"), "service.name"))})
+    df = raw.withColumn("_own", keyed(F.col("attributes")))
     # The service is decoded apart: a query that reads it alone decodes no attributes.
-    df = df.withColumn("_values", decoded_values(F.concat(F.col("_own")["value"], "_said")))
-    service = computed_once(F.get(decoded_values(F.col("_service")), F.lit(0))["text"])
-    n, m = F.size("_own"), F.size("_said")
-    own = F.slice("_values", 1, n)
-    said = F.zip_with("_names", F.slice("_values", n + 1, m), lambda name, v: F.struct(name.alias("name"), v["text"].alias("content")))
-    return df.select(*raw.columns, computed_once(mapped(F.col("_own"), own, "text")).alias("t"), computed_once(mapped(F.col("_own"), own, "json")).alias("j"), service.alias("service_name"), said.alias("said"))
+    service = computed_once(text_of(last(F.col("resource_attributes"), "service.name")))
+    said = F.transform(events, lambda e: F.struct(e["name"].alias("name"), text_of(last(e["attributes"], "content")).alias("content")))
+    text, values = mapped(F.col("_own"), texts_of(F.col("_own")["value"])), mapped(F.col("_own"), F.col("_own")["value"])
+    return df.select(*raw.columns, computed_once(text).alias("t"), computed_once(values).alias("v"), service.alias("service_name"), said.alias("said"))
 
 
 def normalize(raw: DataFrame, *only: str) -> DataFrame:
@@ -342,11 +340,11 @@ def normalize(raw: DataFrame, *only: str) -> DataFrame:
 @lru_cache(maxsize=2)
 def _plan(_application: str) -> tuple[list[dict], list]:
     """The expressions of normalize, built once for a Spark application: they name columns, not a table."""
-    t, j = F.col("t"), F.col("j")
+    t, v = F.col("t"), F.col("v")
     only = lambda name, columns: {c: F.when(F.col("convention") == name, e) for c, e in columns.items()}
     found = only("openinference", openinference_found(t)) | only("otel_genai", genai_found(t, F.col("said")))
     lists = only("openinference", openinference_lists()) | only("otel_genai", genai_lists())
-    by = {"openinference": openinference(t, j), "otel_genai": genai(t, j), "vercel_ai": vercel(t, j), "mlflow": mlflow(t), "traceloop": traceloop(t)}
+    by = {"openinference": openinference(t, v), "otel_genai": genai(t, v), "vercel_ai": vercel(t, v), "mlflow": mlflow(t), "traceloop": traceloop(t)}
     other = _result()
     extracted = {f"x_{c}": computed_once(reduce(lambda w, k: w.when(F.col("convention") == k, by[k][c]), by, F).otherwise(other[c])) for c in other}
     need_in, need_out = filled(F.col("x_input_text")).isNull() & F.map_contains_key(t, "input.value"), filled(F.col("x_output_text")).isNull() & F.map_contains_key(t, "output.value")
@@ -360,6 +358,6 @@ def _plan(_application: str) -> tuple[list[dict], list]:
         "ord", "trace_id", "span_id", filled(F.col("parent_raw")).alias("parent_span_id"), "name", F.coalesce(filled(F.col("x_kind")), F.lit("UNKNOWN")).alias("kind"), "convention",
         status(F.col("status_raw")).alias("status_code"), filled(F.col("status_message_raw")).alias("status_message"), start.alias("start_time_unix_nano"), end.alias("end_time_unix_nano"), (end - start).alias("duration_ns"),
         "service_name", "scope_name", "scope_version", session_id(t).alias("session_id"), *(F.col(f"x_{c}").alias(c) for c in kept), io.alias("io_format"), "input_text", "output_text",
-        leftovers(j, F.col("taken")).alias("raw_attributes_json"), F.col("x_messages").alias("messages"), F.col("x_documents").alias("documents"), links_of(F.col("links")).alias("links"),
+        leftovers(v, F.col("taken")).alias("raw_attributes_json"), F.col("x_messages").alias("messages"), F.col("x_documents").alias("documents"), links_of(F.col("links")).alias("links"),
     ]
     return [found, lists, extracted, texts], final

@@ -62,3 +62,26 @@ def test_no_python_worker(spark):
 
     df = tables.spans(normalize(bridge.raw_events(spark, "/root/testdata/sf0.001")))
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_texts_in_lists(spark):
+    text = 'a\n"{b}' * 20000
+    value = json.dumps({"arrayValue": {"values": [{"stringValue": text}, {"doubleValue": 2}]}})
+    wire.configure(spark)
+    (r,) = spark.createDataFrame([(value,)], "t string").select(wire.json_of(F.parse_json("t")).alias("json")).collect()
+    assert json.loads(r.json) == [text, 2.0]
+
+
+def test_several_fields_and_nulls_are_told_by_the_first_kind(spark):
+    given = {'{"stringValue":null,"intValue":"5"}': (None, "null", None), '{"boolValue":null,"bytesValue":"12"}': (None, "null", None), '{"bytesValue":"12"}': ("12", '"12"', 12), '{"stringValue":"True"}': ("True", '"True"', None), '{"boolValue":true}': ("True", "true", 1), '{"intValue":" +5"}': ("5", "5", 5), '{"doubleValue":1e20}': ("1e+20", "1e20", None)}
+    wire.configure(spark)
+    df = spark.createDataFrame([(t,) for t in given], "t string").withColumn("v", F.parse_json("t"))
+    for r in df.select("t", wire.text_of(F.col("v")).alias("text"), wire.json_of(F.col("v")).alias("json"), wire.to_int(wire.text_of(F.col("v")), F.col("v")).alias("n")).collect():
+        assert (r.text, r.json, r.n) == given[r.t], r.t
+
+
+def test_attributes_are_kept_as_they_came(spark):
+    from spanlake import bridge
+    from spanlake.operators.normalize import attributes
+
+    assert dict(attributes(bridge.raw_events(spark, "/root/testdata/sf0.001")).dtypes)["v"] == "map<string,variant>"
