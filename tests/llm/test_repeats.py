@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanlake.llm import repeats, suffixes
@@ -74,6 +75,77 @@ def test_small_shards_are_induced_and_full_ones_go_to_disk(monkeypatch):
     assert max(seen) <= suffixes.BASE and files[0] == 0 and files[1] > 5
 
 
+def test_names_of_large_alphabets_are_one_symbol(monkeypatch):
+    """The recursion's texts shrink with every level, and neighbouring symbols share a step: both had their price by the symbol."""
+    rng = np.random.default_rng(9)
+    texts, steps, own, push = [], [], suffixes.sort, suffixes.Queue.push
+    monkeypatch.setattr(suffixes, "sort", lambda text, cap, space: texts.append(len(text)) or own(text, cap, space))
+    monkeypatch.setattr(suffixes.Queue, "push", lambda *a: steps.append(len(a[0].ends)) or push(*a))
+    passages = rng.integers(2, 60, (400, 500)).astype(np.uint16)
+    text = np.append(np.concatenate([np.append(p[a : a + 450], 1) for p in passages for a in (0, 30)]), 0).astype(np.uint16)
+    with suffixes.Space() as space:
+        place, prefix = suffixes.sort(text, 400, space)
+        place, prefix = np.array(place, np.int64), np.array(prefix, np.int64)
+    assert (np.bincount(place, minlength=len(text)) == 1).all()
+    assert (prefix[1:] == suffixes.common(text, place[:-1], place[1:], 400)).all()
+    a, b = place[:-1] + prefix[1:], place[1:] + prefix[1:]
+    assert (text[a] < text[b])[prefix[1:] < 400].all()
+    assert sum(texts) < 1.6 * len(text)
+    assert max(steps) > suffixes.BASE and sum(k == max(steps) for k in steps) < max(steps) / 4
+
+
+def test_order_of_many_symbols():
+    rng = np.random.default_rng(10)
+    for trial in range(60):
+        kind, top = ((np.uint16, 300), (np.uint32, 70_000), (np.uint32, 40))[trial % 3]
+        text = rng.integers(1, top, int(rng.integers(1, 250)))
+        text = np.append(np.concatenate([text, text[: len(text) // 2], np.repeat(text[:5], 9)]), 0).astype(kind)
+        with suffixes.Space([300, 2000][trial % 2]) as space:
+            place, prefix = suffixes.sort(text, 20, space)
+            assert (np.array(place).tolist(), np.array(prefix).tolist()) == brute_order(text, 20)
+
+
+def test_windows_without_a_like_do_not_reach_the_sort(monkeypatch):
+    """What stays of stretches holds every window that repeats in its group, however groups are cut into batches; a group beyond the bound stays as it is."""
+    rng, length, gram = np.random.default_rng(11), 60, 20
+    rows = []  # stretches of (key, place of the gram, bytes), where other bytes come in at some distance from the gram
+    for h in range(-20, 20):
+        base = rng.integers(97, 123, 200).astype(np.uint8)
+        for _ in range(40 if h == 3 else int(rng.integers(1, 6))):
+            own = base.copy()
+            left, right = rng.integers(60, 99), rng.integers(120, 160)
+            own[:left], own[right:] = rng.integers(97, 123, left), rng.integers(97, 123, 200 - right)
+            g, n = int(rng.integers(20, 41)), int(rng.integers(10, 21))
+            rows.append((h, g, own[100 - g : 100 - g + n - 1 + length]))
+    columns = lambda part, k: [np.arange(k, k + len(part)), np.zeros(len(part), np.int64), np.array([r[0] for r in part]), np.zeros(len(part), np.int32), np.array([r[1] for r in part], np.int32)]
+    batch = lambda k, m: pa.RecordBatch.from_arrays([*map(pa.array, columns(rows[k : k + m], k)), pa.array([r[2].tobytes() for r in rows[k : k + m]], pa.binary())], ["t1", "t2", "h", "lo", "g", "bytes"])
+    seen = {}
+    for k, (h, _, b) in enumerate(rows):
+        for p in range(len(b) - length + 1):
+            seen.setdefault((h, b[p : p + length].tobytes()), []).append((k, p))
+    want = {x for places in seen.values() if len(places) > 1 for x in places}
+    windows = {(k, p) for k, r in enumerate(rows) for p in range(len(r[2]) - length + 1)}
+    found = []
+    for bound in (1 << 20, 1500):
+        monkeypatch.setattr(repeats, "SHARD_BYTES", bound)
+        for many in (7, len(rows)):
+            got, wide = set(), set()
+            for part, cut in repeats._whole_groups(batch(k, many) for k in range(0, len(rows), many)):
+                wide.add(cut)
+                t1, _, h, lo, data, offs = repeats._shared(part, cut, length, gram)
+                for k, own, at, a, b in zip(t1.tolist(), h.tolist(), lo.tolist(), offs, offs[1:], strict=False):
+                    assert own == rows[k][0] and data[a:b].tobytes() == rows[k][2][at : at + b - a].tobytes()
+                    got |= {(k, p) for p in range(at, at + b - a - length + 1)}
+            assert want and want <= got and len(got) < len(windows)
+            large = {(k, p) for k, p in windows if rows[k][0] == 3}
+            if bound == 1500 and many == 7:
+                assert 3 in wide and large <= got
+            elif bound > 1500:
+                assert wide == {None}
+            found.append(got)
+    assert found[0] == found[1] and len(found[0]) < 0.7 * len(windows)
+
+
 def brute(texts, length):
     seen = {}
     for t in texts:
